@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query, module of this subpackage.
 _OPERATORS = [
     ("op1_best_fit_packing", "packing"),
+    ("op2_warc_bundles", "warc"),
     ("op3_substring_dedup", "substring"),
     ("op7_simhash_near_dedup", "simhash"),
 ]
