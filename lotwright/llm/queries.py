@@ -12,7 +12,9 @@ _OPERATORS = [
     ("op1_best_fit_packing", "packing"),
     ("op2_warc_bundles", "warc"),
     ("op3_substring_dedup", "substring"),
+    ("op4_chat_formatting", "chat"),
     ("op7_simhash_near_dedup", "simhash"),
+    ("op8_toxicity", "toxicity"),
 ]
 
 
@@ -21,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, module in _OPERATORS if (sql := getattr(import_module(f"{__package__}.{module}"), f"{name.split('_')[0].upper()}_SQL", None))}
