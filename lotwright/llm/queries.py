@@ -15,6 +15,7 @@ _OPERATORS = [
     ("op4_chat_formatting", "chat"),
     ("op7_simhash_near_dedup", "simhash"),
     ("op8_toxicity", "toxicity"),
+    ("op9_line_dedup", "lines"),
 ]
 
 
