@@ -16,6 +16,7 @@ _OPERATORS = [
     ("op7_simhash_near_dedup", "simhash"),
     ("op8_toxicity", "toxicity"),
     ("op9_line_dedup", "lines"),
+    ("op10_decontamination", "decontamination"),
 ]
 
 
