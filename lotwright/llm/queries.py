@@ -13,6 +13,7 @@ _OPERATORS = [
     ("op2_warc_bundles", "warc"),
     ("op3_substring_dedup", "substring"),
     ("op4_chat_formatting", "chat"),
+    ("op5_html_extraction", "html"),
     ("op6_document_fingerprints", "fingerprint"),
     ("op7_simhash_near_dedup", "simhash"),
     ("op8_toxicity", "toxicity"),

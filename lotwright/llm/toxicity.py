@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
 
@@ -115,10 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) ->
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """The rows of docs with a column _score, 0 to 1, of their whole text; null counts as empty."""
     weights = docs.sparkSession.sparkContext.broadcast(model)
-    names, schema = docs.columns, docs.schema
-    if "_score" in names:
+    if "_score" in docs.columns:
         raise ValueError("a column _score is there already")
-    from pyspark.sql.types import DoubleType
+    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, constant = weights.value
@@ -127,7 +127,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             z = np.array([weight[of(t)].sum(dtype=float) for t in batch.column("text").to_pylist()]) + constant
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*batch.schema.names, "_score"])
 
-    return docs.mapInArrow(rows, schema.add("_score", DoubleType()))
+    return docs.mapInArrow(rows, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
