@@ -22,8 +22,8 @@ from . import common
 SIZES = (3, 5)
 BITS = 19
 #: Bound on the labelled rows that are brought to the driver, and on the code points of each that are learnt from.
-MAX_TRAINING = 6000
-MAX_TRAINING_CHARS = 20_000
+MAX_TRAINING = 4000
+MAX_TRAINING_CHARS = 10_000
 SMOOTHING = 1.0
 PENALTY = 3e-4
 STEPS = 60
@@ -67,17 +67,21 @@ def train(texts: list[str], labels: list[int], sizes: tuple[int, ...] = SIZES, b
     if not len(y) or y.min() == y.max():
         return weight, 0.0 if not len(y) else (20.0 if y[0] else -20.0)
     of = Features(sizes, bits)
-    rows = [of(t[:MAX_TRAINING_CHARS]) for t in texts]
+    rows = [of(t[:MAX_TRAINING_CHARS]).astype(np.int32) for t in texts]
+    seen = np.zeros((2, 1 << bits), np.int32)
+    for r, k in zip(rows, labels, strict=True):
+        seen[k, r] += 1
+    shares = [(SMOOTHING + s) / (SMOOTHING * 2 + (y == k).sum()) for k, s in enumerate(seen)]
+    ratio = np.log(shares[1] / shares[0]) * (seen.sum(axis=0) > 2)  # a feature of one or two texts says nothing
+    for n, r in enumerate(rows):
+        rows[n] = r[np.abs(ratio[r]) > 0.7]
     count = np.array([len(r) for r in rows])
     ids = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), count)
-    seen = [np.bincount(ids[np.repeat(y == k, count)], minlength=1 << bits) for k in (0, 1)]
-    shares = [(SMOOTHING + s) / (SMOOTHING * 2 + (y == k).sum()) for k, s in enumerate(seen)]
-    ratio = np.log(shares[1] / shares[0]) * ((seen[0] + seen[1]) > 2)  # a feature of one or two texts says nothing
-    keep = np.abs(ratio[ids]) > 0.7
-    ids, owner = ids[keep], owner[keep]
-    used, ids = np.unique(ids, return_inverse=True)
-    x = ratio[used][ids]
+    del rows
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), count)
+    used = np.unique(ids)
+    ids = np.searchsorted(used, ids).astype(np.int32)
+    x = ratio[used][ids].astype(np.float32)
     w, b = np.zeros(len(used)), float(np.log(y.mean() / (1 - y.mean())))
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     g2, gb2 = np.full(len(used), 1e-8), 1e-8
