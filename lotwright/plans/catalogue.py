@@ -15,7 +15,7 @@ def query(name: str, sql: str | None = None):
     """Register a query under its name, with its SQL where SQL can express it."""
 
     def keep(f):
-        if name in QUERIES:
+        if name in QUERIES and QUERIES[name].__module__ != f.__module__:
             raise ValueError(f"two queries are named {name}")
         QUERIES[name] = f
         if sql:
@@ -23,3 +23,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+from . import assets, facts, registry, state  # noqa: E402, F401  they register their queries
