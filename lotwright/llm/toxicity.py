@@ -25,8 +25,10 @@ BITS = 19
 MAX_TRAINING = 4000
 MAX_TRAINING_CHARS = 10_000
 SMOOTHING = 1.0
-PENALTY = 3e-4
-STEPS = 60
+#: Features of fewer texts, or whose ratio is nearer to even, say too little.
+LEAST_TEXTS, LEAST_RATIO = 8, 1.5
+PENALTY = 1e-4
+STEPS = 150
 
 _U32 = np.uint32
 
@@ -72,9 +74,9 @@ def train(texts: list[str], labels: list[int], sizes: tuple[int, ...] = SIZES, b
     for r, k in zip(rows, labels, strict=True):
         seen[k, r] += 1
     shares = [(SMOOTHING + s) / (SMOOTHING * 2 + (y == k).sum()) for k, s in enumerate(seen)]
-    ratio = np.log(shares[1] / shares[0]) * (seen.sum(axis=0) > 2)  # a feature of one or two texts says nothing
+    ratio = np.log(shares[1] / shares[0]) * (seen.sum(axis=0) >= LEAST_TEXTS)
     for n, r in enumerate(rows):
-        rows[n] = r[np.abs(ratio[r]) > 0.7]
+        rows[n] = r[np.abs(ratio[r]) >= LEAST_RATIO]
     count = np.array([len(r) for r in rows])
     ids = np.concatenate(rows)
     del rows
