@@ -220,3 +220,14 @@ def remove_repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+repeated AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT j) AS g FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM windows WHERE k IN (SELECT k FROM repeated)) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(g, j)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""

@@ -226,3 +226,13 @@ def write_bundles(bundles: DataFrame, folder: str) -> None:
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = common.stage(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")), "bundles", "none")
     return read_archives(bundles, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, i * 5 + 1, 5))::INTEGER) AS v FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
