@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -134,6 +134,91 @@ def near_duplicate_classes(docs: DataFrame, words: int = 3, max_bits: int = 2, i
     return prints.join(classes, "fp").select("id", "fp", "component_id")
 
 
+#: Long fingerprints: 256 bits, of which POSTINGS sets of KEY_BYTES byte places are index keys. Texts that share 0.8 of
+#: their shingles differ in some 15 % of bits, so a byte is equal in a quarter of cases, and one key or more nearly always.
+LONG_PARTS, KEY_BYTES, POSTINGS = 4, 3, 256
+#: Of 32 bytes so many must be equal, and so many bits may differ, for a pair to be looked at; beyond SURE_BITS the texts are.
+LEAST_BYTES, MOST_BITS, SURE_BITS = 3, 72, 8
+SIMILARITY = 0.8
+_LONG = ["f0", "f1", "f2", "f3"]
+
+
+def _long_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, "text"):
+            raw, offs = common.text_bytes(batch.column("text"))
+            raw = raw.tobytes()
+            hashes = [shingle_hashes(raw[a:b], words) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            counts = np.array([len(x) for x in hashes], np.int64)
+            flat = np.array([y for x in hashes for y in x], np.uint64)
+            parts = [majority_bits(flat if k == 0 else common.mix(flat + np.uint64(k)), counts).view(np.int64) for k in range(LONG_PARTS)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *map(pa.array, parts)], ["id", "t", *_LONG])
+
+    return docs.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(of, "id long, t long, f0 long, f1 long, f2 long, f3 long")
+
+
+def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rnd = np.random.RandomState(64)
+    places = np.stack([rnd.choice(8 * LONG_PARTS, KEY_BYTES, replace=False) for _ in range(POSTINGS)])
+    for batch in batches:
+        raw = np.stack([np.asarray(batch.column(c)) for c in _LONG], axis=1).view(np.uint8).reshape(batch.num_rows, -1)
+        keys = np.zeros((batch.num_rows, POSTINGS), np.int64)
+        for k in range(KEY_BYTES):
+            keys = keys << 8 | raw[:, places[:, k]]
+        keys |= np.arange(POSTINGS) << (8 * KEY_BYTES)
+        yield pa.RecordBatch.from_arrays([batch.column("f0"), common.lists(keys.ravel(), np.full(batch.num_rows, POSTINGS), pa.int64())], ["f0", "keys"])
+
+
+def _jaccard_rows(words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, "text_a"):
+            out, last, mine = [], None, None
+            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                if a != last:
+                    last, mine = a, set(shingle_hashes((a or "").encode(), words))
+                other = set(shingle_hashes((b or "").encode(), words))
+                out.append(len(mine & other) / max(1, len(mine | other)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+
+    return rows
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, t, component_id), t being xxhash64 of the text, for every row of docs: texts are linked whose shares of common shingles reach similarity.
+
+    Candidates share a posting of the byte-position index over 256-bit fingerprints; each member of a posting is paired
+    with its predecessor and with the posting's least member, so a group of near copies gives rows in proportion to it.
+    Pairs are kept by their tally of equal bytes and then by differing bits, and verified on the texts' shingle sets
+    where their bits leave a doubt. Recall is measured in the tests; links of texts with equal or nearly equal
+    fingerprints are certain. Nulls, empty texts, repeated rows and empty tables are as in near_duplicate_classes.
+    """
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    prints = common.stage(_long_fingerprints(plain, words), "fingerprints")
+    classes = common.stage(prints.groupBy("f0").agg(F.min("id").alias("least"), F.min_by(F.struct("f1", "f2", "f3"), F.coalesce("id", F.lit(2**63 - 1))).alias("x")).select("f0", "least", "x.*"), "classes")
+    postings = classes.select(*_LONG).mapInArrow(_posting_rows, "f0 long, keys array<long>").select("f0", F.explode("keys").alias("key"))
+    by_key = Window.partitionBy("key").orderBy("f0")
+    beside = postings.select("f0", F.lag("f0").over(by_key).alias("before"), F.first("f0").over(by_key).alias("head")).where("before IS NOT NULL")
+    found = beside.select(F.explode(F.array_distinct(F.array("before", "head"))).alias("a"), F.col("f0").alias("b")).distinct()
+    left = classes.select(F.col("f0").alias("a"), *[F.col(c).alias("a" + c) for c in _LONG])
+    right = classes.select(F.col("f0").alias("b"), *[F.col(c).alias("b" + c) for c in _LONG])
+    tally = sum((_shared_bytes(F.col("a" + c), F.col("b" + c)) for c in _LONG), F.lit(0))
+    bits = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _LONG), F.lit(0))
+    near = found.join(left, "a").join(right, "b").where(tally >= LEAST_BYTES).where(bits <= MOST_BITS)
+    near = common.stage(near.select("a", "b", (bits <= SURE_BITS).alias("sure")), "pairs")
+    doubtful = near.where("NOT sure").select("a", "b")
+    # One text for each class of a doubtful pair.
+    asked = doubtful.select(F.col("a").alias("f0")).union(doubtful.select("b")).distinct().join(classes.select("f0", "least"), "f0")
+    texts = plain.join(asked, F.col("id").eqNullSafe(F.col("least"))).groupBy("f0").agg(F.min("text").alias("text"))
+    texts = common.stage(texts, "texts")
+    pairs = doubtful.join(texts.select(F.col("f0").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("f0").alias("b"), F.col("text").alias("text_b")), "b")
+    alike = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard_rows(words), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+    roots = connected_components(near.where("sure").select("a", "b").union(alike.select("a", "b")))
+    labelled = classes.select("f0", "least").join(roots.withColumnRenamed("node", "f0"), "f0", "left")
+    linked = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
+    final = labelled.join(linked, "root", "left").select("f0", F.coalesce("component_id", "least").alias("component_id"))
+    return prints.select("id", "t", "f0").join(final, "f0").select("id", "t", "component_id")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ from lotwright.llm import packing
 
 from .test_decontamination import brute_best
 from .test_lines import brute as brute_lines
-from .test_simhash import brute_components
+from .test_simhash import similar
 
 
 def test_stages_on_the_driver_table(spark, sf):
@@ -27,16 +27,10 @@ def test_stages_on_the_driver_table(spark, sf):
             want = dict(brute_lines([(r.doc_id, r.text, r.source) for r in before], 10))
             assert {r.doc_id: r.text for r in rows} == want and all(r.n_chars == len(r.text) for r in rows)
         elif name == "SimHash near-dedup":
-            import xxhash
-
-            def fingerprint(text):
-                w = text.encode().lower().split()
-                hs = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))] if w else []
-                return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
             before.sort(key=lambda r: r.doc_id)
-            comp = brute_components([fingerprint(r.text) for r in before])
-            assert ids == {before[c].doc_id for c in comp} and len(rows) == len(ids)
+            want = {before[c].doc_id for c in similar([r.text for r in before])}
+            assert want <= ids and len(rows) == len(ids)  # no document goes without cause
+            assert len(before) - len(ids) >= 0.95 * (len(before) - len(want))
         elif name == "benchmark decontamination":
             items = [r.text.lower().split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             leaking = {r.doc_id for r in before if any(len(set(i) & set(r.text.lower().split())) >= 0.5 * len(set(i)) and brute_best(i, r.text.lower().split()) <= (len(i) * 2) // 10 for i in items)}

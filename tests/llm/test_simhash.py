@@ -93,3 +93,42 @@ def test_majority_over_many_shingles():
         at += c
         want.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in part) > c))
     assert simhash.majority_bits(h, counts).tolist() == want
+
+
+def similar(texts, least=0.8):
+    """Components of texts that share so much of their five-word shingles."""
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or len(a & b) >= least * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_classes_against_brute_force(spark):
+    rnd = random.Random(9)
+    texts = []
+    for g in range(40):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(5, 300))]
+        for _ in range(rnd.randint(1, 6)):
+            copy = list(base)
+            for _ in range(rnd.choice([0, 1, 1, len(base) // 60, len(base) // 10])):
+                copy[rnd.randrange(len(copy))] = "edit"
+            texts.append(" ".join(copy))
+    texts += [None, "", " ", "a b", "A  b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.similar_classes(df).collect()}
+    want = similar(texts)
+    assert len(got) == len(texts)
+    joined = {(i, want[i]) for i in range(len(texts)) if want[i] != i}
+    assert all(want[c] == want[i] for i, c in got.items())  # nothing is joined that is not alike
+    assert sum(got[i] == got[c] for i, c in joined) >= 0.9 * len(joined) and len(joined) > 40
+    assert simhash.similar_classes(df.limit(0)).collect() == []
