@@ -36,15 +36,16 @@ def drop_widespread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the least doc_id stays, of equal rows one.
 
-    Five-word shingles. A component's links are within two bits of 64, each a likeness far above 0.8. Texts without any
-    word are alike too.
+    Near copies share 0.8 of their five-word shingles or more. Texts without any word are alike too.
     """
-    found = simhash.near_duplicate_classes(_documents(docs), words=5)
-    # Whatever is not its component's least goes; the rest are as many rows as components, but for repeated ids.
-    stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    kept = _documents(docs).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("lang", "source", "n_chars"))
-    return kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+    found = simhash.similar_classes(_documents(docs))
+    # Rows by (doc_id, text): a null id has a key of its own, and of an id's several texts one stays.
+    key = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)))
+    stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(key("id").alias("_id")).agg(F.min("t").alias("_t"))
+    rows = _documents(docs).withColumn("_id", key("doc_id")).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(stays, ["_id", "_t"], "left_semi")
+    one = Window.partitionBy("_id", "_t").orderBy(F.xxhash64("lang", "source", "n_chars"))  # dealt as for the join
+    return kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
