@@ -151,3 +151,19 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     offs = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offs[1:])
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values.view(np.int64) if values.dtype == _U else values, kind))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until no column of df has them in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names, which the caller is about to add."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])

@@ -93,7 +93,7 @@ def plan_packing(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> lis
 
 
 #: Words, and parts of words, that a Python worker keeps the ids of; with more, those not used lately go.
-KEPT_WORDS = 600_000
+KEPT_WORDS, KEPT_PARTS = 600_000, 600_000
 _encoders: dict = {}
 
 
@@ -119,9 +119,9 @@ def _encoder(path: str):
     table = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
     tokenize = tok.model.tokenize
 
-    def kept(store: list[dict], key, make):
+    def kept(store: list[dict], key, make, most: int):
         """What the younger half lacks comes from the older half or is made; a full younger half becomes the older."""
-        if len(store[0]) >= KEPT_WORDS // 2:
+        if len(store[0]) >= most // 2:
             store[:] = [{}, store[0]]
         got = store[1].get(key)
         if got is None:
@@ -139,10 +139,10 @@ def _encoder(path: str):
         text = raw.decode()
         if "<|" in text or not plain(text):
             return pack_ids(tok.encode(text, add_special_tokens=False).ids)
-        return b"".join([parts[0].get(x) or kept(parts, x, part) for x in find(text.lower())])
+        return b"".join([parts[0].get(x) or kept(parts, x, part, KEPT_PARTS) for x in find(text.lower())])
 
     def encode(raw: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join([words[0].get(w) or kept(words, w, word) for w in raw.split()]), "<u4")
+        return np.frombuffer(b"".join([words[0].get(w) or kept(words, w, word, KEPT_WORDS) for w in raw.split()]), "<u4")
 
     _encoders[path] = encode
     return encode
@@ -171,11 +171,10 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
     pieces is read twice and must give the same rows again, so pass a table. Rows of one length are numbered within
     salts, whose counts are then added up, so a common length is spread over tasks. The driver sees only the histogram
-    of lengths and the plan, both bounded by max_tokens. An empty table gives an empty table.
+    of lengths and the plan, both bounded by max_tokens. An empty table gives an empty table;
+    columns that have the names of new ones or of _salt, _rank, _before, _n and _at are replaced.
     """
-    spark, clash = pieces.sparkSession, [c for c in ("sequence_id", "offset", "_salt", "_rank", "_before") if c in pieces.columns]
-    if clash:
-        raise ValueError(f"columns are in use: {clash}")
+    spark, pieces = pieces.sparkSession, common.without(pieces, "sequence_id", "offset", "_salt", "_rank", "_before", "_n", "_at")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = plan_packing(histogram, max_tokens)
     starts = np.array([(-r[0], r[1]) for r in rows], np.int64).reshape(-1, 2)

@@ -120,10 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) ->
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """The rows of docs with a column _score, 0 to 1, of their whole text; null counts as empty."""
+    """The rows of docs with a column _score, 0 to 1, of their whole text; null counts as empty.
+    A column of that name is replaced."""
     weights = docs.sparkSession.sparkContext.broadcast(model)
-    if "_score" in docs.columns:
-        raise ValueError("a column _score is there already")
+    docs = common.without(docs, "_score")
     schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
