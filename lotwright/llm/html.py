@@ -50,6 +50,9 @@ _BOILER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumb\w*|footer\w*|foot|header|masthead|topbar|toolbar|comment\w*|disqus\w*|respond|replies|reply|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|paging|search\w*|tags?|tagcloud|copyright|legal|disclaimer|skip\w*|hidden|byline-share|alert|complementary|contentinfo|navigation|dialog|form)(?:$|[\s_-])",
     re.I,
 )
+#: Names of layouts, which say what else a page has, and of headers, which an article has too.
+_LAYOUT_NAME = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[-_]\S+", re.I)
+_HEADER_NAME = re.compile(r"\bheader\b|(?<=[_-])header(?=$|[\s_-])|(?:^|(?<=\s))header(?=[_-])", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|main|post|entry|story|body)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -153,11 +156,11 @@ def blocks(page: str) -> list[Block]:
         if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
             continue
         given = _attributes(m[3])
-        called = " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop"))
+        called = _LAYOUT_NAME.sub(" ", " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop")))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
         article = name in ("article", "main") or bool(called.strip() and _MAIN_NAME.search(called))
         bad = hidden or name in _CHROME or bool(called.strip() and name not in ("html", "body") and _BOILER_NAME.search(called))
-        if name == "header" and main and not chrome:
+        if bad and main and not chrome and (name == "header" or name not in _CHROME and not _BOILER_NAME.search(_HEADER_NAME.sub(" ", called))):
             bad = hidden  # an article's own headline
         stack.append((name, bad, article and not bad))
         chrome, main, links = chrome + bad, main + (article and not bad), links + (name == "a")

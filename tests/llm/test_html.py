@@ -19,6 +19,11 @@ def test_article_page():
     assert ex.main_text(PAGE) == "Head & line First bold text here Second! one more item one item two"
 
 
+def test_names_of_layouts_and_headers():
+    page = '<body><div class="page with-sidebar"><div class="site-header">Site</div><article class="post"><div class="post-header"><h1>Title</h1></div><p>Text.</p><div class="post-header share">Share</div></article><div id="reader-comments">Nice</div></div>'
+    assert ex.main_text(page) == "Title Text."
+
+
 def test_page_without_an_article_element():
     p = "The man in the house was on the hill and he had a dog with him for all of the day when it rained. " * 3
     page = f"<html lang=en><body><div><a href=/>Home</a> <a href=/a>News of the day</a></div><h2>A heading</h2><p>{p}</p><p>Short one.</p><p>{p}</p><div>Zzyx qwrt plmk vbnm dfgh jklp wert yuio asdf ghjk zxcv bnmq wert yuio asdf ghjk qwer</div><p>&copy; 2024 by all of us</p></body></html>"
