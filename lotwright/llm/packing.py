@@ -93,7 +93,7 @@ def plan_packing(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> lis
 
 
 #: Words, and parts of words, that a Python worker keeps the ids of; with more, those not used lately go.
-KEPT_WORDS, KEPT_PARTS = 600_000, 600_000
+KEPT_WORDS, KEPT_PARTS = 300_000, 500_000
 _encoders: dict = {}
 
 
