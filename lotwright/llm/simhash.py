@@ -166,7 +166,34 @@ def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for k in range(KEY_BYTES):
             keys = keys << 8 | raw[:, places[:, k]]
         keys |= np.arange(POSTINGS) << (8 * KEY_BYTES)
-        yield pa.RecordBatch.from_arrays([batch.column("f0"), common.lists(keys.ravel(), np.full(batch.num_rows, POSTINGS), pa.int64())], ["f0", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("f0"), batch.column("root"), common.lists(keys.ravel(), np.full(batch.num_rows, POSTINGS), pa.int64())], ["f0", "root", "keys"])
+
+
+def _beside(classes: DataFrame) -> DataFrame:
+    """Rows (b, before, head) for the members of postings but the first of each: structs (f0, root) of the member before
+    and of the posting's least. classes has a column root, the component known so far."""
+    postings = classes.select(*_LONG, "root").mapInArrow(_posting_rows, "f0 long, root long, keys array<long>").select("f0", "root", F.explode("keys").alias("key"))
+    w, member = Window.partitionBy("key").orderBy("f0"), F.struct("f0", "root")
+    return postings.select(member.alias("b"), F.lag(member).over(w).alias("before"), F.first(member).over(w).alias("head")).where("before IS NOT NULL")
+
+
+def _alike(found: DataFrame, classes: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of found that are alike, as a table: by tally, by bits, and where these leave a doubt by texts."""
+    left = classes.select(F.col("f0").alias("a"), *[F.col(c).alias("a" + c) for c in _LONG])
+    right = classes.select(F.col("f0").alias("b"), *[F.col(c).alias("b" + c) for c in _LONG])
+    tally = sum((_shared_bytes(F.col("a" + c), F.col("b" + c)) for c in _LONG), F.lit(0))
+    bits = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _LONG), F.lit(0))
+    near = found.join(left, "a").join(right, "b").where(tally >= LEAST_BYTES).where(bits <= MOST_BITS)
+    near = common.stage(near.select("a", "b", (bits <= SURE_BITS).alias("sure")), "pairs")
+    doubtful = near.where("NOT sure").select("a", "b")
+    # One text for each class of a doubtful pair.
+    asked = doubtful.select(F.col("a").alias("f0")).union(doubtful.select("b")).distinct().join(classes.select("f0", "least"), "f0")
+    texts = common.stage(plain.join(asked, F.col("id").eqNullSafe(F.col("least"))).groupBy("f0").agg(F.min("text").alias("text")), "texts")
+    pairs = doubtful.join(texts.select(F.col("f0").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("f0").alias("b"), F.col("text").alias("text_b")), "b")
+    alike = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard_rows(words), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+    out = common.stage(near.where("sure").select("a", "b").union(alike.select("a", "b")), "links")
+    common.drop(near, texts)
+    return out
 
 
 def _jaccard_rows(words: int):
@@ -187,7 +214,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     """Rows (id, t, component_id), t being xxhash64 of the text, for every row of docs: texts are linked whose shares of common shingles reach similarity.
 
     Candidates share a posting of the byte-position index over 256-bit fingerprints; each member of a posting is paired
-    with its predecessor and with the posting's least member, so a group of near copies gives rows in proportion to it.
+    with its predecessor and with the posting's least member.
     Pairs are kept by their tally of equal bytes and then by differing bits, and verified on the texts' shingle sets
     where their bits leave a doubt. Recall is measured in the tests; links of texts with equal or nearly equal
     fingerprints are certain. Nulls, empty texts, repeated rows and empty tables are as in near_duplicate_classes.
@@ -195,24 +222,15 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     prints = common.stage(_long_fingerprints(plain, words), "fingerprints")
     classes = common.stage(prints.groupBy("f0").agg(F.min("id").alias("least"), F.min_by(F.struct("f1", "f2", "f3"), F.coalesce("id", F.lit(2**63 - 1))).alias("x")).select("f0", "least", "x.*"), "classes")
-    postings = classes.select(*_LONG).mapInArrow(_posting_rows, "f0 long, keys array<long>").select("f0", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key").orderBy("f0")
-    beside = postings.select("f0", F.lag("f0").over(by_key).alias("before"), F.first("f0").over(by_key).alias("head")).where("before IS NOT NULL")
-    found = beside.select(F.explode(F.array_distinct(F.array("before", "head"))).alias("a"), F.col("f0").alias("b")).distinct()
-    left = classes.select(F.col("f0").alias("a"), *[F.col(c).alias("a" + c) for c in _LONG])
-    right = classes.select(F.col("f0").alias("b"), *[F.col(c).alias("b" + c) for c in _LONG])
-    tally = sum((_shared_bytes(F.col("a" + c), F.col("b" + c)) for c in _LONG), F.lit(0))
-    bits = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _LONG), F.lit(0))
-    near = found.join(left, "a").join(right, "b").where(tally >= LEAST_BYTES).where(bits <= MOST_BITS)
-    near = common.stage(near.select("a", "b", (bits <= SURE_BITS).alias("sure")), "pairs")
-    doubtful = near.where("NOT sure").select("a", "b")
-    # One text for each class of a doubtful pair.
-    asked = doubtful.select(F.col("a").alias("f0")).union(doubtful.select("b")).distinct().join(classes.select("f0", "least"), "f0")
-    texts = plain.join(asked, F.col("id").eqNullSafe(F.col("least"))).groupBy("f0").agg(F.min("text").alias("text"))
-    texts = common.stage(texts, "texts")
-    pairs = doubtful.join(texts.select(F.col("f0").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("f0").alias("b"), F.col("text").alias("text_b")), "b")
-    alike = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard_rows(words), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
-    roots = connected_components(near.where("sure").select("a", "b").union(alike.select("a", "b")))
+    # First each class is held against two members of its postings. Then all pairs are, but for those that are connected by
+    # now: what they could link is linked, and a group of near copies does not give a row for most of its pairs.
+    first = _beside(classes.withColumn("root", F.col("f0"))).groupBy(F.col("b.f0").alias("b")).agg(F.min("head.f0").alias("a"), F.max("before.f0").alias("c"))
+    first = _alike(first.select(F.explode(F.array_distinct(F.array("a", "c"))).alias("a"), "b"), classes, plain, words, similarity)
+    known = connected_components(first)
+    rooted = classes.join(known.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
+    rest = _beside(rooted).select("b", F.explode(F.array("before", "head")).alias("a")).where(F.col("a.root") != F.col("b.root"))
+    rest = _alike(rest.select(F.col("a.f0").alias("a"), F.col("b.f0").alias("b")).distinct(), classes, plain, words, similarity)
+    roots = connected_components(first.union(rest))
     labelled = classes.select("f0", "least").join(roots.withColumnRenamed("node", "f0"), "f0", "left")
     linked = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
     final = labelled.join(linked, "root", "left").select("f0", F.coalesce("component_id", "least").alias("component_id"))
