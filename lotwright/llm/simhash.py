@@ -134,39 +134,68 @@ def near_duplicate_classes(docs: DataFrame, words: int = 3, max_bits: int = 2, i
     return prints.join(classes, "fp").select("id", "fp", "component_id")
 
 
-#: Long fingerprints: 256 bits, of which POSTINGS sets of KEY_BYTES byte places are index keys. Texts that share 0.8 of
-#: their shingles differ in some 15 % of bits, so a byte is equal in a quarter of cases, and one key or more nearly always.
-LONG_PARTS, KEY_BYTES, POSTINGS = 4, 3, 256
-#: Of 32 bytes so many must be equal, and so many bits may differ, for a pair to be looked at; beyond SURE_BITS the texts are.
-LEAST_BYTES, MOST_BITS, SURE_BITS = 3, 72, 8
 SIMILARITY = 0.8
-_LONG = ["f0", "f1", "f2", "f3"]
+#: Shingles are ordered by how often their buckets occur, so that texts are indexed under what few others hold.
+BUCKETS = 1 << 16
 
 
-def _long_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.chunks(batches, "text"):
-            raw, offs = common.text_bytes(batch.column("text"))
-            raw = raw.tobytes()
-            hashes = [shingle_hashes(raw[a:b], words) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            counts = np.array([len(x) for x in hashes], np.int64)
-            flat = np.array([y for x in hashes for y in x], np.uint64)
-            parts = [majority_bits(flat if k == 0 else common.mix(flat + np.uint64(k)), counts).view(np.int64) for k in range(LONG_PARTS)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *map(pa.array, parts)], ["id", "t", *_LONG])
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches with, for each text, the sorted hashes of its distinct shingles."""
+    for batch in common.chunks(batches, "text"):
+        raw, offs = common.text_bytes(batch.column("text"))
+        raw = raw.tobytes()
+        yield batch, [np.unique(np.array(shingle_hashes(raw[a:b], words), np.uint64)) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+
+
+def _set_hash(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 5)
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _class_rows(words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = ["id", "t", "c", "counts"], np.zeros(BUCKETS, np.int32)
+        for batch, sets in _sets(batches, words):
+            flat = np.concatenate(sets)
+            counts += np.bincount((flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), _signed([_set_hash(x) for x in sets]), pa.nulls(batch.num_rows, pa.binary())], names)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary())], names)
 
-    return docs.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(of, "id long, t long, f0 long, f1 long, f2 long, f3 long")
+    return rows
+
+
+def _bucket_counts(prints: DataFrame) -> np.ndarray:
+    """How often each bucket's shingles occur; added up in a few tasks, of which the driver gets one array each."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for x in batch.column("counts").to_pylist():
+                counts += np.frombuffer(x, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
+
+    parts = prints.where("counts IS NOT NULL").select("counts").repartition(8).mapInArrow(total, "counts binary").collect()
+    return sum((np.frombuffer(r.counts, np.int64) for r in parts), np.zeros(BUCKETS, np.int64))
+
+
+def _prefix_rows(words: int, similarity: float, often: np.ndarray):
+    """Rows (h, c, n, i): of each set c of n shingles those that a set of this similarity must share one of; i is their place."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, words):
+            sizes = [len(x) for x in sets]
+            firsts = [n and n - int(np.ceil(similarity * n - 1e-9)) + 1 for n in sizes]
+            heads = [x[np.lexsort((x, often[(x & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:k]] for x, k in zip(sets, firsts, strict=True)]
+            h = np.concatenate([*heads, np.zeros(0, np.uint64)])
+            c = np.repeat(np.array([_set_hash(x) for x in sets], np.uint64), firsts)
+            i = np.concatenate([*[np.arange(k, dtype=np.int32) for k in firsts], np.zeros(0, np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), firsts)), pa.array(i)], ["h", "c", "n", "i"])
 
-def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rnd = np.random.RandomState(64)
-    places = np.stack([rnd.choice(8 * LONG_PARTS, KEY_BYTES, replace=False) for _ in range(POSTINGS)])
-    for batch in batches:
-        raw = np.stack([np.asarray(batch.column(c)) for c in _LONG], axis=1).view(np.uint8).reshape(batch.num_rows, -1)
-        keys = np.zeros((batch.num_rows, POSTINGS), np.int64)
-        for k in range(KEY_BYTES):
-            keys = keys << 8 | raw[:, places[:, k]]
-        keys |= np.arange(POSTINGS) << (8 * KEY_BYTES)
-        yield pa.RecordBatch.from_arrays([batch.column("f0"), common.lists(keys.ravel(), np.full(batch.num_rows, POSTINGS), pa.int64())], ["f0", "keys"])
+    return rows
 
 
 def _jaccard_rows(words: int):
@@ -183,40 +212,69 @@ def _jaccard_rows(words: int):
     return rows
 
 
-def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, t, component_id), t being xxhash64 of the text, for every row of docs: texts are linked whose shares of common shingles reach similarity.
+def _may_reach(similarity: float) -> Column:
+    """Of members x and y of a posting: what they can share from their places on is enough. True at the first shingle
+    that two similar sets share, so no such pair is lost."""
+    most = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    return most >= (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6
+
 
-    Candidates share a posting of the byte-position index over 256-bit fingerprints; each member of a posting is paired
-    with its predecessor and with the posting's least member, so a group of near copies gives rows in proportion to it.
-    Pairs are kept by their tally of equal bytes and then by differing bits, and verified on the texts' shingle sets
-    where their bits leave a doubt. Recall is measured in the tests; links of texts with equal or nearly equal
-    fingerprints are certain. Nulls, empty texts, repeated rows and empty tables are as in near_duplicate_classes.
+def _pairs(x: DataFrame, y: DataFrame, keys: list[str], similarity: float, more: Column | bool = True) -> DataFrame:
+    """Rows (a, b), a < b, of members x and y that share keys and may be similar."""
+    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+    met = x.alias("x").join(y.alias("y"), [*on, F.col("x.c") != F.col("y.c"), _may_reach(similarity), F.lit(True) if more is True else more])
+    return met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, t, component_id, root), t being xxhash64 of the text, for every row of docs: texts are linked whose shares of common shingles reach similarity.
+
+    Texts of the same set of shingles are a class. Each set is indexed under its rarest shingles, so many that a similar
+    set must share one (prefix filtering); a pair that can still be similar by the places of a shared one is verified
+    on the sets. In postings of more than MAX_POSTING members each is first held against two of them; then all pairs
+    that these links have not joined yet. So no similar pair stays apart, and nothing below similarity is linked.
+    root names the component; component_id is its least id. Nulls, empty texts, repeated rows and empty tables are as
+    in near_duplicate_classes.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    prints = common.stage(_long_fingerprints(plain, words), "fingerprints")
-    classes = common.stage(prints.groupBy("f0").agg(F.min("id").alias("least"), F.min_by(F.struct("f1", "f2", "f3"), F.coalesce("id", F.lit(2**63 - 1))).alias("x")).select("f0", "least", "x.*"), "classes")
-    postings = classes.select(*_LONG).mapInArrow(_posting_rows, "f0 long, keys array<long>").select("f0", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key").orderBy("f0")
-    beside = postings.select("f0", F.lag("f0").over(by_key).alias("before"), F.first("f0").over(by_key).alias("head")).where("before IS NOT NULL")
-    found = beside.select(F.explode(F.array_distinct(F.array("before", "head"))).alias("a"), F.col("f0").alias("b")).distinct()
-    left = classes.select(F.col("f0").alias("a"), *[F.col(c).alias("a" + c) for c in _LONG])
-    right = classes.select(F.col("f0").alias("b"), *[F.col(c).alias("b" + c) for c in _LONG])
-    tally = sum((_shared_bytes(F.col("a" + c), F.col("b" + c)) for c in _LONG), F.lit(0))
-    bits = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _LONG), F.lit(0))
-    near = found.join(left, "a").join(right, "b").where(tally >= LEAST_BYTES).where(bits <= MOST_BITS)
-    near = common.stage(near.select("a", "b", (bits <= SURE_BITS).alias("sure")), "pairs")
-    doubtful = near.where("NOT sure").select("a", "b")
-    # One text for each class of a doubtful pair.
-    asked = doubtful.select(F.col("a").alias("f0")).union(doubtful.select("b")).distinct().join(classes.select("f0", "least"), "f0")
-    texts = plain.join(asked, F.col("id").eqNullSafe(F.col("least"))).groupBy("f0").agg(F.min("text").alias("text"))
-    texts = common.stage(texts, "texts")
-    pairs = doubtful.join(texts.select(F.col("f0").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("f0").alias("b"), F.col("text").alias("text_b")), "b")
-    alike = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard_rows(words), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
-    roots = connected_components(near.where("sure").select("a", "b").union(alike.select("a", "b")))
-    labelled = classes.select("f0", "least").join(roots.withColumnRenamed("node", "f0"), "f0", "left")
-    linked = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
-    final = labelled.join(linked, "root", "left").select("f0", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.select("id", "t", "f0").join(final, "f0").select("id", "t", "component_id")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    prints = common.stage(plain.mapInArrow(_class_rows(words), "id long, t long, c long, counts binary"), "sets")
+    often = _bucket_counts(prints)
+    prints = prints.where("counts IS NULL").select("id", "t", "c")
+    classes = common.stage(prints.groupBy("c").agg(F.min("id").alias("least"), F.min("t").alias("t")), "classes")
+    # Copies fall together where the rows of a posting are dealt.
+    postings = plain.select("text").mapInArrow(_prefix_rows(words, similarity, often), "h long, c long, n int, i int").distinct()
+    postings = common.stage(postings, "prefixes")
+    sizes = common.stage(postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    sized = common.stage(postings.join(sizes, "h"), "postings")
+    common.drop(postings, sizes)
+    short = sized.where(F.col("size") <= MAX_POSTING)
+    crowded = sized.where(F.col("size") > MAX_POSTING).withColumn("salt", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / MAX_POSTING)))
+    member = F.min(F.struct("i", "c", "n")).alias("m")
+    heads = crowded.groupBy("h").agg(member).select("h", "m.*")
+    near_heads = crowded.groupBy("h", "salt").agg(member).select("h", "salt", "m.*")
+    found = _pairs(short, short, ["h"], similarity, F.col("x.c") < F.col("y.c"))
+    found = found.union(_pairs(crowded, heads, ["h"], similarity)).union(_pairs(crowded, near_heads, ["h", "salt"], similarity)).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = common.stage(pairs, "pairs")
+        asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "t"), "c")
+        texts = common.stage(plain.select("t", "text").join(asked, "t").groupBy("c").agg(F.min("text").alias("text")), "texts")
+        both = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
+        alike = both.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard_rows(words), "a long, b long, similarity double")
+        alike = common.stage(alike.where(F.col("similarity") >= similarity).select("a", "b"), "alike")
+        common.drop(texts, pairs)
+        return alike
+
+    alike = verified(found)
+    roots = connected_components(alike)
+    open_ = crowded.join(roots.withColumnRenamed("node", "c"), "c", "left").select("h", "c", "n", "i", F.coalesce("root", "c").alias("root"))
+    late = verified(_pairs(open_, open_, ["h"], similarity, (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root"))))
+    if late.take(1):
+        roots = connected_components(alike.union(late))
+    labelled = classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    linked = labelled.join(roots.select(F.col("node").alias("c")), "c", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
+    final = labelled.join(linked, "root", "left").select("c", "root", F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(final, "c").select("id", "t", "component_id", "root")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,26 @@ def test_similar_classes_against_brute_force(spark):
     assert all(want[c] == want[i] for i, c in got.items())  # nothing is joined that is not alike
     assert sum(got[i] == got[c] for i, c in joined) >= 0.9 * len(joined) and len(joined) > 40
     assert simhash.similar_classes(df.limit(0)).collect() == []
+
+
+def found_of(spark, texts):
+    got = simhash.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r.component_id for r in sorted(got, key=lambda r: r.id)]
+
+
+def test_no_link_is_lost_in_a_large_group(spark):
+    rnd = random.Random(3)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for g in range(600):  # alike, mostly below 0.8; some have a copy of their own just above it
+        x = list(base)
+        for _ in range(rnd.randint(3, 9)):
+            x[rnd.randrange(200)] = f"e{rnd.randrange(10**6)}"
+        texts.append(" ".join(x))
+        if g % 10 == 0:
+            for _ in range(3):
+                x[rnd.randrange(200)] = f"e{rnd.randrange(10**6)}"
+            texts.append(" ".join(x))
+    want = similar(texts)
+    assert len({c for c in want}) > 100 and sum(want[c] != i for i, c in enumerate(want)) > 60
+    assert found_of(spark, texts) == want
