@@ -155,3 +155,11 @@ def test_no_link_is_lost_in_a_large_group(spark):
     want = similar(texts)
     assert len({c for c in want}) > 100 and sum(want[c] != i for i, c in enumerate(want)) > 60
     assert found_of(spark, texts) == want
+
+
+def test_repeated_lines_join_no_unlike_texts(spark):
+    line = " ".join(f"line{i}" for i in range(11))
+    texts = [" ".join([line] * 30 + [f"{x}{i}" for i in range(100)]) for x in "abcd"]
+    fps = [simhash.majority_bits(np.array(h, np.uint64), np.array([len(h)]))[0] for h in (simhash.shingle_hashes(t.encode(), 5) for t in texts)]
+    assert all(bin(fps[0] ^ f).count("1") <= 2 for f in fps)
+    assert found_of(spark, texts) == [0, 1, 2, 3]
