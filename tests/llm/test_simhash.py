@@ -163,3 +163,14 @@ def test_repeated_lines_join_no_unlike_texts(spark):
     fps = [simhash.majority_bits(np.array(h, np.uint64), np.array([len(h)]))[0] for h in (simhash.shingle_hashes(t.encode(), 5) for t in texts)]
     assert all(bin(fps[0] ^ f).count("1") <= 2 for f in fps)
     assert found_of(spark, texts) == [0, 1, 2, 3]
+
+
+def test_copies_with_repeated_lines_are_found(spark):
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(20):
+        body, line = (" ".join(f"w{rnd.randrange(10**5)}" for _ in range(n)) for n in (300, 11))
+        texts += [f"{body} {' '.join([line] * n)}" for n in (1, 2, 20, 30)]
+    want = [i - i % 4 for i in range(80)]
+    assert similar(texts) == want
+    assert found_of(spark, texts) == want
