@@ -39,12 +39,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Near copies share 0.8 of their five-word shingles or more. Texts without any word are alike too.
     """
     found = simhash.similar_classes(_documents(docs))
-    # Rows by (doc_id, text): a null id has a key of its own, and of an id's several texts one stays.
-    key = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)))
-    stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(key("id").alias("_id")).agg(F.min("t").alias("_t"))
-    rows = _documents(docs).withColumn("_id", key("doc_id")).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(stays, ["_id", "_t"], "left_semi")
-    one = Window.partitionBy("_id", "_t").orderBy(F.xxhash64("lang", "source", "n_chars"))  # dealt as for the join
+    # Of each component one (id, text) stays; a null id only where the component has no other.
+    first = F.min(F.struct(F.col("id").isNull().alias("_null"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("t").alias("_t"))).alias("x")
+    stays = found.groupBy("root").agg(first).select("x.*")
+    rows = _documents(docs).withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(stays, ["_null", "_id", "_t"], "left_semi")
+    one = Window.partitionBy("_null", "_id", "_t").orderBy(F.xxhash64("lang", "source", "n_chars"))  # dealt as for the join
     return kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*COLUMNS)
 
 

@@ -62,3 +62,12 @@ def test_odd_rows(spark, sf, rows, tmp_path):
         if name == "SimHash near-dedup" and rows:
             assert {r.doc_id for r in got} == {1, 2} and len(got) == 2
         docs = spark.createDataFrame(got, out.schema)
+
+
+def test_unlike_rows_with_null_and_repeated_ids_all_stay(spark, sf):
+    texts = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcdefg"]
+    near = texts[6] + " end"
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (0, texts[5]), (None, texts[5] + " end"), (7, near), (8, texts[6])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs, sf).collect()), key=str)
+    assert got == sorted([*((None, t) for t in texts[:3]), (7, texts[3]), (7, texts[4]), (0, texts[5]), (7, near)], key=str)
