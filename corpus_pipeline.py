@@ -7,6 +7,8 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,14 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all labelled documents that may be learnt from; documents that score 0.5 or more go."""
+    """Learns from all labelled documents that may be learnt from; documents that score 0.5 or more go, if what is in them
+    has raised the score. A model without features, as from no labels, few or those of one class, rejects nothing."""
     model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(_documents(docs), model).where("_score < 0.5").drop("_score")
+    weight, constant = model
+    if not weight.any():
+        return _documents(docs)
+    without_features = 1 / (1 + math.exp(-constant))
+    return toxicity.score(_documents(docs), model).where((F.col("_score") < 0.5) | (F.col("_score") <= without_features + 1e-12)).drop("_score")
 
 
 def drop_widespread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

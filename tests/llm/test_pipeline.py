@@ -71,3 +71,13 @@ def test_unlike_rows_with_null_and_repeated_ids_all_stay(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs, sf).collect()), key=str)
     assert got == sorted([*((None, t) for t in texts[:3]), (7, texts[3]), (7, texts[4]), (0, texts[5]), (7, near)], key=str)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 1), (2, 0), (3, 0)], [(i, 1) for i in range(30)], [(i, i % 2) for i in range(30)]])
+def test_few_labels_reject_nothing(spark, tmp_path, labels):
+    words = ["sun", "moon", "tree", "lake", "road"]
+    rows = [(i, f"{words[i % 5]} {i * 7919 % 1000}", "en", "s", 8) for i in range(30)] + [(None, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.drop_toxic(spark, docs, str(tmp_path)).count() == len(rows)
