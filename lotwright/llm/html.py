@@ -34,12 +34,13 @@ LINK_DENSITY = 0.33
 STOP_LOW, STOP_HIGH = 0.08, 0.16
 
 #: Elements whose text is no text of the page.
-_RAW = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
+_RAW = frozenset("script style noscript template svg iframe object canvas audio video head title".split())
 #: Elements that only hold what surrounds the main text, and form controls.
 _CHROME = frozenset("nav header footer aside form menu dialog button select option input textarea label fieldset datalist".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul br".split()
 )
+_LISTS = frozenset("ul ol dl table".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What ends an open paragraph, and what an item of a list or table ends.
 _ENDS_P = _BLOCK - {"br", "option", "legend", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "body"}
@@ -55,6 +56,10 @@ _LAYOUT_NAME = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[-_]\S+", re.I)
 _HEADER_NAME = re.compile(r"\bheader\b|(?<=[_-])header(?=$|[\s_-])|(?:^|(?<=\s))header(?=[_-])", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|main|post|entry|story|body)(?:$|[\s_-])", re.I)
 
+#: Words that also stand in names of other things (tag-economy, comment-open, side-by-side): boilerplate only as a whole
+#: name. Other words of such a name still count (side-nav), and comment-list or comment-body name comments.
+_WHOLE_NAME = re.compile(r"(?:^|(?<=\s))(?:tags?|side|legal)(?=[_-])|(?<=[_-])(?:tags?|side|legal)(?=$|[\s_-])|(?:^|(?<=\s))comment-(?:open|closed|status\S*)(?=$|\s)", re.I)
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
@@ -70,6 +75,7 @@ class Block:
     main: bool = False
     heading: bool = False
     item: bool = False
+    group: int = 0  # the list or table that it is an item of
     label: str = field(default="", compare=False)
 
 
@@ -82,7 +88,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     # Open elements: name, whether chrome begins here, whether main text begins here.
     stack: list[tuple[str, bool, bool]] = []
-    chrome = main = links = 0
+    groups: list[int] = []  # for each open list or table its number
+    chrome = main = links = seen = 0
     parts: list[str] = []
     linked = 0
     at, size = 0, len(page)
@@ -93,13 +100,15 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 names = {n for n, _, _ in stack}
-                out.append(Block(text, min(linked, len(text)), bool(chrome), bool(main), bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(names & {"li", "td", "th", "dt", "dd"})))
+                out.append(Block(text, min(linked, len(text)), bool(chrome), bool(main), bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(names & {"li", "td", "th", "dt", "dd"}), groups[0] if groups else 0))
             parts.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal chrome, main, links
         name, c, m = stack.pop()
+        if name in _LISTS:
+            groups.pop()
         chrome, main, links = chrome - c, main - m, links - (name == "a")
 
     def add(text: str) -> None:
@@ -159,10 +168,13 @@ def blocks(page: str) -> list[Block]:
         called = _LAYOUT_NAME.sub(" ", " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop")))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
         article = name in ("article", "main") or bool(called.strip() and _MAIN_NAME.search(called))
-        bad = hidden or name in _CHROME or bool(called.strip() and name not in ("html", "body") and _BOILER_NAME.search(called))
-        if bad and main and not chrome and (name == "header" or name not in _CHROME and not _BOILER_NAME.search(_HEADER_NAME.sub(" ", called))):
+        bad = hidden or name in _CHROME or bool(called.strip() and name not in ("html", "body", "article", "main") and _BOILER_NAME.search(_WHOLE_NAME.sub(" ", called)))
+        if bad and main and not chrome and (name == "header" or name not in _CHROME and not _BOILER_NAME.search(_HEADER_NAME.sub(" ", _WHOLE_NAME.sub(" ", called)))):
             bad = hidden  # an article's own headline
         stack.append((name, bad, article and not bad))
+        if name in _LISTS:
+            seen += 1
+            groups.append(seen)
         chrome, main, links = chrome + bad, main + (article and not bad), links + (name == "a")
     close_block()
     return out
@@ -172,6 +184,12 @@ def classify(page: list[Block], language: str | None = None) -> list[Block]:
     """Label the blocks good or bad; with a main element, nothing outside it is good."""
     stops = _STOPS.get((language or "")[:2].lower(), _ANY_STOP)
     has_main = any(b.main and not b.chrome for b in page)
+    # A list or table is navigation if all of it is short links, two at least.
+    items: dict[int, list[bool]] = {}
+    for b in page:
+        if b.group and not b.chrome:
+            items.setdefault(b.group, []).append(b.item and b.linked > 0.9 * len(b.text) and len(b.text.split()) < 8)
+    navigation = {g for g, links in items.items() if len(links) > 1 and all(links)}
     for b in page:
         words = b.text.lower().split()
         density = b.linked / len(b.text)
@@ -179,8 +197,8 @@ def classify(page: list[Block], language: str | None = None) -> list[Block]:
         if b.chrome or has_main and not b.main:
             b.label = "bad"
         elif has_main:
-            # Inside the main element only what is nearly all links, and no sentence, is not its text.
-            b.label = "bad" if density > 0.9 and b.item and len(words) < 8 else "good"
+            # Inside the main element only lists of links are not its text.
+            b.label = "bad" if b.group in navigation else "good"
         elif density > LINK_DENSITY:
             b.label = "bad"
         elif b.text[:1] in "©" or re.match(r"(?i)copyright\b", b.text):

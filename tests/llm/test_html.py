@@ -53,3 +53,13 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id, r.url, r.n_chars) for r in ex.extract_main_text(df).collect()), key=str)
     assert got == sorted([(1, None, 0), (None, "u", 1), (2, "u", 0), (2, "u", 0), (3, "v", 159_999)], key=str)
     assert ex.extract_main_text(df.limit(0)).collect() == []
+
+
+def test_names_and_links_of_an_article_take_nothing_from_it():
+    for names in ("post hentry category-news tag-economy", "post comment-open", "side-by-side", "entry legal-affairs", "tag_news has-sidebar"):
+        assert ex.main_text(f'<body><div class="tags">a b</div><article class="{names}"><p>All of it.</p><div class="{names}">And this.</div></article></body>') == "All of it. And this."
+    page = "<article><p>See</p><ul><li><a href='/a'>The law</a></li><li>its text, with <math><mi>x</mi></math> in it</li></ul><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></article>"
+    assert ex.main_text(page) == "See The law its text, with x in it"
+    assert ex.main_text('<article><p>Text.</p><div class="comment">Nice</div><div class="post tags">x</div><aside>y</aside></article>') == "Text."
+    for names in ("side-nav", "comment-body", "tags", "legal-notice", "side"):
+        assert ex.main_text(f'<article><p>Text.</p><div class="{names}">no</div></article>') == "Text."
