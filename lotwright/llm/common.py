@@ -13,15 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once in a Python worker; numpy needs some 60 bytes for each byte of text.
 CHUNK_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests), a temporary one is made and kept."""
+    """The cluster's shared folder. A local session that names none, as in tests, gets a temporary one; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lotwright-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -101,21 +104,45 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 _U = np.uint64
-_BYTE = np.random.RandomState(20240229).randint(0, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+#: Random values for the bytes.
+BYTE = np.random.RandomState(20240229).randint(0, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+#: The Mersenne prime that span hashes are taken modulo; products of two residues fit 64 bits.
+_PRIME = (1 << 31) - 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number equal to x modulo the prime, below 2**32 for x below 2**62, in place."""
+    high = x >> _U(31)
+    x &= _U(_PRIME)
+    x += high
+    return x
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, in place."""
+    x = _fold(_fold(_fold(x)))
+    x[x == _U(_PRIME)] = 0
+    return x
+
+
+def _series(base: int, n: int) -> np.ndarray:
+    """base**i modulo the prime for i below n, by doubling."""
+    out = np.ones(n, _U)
+    have, step = 1, base
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = _residue(out[:more] * _U(step))
+        have, step = have + more, step * step % _PRIME
+    return out
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least; base is odd."""
+    """base**i and base**-i modulo the prime for i below n at least."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
         size = 1 << max(10, int(n - 1).bit_length())
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, _U)
-            x[0] = 1
-            out.append(np.cumprod(x, dtype=_U))
-        have = _powers[base] = (out[0], out[1])
+        have = _powers[base] = (_series(base, size), _series(pow(base, -1, _PRIME), size))
     return have
 
 
@@ -130,20 +157,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of any spans of a sequence of 64-bit values, by prefix sums of a polynomial."""
-
-    def __init__(self, values: np.ndarray, base: int = 0x9E3779B97F4A7C15):
-        self.up, self.down = powers(base, len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, _U)
-        np.cumsum(values * self.up[: len(values)], out=self.sums[1:])
+    """Hashes of any spans of a sequence of 64-bit values: two polynomials modulo a prime at drawn bases, by prefix sums.
+
+    Two different spans of n values agree in both with a probability of some (n / 2**31)**2 over the bases, whatever the
+    values are; a power of two as modulus has no such bound. Other seeds draw other bases.
+    """
+
+    def __init__(self, values: np.ndarray, seed: int = 1):
+        drawn = np.random.RandomState(seed).randint(1 << 20, _PRIME, 2)
+        self.parts = []
+        for base, part in zip(drawn.tolist(), (values & _U(_PRIME), values >> _U(33)), strict=True):
+            up, down = powers(base, len(values) + 1)
+            sums = np.zeros(len(values) + 1, _U)
+            part *= up[: len(values)]
+            np.cumsum(_fold(part), out=sums[1:])  # terms below 2**32: 2**31 of them fit
+            self.parts.append((sums, down))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(_U))
+        a, b = (_residue(_fold(_fold(sums[ends] - sums[starts])) * down[starts]) for sums, down in self.parts)
+        return mix((a << _U(31) | b) + (ends - starts).astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    return Spans(_BYTE[data], 0xD6E8FEB86659FD93)(starts, ends)
+    return Spans(BYTE[data], 2)(starts, ends)
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -167,3 +204,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names, which the caller is about to add."""
     return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
+#: Keys with more than this share of all counted rows are hot; there are at most as many of them as it goes into 1.
+HOT_SHARE = 1e-4
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key is among keys (columns on, and n: in how many rows each stands), a hot key's rows dealt to many tasks.
+
+    Hot keys are few by arithmetic, so they can be broadcast to tell which rows are to be salted.
+    """
+    salts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = keys.where(F.col("n") > max(1000, total * HOT_SHARE)).select(*on).withColumn("_hot", F.lit(True))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0).cast("int").alias("_salt")
+    salted = rows.join(F.broadcast(hot), on, "left").select(*rows.columns, salt)
+    spread = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")
+    wanted = keys.select(*on).join(F.broadcast(hot), on, "left").select(*on, spread)
+    return salted.join(wanted, [*on, "_salt"], "left_semi").drop("_salt")

@@ -74,7 +74,7 @@ def names(data: np.ndarray, offs: np.ndarray, levels: int = LEVELS) -> tuple[np.
     """Names of all phrases of the last level, text by text, and each text's offsets in them."""
     if not len(data):
         return np.zeros(0, _U), np.zeros(len(offs), np.int64)
-    spell = Spans(common._BYTE[data], 0xC2B2AE3D27D4EB4F)
+    spell = Spans(common.BYTE[data], 3)
     symbols, begins = data, None
     firsts = np.unique(offs[:-1][offs[:-1] < offs[1:]])
     heads = firsts
