@@ -42,6 +42,12 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """The size of what df reads as Spark's statistics have it; 0 where they do not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the files of scratch tables that nothing reads any more."""
     for df in frames:

@@ -5,7 +5,9 @@ one symbol; deterministic coin tossing then gives every symbol a small label fro
 neighbour (the lowest differing bit and its value), and again from the labels, until labels are below six; local
 maxima of the labels start phrases. Where a phrase starts depends on a few neighbours only, so equal substrings have
 equal phrases inside, at whatever offset they stand. A phrase's name is a hash of what it spells. The fingerprint holds
-the KEPT least names of the LEVELS-th level; likeness is the share of common names among the least of both.
+the KEPT least ranks of all levels' names, a rank being the name's hash times STEP for each level below the last: long
+texts are told by their long phrases, of which they have enough, short ones by all the phrases they have. Likeness is
+the share of common ranks among the least of both.
 """
 
 from __future__ import annotations
@@ -23,6 +25,12 @@ from .common import Spans, mix
 
 LEVELS = 3
 KEPT = 64
+#: Bits by which a lower level's ranks lie higher; a level has some 2**2 times the phrases of the next.
+STEP_BITS = 4
+#: Bits of a rank: 32 for the last level.
+RANK_BITS = 32 + STEP_BITS * (LEVELS - 1)
+#: Bytes of the input for each range that texts are dealt out by.
+RANGE_BYTES = 64 << 20
 _U = np.uint64
 
 
@@ -70,10 +78,10 @@ def phrase_starts(symbols: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def names(data: np.ndarray, offs: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all phrases of the last level, text by text, and each text's offsets in them."""
+def names(data: np.ndarray, offs: np.ndarray, levels: int = LEVELS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level the names of all phrases, text by text, where they begin, and each text's offsets in them."""
     if not len(data):
-        return np.zeros(0, _U), np.zeros(len(offs), np.int64)
+        return
     spell = Spans(common.BYTE[data], 3)
     symbols, begins = data, None
     firsts = np.unique(offs[:-1][offs[:-1] < offs[1:]])
@@ -94,21 +102,25 @@ def names(data: np.ndarray, offs: np.ndarray, levels: int = LEVELS) -> tuple[np.
         begins = begins[starts]
         symbols = spell(begins, np.append(begins[1:], len(data)))
         heads = np.searchsorted(begins, firsts)
-    return symbols, np.searchsorted(begins, offs)
+        yield symbols, begins, np.searchsorted(begins, offs)
 
 
-def sketches(names: np.ndarray, offs: np.ndarray, kept: int = KEPT) -> list[np.ndarray]:
-    """For each text its least distinct names, 32 bits of each, rising."""
-    small = (mix(names + _U(17)) >> _U(32)).astype(np.int64)
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    order = np.unique((row << 32) + small)
-    at = np.searchsorted(order, np.arange(len(offs)) << 32)
-    low = (order & 0xFFFFFFFF).astype(np.uint32)
+def ranks(names: np.ndarray, level: int) -> np.ndarray:
+    """Ranks of names of a level, 1 to LEVELS: the last level's are below 2**32, each lower one's reach STEP_BITS higher."""
+    return (mix(names + _U(17)) >> _U(64 - 32 - STEP_BITS * (LEVELS - level))).astype(np.int64)
+
+
+def sketches(levels: list[tuple[np.ndarray, np.ndarray]], texts: int, kept: int = KEPT) -> list[np.ndarray]:
+    """For each of so many texts the least distinct ranks of its names of all levels (names, offsets), rising."""
+    parts = [(np.repeat(np.arange(texts), np.diff(offs)) << RANK_BITS) + ranks(names, level) for level, (names, offs) in enumerate(levels, 1)]
+    order = np.unique(np.concatenate([*parts, np.zeros(0, np.int64)]))
+    at = np.searchsorted(order, np.arange(texts + 1) << RANK_BITS)
+    low = order & ((1 << RANK_BITS) - 1)
     return [low[a : min(b, a + kept)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    """The share of common names among the least of both; two texts without names are alike."""
+    """The share of common ranks among the least of both; two texts without names are alike."""
     if not len(a) and not len(b):
         return 1.0
     union = np.union1d(a, b)[:kept]
@@ -118,15 +130,16 @@ def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
 
 def fingerprint_texts(col: pa.Array) -> list[np.ndarray]:
     data, offs = common.text_bytes(col)
-    return sketches(*names(data, offs))
+    return sketches([(found, at) for found, _, at in names(data, offs)], len(col))
 
 
 def as_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+    """RANK_BITS / 4 hexadecimal digits for each rank."""
+    return "".join(f"{x:0{RANK_BITS // 4}x}" for x in sketch.tolist())
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fingerprint) for every row of docs: up to KEPT names of eight hexadecimal digits. Null counts as empty,
+    """Rows (id, fingerprint) for every row of docs: up to KEPT ranks of ten hexadecimal digits. Null counts as empty,
     whose fingerprint is empty; a null id is kept; other columns are not read."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +183,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = ordered.withColumn("tie", F.xxhash64("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.scanned_bytes(docs) // RANGE_BYTES)
     ordered = ordered.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").withColumn("place", F.spark_partition_id())
 
     schema = pa.schema([*_OUT, ("place", pa.int32()), ("kind", pa.int32()), ("text", pa.string())])

@@ -2,8 +2,10 @@
 
 Each n-gram that occurs in a text (not how often) is a hashed feature. Its scale is the log of the ratio of its smoothed
 shares in toxic and other training texts; a logistic regression with a penalty then weighs the scaled features.
-Training is on the driver over at most MAX_TRAINING labelled rows, those with the least hashes of their ids, so the
-same rows at every run; scoring is one narrow pass over whole texts with weights of a fixed size.
+Learning is from whole texts of at most MAX_TRAINING labelled rows, those with the least hashes of their ids, one row
+for each id, so the same rows at every run. Spark makes their features and counts them; the driver gets the features
+that say something and, for each row, which of these it has. Scoring is one narrow pass over whole texts with weights
+of a fixed size.
 """
 
 from __future__ import annotations
@@ -21,9 +23,8 @@ from . import common
 
 SIZES = (3, 5)
 BITS = 19
-#: Bound on the labelled rows that are brought to the driver, and on the code points of each that are learnt from.
+#: Bound on the labelled rows that are learnt from.
 MAX_TRAINING = 4000
-MAX_TRAINING_CHARS = 10_000
 SMOOTHING = 1.0
 #: Features of fewer texts, or whose ratio is nearer to even, say too little.
 LEAST_TEXTS, LEAST_RATIO = 8, 1.5
@@ -62,32 +63,22 @@ class Features:
         return ids[self.seen[ids] == nth]  # the last of equal ones
 
 
-def train(texts: list[str], labels: list[int], sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Weight of each feature and the constant. With one class only, or no rows, all scores are its share."""
+def train(rows: list[np.ndarray], labels: list[int], ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weight of each feature and the constant, from rows of distinct features and the log-count ratio of each feature.
+
+    With one class only the score is that class; without rows it is even.
+    """
     y = np.array(labels, float)
-    weight = np.zeros(1 << bits, np.float32)
+    weight = np.zeros(len(ratio), np.float32)
     if not len(y) or y.min() == y.max():
         return weight, 0.0 if not len(y) else (20.0 if y[0] else -20.0)
-    of = Features(sizes, bits)
-    rows = [of(t[:MAX_TRAINING_CHARS]).astype(np.int32) for t in texts]
-    seen = np.zeros((2, 1 << bits), np.int32)
-    for r, k in zip(rows, labels, strict=True):
-        seen[k, r] += 1
-    shares = [(SMOOTHING + s) / (SMOOTHING * 2 + (y == k).sum()) for k, s in enumerate(seen)]
-    ratio = np.log(shares[1] / shares[0]) * (seen.sum(axis=0) >= LEAST_TEXTS)
-    for n, r in enumerate(rows):
-        rows[n] = r[np.abs(ratio[r]) >= LEAST_RATIO]
-    count = np.array([len(r) for r in rows])
-    ids = np.concatenate(rows)
-    del rows
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), count)
-    used = np.unique(ids)
-    ids = np.searchsorted(used, ids).astype(np.int32)
+    ids = np.concatenate(rows).astype(np.int64)
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), [len(r) for r in rows])
+    used, ids = np.unique(ids, return_inverse=True)
     x = ratio[used][ids].astype(np.float32)
-    w, b = np.zeros(len(used)), float(np.log(y.mean() / (1 - y.mean())))
+    w, b = np.zeros(len(used)), 0.0
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     g2, gb2 = np.full(len(used), 1e-8), 1e-8
-    b = 0.0
     for _ in range(STEPS):  # full gradient, step scaled for each weight by its past gradients
         z = np.bincount(owner, x * w[ids], len(y)) + b
         error = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
@@ -105,18 +96,64 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> tuple[np.ndarray, float]:
-    """Train on labelled rows whose crc32 of the id's text is no multiple of 5. Labels other than 0 and 1 are passed over;
-    with several labels for an id the larger counts."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> DataFrame:
+    """Rows (doc_id, toxic, features) of at most max_training labelled ids, half from each class or what there is.
+
+    Ids whose text has a crc32 that 5 divides are never among them. Labels other than 0 and 1 are passed over; with
+    several labels for an id the larger counts, with several rows the one whose text has the least hash.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    # The bound is taken on ids before any text is read: half from each class, or what there is.
     order = F.xxhash64(F.lit(8), F.col("doc_id"))
     some = known.where("toxic = 1").orderBy(order).limit(max_training // 2).union(known.where("toxic = 0").orderBy(order).limit(max_training // 2))
-    text = F.substring(F.col("text").cast("string"), 1, MAX_TRAINING_CHARS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return train([r.text or "" for r in rows], [r.toxic for r in rows])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Features()
+        for batch in common.chunks(batches, "text"):
+            found = [np.sort(of(t)) for t in batch.column("text").to_pylist()]
+            counts = np.array([len(x) for x in found], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), common.lists(np.concatenate(found).astype(np.int32), counts, pa.int32())], ["doc_id", "toxic", "features"])
+
+    return rows.select("doc_id", "text", "toxic").mapInArrow(features, "doc_id long, toxic int, features array<int>")
+
+
+def log_count_ratios(rows: DataFrame) -> np.ndarray:
+    """For each feature log((s + texts that are toxic with it) / (2 s + toxic texts)) less the same of the others, s being SMOOTHING.
+
+    It is 0 for features of fewer than LEAST_TEXTS texts and for those nearer to even than LEAST_RATIO.
+    """
+    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).where(F.col("n") >= LEAST_TEXTS)
+    share = lambda n, k: F.log((n + SMOOTHING) / (2 * SMOOTHING + sizes.get(k, 0)))
+    scaled = held.select("feature", (share(F.col("bad"), 1) - share(F.col("n") - F.col("bad"), 0)).alias("ratio"))
+    told = scaled.where(F.abs("ratio") >= LEAST_RATIO).toArrow()  # 2**BITS rows at most
+    ratio = np.zeros(1 << BITS)
+    ratio[np.asarray(told.column("feature"))] = np.asarray(told.column("ratio"))
+    return ratio
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> tuple[np.ndarray, float]:
+    """Weights of the features and the constant, learnt from training_rows."""
+    rows = common.stage(training_rows(docs, labels, max_training), "training")
+    ratio = log_count_ratios(rows)
+    told = docs.sparkSession.sparkContext.broadcast(ratio != 0)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("features")
+            flat = np.asarray(lists.flatten())
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            keep = told.value[flat]
+            counts = np.bincount(owner[keep], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), common.lists(flat[keep], counts, pa.int32())], batch.schema.names)
+
+    got = rows.mapInArrow(known, rows.schema).toArrow().sort_by("doc_id")
+    common.drop(rows)
+    features = got.column("features").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    return train([np.asarray(x.values) for x in features], got.column("toxic").to_pylist(), ratio)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

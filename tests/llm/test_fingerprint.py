@@ -11,7 +11,7 @@ from lotwright.llm import fingerprint as fp
 def phrases(text):
     """The last level's names in order, without their places."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    return fp.names(raw, np.array([0, len(raw)]))[0].tolist()
+    return [x[0].tolist() for x in fp.names(raw, np.array([0, len(raw)]))][-1] if len(raw) else []
 
 
 def text(rnd, n, alphabet="abcdefghij \n"):
@@ -46,6 +46,49 @@ def test_batches_do_not_matter():
     assert [fp.as_text(x) for x in fp.fingerprint_texts(pa.array(texts, pa.string()))] == alone
 
 
+def coin(x, y):
+    """y's label after x: the lowest place where they differ, and y's bit there."""
+    k = ((x ^ y) & -(x ^ y)).bit_length() - 1
+    return 0 if x == y else 2 * k + (y >> k & 1)
+
+
+def plain_phrases(raw):
+    """The phrases of all levels of a text as byte strings, by the definition, symbol by symbol."""
+    symbols, out = [(b, raw[i : i + 1]) for i, b in enumerate(raw)], []
+    for level in range(fp.LEVELS):
+        runs = []
+        for name, spelt in symbols:
+            if runs and runs[-1][0] == name:
+                runs[-1] = (name, runs[-1][1] + spelt, runs[-1][2] + 1)
+            else:
+                runs.append((name, spelt, 1))
+        kept = [(name if level == 0 or n == 1 else int(fp.mix(np.array([(name + n) % 2**64], np.uint64))[0]), spelt) for name, spelt, n in runs]
+        labels = [name for name, _ in kept]
+        for toss in range(3 if level == 0 else 5):
+            first = 0 if level and toss == 0 else labels[0] & 1
+            labels = [first] + [coin(a, b) for a, b in zip(labels, labels[1:], strict=False)]
+        starts = [i for i in range(len(kept)) if i == 0 or 1 < i < len(kept) - 1 and labels[i - 1] < labels[i] >= labels[i + 1]]
+        spelt = [b"".join(x for _, x in kept[a:b]) for a, b in zip(starts, [*starts[1:], len(kept)], strict=True)]
+        data = np.frombuffer(b"".join(spelt), np.uint8)
+        at = np.cumsum([0] + [len(x) for x in spelt])
+        names = fp.Spans(fp.common.BYTE[data], 3)(at[:-1], at[1:]).tolist()
+        symbols = list(zip(names, spelt, strict=True))
+        out.append(symbols)
+    return out
+
+
+def plain_fingerprint(text):
+    if not text:
+        return []
+    found = {int(fp.ranks(np.array([name], np.uint64), level)[0]) for level, symbols in enumerate(plain_phrases(text.encode()), 1) for name, _ in symbols}
+    return sorted(found)[: fp.KEPT]
+
+
+def plain_likeness(a, b):
+    least = sorted(set(a) | set(b))[: fp.KEPT]
+    return sum(x in set(a) & set(b) for x in least) / len(least) if least else 1.0
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     out = {}
@@ -54,11 +97,35 @@ def brute(rows):
         t = t or ""
         half = len(t) // 2
         e = t[: len(t) - half] + nxt[:half]
-        a, b, c = (fp.fingerprint_texts(pa.array([x], pa.string()))[0] for x in (t, e, nxt))
-        out[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), fp.as_text(a), fp.as_text(b), fp.likeness(a, b), fp.likeness(a, c))
+        a, b, c = (plain_fingerprint(x) for x in (t, e, nxt))
+        show = lambda x: "".join(f"{r:010x}" for r in x)
+        out[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), show(a), show(b), plain_likeness(a, b), plain_likeness(a, c))
     return out
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghij ", "aaaaab", "äöü日本"])
+def test_phrases_are_those_of_coin_tossing(alphabet):
+    rnd = random.Random(4)
+    for n in (1, 2, 3, 4, 7, 40, 900):
+        raw = text(rnd, n, alphabet).encode()
+        got = list(fp.names(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+        for (names, begins, _), want in zip(got, plain_phrases(raw), strict=True):
+            assert [raw[a:b] for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(raw)], strict=True)] == [x for _, x in want]
+            assert names.tolist() == [x for x, _ in want]
+
+
+def test_short_texts_that_share_half_are_told():
+    rnd = random.Random(6)
+    for n, least in ((20, 0.1), (50, 0.2), (100, 0.25), (1000, 0.25), (20_000, 0.25)):
+        near, far = [], []
+        for _ in range(40):
+            a, b = text(rnd, n, "abcdefghijklmnopqrstuvwxyz     "), text(rnd, n, "abcdefghijklmnopqrstuvwxyz     ")
+            x, y, z = fp.fingerprint_texts(pa.array([a, a[: n - n // 2] + b[: n // 2], b]))
+            near.append(fp.likeness(x, y))
+            far.append(fp.likeness(x, z))
+        assert np.mean(near) > least and np.mean(far) < 0.06
+
+
 def test_driver_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = fp.op6_document_fingerprints(spark, sf).collect()
