@@ -1,15 +1,18 @@
 """Main text of web pages by two passes of block rules.
 
-A page becomes blocks of text with what they stand in. The first pass classifies each block by itself: by the elements
-and class names that hold it, its length, its link density and the share of stop words, judged by a list for the
-page's language. Blocks that are too short to tell are left open; the second pass gives an open block the label of its
-nearest decided neighbours, of both if they agree, of the nearer if not; an article's own block is never open.
+A page becomes blocks of text with what they stand in. The first pass classifies each block by itself: by its link
+density, its length and the share of stop words, judged by a list for the page's language. Blocks that are too short to
+tell are left open; the second pass gives an open block the label of its nearest decided neighbours, of both if they
+agree, of the nearer if not. Elements and class names are features of the first pass: they move a block by a step or, if
+they name what a page has around its text, by all; unless they hold most of the page's good blocks, for then they are
+not what they are called.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,11 +49,15 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ENDS_P = _BLOCK - {"br", "option", "legend", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "body"}
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _KEEPS = {"ul", "ol", "table", "dl", "select", "td", "th", "article", "section", "div", "nav", "aside", "main"}
-#: Words in class names, ids and roles that name what is not main text.
-_BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumb\w*|footer\w*|foot|header|masthead|topbar|toolbar|comment\w*|disqus\w*|respond|replies|reply|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|paging|search\w*|tags?|tagcloud|copyright|legal|disclaimer|skip\w*|hidden|byline-share|alert|complementary|contentinfo|navigation|dialog|form)(?:$|[\s_-])",
+#: Words in class names, ids and roles that name what is around the main text.
+_STRONG_NAME = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|nav\w*|menu\w*|breadcrumb\w*|footer\w*|header|masthead|topbar|toolbar|comment\w*|disqus\w*|respond|replies|cookie\w*|consent\w*|gdpr|popup\w*|modal\w*|newsletter\w*|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|paging|search\w*|tagcloud|copyright|disclaimer|skip\w*|hidden|byline-share|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
     re.I,
 )
+#: Words that name it often, but main text too.
+_WEAK_NAME = re.compile(r"(?:^|[\s_-])(?:side|foot|tags?|legal|notice\w*|alert|overlay|form|reply)(?:$|[\s_-])", re.I)
+#: What readers wrote stays out however much of it there is.
+_COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comment\w*|disqus\w*|respond|replies)(?:$|[\s_-])", re.I)
 #: Names of layouts, which say what else a page has, and of headers, which an article has too.
 _LAYOUT_NAME = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[-_]\S+", re.I)
 _HEADER_NAME = re.compile(r"\bheader\b|(?<=[_-])header(?=$|[\s_-])|(?:^|(?<=\s))header(?=[_-])", re.I)
@@ -70,8 +77,10 @@ class Block:
     """A run of text without a block boundary inside, and what holds it."""
 
     text: str = ""
-    linked: int = 0
-    chrome: bool = False
+    linked: int = 0  # code points in links
+    links: int = 0
+    marks: tuple[int, ...] = ()  # the open elements that are named as boilerplate; negative: beyond doubt
+    weak: bool = False
     main: bool = False
     heading: bool = False
     item: bool = False
@@ -86,30 +95,35 @@ def _attributes(raw: str) -> dict[str, str]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page with text in them, in page order; a damaged page is read as far as it goes."""
     out: list[Block] = []
-    # Open elements: name, whether chrome begins here, whether main text begins here.
-    stack: list[tuple[str, bool, bool]] = []
+    # Open elements: name, its mark if it is boilerplate by name, whether it is so weakly, whether main text begins here.
+    stack: list[tuple[str, int, bool, bool]] = []
     groups: list[int] = []  # for each open list or table its number
-    chrome = main = links = seen = 0
+    marks: list[int] = []
+    weak = main = links = seen = marked = 0
     parts: list[str] = []
-    linked = 0
+    linked = met = 0
     at, size = 0, len(page)
 
     def close_block() -> None:
-        nonlocal linked
+        nonlocal linked, met
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                names = {n for n, _, _ in stack}
-                out.append(Block(text, min(linked, len(text)), bool(chrome), bool(main), bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(names & {"li", "td", "th", "dt", "dd"}), groups[0] if groups else 0))
+                names = {n for n, *_ in stack}
+                out.append(
+                    Block(text, min(linked, len(text)), met, tuple(marks), bool(weak), bool(main), bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(names & {"li", "td", "th", "dt", "dd"}), groups[0] if groups else 0)
+                )
             parts.clear()
-        linked = 0
+        linked = met = 0
 
     def pop() -> None:
-        nonlocal chrome, main, links
-        name, c, m = stack.pop()
+        nonlocal weak, main, links
+        name, mark, w, m = stack.pop()
         if name in _LISTS:
             groups.pop()
-        chrome, main, links = chrome - c, main - m, links - (name == "a")
+        if mark:
+            marks.pop()
+        weak, main, links = weak - w, main - m, links - (name == "a")
 
     def add(text: str) -> None:
         nonlocal linked
@@ -136,7 +150,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name in _BLOCK:
                 close_block()
-            if any(n == name for n, _, _ in stack):
+            if any(n == name for n, *_ in stack):
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -150,7 +164,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in _BLOCK:
             close_block()
-        if name in _ENDS_P and any(n == "p" for n, _, _ in stack):
+        if name in _ENDS_P and any(n == "p" for n, *_ in stack):
             while stack[-1][0] != "p":
                 pop()
             pop()
@@ -168,67 +182,103 @@ def blocks(page: str) -> list[Block]:
         called = _LAYOUT_NAME.sub(" ", " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop")))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
         article = name in ("article", "main") or bool(called.strip() and _MAIN_NAME.search(called))
-        bad = hidden or name in _CHROME or bool(called.strip() and name not in ("html", "body", "article", "main") and _BOILER_NAME.search(_WHOLE_NAME.sub(" ", called)))
-        if bad and main and not chrome and (name == "header" or name not in _CHROME and not _BOILER_NAME.search(_HEADER_NAME.sub(" ", _WHOLE_NAME.sub(" ", called)))):
+        named = _WHOLE_NAME.sub(" ", called) if called.strip() and name not in ("html", "body", "article", "main") else ""
+        bad = hidden or name in _CHROME or bool(named and _STRONG_NAME.search(named))
+        if bad and main and not marks and (name == "header" or name not in _CHROME and not _STRONG_NAME.search(_HEADER_NAME.sub(" ", named))):
             bad = hidden  # an article's own headline
-        stack.append((name, bad, article and not bad))
+        w = bool(named and _WEAK_NAME.search(named))
+        marked += bad
+        stack.append((name, bad and marked, w, article and not bad))
         if name in _LISTS:
             seen += 1
             groups.append(seen)
-        chrome, main, links = chrome + bad, main + (article and not bad), links + (name == "a")
+        if bad:
+            marks.append(-marked if hidden or _COMMENT_NAME.search(named) else marked)
+        weak, main, links, met = weak + w, main + (article and not bad), links + (name == "a"), met + (name == "a")
     close_block()
     return out
 
 
+def density(b: Block, stops: frozenset[str]) -> str:
+    """A block's class by its text alone: good, near (to good), short (open) or bad."""
+    words = b.text.lower().split()
+    share = sum(w.strip(".,;:!?()\"'") in stops for w in words) / len(words)
+    if b.linked > LINK_DENSITY * len(b.text) or b.text[:1] == "©" or re.match(r"(?i)copyright\b", b.text):
+        return "bad"
+    if len(b.text) < LENGTH_LOW:
+        return "short" if share or not b.linked else "bad"
+    if share >= STOP_HIGH or share >= STOP_LOW and len(b.text) > LENGTH_HIGH:
+        return "good"
+    return "near" if share >= STOP_LOW else "bad"
+
+
+_STEP_DOWN = {"good": "near", "near": "short", "short": "bad", "bad": "bad"}
+
+
+def _neighbours(page: list[Block], default: str) -> Iterator[tuple[Block, str, int, str, int]]:
+    """Each block with the labels of the nearest decided ones before and after it, and how far they are."""
+    after, label, far = [], default, len(page)
+    for n in range(len(page) - 1, -1, -1):
+        after.append((label, far - n))
+        if page[n].label in ("good", "bad"):
+            label, far = page[n].label, n
+    label, far = default, -1
+    for n, (b, (right, e)) in enumerate(zip(page, reversed(after), strict=True)):
+        decided = b.label if b.label in ("good", "bad") else None
+        yield b, label, n - far, right, e
+        if decided:
+            label, far = decided, n
+
+
 def classify(page: list[Block], language: str | None = None) -> list[Block]:
-    """Label the blocks good or bad; with a main element, nothing outside it is good."""
-    stops = _STOPS.get((language or "")[:2].lower(), _ANY_STOP)
-    has_main = any(b.main and not b.chrome for b in page)
+    """Label the blocks good or bad."""
+    if language and language[:2].lower() in _STOPS:
+        stops = _STOPS[language[:2].lower()]
+    else:  # the list that most of the page's words are in
+        words = Counter(w for b in page for w in b.text.lower().split())
+        stops = max(_STOPS.values(), key=lambda s: sum(words[w] for w in s)) if language is None else _ANY_STOP
+    for b in page:
+        b.label = density(b, stops)
+    # How much good text each marked element, main elements and the page hold.
+    held, within, whole = Counter(), 0, 0
+    for b in page:
+        if b.label == "good":
+            held.update({k: len(b.text) for k in b.marks})
+            within += len(b.text) * (b.main and not b.marks)
+            whole += len(b.text)
+    wrong = {k for k, n in held.items() if k > 0 and not within and 2 * n > whole}
+    inside = [b for b in page if b.main and wrong.issuperset(b.marks)]
+    has_main = bool(inside) and 2 * within >= sum(len(b.text) for b in page if b.label == "good" and wrong.issuperset(b.marks))
     # A list or table is navigation if all of it is short links, two at least.
     items: dict[int, list[bool]] = {}
     for b in page:
-        if b.group and not b.chrome:
+        if b.group and wrong.issuperset(b.marks):
             items.setdefault(b.group, []).append(b.item and b.linked > 0.9 * len(b.text) and len(b.text.split()) < 8)
     navigation = {g for g, links in items.items() if len(links) > 1 and all(links)}
     for b in page:
-        words = b.text.lower().split()
-        density = b.linked / len(b.text)
-        share = sum(w.strip(".,;:!?()\"'") in stops for w in words) / len(words)
-        if b.chrome or has_main and not b.main:
-            b.label = "bad"
-        elif has_main:
-            # Inside the main element only lists of links are not its text.
-            b.label = "bad" if b.group in navigation else "good"
-        elif density > LINK_DENSITY:
-            b.label = "bad"
-        elif b.text[:1] in "©" or re.match(r"(?i)copyright\b", b.text):
-            b.label = "bad"
-        elif len(b.text) < LENGTH_LOW:
-            b.label = "short" if share or not b.linked else "bad"
-        elif share >= STOP_HIGH or share >= STOP_LOW and len(b.text) > LENGTH_HIGH:
-            b.label = "good"
-        elif share >= STOP_LOW:
-            b.label = "near"
-        else:
+        if not wrong.issuperset(b.marks) or b.group in navigation:
             b.label = "bad"
-    # Second pass, by the labels of the first.
-    before, last, far = [], "bad", -1
-    for n, b in enumerate(page):
-        before.append((last, n - far))
-        if b.label in ("good", "bad"):
-            last, far = b.label, n
-    after, nxt, far = [None] * len(page), "bad", len(page)
-    for n in range(len(page) - 1, -1, -1):
-        after[n] = (nxt, far - n)
-        if page[n].label in ("good", "bad"):
-            nxt, far = page[n].label, n
-    for b, (left, d), (right, e) in zip(page, before, after, strict=True):
+            continue
+        if b.weak:
+            b.label = _STEP_DOWN[b.label] if b.label != "bad" and len(b.text) >= LENGTH_LOW else "bad"
+        elif b.main and b.label == "bad" and (b.links < 2 or b.item):
+            b.label = "short"  # few stop words, or one link: an article's tables, lists and lines of code
+        if has_main and not b.main:
+            b.label = _STEP_DOWN[b.label]
+    # Second pass, by the labels of the first. Within main text what is open is bad only between bad ones.
+    found = []
+    for b, left, _, right, _ in _neighbours([b for b in inside if b.label != "bad" or b.group not in navigation and wrong.issuperset(b.marks)], "good"):
+        if b.label in ("near", "short"):
+            found.append((b, "bad" if left == right == "bad" else "good"))
+    for b, left, d, right, e in _neighbours(page, "bad"):
+        if b.main and wrong.issuperset(b.marks):
+            continue
         if b.label == "near":
-            b.label = "good" if "good" in (left, right) else "bad"
+            found.append((b, "good" if left == right == "good" or not has_main and "good" in (left, right) else "bad"))
         elif b.label == "short":
-            b.label = left if left == right or d < e else right
-            if b.heading and right == "good":
-                b.label = "good"
+            found.append((b, "good" if b.heading and right == "good" else left if left == right or d < e else right))
+    for b, label in found:
+        b.label = label
     return page
 
 
@@ -239,7 +289,7 @@ def main_text(page: str | None) -> str:
     """The main text of a page: its good blocks, joined by one space."""
     if not page:
         return ""
-    lang = _LANG.search(page[:2000])
+    lang = _LANG.search(page)
     return " ".join(b.text for b in classify(blocks(page), lang and lang[1]) if b.label == "good")
 
 

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 
@@ -63,3 +65,123 @@ def test_names_and_links_of_an_article_take_nothing_from_it():
     assert ex.main_text('<article><p>Text.</p><div class="comment">Nice</div><div class="post tags">x</div><aside>y</aside></article>') == "Text."
     for names in ("side-nav", "comment-body", "tags", "legal-notice", "side"):
         assert ex.main_text(f'<article><p>Text.</p><div class="{names}">no</div></article>') == "Text."
+
+
+PROSE = "The man in the house was on the hill and he had a dog with him for all of the day when it rained. " * 3
+CODE = "Zzyx qwrt plmk vbnm dfgh jklp wert yuio asdf ghjk zxcv bnmq wert yuio asdf ghjk qwer zxcv"
+
+
+@pytest.mark.parametrize("names", ["side", "tags", "legal", "notice", "form"])
+def test_density_keeps_main_text_under_doubtful_names(names):
+    want = re.sub(r"\s+", " ", PROSE).strip()
+    assert ex.main_text(f'<body><div class="{names}"><p>{PROSE}</p><p>{PROSE}</p></div><p>{PROSE}</p></body>') == " ".join([want] * 3)
+    assert ex.main_text(f'<body><p>{PROSE}</p><div class="{names}">Buy now</div></body>') == want
+
+
+def test_an_element_that_holds_most_good_text_is_not_what_it_is_called():
+    want = re.sub(r"\s+", " ", PROSE).strip()
+    assert ex.main_text(f'<body><form><div><p>{PROSE}</p><p>{PROSE}</p></div></form><nav><a href="/">Home</a></nav></body>') == f"{want} {want}"
+    assert ex.main_text(f'<body><p>{PROSE}</p><div id="comments"><p>{PROSE}</p><p>{PROSE}</p></div></body>') == want
+    assert ex.main_text(f'<body><p>{PROSE}</p><p>{PROSE}</p><form><p>{PROSE}</p></form></body>') == f"{want} {want}"
+
+
+def test_density_decides_beside_and_inside_an_article():
+    want = re.sub(r"\s+", " ", PROSE).strip()
+    links = '<a href="/a">One more story</a> <a href="/b">And another story</a>'
+    assert ex.main_text(f"<body><div>{CODE}</div><article><p>{PROSE}</p></article><div>{links}</div><div>Short</div></body>") == want
+    assert ex.main_text(f"<article><p>{PROSE}</p><pre>{CODE}</pre><div>{links}</div><p>See also</p><div>{links}</div><p>End</p></article>") == f"{want} {CODE} End"
+
+
+def test_language_is_looked_for_in_the_whole_page():
+    german = "Der Mann und die Frau sind auf dem Berg, und sie haben einen Hund mit sich, der für das Haus und den Garten da ist. " * 2
+    for head in ("<!-- " + "x" * 5000 + " --><html lang=de>", "<html>"):
+        assert ex.main_text(f"{head}<body><p>{german}</p></body>") == german.strip()
+
+
+class Plain(HTMLParser):
+    """Blocks of a well-formed page: text, code points in links, links, names of the open elements."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.out, self.parts = [], [], []
+        self.feed(page)
+        self.cut()
+
+    def cut(self):
+        text = " ".join("".join(t for t, _ in self.parts).split())
+        if text:
+            self.out.append((text, sum(len(" ".join(t.split())) for t, a in self.parts if a), tuple(self.open)))
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "a":
+            self.cut()
+        self.open.append((tag, dict(attrs).get("class") or ""))
+
+    def handle_endtag(self, tag):
+        if tag != "a":
+            self.cut()
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.parts.append((data, any(t == "a" for t, _ in self.open)))
+
+
+def plain_main_text(page):
+    """The rules for pages of div, p, nav, aside, h2 and a, without lists and main elements, block by block."""
+    stops = set(ex.STOP_WORDS["en"].split())
+    got = []
+    for text, linked, held in Plain(page).out:
+        share = sum(w.strip(".,") in stops for w in text.lower().split()) / len(text.split())
+        if linked > 0.33 * len(text):
+            label = "bad"
+        elif len(text) < 70:
+            label = "open" if share or not linked else "bad"
+        elif share >= 0.16 or share >= 0.08 and len(text) > 200:
+            label = "good"
+        else:
+            label = "near" if share >= 0.08 else "bad"
+        got.append([text, label, held, any(t == "h2" for t, _ in held)])
+    around = lambda held: any(t in ("nav", "aside") or c == "ad" for t, c in held)
+    total = sum(len(t) for t, label, _, _ in got if label == "good")
+    marked = sum(len(t) for t, label, held, _ in got if label == "good" and around(held))
+    assert 2 * marked <= total
+    first = ["bad" if around(held) else label for _, label, held, _ in got]
+    out = []
+    for n, (text, _, _, heading) in enumerate(got):
+        left = next(((first[k], n - k) for k in range(n - 1, -1, -1) if first[k] in ("good", "bad")), ("bad", n + 1))
+        right = next(((first[k], k - n) for k in range(n + 1, len(got)) if first[k] in ("good", "bad")), ("bad", len(got) - n))
+        label = first[n]
+        if label == "near":
+            label = "good" if "good" in (left[0], right[0]) else "bad"
+        elif label == "open":
+            label = "good" if heading and right[0] == "good" else left[0] if left[0] == right[0] or left[1] < right[1] else right[0]
+        if label == "good":
+            out.append(text)
+    return " ".join(out)
+
+
+def test_rules_against_a_plain_version():
+    rnd = random.Random(5)
+    words = ["the", "of", "and", "stone", "river", "quiet", "lamp", "zinc", "orbit", "cargo"]
+    kept = 0
+    for _ in range(300):
+        blocks = []
+        for _ in range(rnd.randint(1, 12)):
+            vocab = rnd.choice([words, words[2:], words[3:], words[3:] * 3 + words[:3]])
+            text = " ".join(rnd.choices(vocab, k=rnd.choice([2, 5, 12, 20, 50, 90])))
+            kind = rnd.choice(["p", "p", "p", "div", "h2", "linked", "link", "ad", "nav"])
+            if kind == "linked":
+                text = f"<p>{text} <a href='/'>{' '.join(rnd.choices(words, k=6))}</a></p>"
+            elif kind == "link":
+                text = f"<div><a href='/'>{text[:40]}</a></div>"
+            elif kind in ("ad", "nav"):
+                text = f"<div class='ad'>{text[:90]}</div>" if kind == "ad" else f"<nav><div>{text[:60]}</div></nav>"
+            else:
+                text = f"<{kind}>{text}</{kind}>"
+            blocks.append(text)
+        page = f"<html lang='en'><body>{''.join(blocks)}<p>{PROSE}</p><p>{PROSE}</p></body></html>"
+        got = ex.main_text(page)
+        assert got == plain_main_text(page), page
+        kept += len(got)
+    assert kept > 300 * 600
