@@ -184,9 +184,9 @@ class Spans:
         return mix((a << _U(31) | b) + (ends - starts).astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 2) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    return Spans(BYTE[data], 2)(starts, ends)
+    return Spans(BYTE[data], seed)(starts, ends)
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

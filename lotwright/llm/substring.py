@@ -3,10 +3,11 @@
 Rounds replace runs of one symbol, then pairs of a left-class and a right-class symbol, by new symbols. Whether two
 neighbours are joined depends on these two alone, so equal substrings get equal interior symbols wherever they stand:
 each half round makes at most one more symbol at either end depend on what is outside. Names are hashes of what they
-stand for, so a round is global without a dictionary that would have to be shuffled. In each window the interior of
+stand for, so all tasks agree on them without a dictionary that would have to be shuffled. In each window the interior of
 the highest round in which it is not empty is looked at; its least symbol, with the words beside it that surely are in
-the window, is the window's anchor. Equal windows have equal anchors, and one anchor serves many windows, so only
-anchors are counted over all documents. Windows with a repeated anchor are then compared as a whole, by 128-bit hashes.
+the window, is the window's anchor. Equal windows have equal anchors, and one anchor serves many windows. A Spark round
+counts the anchors over all documents: only windows whose anchor repeats can repeat. A second round counts these whole
+windows by two hashes of 62 bits, each from word hashes of its own at bases of its own.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from .common import Spans, mix
 WINDOW = 35
 ROUNDS = 3
 _U = np.uint64
-_SECOND = 0xA24BAED4963EE407
 
 
 def half_rounds(symbols: np.ndarray, heads: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -80,9 +80,19 @@ class Parsed:
         #: Windows: first word and row.
         self.row = np.repeat(np.arange(len(per)), per)
         self.begin = np.arange(len(self.row)) - np.repeat(np.cumsum(per) - per, per) + self.first[:-1][self.row]
-        self.words = common.word_hashes(self.data, self.starts, self.ends)
+        self.words = self._hashes(2)
         self.spans = Spans(self.words)
 
+    def _hashes(self, seed: int) -> np.ndarray:
+        """Hashes of all words, made of a bounded run of bytes at once; a longer word is a run of its own."""
+        out, a = np.zeros(len(self.starts), _U), 0
+        while a < len(self.starts):
+            b = max(a + 1, int(np.searchsorted(self.ends, self.starts[a] + common.CHUNK_BYTES, side="right")))
+            at = self.starts[a]
+            out[a:b] = common.word_hashes(self.data[at : self.ends[b - 1]], self.starts[a:b] - at, self.ends[a:b] - at, seed)
+            a = b
+        return out
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """For each window the place of its anchor, and the anchor's name."""
         n, begin, end = len(self.words), self.begin, self.begin + self.window
@@ -118,8 +128,8 @@ class Parsed:
         return place, name
 
     def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit hashes of whole windows."""
-        second = Spans(mix(self.words + _U(11)), _SECOND)
+        """Two independent hashes of whole windows."""
+        second = Spans(self._hashes(5), 4)
         return self.spans(self.begin[at], self.begin[at] + self.window), second(self.begin[at], self.begin[at] + self.window)
 
 
@@ -199,20 +209,21 @@ def remove_repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "
     # Copies of a text stand together as one: (t1, t2) with its number; the row of the least id speaks for them.
     copies = anchored.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("speaker")).where("copies > 1")
     named = anchored.select("t1", "t2", F.explode("anchors").alias("anchor")).groupBy("anchor", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
-    repeated = named.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    candidates = named.join(repeated, "anchor", "left_semi").groupBy("t1", "t2").agg(F.collect_list("anchor").alias("anchors"))
+    repeated = common.stage(named.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
+    candidates = common.semi_join(named, repeated, ["anchor"]).groupBy("t1", "t2").agg(F.collect_list("anchor").alias("anchors"))
     info = common.stage(candidates.join(copies, ["t1", "t2"], "full"), "candidates")
-    common.drop(anchored)
+    common.drop(anchored, repeated)
     # Windows are listed once for a text and its copies. If equal rows share the least id, each lists them: the sums only grow.
     speaking = keyed.join(info, ["t1", "t2"]).where(F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("speaker")))
     speaking = speaking.select("t1", "t2", F.coalesce("copies", F.lit(1)).alias("copies"), "text", "anchors", F.col("copies").isNotNull().alias("whole"))
     listed = common.stage(speaking.mapInArrow(_window_rows(window), "t1 long, t2 long, copies long, begin array<long>, w1 array<long>, w2 array<long>"), "windows")
     windows = listed.select("t1", "t2", "copies", F.explode(F.arrays_zip("begin", "w1", "w2")).alias("w")).select("t1", "t2", "copies", "w.begin", "w.w1", "w.w2")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
+    twice = common.stage(windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1"), "twice")
     # Copies lose all windows anyway, so only texts that stand alone need to know theirs.
-    begins = windows.where("copies = 1").join(twice, ["w1", "w2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("begin").alias("begins"))
+    alone = windows.where("copies = 1").select("t1", "t2", "begin", "w1", "w2")
+    begins = common.semi_join(alone, twice, ["w1", "w2"]).groupBy("t1", "t2").agg(F.collect_set("begin").alias("begins"))
     verdict = common.stage(begins.join(info.where("copies > 1").select("t1", "t2", F.lit(True).alias("copied")), ["t1", "t2"], "full"), "verdicts")
-    common.drop(listed, info)
+    common.drop(listed, info, twice)
     judged = keyed.join(verdict, ["t1", "t2"], "left").select("id", "text", "begins", "copied")
     return judged.mapInArrow(_cut_rows(window), "id long, n_words long, n_removed long, kept string")
 

@@ -80,3 +80,24 @@ def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, t), (1, t), (None, t + " end"), (None, None)], "doc_id long, text string")
     got = sorted((r.n_words, r.n_removed) for r in substring.remove_repeated_spans(df).collect())
     assert got == [(0, 0), (50, 50), (50, 50), (51, 50)]
+
+
+def test_words_that_defeat_polynomials_modulo_a_power_of_two(spark):
+    for k in (10, 11, 12):
+        bits = [bin(i).count("1") & 1 for i in range(1 << k)]
+        first, second = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+        tail = " ".join(f"w{i}" for i in range(34))
+        check(spark, [f"{first} {tail}", f"{second} {tail}"], 35)
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(2)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(400_000)]
+    passage = words[1000:1050]
+    check(spark, [" ".join(words + passage), " ".join(passage), "x" * 5_000_000 + " y"], 35)
+
+
+def test_hot_windows_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(substring.common, "HOT_SHARE", 1e-9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    check(spark, [f"own{i} {passage} end{i}" for i in range(1500)], 35)
