@@ -157,13 +157,14 @@ def _signed(values: list[int]) -> pa.Array:
 
 def _class_rows(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = ["id", "t", "c", "counts"], np.zeros(BUCKETS, np.int32)
+        names, counts = ["id", "t", "c", "fp", "counts"], np.zeros(BUCKETS, np.int32)
         for batch, sets in _sets(batches, words):
             flat = np.concatenate(sets)
             counts += np.bincount((flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), _signed([_set_hash(x) for x in sets]), pa.nulls(batch.num_rows, pa.binary())], names)
+            fp = majority_bits(flat, np.array([len(x) for x in sets], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), _signed([_set_hash(x) for x in sets]), pa.array(fp.view(np.int64)), pa.nulls(batch.num_rows, pa.binary())], names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([counts.tobytes()], pa.binary())], names)
 
     return rows
 
@@ -226,21 +227,33 @@ def _pairs(x: DataFrame, y: DataFrame, keys: list[str], similarity: float, more:
     return met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
 
 
+def _print_pairs(classes: DataFrame) -> DataFrame:
+    """Rows (a, b), a < b, of classes whose fingerprints are equal or linked, each fingerprint's least class standing for it."""
+    least = common.stage(classes.groupBy("fp").agg(F.min("c").alias("first")), "prints")
+    same = classes.join(least, "fp").where("c <> first").select(F.col("first").alias("a"), F.col("c").alias("b"))
+    tied = links(least.select("fp")).withColumnRenamed("b", "fp").join(least.withColumnRenamed("first", "y"), "fp").drop("fp")
+    tied = tied.withColumnRenamed("a", "fp").join(least, "fp").select(F.least("first", "y").alias("a"), F.greatest("first", "y").alias("b"))
+    return same.union(tied)
+
+
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, t, component_id, root), t being xxhash64 of the text, for every row of docs: texts are linked whose shares of common shingles reach similarity.
 
-    Texts of the same set of shingles are a class. Each set is indexed under its rarest shingles, so many that a similar
-    set must share one (prefix filtering); a pair that can still be similar by the places of a shared one is verified
-    on the sets. In postings of more than MAX_POSTING members each is first held against two of them; then all pairs
-    that these links have not joined yet. So no similar pair stays apart, and nothing below similarity is linked.
+    Texts of the same set of shingles are a class. Classes whose SimHash fingerprints are equal or share the guaranteed
+    bytes of two bits are candidates, by the inverted index over byte positions. Two bits do not find all that are this
+    similar, so an exact way finds the rest: each set is indexed under its rarest shingles, so many that a similar
+    set must share one (prefix filtering); a pair that can still be similar by the places of a shared one is a candidate.
+    All candidates are verified on the sets. In postings of more than MAX_POSTING members each is first held against two
+    of them; then all pairs that these links have not joined yet. So no similar pair stays apart, and nothing below
+    similarity is linked.
     root names the component; component_id is its least id. Nulls, empty texts, repeated rows and empty tables are as
     in near_duplicate_classes.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    prints = common.stage(plain.mapInArrow(_class_rows(words), "id long, t long, c long, counts binary"), "sets")
+    prints = common.stage(plain.mapInArrow(_class_rows(words), "id long, t long, c long, fp long, counts binary"), "sets")
     often = _bucket_counts(prints)
-    prints = prints.where("counts IS NULL").select("id", "t", "c")
-    classes = common.stage(prints.groupBy("c").agg(F.min("id").alias("least"), F.min("t").alias("t")), "classes")
+    prints = prints.where("counts IS NULL").select("id", "t", "c", "fp")
+    classes = common.stage(prints.groupBy("c").agg(F.min("id").alias("least"), F.min("t").alias("t"), F.min("fp").alias("fp")), "classes")
     # Copies fall together where the rows of a posting are dealt.
     postings = plain.select("text").mapInArrow(_prefix_rows(words, similarity, often), "h long, c long, n int, i int").distinct()
     postings = common.stage(postings, "prefixes")
@@ -253,7 +266,8 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     heads = crowded.groupBy("h").agg(member).select("h", "m.*")
     near_heads = crowded.groupBy("h", "salt").agg(member).select("h", "salt", "m.*")
     found = _pairs(short, short, ["h"], similarity, F.col("x.c") < F.col("y.c"))
-    found = found.union(_pairs(crowded, heads, ["h"], similarity)).union(_pairs(crowded, near_heads, ["h", "salt"], similarity)).distinct()
+    found = found.union(_pairs(crowded, heads, ["h"], similarity)).union(_pairs(crowded, near_heads, ["h", "salt"], similarity))
+    found = found.union(_print_pairs(classes)).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = common.stage(pairs, "pairs")

@@ -24,7 +24,7 @@ def test_stages_on_the_driver_table(spark, sf):
         rows = after.collect()
         ids = {r.doc_id for r in rows}
         if name == "line dedup":
-            want = dict(brute_lines([(r.doc_id, r.text, r.source) for r in before], 10))
+            want = dict(brute_lines([(r.doc_id, r.text, r.source) for r in before], 10, 10))
             assert {r.doc_id: r.text for r in rows} == want and all(r.n_chars == len(r.text) for r in rows)
         elif name == "SimHash near-dedup":
             before.sort(key=lambda r: r.doc_id)
