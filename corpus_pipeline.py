@@ -35,8 +35,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_widespread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay, without lines that stand on many sites; n_chars follows the text."""
-    cut = lines.remove_widespread_lines(_documents(docs)).drop("n_lines", "n_removed")
+    """Documents stay, without lines that stand on many sites; n_chars follows the text.
+
+    A line also has to be in as many different texts: copies are the next stage's, and of each group one is to stay whole.
+    """
+    cut = lines.remove_widespread_lines(_documents(docs), min_texts=lines.MIN_SITES).drop("n_lines", "n_removed")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
