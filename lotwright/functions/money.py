@@ -97,10 +97,11 @@ def bid_scenarios(
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), *[F.lit(v).alias(c) for v, c in zip(f, ("fs", "fc", "fm"), strict=True)]) for n, f in SCENARIOS.items()]))
     s = named.where(valid).withColumn("_s", rows).withColumn("scenario", F.col("_s.scenario"))
     s = s.withColumn("_price", x["sale"] * F.col("_s.fs")).withColumn("_months", F.greatest(x["months"] * F.col("_s.fm"), F.lit(0.1)))
-    s = s.withColumn("_costs", (x["repair"] + x["legal"] + x["taxes"] + x["reserve"]) * F.col("_s.fc") + x["holding"] * F.col("_months") + F.col("_price") * x["commission"] / 100)
+    s = s.withColumn("_costs", (x["repair"] + x["legal"] + x["taxes"] + x["reserve"]) * F.col("_s.fc") + F.when(x["months"] * F.col("_s.fm") >= 0.1, x["holding"] * x["months"] * F.col("_s.fm")).otherwise(x["holding"] * 0.1) + F.col("_price") * x["commission"] / 100)
     s = s.withColumn("_factor", 1 + x["capital"] / 100 * F.col("_months") / 12)
     s = s.withColumn("_spent", x["bid"] * F.col("_factor") + F.col("_costs")).withColumn("_roi", F.when(F.col("_spent") > 0, (F.col("_price") - F.col("_spent")) / F.col("_spent") * 100))
-    r2 = lambda c: F.round(c, 2)
+    # To the cent by the binary value, halves to even: round() would first write the double in decimal.
+    r2 = lambda c: F.rint(c * 100) / 100
     return s.select(
         *df.columns,
         "scenario",

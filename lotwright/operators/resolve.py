@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import difflib
 import math
+import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import money, text
 
 SIMILAR_TITLE, CONTAINED_ADDRESS, LEAST_TOKENS = 0.92, 0.72, 3
-MAX_ROUNDS = 100
 
 
 @F.pandas_udf(T.DoubleType())
@@ -22,6 +22,23 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+@F.pandas_udf(T.BooleanType())
+def _reaches(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether the ratio reaches SIMILAR_TITLE; equal pairs are looked at once, bounds of the ratio come first."""
+    seen: dict[tuple[str, str], bool] = {}
+    for pair in zip(a, b, strict=True):
+        if pair not in seen:
+            m = difflib.SequenceMatcher(None, *pair)
+            seen[pair] = m.real_quick_ratio() >= SIMILAR_TITLE and m.quick_ratio() >= SIMILAR_TITLE and m.ratio() >= SIMILAR_TITLE
+    return pd.Series([seen[p] for p in zip(a, b, strict=True)], dtype=bool)
+
+
+def similar_titles(a: Column, b: Column) -> Column:
+    """As similarity >= SIMILAR_TITLE, for lower-cased titles; lengths that rule it out cost no call."""
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    return F.when(2 * short >= SIMILAR_TITLE * (short + long), F.when(a == b, True).otherwise(_reaches(a, b))).otherwise(False)
+
+
 def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, share: float = money.PRICE_TOLERANCE, absolute: float = 1.0) -> DataFrame:
     """Pairs whose values differ by no more than share of the smaller or absolute, without a cross join.
 
@@ -46,34 +63,45 @@ def pairs(lots: DataFrame) -> DataFrame:
     prices are more than 5 % apart; else prices must match, and either the addresses hold one another or titles are alike
     in one region. Candidates meet by identifier or by price band, so no two rows are compared without cause.
     """
-    l = lots.select(*[F.col(c).alias(f"l_{c}") for c in lots.columns])
-    r = lots.select(*[F.col(c).alias(f"r_{c}") for c in lots.columns])
+    words = lots.select("id", "source", "identifiers", "price", "region", F.lower("title").alias("title"), text.tokens("address").alias("at"), (F.size(text.tokens("title")) >= LEAST_TOKENS).alias("long"))
+    l, r = (words.select(*[F.col(c).alias(f"{s}_{c}") for c in words.columns]) for s in "lr")
     apart = (F.col("l_id") < F.col("r_id")) & (F.lower("l_source") != F.lower("r_source"))
-    by_identifier = l.withColumn("_key", F.explode("l_identifiers")).join(r.withColumn("_key", F.explode("r_identifiers")), "_key").where(apart & ~money.prices_diverge("l_price", "r_price")).select(F.col("l_id").alias("left"), F.col("r_id").alias("right"))
-    by_price = band_join(l, r, "l_price", "r_price").where(apart & (F.size(F.array_intersect("l_identifiers", "r_identifiers")) == 0))
-    contained = text.containment("l_address", "r_address") >= CONTAINED_ADDRESS
-    enough = (F.size(text.tokens("l_title")) >= LEAST_TOKENS) & (F.size(text.tokens("r_title")) >= LEAST_TOKENS) & (F.col("l_region") == F.col("r_region")) & (F.col("l_region") != "")
-    sure = by_price.where(contained)
-    rest = by_price.where(~contained & F.coalesce(enough, F.lit(False))).where(similarity("l_title", "r_title") >= SIMILAR_TITLE)
-    chosen = sure.unionByName(rest).select(F.col("l_id").alias("left"), F.col("r_id").alias("right"))
+    keyed = [x.select(*[f"{s}_{c}" for c in ("id", "source", "price")], F.explode(f"{s}_identifiers").alias("_key")) for s, x in (("l", l), ("r", r))]
+    by_identifier = keyed[0].join(keyed[1], "_key").where(apart & ~money.prices_diverge("l_price", "r_price")).select(F.col("l_id").alias("left"), F.col("r_id").alias("right"))
+    by_price = band_join(l, r, "l_price", "r_price").where(apart & ~F.coalesce(F.arrays_overlap("l_identifiers", "r_identifiers"), F.lit(False)))
+    held = F.size(F.array_intersect("l_at", "r_at")) >= CONTAINED_ADDRESS * F.least(F.size("l_at"), F.size("r_at"))
+    contained = (F.size("l_at") > 0) & (F.size("r_at") > 0) & held
+    enough = F.col("l_long") & F.col("r_long") & (F.col("l_region") == F.col("r_region")) & (F.col("l_region") != "")
+    tested = by_price.select("l_id", "r_id", "l_title", "r_title", F.coalesce(contained, F.lit(False)).alias("sure"), F.coalesce(enough, F.lit(False)).alias("may")).where("sure OR may")
+    rest = tested.where("NOT sure").where(similar_titles(F.col("l_title"), F.col("r_title")))
+    chosen = tested.where("sure").select("l_id", "r_id").union(rest.select("l_id", "r_id"))
     return by_identifier.union(chosen).distinct()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session may go without, and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lotwright-")
+
+
 def stars(found: DataFrame) -> DataFrame:
     """Rows (id, primary): a scan by id that ties each row to its first primary partner, done in rounds.
 
     In a round a row all of whose smaller partners are settled as secondary becomes a primary, and one with a smaller
-    primary becomes its secondary; the result is that of the scan, however the rows are spread. Written through
-    checkpoint() each round.
+    primary becomes its secondary; the result is that of the scan, however the rows are spread. Each round settles the
+    least open row of every component at least, so they end; how many there are grows with the longest chain of partners.
+    Written through checkpoint() each round.
     """
     spark = found.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     edges = found.select(F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right")).distinct().checkpoint()
     state = edges.select(F.col("left").alias("id")).union(edges.select("right")).distinct().select("id", F.lit(None).cast("long").alias("primary")).checkpoint()
-    for _ in range(MAX_ROUNDS):
+    while True:
         left = state.select(F.col("id").alias("left"), F.col("primary").alias("of_left"))
         seen = edges.join(left, "left").groupBy(F.col("right").alias("id")).agg(
             F.min(F.when(F.col("of_left") == F.col("left"), F.col("left"))).alias("_first"), F.min(F.when(F.col("of_left").isNull(), F.col("left"))).alias("_open")
@@ -83,7 +111,6 @@ def stars(found: DataFrame) -> DataFrame:
         state = state.join(seen, "id", "left").select("id", F.coalesce("primary", F.when(settled, F.coalesce("_first", "id"))).alias("primary")).checkpoint()
         if not state.where("primary IS NULL").head(1):
             return state
-    raise RuntimeError("rows did not settle")
 
 
 def survivors(lots: DataFrame, ties: DataFrame, fill: list[str]) -> DataFrame:

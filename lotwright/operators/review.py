@@ -26,15 +26,16 @@ def audit(action: str, lot: int, other: int | None, user: str, reason: str, as_o
     return [v.alias(k) for k, v in given.items()]
 
 
-def compressed(ties: DataFrame, depth: int = 8) -> DataFrame:
-    """Ties whose primary is a primary itself, however long the chain was (up to 2**depth links)."""
-    for _ in range(depth):
+def compressed(ties: DataFrame) -> DataFrame:
+    """Ties whose primary is a primary itself, however long the chain was: each round halves it. A cycle of ties is an error."""
+    rounds = ties.count().bit_length() + 1
+    for _ in range(rounds):
         up = ties.select(F.col("id").alias("primary"), F.col("primary").alias("_up"))
-        after = ties.join(up, "primary", "left").select("id", F.coalesce("_up", "primary").alias("primary"), (F.coalesce("_up", "primary") != F.col("primary")).alias("_moved"))
+        after = ties.join(up, "primary", "left").select("id", F.coalesce("_up", "primary").alias("primary"), (F.coalesce("_up", "primary") != F.col("primary")).alias("_moved")).checkpoint()
         if not after.where("_moved").head(1):
             return ties
         ties = after.drop("_moved")
-    return ties
+    raise ValueError("ties lead in a circle")
 
 
 def valuation_key(*columns: str) -> Column:
