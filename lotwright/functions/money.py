@@ -100,8 +100,8 @@ def bid_scenarios(
     s = s.withColumn("_costs", (x["repair"] + x["legal"] + x["taxes"] + x["reserve"]) * F.col("_s.fc") + F.when(x["months"] * F.col("_s.fm") >= 0.1, x["holding"] * x["months"] * F.col("_s.fm")).otherwise(x["holding"] * 0.1) + F.col("_price") * x["commission"] / 100)
     s = s.withColumn("_factor", 1 + x["capital"] / 100 * F.col("_months") / 12)
     s = s.withColumn("_spent", x["bid"] * F.col("_factor") + F.col("_costs")).withColumn("_roi", F.when(F.col("_spent") > 0, (F.col("_price") - F.col("_spent")) / F.col("_spent") * 100))
-    # To the cent by the binary value, halves to even: round() would first write the double in decimal.
-    r2 = lambda c: F.rint(c * 100) / 100
+    # To the cent by the binary value, halves away from zero: round() would first write the double in decimal.
+    r2 = lambda c: F.signum(c) * F.floor(F.abs(c) * 100 + 0.5) / 100
     return s.select(
         *df.columns,
         "scenario",
