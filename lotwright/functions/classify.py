@@ -133,3 +133,23 @@ def is_sale_real_estate(category: Column | str, text: Column | str) -> Column:
 
 def ended(archived: Column, closed_at: Column, status: Column, auction_at: Column, as_of: Column) -> Column:
     return F.coalesce(archived, F.lit(False)) | closed_at.isNotNull() | F.coalesce(status.isin("closed", "archived"), F.lit(False)) | F.coalesce(auction_at <= as_of, F.lit(False))
+
+
+# Labels of statuses and categories, and captions that tell a status in this order.
+STATUS_TITLES = {"active": "Активен", "closed": "Завершен", "pending": "Ожидается", "scheduled": "Запланирован", "unknown": "Неизвестно"}
+CATEGORY_TITLES = {
+    "apartment": "Квартира", "house": "Жилой дом", "commercial": "Коммерческая недв.", "commercial_room": "Нежилое помещение", "commercial_building": "Нежилое здание",
+    "commercial_building_with_land": "Нежилое здание + ЗУ", "complex": "Имущ. комплекс", "office": "Офис", "retail": "Торговое", "land": "Земельный участок", "car": "Автомобиль",
+    "transport": "Транспорт", "vehicle": "Спецтехника", "equipment": "Оборудование", "parking": "Парковка", "unfinished": "Недострой", "receivable": "Права требования", "real_estate": "Недвижимость", "other": "Прочее",
+}
+CAPTION_RULES = (
+    ("active", ("прием заявок до", "приём заявок до", "осталось", "до окончания")),
+    ("scheduled", ("начало торгов",)),
+    ("closed", ("заверш", "не состоял", "состоял", "прием заявок завершен", "приём заявок завершен")),
+)
+
+
+def status_of_captions(captions: Column | str, icon: Column | str) -> Column:
+    """By an array of date captions, else by the class of the status icon."""
+    text = F.lower(F.array_join(F.coalesce(col(captions), F.array().cast("array<string>")), " "))
+    return first_rule(text, CAPTION_RULES, F.when(F.lower(F.coalesce(col(icon), F.lit(""))).contains("green"), "active").otherwise("unknown"))

@@ -15,7 +15,7 @@ from .text import col
 
 # Keys that hold pictures, and keys of an object that name it.
 IMAGE_KEYS = ("photos", "images", "gallery", "pictures", "photo", "image", "thumbnail", "photo_url", "image_url", "thumb_url", "url", "src")
-NAMING_KEYS = ("name", "label", "value", "title", "address", "fullAddress")
+NAMING_KEYS = ("name", "label", "value", "title", "address", "fullAddress", "fullName")
 IMAGE_DEPTH = 4
 
 
@@ -54,30 +54,38 @@ def image_urls(payloads: pd.Series) -> pd.Series:
     return payloads.map(lambda t: list(dict.fromkeys(image_urls_of(_parse(t)))))
 
 
+_EMPTY = (None, "", [], {})
+
+
+def _get(payload: Any, key: str) -> Any:
+    """A key of an object, whatever its case."""
+    return next((v for k, v in payload.items() if k.lower() == key.lower()), None) if isinstance(payload, dict) else None
+
+
 def deep_find(payload: Any, path: str) -> Any:
-    """The first value under a key, whatever its case and depth; a dotted path is followed from there."""
-    head, _, rest = path.partition(".")
-    queue = [payload]
-    while queue:
-        at = queue.pop(0)
-        if isinstance(at, dict):
-            for k, v in at.items():
-                if k.lower() == head.lower() and v not in (None, "", [], {}):
-                    found = deep_find({rest.partition(".")[0]: None} | v, rest) if rest and isinstance(v, dict) else None if rest else v
-                    if found is not None:
-                        return found
-            queue.extend(at.values())
-        elif isinstance(at, list):
-            queue.extend(at)
+    """A dotted path is followed from the top; a key is looked for in an object, then in each of its values, to the bottom."""
+    if "." in path:
+        for key in path.split("."):
+            payload = _get(payload, key)
+        return payload
+    stack = [payload]
+    while stack:
+        at = stack.pop()
+        if isinstance(at, dict) and _get(at, path) not in _EMPTY:
+            return _get(at, path)
+        stack.extend(reversed(list(at.values()) if isinstance(at, dict) else at if isinstance(at, list) else []))
     return None
 
 
 def pick(payload: Any, *keys: str) -> str | None:
+    """The first key's value as text: an object by what names it, a list by its parts."""
     for k in keys:
         v = deep_find(payload, k)
         if isinstance(v, dict):
-            v = next((v[n] for n in NAMING_KEYS if v.get(n) not in (None, "", [], {})), None)
-        if v not in (None, "", [], {}):
+            v = next((v[n] for n in NAMING_KEYS if v.get(n) not in _EMPTY), None)
+        if isinstance(v, list):
+            v = ", ".join(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in v if x not in _EMPTY)
+        if v not in _EMPTY:
             return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
     return None
 

@@ -113,3 +113,51 @@ def bid_scenarios(
         r2(F.col("_spent")).alias("breakeven_sale_price"),
         r2(F.col("_months")).alias("holding_months"),
     )
+
+
+def cents(c: Column | str) -> Column:
+    """Two digits after the point by the binary value, as a decimal."""
+    x = col(c).cast("double")
+    return (F.signum(x) * F.floor(F.abs(x) * 100 + 0.5) / 100).cast("decimal(15,2)")
+
+
+def query_number(c: Column | str, comma: bool = False) -> Column:
+    """A number as a query has it: whole ones without a point, others with a point or a comma."""
+    x = col(c).cast("double")
+    text = F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+    return F.replace(text, F.lit("."), F.lit(",")) if comma else text
+
+
+# Bounds of an evaluation.
+LONGEST_EXPLANATION, LONGEST_TIME, MOST_LINKS = 10_000, 500, 50
+LOCAL_HOSTS = ("localhost", "127.0.0.1", "[::1]")
+DISCLAIMER = "Предварительная машинная гипотеза; не является независимой оценкой имущества."
+
+
+def evaluation_problems(price: Column, low: Column, high: Column, confidence: Column, explanation: Column, links: Column, risk: Column, advice: Column, time_to_sell: Column) -> Column:
+    """What is wrong with an evaluation, as an array of names; empty if it is valid."""
+    ok = lambda test: F.coalesce(test, F.lit(False))
+    sized = lambda c, most: ok(F.length(c).between(1, most))
+    host = lambda u: F.lower(F.regexp_extract(u, r"^https://([^/:?#]+|\[[^\]]*\])", 1))
+    public = F.coalesce(F.forall(links, lambda u: u.startswith("https://") & (host(u) != "") & ~host(u).isin(*LOCAL_HOSTS)) & (F.size(links) <= MOST_LINKS), F.lit(True))
+    tests = {
+        "price": ok(price > 0) & ok(low > 0) & ok(high > 0),
+        "range": ok((low <= price) & (price <= high)),
+        "confidence": ok(confidence.isin("low", "medium", "high")),
+        "explanation": sized(explanation, LONGEST_EXPLANATION),
+        "links": public,
+        "risk": ok(risk.between(1, 10)),
+        "recommendation": sized(advice, LONGEST_EXPLANATION),
+        "time_to_sell": sized(time_to_sell, LONGEST_TIME),
+    }
+    return F.filter(F.array(*[F.when(~test, name) for name, test in tests.items()]), lambda x: x.isNotNull())
+
+
+def advice_text(advice: Column, time_to_sell: Column) -> Column:
+    return F.concat(F.lit(DISCLAIMER + "\n\n"), advice, F.lit("\n\nОжидаемый срок продажи: "), time_to_sell)
+
+
+def within(price: Column, low: float = 0, high: float = 0) -> Column:
+    """Within bounds of which 0 is none; with a bound, a row without a price is out."""
+    given = F.coalesce(price, F.lit(0))
+    return (F.lit(not low) | (given != 0) & (given >= low)) & (F.lit(not high) | (given != 0) & (given <= high))
