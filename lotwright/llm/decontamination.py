@@ -31,8 +31,8 @@ from . import common
 from .common import Spans, mix
 
 SIMILARITY = 0.8
-#: Places sampled from a walk for one key, and keys for each window: 0.99 of the windows at the limit share one.
-SAMPLED, REPEATS = 2, 64
+#: Places sampled from a walk for one key, and keys for each window: over 0.99 of the windows at the limit share one.
+SAMPLED, REPEATS = 2, 96
 BLOCK_WORDS = 2_000_000
 #: Windows walked over at once.
 WINDOWS = 2000
