@@ -137,7 +137,8 @@ def test_json(value):
     payload = json.dumps({"photos": [{"url": "https://a/1"}, {"thumbnail": "//a/2"}, {"image_url": "javascript:x"}, {"photo_url": "file:x"}, {"url": "https://a/1"}]})
     assert value(jsonwalk.image_urls("a"), payload) == ["https://a/1", "https://a/2"]
     assert value(jsonwalk.first_non_empty("a", "x", "y", "z"), '{"x": "", "y": [], "z": 3}') == "3"
-    assert value(jsonwalk.deep_pick("a", "Price.value"), '{"q": [{"price": {"Value": "7"}}]}') == "7"
+    assert value(jsonwalk.deep_pick("a", "Price.value"), '{"price": {"Value": "7"}}') == "7"
+    assert value(jsonwalk.deep_pick("a", "Price.value"), '{"q": [{"price": {"Value": "7"}}]}') is None  # a path begins at the top
     assert json.loads(value(jsonwalk.repaired_object("a"), "```json\n{a: 1, \"b\": [2,],}\n```")) == {"a": 1, "b": [2]}
     diff = value(jsonwalk.map_difference(F.create_map(F.lit("pages"), F.lit("1")), F.create_map(F.lit("pages"), F.lit("2"))))
     assert {k: tuple(v) for k, v in diff.items()} == {"pages": ("1", "2")}
