@@ -229,3 +229,27 @@ def semi_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     spread = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")
     wanted = keys.select(*on).join(F.broadcast(hot), on, "left").select(*on, spread)
     return salted.join(wanted, [*on, "_salt"], "left_semi").drop("_salt")
+
+
+#: Rows of a hot key that one task of dealt_join is given, where HOT_SHARE of all rows is less.
+FEW = 256
+
+
+def dealt_join(rows: DataFrame, once: DataFrame, on: str, how: str = "inner", counted: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """rows joined with once, which holds a key at most one time, a hot key's rows dealt to many tasks.
+
+    counted has the same keys as rows as often and is cheaper to read, if given. Rows are dealt by their columns by, which
+    should tell rows of one key apart. A hot key's row of once is repeated for each of its tasks, altogether at most
+    2 / HOT_SHARE times. Columns and their order are as of a plain join.
+    """
+    salt, salts = fresh(rows.select(*rows.columns, *[F.lit(0).alias(c) for c in once.columns if c not in rows.columns]), "_salt", "_salts")
+    keys = (rows if counted is None else counted).groupBy(on).agg(F.count(F.lit(1)).alias(salts))
+    keys = stage(keys.where(F.col(salts) > FEW), "hot")
+    total = (rows if counted is None else counted).count()
+    least = max(FEW, total * HOT_SHARE)
+    hot = F.broadcast(keys.where(F.col(salts) > least).withColumn(salts, F.ceil(F.col(salts) / least).cast("int")))
+    nth = F.when(F.col(salts).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(0), *(rows.columns if by is None else by)), F.col(salts))).cast("int").alias(salt)
+    copies = F.when(F.col(salts).isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col(salts) - 1))
+    salted = rows.join(hot, on, "left").select(*rows.columns, nth)
+    spread = once.join(hot, on, "left").select(*once.columns, F.explode(copies).alias(salt))
+    return salted.join(spread, [on, salt], how).select(on, *[c for c in rows.columns if c != on], *[c for c in once.columns if c != on])

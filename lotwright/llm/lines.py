@@ -7,6 +7,8 @@ BAND of the threshold, sites are counted exactly. Every (line, site) of every ro
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +81,10 @@ def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_tex
     between = lambda p, q: F.when(p.isNull(), F.array().cast("array<boolean>")).otherwise(F.concat(F.array_repeat(F.lit(True), p - q - 1), F.array(F.lit(False))))
     flags = F.flatten(F.zip_with(places, F.concat(F.array(F.lit(-1)), places), between))
     gone = found.groupBy("t").agg(flags.alias(_gone)).withColumnRenamed("t", _t)
-    joined = docs.withColumn(_t, known).join(gone, _t, "left")
+    # Copies of one text may be a third of all rows; what tells them apart is any column but the text.
+    apart = [c for c, kind in docs.dtypes if c != text_col and not {"map", "variant"} & set(re.findall(r"\w+", kind))]
+    hashed = docs.withColumn(_t, known)
+    joined = common.dealt_join(hashed, gone, _t, "left", hashed.select(_t), apart)
     lines = _lines(F.col(text_col))
     out = joined.withColumn(_kept, F.when(F.col(_gone).isNull(), lines).otherwise(F.filter(lines, lambda x, j: F.coalesce(F.get(F.col(_gone), j), F.lit(True)))))
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
