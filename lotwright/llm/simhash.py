@@ -272,7 +272,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = common.stage(pairs, "pairs")
         asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "t"), "c")
-        texts = common.stage(plain.select("t", "text").join(asked, "t").groupBy("c").agg(F.min("text").alias("text")), "texts")
+        texts = common.stage(common.dealt_join(plain.select("id", "t", "text"), asked, "t", counted=prints, by=["id"]).groupBy("c").agg(F.min("text").alias("text")), "texts")
         both = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
         alike = both.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard_rows(words), "a long, b long, similarity double")
         alike = common.stage(alike.where(F.col("similarity") >= similarity).select("a", "b"), "alike")
@@ -288,7 +288,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     labelled = classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     linked = labelled.join(roots.select(F.col("node").alias("c")), "c", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
     final = labelled.join(linked, "root", "left").select("c", "root", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(final, "c").select("id", "t", "component_id", "root")
+    return common.dealt_join(prints, final, "c", by=["id"]).select("id", "t", "component_id", "root")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
