@@ -27,8 +27,13 @@ STATUS_RULES = (
     ("scheduled", ("scheduled", "pending", "приём", "прием", "ожида")),
     ("active", ("active", "published", "open", "опублик", "идут торги")),
 )
+STATUS_CODES = (
+    ("active", ("published", "applications_submission", "applications_acceptance")),
+    ("scheduled", ("bidding", "determining_winner")),
+    ("closed", ("completed", "canceled", "cancelled", "failed", "annulled", "archive")),
+)
 CATALOGUE_STATUS_RULES = (
-    ("active", ("applications_submission", "опублик", "прием", "приём", "заяв")),
+    ("active", ("опублик", "прием", "приём", "заяв")),
     ("closed", ("проведен", "заверш", "состоял", "отмен", "аннулир")),
     ("scheduled", ("торг", "ожида", "назнач")),
 )
@@ -94,7 +99,7 @@ def status(c: Column | str) -> Column:
 
 def catalogue_status(c: Column | str) -> Column:
     text = F.lower(clean(c))
-    return F.when(text == "", "unknown").otherwise(first_rule(text, CATALOGUE_STATUS_RULES, F.lit("unknown")))
+    return F.when(text == "", "unknown").otherwise(first_rule(text, STATUS_CODES + CATALOGUE_STATUS_RULES, F.lit("unknown")))
 
 
 def status_decision(raw_status: Column | str, captions: Column | str, fallback: Column | str | None = None) -> Column:

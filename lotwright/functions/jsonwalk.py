@@ -15,7 +15,7 @@ from .text import col
 
 # Keys that hold pictures, and keys of an object that name it.
 IMAGE_KEYS = ("photos", "images", "gallery", "pictures", "photo", "image", "thumbnail", "photo_url", "image_url", "thumb_url", "url", "src")
-NAMING_KEYS = ("name", "label", "value", "title", "address", "fullAddress", "fullName")
+NAMING_KEYS = ("name", "label", "value", "title", "fullName", "address")
 IMAGE_DEPTH = 4
 
 
@@ -78,11 +78,11 @@ def deep_find(payload: Any, path: str) -> Any:
 
 
 def pick(payload: Any, *keys: str) -> str | None:
-    """The first key's value as text: an object by what names it, a list by its parts."""
+    """The first key's value as text: an object by what names it at any depth, or as JSON; a list by its parts."""
     for k in keys:
         v = deep_find(payload, k)
         if isinstance(v, dict):
-            v = next((v[n] for n in NAMING_KEYS if v.get(n) not in _EMPTY), None)
+            v = next((named for n in NAMING_KEYS if (named := pick(v, n)) is not None), v)
         if isinstance(v, list):
             v = ", ".join(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in v if x not in _EMPTY)
         if v not in _EMPTY:

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The form of an identifier that is the same everywhere.
+GUID = r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
 # Words that do not tell addresses apart.
 COMMON_ADDRESS_WORDS = ("российская", "федерация", "область", "район", "имущества", "имущество", "расположенное", "адресу")
 
@@ -85,7 +87,7 @@ def lot_id_of_url(c: Column | str) -> Column:
 
 
 def is_guid(c: Column | str) -> Column:
-    return F.coalesce(F.trim(col(c)).rlike(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False))
+    return F.coalesce(F.trim(col(c)).rlike(f"^{GUID}$"), F.lit(False))
 
 
 def shorten(c: Column | str, longest: int = 200) -> Column:

@@ -7,24 +7,13 @@ the source understands are pushed to it as parameters; the others stay with Spar
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
 
-from ..functions.text import clean
-
-#: One record shape for every source. Nested JSON stays as text until it is asked for.
-LISTING_SCHEMA = (
-    "external_id string, source string, title string, description string, category string, region_name string, address string, cadastral_number string, "
-    "start_price double, current_price double, status string, lot_url string, published_at string, raw_data string"
-)
-
-
 @dataclass
 class Page:
     """Rows of a page, and the cursor of the next one, or none."""
@@ -136,21 +125,44 @@ class _JsonPagesReader(DataSourceReader):
                 yield (partition.number, n, str(item["id"]) if item.get("id") else None, status, json.dumps(item, ensure_ascii=False), None)
 
 
+# Keys that an answer keeps its items, its totals and its pages under.
+ITEM_KEYS = ("content", "items", "data", "results", "lotCards", "lots", "records")
+TOTAL_KEYS = ("totalElements", "total", "totalCount", "total_count", "count")
+PAGES_KEYS = ("totalPages", "total_pages", "pages", "pageCount")
+
+
 def items_of(payload: Any) -> list[dict]:
-    """The list of items in an answer, wherever such sources keep it."""
+    """The list of items in an answer, wherever such sources keep it; a list ends the search, an object only if it has items."""
     if isinstance(payload, list):
         return [x for x in payload if isinstance(x, dict)]
-    for key in ("content", "items", "lots", "results", "data"):  # fixed values
-        inner = payload.get(key) if isinstance(payload, dict) else None
-        if inner:
+    for key in ITEM_KEYS if isinstance(payload, dict) else ():
+        inner = payload.get(key)
+        if isinstance(inner, list) or (isinstance(inner, dict) and items_of(inner)):
             return items_of(inner)
     return []
 
 
-def has_more(page: int, size: int, count: int, total: int | None, last: bool | None = None) -> bool:
-    if last is not None:
-        return not last
-    return page + 1 < math.ceil(total / size) if total is not None else count >= size
+def count_of(payload: Any, keys: tuple[str, ...] = TOTAL_KEYS) -> int | None:
+    """The first of keys that is a whole number, of an answer or of its page object."""
+    while isinstance(payload, dict):
+        for key in keys:
+            try:
+                return int(payload[key])
+            except (KeyError, TypeError, ValueError):
+                continue
+        payload = payload.get("page")
+    return None
+
+
+def has_more(payload: Any, page: int, size: int, count: int) -> bool:
+    """Whether pages follow page (from 1): as the answer says, else by its total, else where the page is full."""
+    said = payload if isinstance(payload, dict) else {}
+    if "last" in said:
+        return not said["last"]
+    if "hasNext" in said:
+        return bool(said["hasNext"])
+    total = count_of(payload)
+    return page * size < total if total is not None else count >= size
 
 
 def register(spark: SparkSession) -> None:
@@ -159,27 +171,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(JsonPages)
 
 
-def normalise(pages: DataFrame, source: str) -> DataFrame:
-    """Payloads of json_pages as LISTING_SCHEMA; rows without an id go, the first of a repeated id stays."""
-    from ..functions import classify, extract
+def normalise(pages: DataFrame, source: str, system: str = "", base: str = "") -> DataFrame:
+    """Payloads of json_pages as records; rows without an id go, the first of a repeated id stays."""
+    from . import records
     from .paging import crawl
 
-    v = lambda k: F.nullif(F.get_json_object("payload", "$." + k), F.lit(""))
-    rows = crawl(pages.where("error IS NULL"), "ident", "page", "position")
-    said = F.concat_ws(" ", v("lotName"), v("lotDescription"))
-    return rows.select(
-        F.concat_ws(":", F.lit(source), "ident").alias("external_id"),
-        F.lit(source).alias("source"),
-        clean(v("lotName")).alias("title"),
-        clean(v("lotDescription")).alias("description"),
-        classify.category_of_source(v("categoryCode"), {"2": "land"}, F.lit(None).cast("string"), v("lotName"), v("lotDescription")).alias("category"),
-        v("subjectRFName").alias("region_name"),
-        extract.address(said).alias("address"),
-        F.try_element_at(extract.cadastral_numbers(said), F.lit(1)).alias("cadastral_number"),
-        v("priceMin").try_cast("double").alias("start_price"),
-        v("priceMin").try_cast("double").alias("current_price"),
-        classify.catalogue_status(v("lotStatus")).alias("status"),
-        F.lit(None).cast("string").alias("lot_url"),
-        v("firstVersionPublicationDate").alias("published_at"),
-        F.col("payload").alias("raw_data"),
-    )
+    return records.of_listings(crawl(pages.where("error IS NULL"), "ident", "page", "position"), "payload", source, system or source, base)

@@ -3,7 +3,7 @@ import zipfile
 
 import pytest
 
-from lotwright.sources import cards, connectors, paging, sheets
+from lotwright.sources import cards, connectors, paging, records, sheets
 
 
 def test_registry():
@@ -15,7 +15,19 @@ def test_registry():
     with pytest.raises(KeyError):
         r.create("b")
     assert connectors.source_parameters({"low": 5.0, "x": 1, "kinds": [1, 2], "none": None}, {"low": "priceMin", "kinds": "cat"}) == ({"priceMin": 5, "cat": "1,2"}, ["x"])
-    assert connectors.has_more(0, 20, 20, 45) and not connectors.has_more(2, 20, 5, 45) and not connectors.has_more(0, 20, 3, None) and not connectors.has_more(0, 1, 1, 9, last=True)
+    more = connectors.has_more
+    assert more({"total": 45}, 1, 20, 20) and more({"page": {"totalElements": "45"}}, 2, 20, 20) and not more({"total": 45}, 3, 20, 5)
+    assert not more([], 1, 20, 3) and more([], 1, 3, 3) and not more({"last": True, "total": 9}, 1, 1, 1) and more({"hasNext": 1, "total": 1}, 1, 1, 1)
+    assert connectors.items_of({"data": {"lots": [{"a": 1}, 2]}}) == [{"a": 1}] and connectors.items_of({"content": [], "items": [{}]}) == [] and connectors.items_of(None) == []
+    assert connectors.count_of({"totalPages": "x", "page": {"pages": 3}}, connectors.PAGES_KEYS) == 3
+
+
+def test_listing_parameters():
+    made, left, warnings = records.listing_parameters({"page": 3, "page_size": 500, "subject_rf": "Ярославская область", "category_code": "7", "fias": "у реки", "price_min": 1000.0, "price_max": 99.5, "is_msp": True, "odd": 1, "type_transaction": " SALE "}, {"Ярославская область": "76"})
+    assert (made["page"], made["size"], made["dynSubjRF"], made["catCode"], made["priceMin"], made["priceMax"], made["isMsp"], made["typeTransaction"]) == ("2", "100", "76", "8,9,10,11,12", "1000", "99.5", "true", "sale")
+    assert left == {"fias": "у реки", "odd": 1} and len(warnings) == 3
+    made, left, warnings = records.listing_parameters({"fias": "8c5f1e0a-1b2c-4d3e-9f00-aabbccddeeff", "lot_status": None})
+    assert made["fias"].startswith("8c5f") and made["lotStatus"] == "PUBLISHED,APPLICATIONS_SUBMISSION" and made["page"] == "0" and not left and not warnings
 
 
 def test_json_pages(spark, tmp_path):
@@ -29,7 +41,7 @@ def test_json_pages(spark, tmp_path):
     rows = {r.external_id: r for r in connectors.normalise(pages, "reg").collect()}
     assert set(rows) == {"reg:a", "reg:b"}
     a = rows["reg:a"]
-    assert (a.category, a.cadastral_number, a.start_price, a.status) == ("land", "55:36:000000:123", 1250000.0, "active")
+    assert (a.category, a.cadastral_number, a.start_price, a.auction_status) == ("land", "55:36:000000:123", 1250000.0, "active")
     assert pages.where("page = 1").count() == 2 and pages.where("status = 'SUCCEED'").count() == 1
     report = paging.crawl_report(pages.where("error IS NULL"), "ident", "page", 6).first()
     assert (report.pages, report.n_rows, report.n_ids, report.without_id, report.repeated, report.unexplained) == (2, 5, 2, 1, 2, 1)
