@@ -35,39 +35,69 @@ def ring_centre(ring: Column) -> Column:
     return F.when(F.size(ring) > 0, F.struct(mean(1).alias("lat"), mean(0).alias("lon")))
 
 
-def padded_box(west: float, south: float, east: float, north: float, digits: int = 2, share: float = 0.15) -> tuple[float, float, float, float]:
-    """A viewport widened on all sides and rounded, so that small moves ask for the same box."""
-    dx, dy = (east - west) * share, (north - south) * share
-    return round(west - dx, digits), round(max(-90, south - dy), digits), round(east + dx, digits), round(min(90, north + dy), digits)
+def padded_box(west: float, south: float, east: float, north: float, zoom: int = 0, share: float = 0.15, least: float = 0.02) -> tuple[float, float, float, float]:
+    """A viewport widened on all sides and rounded by its zoom, so that small moves ask for the same box; never beyond the globe."""
+    dx, dy = max((east - west) * share, least), max((north - south) * share, least)
+    digits = 4 if zoom >= 16 else 3 if zoom >= 10 else 2
+    return max(-180.0, round(west - dx, digits)), max(-90.0, round(south - dy, digits)), min(180.0, round(east + dx, digits)), min(90.0, round(north + dy, digits))
 
 
 def same_point(lat: Column, lon: Column) -> Column:
     return F.struct(F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
 
 
-# Short forms in addresses and what a gazetteer calls them.
+# What is left out of addresses, their short forms and what a gazetteer calls them, in this order.
 ADDRESS_FORMS = (
-    (r"(?iuU)\bм\.?\s*р-н\s+([\p{L}-]+)", "$1 муниципальный округ"),
-    (r"(?iuU)\bс\.?\s*п\.?\s+[\p{L}-]+\s*,?", ""),
-    (r"(?iuU),?\s*с\s+земельн\p{L}+\s+участк\p{L}+", ""),
-    (r"(?iuU)\bобл\.?(?=[\s,]|$)", "область"),
-    (r"(?iuU)\bр-н(?=[\s,]|$)", "район"),
-    (r"(?iuU)\bс\.\s*(?=\p{Lu})", "село "),
-    (r"(?iuU)\bд\.\s*(?=\p{Lu})", "деревня "),
-    (r"(?iuU)\bг\.\s*(?=\p{Lu})", "город "),
-    (r"(?iuU)\bул\.\s*", "улица "),
+    (r"\.{3,}$", ""),
+    (r",?\s*(?:с|вместе\s+с)\s+земельн(?:ым|ого)\s+участк(?:ом|а).*$", ""),
+    (r",\s*с\.\s*п\.\s*[^,]+", ""),
+    (r"(?:м\.\s*)?р-н\s+([^,]*[^,\s])\s*", "$1 муниципальный округ"),
+    (r"([^,\s][^,]*?)\s+(?:р-н|район)(?=,|$)", "$1 муниципальный округ"),
+    (r"\bПереславский муниципальный округ\b", "Переславль-Залесский муниципальный округ"),
+    (r"\bобл\.(?=\s|,|$)", "область"),
+    (r"\bг\.(?=\s)", "город "),
+    (r"\bп\.(?=\s)", "поселок "),
+    (r"\bс\.(?=\s)", "село "),
+    (r"\bд\.(?=\s)", "дом "),
+    (r"\bул\.(?=\s)", "улица "),
+    (r"\s+", " "),
 )
+_ANY_CASE = "(?iuU)"
+REGION_PART, DISTRICT_PART = r"област", r"муниципальн|район"
+LOCALITY_KINDS = r"(?:город|село|поселок|деревня|рабочий поселок)"
+LOCALITY_PART, STREET_PART, HOUSE_PART = rf"\b{LOCALITY_KINDS}\b", r"\b(?:улица|проспект|шоссе|переулок)\b", r"\bдом\s*\d"
 
 
-def address_candidates(c: Column | str) -> Column:
-    """Up to four spellings to look an address up by, the fullest first: rewritten, then without its last parts."""
-    text = clean(c)
+def address_candidates(address: Column | str, region: Column | str | None = None, title: Column | str | None = None) -> Column:
+    """Up to four spellings to look an address up by: rewritten whole, then by its locality with street, district or region.
+
+    A blank address is looked for in the title; no address gives an empty array. Spellings that differ in case count once.
+    """
+    from .extract import address as address_in
+
+    text = F.trim(F.coalesce(col(address), F.lit("")))
+    if title is not None:
+        text = F.when(text == "", F.coalesce(address_in(title), F.lit(""))).otherwise(text)
     for pattern, form in ADDRESS_FORMS:
-        text = F.regexp_replace(text, pattern, form)
-    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
-    n = F.size(parts)
-    wide = [F.when(n > k, F.array_join(F.slice(parts, 1, F.greatest(n - k, F.lit(1))), ", ")) for k in range(3)]
-    return F.slice(F.array_distinct(F.filter(F.array(*wide, F.nullif(clean(c), F.lit(""))), lambda x: x.isNotNull())), 1, 4)
+        text = F.regexp_replace(text, _ANY_CASE + pattern, form)
+    text = F.regexp_replace(text, r"^[ ,.;]+|[ ,.;]+$", "")
+    own = F.coalesce(col(region), F.lit("")) if region is not None else F.lit("")
+    text = F.when((text != "") & (own != "") & ~F.contains(F.lower(text), F.lower(own)), F.concat(text, F.lit(", "), own)).otherwise(text)
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.regexp_replace(p, r"^[ .;]+|[ .;]+$", "")), lambda p: p != "")
+    part = lambda pattern: F.get(F.filter(parts, lambda p: p.rlike(_ANY_CASE + pattern)), F.lit(0))
+    place = F.nullif(F.regexp_replace(part(LOCALITY_PART), rf"{_ANY_CASE}^{LOCALITY_KINDS}\s+", ""), F.lit(""))
+    area, district, street = F.coalesce(part(REGION_PART), F.nullif(own, F.lit(""))), part(DISTRICT_PART), part(STREET_PART)
+    house = F.nullif(F.regexp_replace(part(HOUSE_PART), rf"{_ANY_CASE}^дом\s*", ""), F.lit(""))
+    joined = lambda *of: F.concat_ws(", ", *of)
+    every = F.array(
+        F.nullif(text, F.lit("")),
+        F.when(street.isNotNull() & place.isNotNull(), joined(house, street, place, district, area)),
+        F.when(place.isNotNull() & district.isNotNull(), joined(place, district, area)),
+        F.when(place.isNotNull() & area.isNotNull(), joined(place, area)),
+    )
+    given = F.filter(every, lambda x: x.isNotNull())
+    low = F.transform(given, F.lower)
+    return F.filter(given, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 
 
 def candidate_score(query: Column, name: Column) -> Column:

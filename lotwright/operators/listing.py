@@ -36,6 +36,16 @@ def ordered(df: DataFrame, modes: dict[str, Column], mode: str | None, default:
     return df.orderBy(modes.get(mode, modes[default]), F.col(tie).asc())
 
 
+def sort_number(c: Column | str) -> Column:
+    """A column's numbers to sort by: what is none sorts as -1."""
+    return F.coalesce((F.col(c) if isinstance(c, str) else c).try_cast("double"), F.lit(-1.0))
+
+
+def sort_text(c: Column | str) -> Column:
+    """A column's texts to sort by, whatever their case; null sorts as empty."""
+    return F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+
+
 def page(df: DataFrame, number: int, size: int) -> DataFrame:
     """Page number, from 1; the plan is a top-k over number * size rows, not a full sort."""
     if number < 1 or size < 1:

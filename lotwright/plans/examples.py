@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, extract, geo, jsonwalk, money, places, text
-from ..operators import review
+from ..operators import listing, review
+from ..sources import cards
 from .catalogue import query
 from .registry import table
 
@@ -217,3 +218,18 @@ by_example("feature_choice", "features string, number string", "chosen string",
 by_example("address_match_score", "asked string, named string", "score int", [
     ("Ярославль, улица Свободы", "Свободы улица, Ярославль, Россия", 3), ("Ярославская", "Ярославский", 1), ("Клин", "Тверь", 0),
 ], lambda: geo.candidate_score(c("asked"), c("named")))
+
+by_example("address_candidates", "said string, region string", "asked string", [
+    ("Ярославская область, м. р-н Угличский, с. п. Слободское, с. Ефремово, с земельным участком", None, "Ярославская область, Угличский муниципальный округ, село Ефремово|Ефремово, Угличский муниципальный округ, Ярославская область|Ефремово, Ярославская область"),
+    ("Рязанская обл., г. Сасово, ул. Ленина, д. 7", None, "Рязанская область, город Сасово, улица Ленина, дом 7|7, улица Ленина, Сасово, Рязанская область|Сасово, Рязанская область"),
+    ("п. Борок, Некоузский район...", "Ярославская область", "поселок Борок, Некоузский муниципальный округ, Ярославская область|Борок, Некоузский муниципальный округ, Ярославская область|Борок, Ярославская область"),
+    ("", "Тверская область", ""), (None, None, ""),
+], lambda: _list(geo.address_candidates("said", "region")))
+
+by_example("client_sort_keys", "amount string, name string, moment string", "amount_key double, name_key string, moment_key string", [
+    ("12.5", "Ёж", "15.05.2026 10:00", 12.5, "ёж", "2026-05-15"), (None, None, None, -1.0, "", "0001-01-01"), ("x", "ABC", "2026-05-15T08:00:00+03:00", -1.0, "abc", "2026-05-15"), ("0", "", "скоро", 0.0, "", "0001-01-01"),
+], lambda: listing.sort_number("amount"), lambda: listing.sort_text("name"), lambda: F.date_format(dates.sort_key("moment"), "yyyy-MM-dd"))
+
+by_example("paginators", "page string", "numbers string", [
+    ("<div class='ty-pagination'><a href='?page=2'>2</a><a href='?a=1&page=11'>11</a><a href='?page=2'>next</a></div>", "2|11"), ("<a href='?page=5'>5</a>", ""), (None, ""),
+], lambda: _list(F.transform(cards.page_numbers_of("page"), lambda n: n.cast("string"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -93,6 +94,65 @@ def lot_cards(page: str) -> list[dict]:
     return out
 
 
+# The classes of a catalogue's cards, and the least length of a link's text that names a lot.
+PRODUCT_CARD, PRODUCT_TITLE, PRODUCT_PRICE, PRODUCT_CODE, PRODUCT_IMAGES, PAGINATOR = "ty-grid-list__item", "product-title", "ty-price-num", "ty-grid-list__product-code", ("ty-pict", "cm-image"), "ty-pagination"
+LOT_PATH, LEAST_TITLE = "/new/public/lots/lot/", 20
+
+
+def product_cards(page: str) -> list[dict]:
+    """Cards of a catalogue of products, each product once: the id of its link or else of its form, title, price, code, pictures."""
+    out: dict[str, dict] = {}
+    for card in find(Tree(page).root, None, PRODUCT_CARD):
+        link = next((a for a in find(card, "a", PRODUCT_TITLE) if "products.view" in (a[1].get("href") or "")), None)
+        if link is None:
+            continue
+        said = re.search(r"[?&]product_id=(\d+)", link[1]["href"])
+        field = next((i[1].get("value") for i in find(card, "input") if "[product_id]" in (i[1].get("name") or "")), None)
+        ident = said.group(1) if said else field
+        first = lambda cls: next((words(n) for n in find(card, None, cls)), None)  # noqa: B023, E731
+        pictures = [i[1].get("src") or i[1].get("data-src") or "" for i in find(card, "img") if set((i[1].get("class") or "").split()) & set(PRODUCT_IMAGES)]
+        if ident:
+            kept = list(dict.fromkeys(p.strip() for p in pictures if p.strip() and not p.strip().startswith("data:")))
+            out.setdefault(ident, {"ident": ident, "url": link[1]["href"], "title": " ".join((link[1].get("title") or words(link)).split()), "price_text": first(PRODUCT_PRICE), "code": first(PRODUCT_CODE), "images": kept})
+    return list(out.values())
+
+
+def lot_links(page: str) -> list[dict]:
+    """Links to lots of a page without known cards, each lot once, with the text of the element around them; short texts name none."""
+    out: dict[str, dict] = {}
+    for box in walk(Tree(page).root):
+        for a in box[2]:
+            url = a[1].get("href") or "" if isinstance(a, list) and a[0] == "a" else ""
+            said = re.search(r"/lot/([^/?#]+)", url)
+            if LOT_PATH in url and said and len(words(a)) >= LEAST_TITLE:
+                out.setdefault(said.group(1), {"ident": said.group(1), "url": url, "title": words(a), "text": words(box)})
+    return list(out.values())
+
+
+def page_numbers(page: str) -> list[int]:
+    """The page numbers that a catalogue's paginator links to."""
+    found = [re.search(r"[?&]page=(\d+)", a[1].get("href") or "") for box in find(Tree(page).root, None, PAGINATOR) for a in find(box, "a")]
+    return sorted({int(m.group(1)) for m in found if m})
+
+
+_TEXTS = lambda *names: [T.StructField(n, T.StringType()) for n in names]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([*_TEXTS("ident", "url", "title", "price_text", "code"), T.StructField("images", T.ArrayType(T.StringType()))])))
+def product_cards_of(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: product_cards(p or ""))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType(_TEXTS("ident", "url", "title", "text"))))
+def lot_links_of(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: lot_links(p or ""))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def page_numbers_of(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: page_numbers(p or ""))
+
+
 CARD = T.StructType([*[T.StructField(n, T.StringType()) for n in ("ident", "url", "title", "price_text")], T.StructField("images", T.ArrayType(T.StringType()))])
 
 

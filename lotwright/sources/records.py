@@ -165,6 +165,11 @@ def of_listings(rows: DataFrame, payload: str, source: str, system: str, base: s
     )
 
 
+def _entry(entries: str, key: str) -> Column:
+    """The first value under a key, whatever its case, that is not null or empty."""
+    return F.get(F.filter(entries, lambda e: (F.lower(e["key"]) == key) & ~e["value"].isin("", "[]", "{}")), F.lit(0))["value"]
+
+
 def of_messages(rows: DataFrame, payload: str, source: str, system: str, card: str, api: str) -> DataFrame:
     """Messages of an official register (a JSON object a row) as records; keys in any case, at the top only.
 
@@ -173,8 +178,7 @@ def of_messages(rows: DataFrame, payload: str, source: str, system: str, card: s
     m = rows.select(F.col(payload).alias("_raw"), F.map_entries(F.from_json(payload, "map<string,string>")).alias("_m"))
 
     def t(name: str) -> Column:
-        at = [F.get(F.filter("_m", lambda e, k=k: (F.lower(e["key"]) == k.lower()) & ~e["value"].isin("", "[]", "{}")), F.lit(0))["value"] for k in MESSAGE_KEYS[name]]
-        return F.coalesce(*at)
+        return F.coalesce(*[_entry("_m", key.lower()) for key in MESSAGE_KEYS[name]])
 
     title, description, price = F.coalesce(t("title"), F.concat(F.lit(f"Сообщение {system} "), t("id"))), F.coalesce(t("description"), F.lit("")), t("price").try_cast("double")
     return as_record(
@@ -205,6 +209,65 @@ def of_messages(rows: DataFrame, payload: str, source: str, system: str, card: s
     )
 
 
+def of_products(pages: DataFrame, html: str, source: str, system: str, base: str, status: str = "unknown", platform: str | None = None) -> DataFrame:
+    """Catalogue pages (HTML a row) as records, each product once over all pages; facts are read from its title."""
+    from . import cards
+
+    c = pages.select(F.explode(cards.product_cards_of(html)).alias("c")).select("c.*").dropDuplicates(["ident"])
+    price, url = money.parse_money("price_text"), absolute(F.col("url"), base)
+    raw = F.to_json(F.struct(F.col("ident").alias("product_id"), "price_text", F.col("code").alias("procedure_number"), F.transform("images", lambda i: absolute(i, base)).alias("image_urls")))
+    return as_record(
+        c,
+        external_id=F.concat(F.lit(source + ":"), "ident"),
+        source=F.lit(source),
+        source_system=F.lit(system),
+        title=F.left("title", F.lit(TITLE_LENGTH)),
+        description=F.left("title", F.lit(DESCRIPTION_LENGTH)),
+        category=classify.category("title", "title"),
+        address=extract.address("title"),
+        cadastral_number=F.try_element_at(extract.cadastral_numbers("title"), F.lit(1)),
+        area=_area_in(F.col("title")),
+        start_price=price,
+        current_price=price,
+        auction_status=F.lit(status),
+        lot_url=url,
+        source_url=url,
+        detail_level=F.lit("search"),
+        raw_data=raw,
+        platform_name=F.lit(platform),
+        procedure_number=F.col("code"),
+    )
+
+
+def of_links(pages: DataFrame, html: str, source: str, system: str, base: str) -> DataFrame:
+    """Pages without known cards as records: what links to a lot, each lot once over all pages; facts are read from the text around it."""
+    from . import cards
+
+    c = pages.select(F.explode(cards.lot_links_of(html)).alias("c")).select("c.*").dropDuplicates(["ident"]).withColumn("region", region_in("text"))
+    price, url = F.nullif(extract.price("text")["value"], F.lit(0.0)), absolute(F.col("url"), base)
+    return as_record(
+        c,
+        external_id=F.concat(F.lit(source + ":"), "ident"),
+        source=F.lit(source),
+        source_system=F.lit(system),
+        title=F.left("title", F.lit(TITLE_LENGTH)),
+        description=F.left("text", F.lit(DESCRIPTION_LENGTH)),
+        category=classify.category("title", "text"),
+        region_slug=text.slug("region"),
+        region_name=F.col("region"),
+        address=extract.address("text"),
+        cadastral_number=F.try_element_at(extract.cadastral_numbers("text"), F.lit(1)),
+        area=F.coalesce(_area_in(F.col("text")), extract.land_area("text")),
+        start_price=price,
+        current_price=price,
+        auction_status=classify.catalogue_status("text"),
+        lot_url=url,
+        source_url=url,
+        detail_level=F.lit("search"),
+        raw_data=F.to_json(F.struct(F.lit("html_fallback").alias("source"), "title", url.alias("url"), F.left("text", F.lit(DESCRIPTION_LENGTH)).alias("text"))),
+    )
+
+
 # A filter's name and the parameter of the listing source.
 LISTING_PARAMETERS = {
     "search_text": "text", "type_transaction": "typeTransaction", "subject_rf": "dynSubjRF", "fias": "fias", "ownership_form": "ownershipForm", "category_code": "catCode",

@@ -131,6 +131,7 @@ def test_geo(value):
     first = value(geo.address_candidates("a"), "Ярославская область, м. р-н Угличский, с. п. Слободское, с. Ефремово, с земельным участком")
     assert first[0] == "Ярославская область, Угличский муниципальный округ, село Ефремово" and len(first) <= 4
     assert geo.padded_box(0, 0, 10, 10) == (-1.5, -1.5, 11.5, 11.5)
+    assert geo.padded_box(0, 0, 0.01, 0.0123456, 16) == (-0.02, -0.02, 0.03, 0.0323) and geo.padded_box(-179, -89, 179, 89, 10) == (-180.0, -90.0, 180.0, 90.0)
 
 
 def test_json(value):
