@@ -161,3 +161,31 @@ def within(price: Column, low: float = 0, high: float = 0) -> Column:
     """Within bounds of which 0 is none; with a bound, a row without a price is out."""
     given = F.coalesce(price, F.lit(0))
     return (F.lit(not low) | (given != 0) & (given >= low)) & (F.lit(not high) | (given != 0) & (given <= high))
+
+
+ASSESSMENT = "market_price double, min_price double, max_price double, confidence string, explanation string, links array<string>, risk_score int, recommendation string, time_to_sell string"
+REVIEW_NOTE = "Обязательна независимая проверка оценщиком, юристом и техническим специалистом."
+SPARSE_NOTE = "Confidence reduced because verifiable comparables or key property facts are missing."
+
+
+def assessment(market: Column, risk: Column, sparse: Column) -> Column:
+    """A struct of an evaluation's columns from two answers (JSON objects that are repaired already), with its problems.
+
+    With sparse evidence, or without links, the confidence is low and the explanation says so. Prices are decimals of two
+    digits. Columns are as answered if there are problems, so that they can be shown; they are to be written without any.
+    """
+    m, r = F.from_json(market, ASSESSMENT), F.from_json(risk, ASSESSMENT)
+    links = F.coalesce(m["links"], F.array().cast("array<string>"))
+    weak = F.coalesce(sparse, F.lit(True)) | (F.size(links) == 0)
+    problems = evaluation_problems(m["market_price"], m["min_price"], m["max_price"], m["confidence"], m["explanation"], links, r["risk_score"], r["recommendation"], r["time_to_sell"])
+    prices = [cents(m[c]).alias(c) for c in ("market_price", "min_price", "max_price")]
+    return F.struct(
+        *prices,
+        F.when(weak, "low").otherwise(m["confidence"]).alias("confidence"),
+        F.when(weak, F.concat(F.lit(SPARSE_NOTE + " "), m["explanation"])).otherwise(m["explanation"]).alias("explanation"),
+        links.alias("links"),
+        r["risk_score"].alias("risk_score"),
+        advice_text(F.concat(r["recommendation"], F.lit("\n\n" + REVIEW_NOTE)), r["time_to_sell"]).alias("advice"),
+        F.lit(True).alias("needs_human_review"),
+        problems.alias("problems"),
+    )

@@ -34,6 +34,15 @@ def valid_ranges(df: DataFrame, keys: list[str], state: str, at: str, *tie: Colu
     return changed.withColumn("valid_from", F.col(at)).withColumn("valid_to", F.lead(at).over(w))
 
 
+def observations(known: DataFrame, seen: DataFrame, key: str, state: str) -> DataFrame:
+    """What is to be appended to a history: rows of seen whose state is not the one last known, with it as previous.
+
+    known and seen hold a row for each key; a row without a state is no observation.
+    """
+    before = known.select(key, F.col(state).alias("previous"))
+    return seen.where(F.col(state).isNotNull()).join(before, key, "left").where(~F.col("previous").eqNullSafe(F.col(state)))
+
+
 def absent_runs(seen: DataFrame, runs: DataFrame, key: str, run: str, needed: int = 2) -> DataFrame:
     """Keys that the last runs in a row did not see, with how many: of those seen before, after complete runs only.
 

@@ -83,6 +83,23 @@ def lease_holder(runs: DataFrame, started: str, beat: str, as_of: Column, minute
     return alive.orderBy(started, "id").limit(1)
 
 
+def looked_up_once(rows: DataFrame, key: Column, lookup) -> DataFrame:
+    """rows with what lookup finds for their key: each different key is looked up once, however many rows ask for it.
+
+    lookup takes a DataFrame (key) and gives it back with its findings. Rows whose key is null are not looked up.
+    """
+    keyed = rows.withColumn("_key", key)
+    found = lookup(keyed.where(F.col("_key").isNotNull()).select(F.col("_key").alias("key")).distinct())
+    return keyed.join(found.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+
+
+def source_parts(source: Column | str, prefix: str, system: str) -> Column:
+    """A struct (system, region) of a stored source that may hold its region behind prefix; others stand for themselves."""
+    s = F.col(source) if isinstance(source, str) else source
+    held = s.startswith(prefix)
+    return F.struct(F.when(held, system).otherwise(s).alias("system"), F.when(held, F.nullif(s.substr(F.lit(len(prefix) + 1), F.length(s)), F.lit(""))).alias("region"))
+
+
 def etag(response: DataFrame, *without: str) -> Column:
     """A hash of each row as JSON with its columns by name, but for those of timings."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(response.columns) if c not in without]), {"ignoreNullFields": "false"}), 256)

@@ -53,6 +53,21 @@ def page(df: DataFrame, number: int, size: int) -> DataFrame:
     return df.offset((number - 1) * size).limit(size)
 
 
+def unrated(df: DataFrame, rating: str) -> DataFrame:
+    """Rows that no rating was given to yet."""
+    return df.where(F.col(rating).isNull())
+
+
+def due_first(queue: DataFrame, due: Column, failed_at: str, tie: str, limit: int = 100) -> DataFrame:
+    """The due rows of a retry queue, the oldest failure first; limit is held between 1 and 1000."""
+    return queue.where(due).orderBy(F.col(failed_at).asc(), F.col(tie).asc()).limit(min(max(limit, 1), 1000))
+
+
+def backfill_order(urgent: str, updated: str, tie: str) -> list[Column]:
+    """Urgent rows first, then the latest updated; what was never updated comes last."""
+    return [F.coalesce(F.col(urgent), F.lit(False)).desc(), F.col(updated).desc_nulls_last(), F.col(tie).asc()]
+
+
 def truncated(df: DataFrame, limit: int, *order: Column) -> DataFrame:
     """The first limit rows with a column truncated that says whether there were more; limit + 1 rows are looked at."""
     rows = df.orderBy(*order).limit(limit + 1)

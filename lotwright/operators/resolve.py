@@ -56,6 +56,16 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     return l.join(r, "_bucket").drop("_bucket").where(money.prices_match(left_value, right_value))
 
 
+def either_band_join(left: DataFrame, right: DataFrame, left_value: str, right_values: tuple[str, str]) -> DataFrame:
+    """As band_join, where a row of right may match by either of two values; a pair that both bring comes once.
+
+    The second value is only looked at where the first does not match, so no distinct is needed.
+    """
+    first, second = right_values
+    by_second = band_join(left, right, left_value, second).where(~F.coalesce(money.prices_match(left_value, first), F.lit(False)))
+    return band_join(left, right, left_value, first).unionByName(by_second)
+
+
 def pairs(lots: DataFrame) -> DataFrame:
     """Pairs (left, right, left < right) of rows of different sources that are one asset.
 

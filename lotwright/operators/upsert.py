@@ -14,6 +14,18 @@ def changes(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -
     return b.join(a, key, "full").select(key, change.alias("change"))
 
 
+def import_counts(known: DataFrame, fresh: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row: how many rows of an import are new, change a known row, or are skipped (as known, without a key, repeated).
+
+    fresh is looked up once by its keys; of rows of one key the one with the least columns counts.
+    """
+    once = fresh.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("_a"))
+    both = once.join(known.select(key, F.struct(*columns).alias("_b")), key, "left")
+    counts = both.agg(F.count_if(F.col("_b").isNull()).alias("new"), F.count_if(F.col("_b").isNotNull() & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("updated"))
+    every = fresh.agg(F.count(F.lit(1)).alias("_n"))
+    return counts.crossJoin(F.broadcast(every)).select("new", "updated", (F.col("_n") - F.col("new") - F.col("updated")).alias("skipped"))  # single rows
+
+
 def merge(state: DataFrame, incoming: DataFrame, key: str, always: list[str], fill: list[str], locked: str | None = None) -> DataFrame:
     """The new state. always: the incoming value where there is one; fill: only where the state has none (null or
     blank); a row whose locked column is true takes nothing but always. One incoming row for each key is assumed."""

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from . import assets, examples, facts, links, registry, sources, state  # noqa: E402, F401  they register their queries
+from . import assets, examples, facts, links, quality, registry, sources, state  # noqa: E402, F401  they register their queries

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, extract, geo, jsonwalk, money, places, text
-from ..operators import listing, review
+from ..operators import links, listing, review
 from ..sources import cards
 from .catalogue import query
 from .registry import table
@@ -233,3 +233,15 @@ by_example("client_sort_keys", "amount string, name string, moment string", "amo
 by_example("paginators", "page string", "numbers string", [
     ("<div class='ty-pagination'><a href='?page=2'>2</a><a href='?a=1&page=11'>11</a><a href='?page=2'>next</a></div>", "2|11"), ("<a href='?page=5'>5</a>", ""), (None, ""),
 ], lambda: _list(F.transform(cards.page_numbers_of("page"), lambda n: n.cast("string"))))
+
+_ADVICE = f"{money.DISCLAIMER}\n\nbuy\n\n{money.REVIEW_NOTE}\n\nОжидаемый срок продажи: soon"
+by_example("model_assessments", "market string, risk string, sparse boolean", "price double, confidence string, explanation string, advice string, problems string", [
+    ('{"market_price": 10.005, "min_price": 5, "max_price": 20, "confidence": "high", "explanation": "x", "links": ["https://a.ru/1"]}', '{"risk_score": 3, "recommendation": "buy", "time_to_sell": "soon"}', False, 10.01, "high", "x", _ADVICE, ""),
+    ('```json\n{market_price: 10, "min_price": 5, "max_price": 20, "confidence": "high", "explanation": "x",}\n```', '{"risk_score": 3, "recommendation": "buy", "time_to_sell": "soon"}', False, 10.0, "low", f"{money.SPARSE_NOTE} x", _ADVICE, ""),
+    ('{"market_price": 30, "min_price": 5, "max_price": 20, "confidence": "sure", "explanation": "x", "links": ["http://a"]}', '{"risk_score": 30, "recommendation": "buy"}', True, 30.0, "low", f"{money.SPARSE_NOTE} x", None, "range|confidence|links|risk|time_to_sell"),
+    ("none", None, None, None, "low", None, None, "price|range|confidence|explanation|risk|recommendation|time_to_sell"),
+], *[lambda n=n: money.assessment(jsonwalk.repaired_object("market"), c("risk"), c("sparse"))[n] for n in ("market_price", "confidence", "explanation", "advice")], lambda: _list(money.assessment(jsonwalk.repaired_object("market"), c("risk"), c("sparse"))["problems"]))
+
+by_example("source_backfill", "source string", "system string, region string", [
+    ("town:yaroslavl", "towns", "yaroslavl"), ("town:", "towns", None), ("other", "other", None), (None, None, None),
+], lambda: links.source_parts("source", "town:", "towns")["system"], lambda: links.source_parts("source", "town:", "towns")["region"])
