@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean, col
+from .text import col, let
 
 EARTH_KM = 6371.0
 MERCATOR_RADIUS = 6378137.0
@@ -82,22 +82,34 @@ def address_candidates(address: Column | str, region: Column | str | None = None
         text = F.regexp_replace(text, _ANY_CASE + pattern, form)
     text = F.regexp_replace(text, r"^[ ,.;]+|[ ,.;]+$", "")
     own = F.coalesce(col(region), F.lit("")) if region is not None else F.lit("")
-    text = F.when((text != "") & (own != "") & ~F.contains(F.lower(text), F.lower(own)), F.concat(text, F.lit(", "), own)).otherwise(text)
-    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.regexp_replace(p, r"^[ .;]+|[ .;]+$", "")), lambda p: p != "")
-    part = lambda pattern: F.get(F.filter(parts, lambda p: p.rlike(_ANY_CASE + pattern)), F.lit(0))
-    place = F.nullif(F.regexp_replace(part(LOCALITY_PART), rf"{_ANY_CASE}^{LOCALITY_KINDS}\s+", ""), F.lit(""))
-    area, district, street = F.coalesce(part(REGION_PART), F.nullif(own, F.lit(""))), part(DISTRICT_PART), part(STREET_PART)
-    house = F.nullif(F.regexp_replace(part(HOUSE_PART), rf"{_ANY_CASE}^дом\s*", ""), F.lit(""))
+    whole = let(text, lambda t: F.when((t != "") & (own != "") & ~F.contains(F.lower(t), F.lower(own)), F.concat(t, F.lit(", "), own)).otherwise(t))
+    part = lambda parts, pattern: F.get(F.filter(parts, lambda p: p.rlike(_ANY_CASE + pattern)), F.lit(0))
+    bare = lambda c, pattern: F.nullif(F.regexp_replace(c, _ANY_CASE + pattern, ""), F.lit(""))
     joined = lambda *of: F.concat_ws(", ", *of)
-    every = F.array(
-        F.nullif(text, F.lit("")),
-        F.when(street.isNotNull() & place.isNotNull(), joined(house, street, place, district, area)),
-        F.when(place.isNotNull() & district.isNotNull(), joined(place, district, area)),
-        F.when(place.isNotNull() & area.isNotNull(), joined(place, area)),
-    )
-    given = F.filter(every, lambda x: x.isNotNull())
-    low = F.transform(given, F.lower)
-    return F.filter(given, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+    def named(parts: Column) -> Column:
+        return F.struct(
+            bare(part(parts, LOCALITY_PART), rf"^{LOCALITY_KINDS}\s+").alias("place"),
+            F.coalesce(part(parts, REGION_PART), F.nullif(own, F.lit(""))).alias("region"),
+            part(parts, DISTRICT_PART).alias("district"),
+            part(parts, STREET_PART).alias("street"),
+            bare(part(parts, HOUSE_PART), r"^дом\s*").alias("house"),
+        )
+
+    def spellings(t: Column) -> Column:
+        parts = F.filter(F.transform(F.split(t, ","), lambda p: F.regexp_replace(p, r"^[ .;]+|[ .;]+$", "")), lambda p: p != "")
+        every = let(
+            let(parts, named),
+            lambda n: F.array(
+                F.nullif(t, F.lit("")),
+                F.when(n["street"].isNotNull() & n["place"].isNotNull(), joined(n["house"], n["street"], n["place"], n["district"], n["region"])),
+                F.when(n["place"].isNotNull() & n["district"].isNotNull(), joined(n["place"], n["district"], n["region"])),
+                F.when(n["place"].isNotNull() & n["region"].isNotNull(), joined(n["place"], n["region"])),
+            ),
+        )
+        return F.filter(every, lambda x: x.isNotNull())
+
+    return let(let(whole, spellings), lambda given: F.filter(given, lambda x, i: F.array_position(F.transform(given, F.lower), F.lower(x)) == i + 1))
 
 
 def candidate_score(query: Column, name: Column) -> Column:

@@ -24,6 +24,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where value is worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean(c: Column | str) -> Column:
     """Tags become blanks, white space of any kind one blank; null becomes empty."""
     bare = F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"(?s)<[^<>]+>", " ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import export
-from ..sources import records
+from ..sources import paging, records
 from .catalogue import query
 from .registry import table
 
@@ -92,3 +92,19 @@ def registry_export(spark, d):
     )
     wanted = ("Код", "Название", "Категория", "Текущая цена", "Площадь участка, сот.", "Статус торгов")
     return export.registry_table(lots).select(*[f"`{c}`" for c in wanted])
+
+
+@query("crawl_ends", """
+WITH r AS (SELECT event_type AS source, event_id // 1000 + 1 AS page, user_id AS ident FROM events), first AS (SELECT source, ident, min(page) AS page FROM r WHERE ident IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT source, page, count(*) AS n FROM r GROUP BY 1, 2), c AS (SELECT p.*, (SELECT count(*) FROM first f WHERE f.source = p.source AND f.page <= p.page) AS ids FROM p),
+w AS (SELECT *, CASE WHEN source = 'error' AND page = 3 THEN 'page_3_error' WHEN ids >= 140 THEN 'max_items=140' WHEN source = 'view' AND page >= 2 THEN 'reached_total_pages'
+  WHEN source NOT IN ('view', 'error') AND page % 4 = 0 AND n < 5000 THEN 'has_more_false' WHEN page = 6 THEN 'max_pages' END AS why FROM c WHERE page <= 6),
+e AS (SELECT source, coalesce(min(page) FILTER (why IS NOT NULL), max(page)) AS page FROM w GROUP BY 1)
+SELECT w.source, w.page, coalesce(why, 'max_pages') AS reason, ids AS n_ids, (SELECT count(*) FROM w v WHERE v.source = w.source AND v.page <= w.page) AS n_pages FROM w JOIN e ON w.source = e.source AND w.page = e.page""")
+def crawl_ends(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("source"), (F.floor(F.col("event_id") / 1000) + 1).alias("page"), F.col("user_id").alias("ident"))
+    source, page = F.col("source"), F.col("page")
+    pages = rows.groupBy("source", "page").agg(F.count(F.lit(1)).alias("n_items")).select(
+        "*", F.when(source == "view", 2).when(source == "error", 99).alias("total_pages"), (page % 4 != 0).alias("has_more"), F.when((source == "error") & (page == 3), "timed out").alias("error")
+    )
+    return paging.crawl_ends(pages, rows, "source", "ident", 5000, 6, 140)
