@@ -114,6 +114,14 @@ def status_decision(raw_status: Column | str, captions: Column | str, fallback:
     )
 
 
+def kept_status(decision: Column, existing: Column | str) -> Column:
+    """A status_decision for a row that has a status: a known one is kept where the decision is unknown, and the trace says so."""
+    had = F.nullif(F.coalesce(col(existing), F.lit("")), F.lit(""))
+    keep = (decision["final_status"] == "unknown") & had.isNotNull() & (had != "unknown")
+    traced = F.concat(decision["trace_reason"], F.lit(" | Existing normalized status was preserved."))
+    return decision.withField("final_status", F.when(keep, had).otherwise(decision["final_status"])).withField("trace_reason", F.when(keep, traced).otherwise(decision["trace_reason"]))
+
+
 def label(c: Column | str, labels: dict[str, str]) -> Column:
     """A value's label; a value without one stands for itself."""
     table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import money
+from ..functions import dates, money
 from . import resolve
 
 
@@ -83,6 +83,17 @@ def lease_holder(runs: DataFrame, started: str, beat: str, as_of: Column, minute
     return alive.orderBy(started, "id").limit(1)
 
 
+def scheduled(requests: DataFrame, states: DataFrame, key: str, as_of: Column, minutes: int = 30) -> DataFrame:
+    """requests (key, force) with action: queued, or skipped-already-running while a run is waiting or at work.
+
+    states (key, status, started, requested), a row for each key. A run that has been at it for longer than minutes is
+    stuck and is started anew, as is one that is forced.
+    """
+    busy = F.coalesce(F.col("status").isin("queued", "running"), F.lit(False)) & ~dates.stuck(F.col("started"), F.col("requested"), as_of, minutes)
+    action = F.when(busy & ~F.coalesce("force", F.lit(False)), "skipped-already-running").otherwise("queued")
+    return requests.join(states, key, "left").select(*requests.columns, action.alias("action"))
+
+
 def looked_up_once(rows: DataFrame, key: Column, lookup) -> DataFrame:
     """rows with what lookup finds for their key: each different key is looked up once, however many rows ask for it.
 

@@ -245,3 +245,17 @@ by_example("model_assessments", "market string, risk string, sparse boolean", "p
 by_example("source_backfill", "source string", "system string, region string", [
     ("town:yaroslavl", "towns", "yaroslavl"), ("town:", "towns", None), ("other", "other", None), (None, None, None),
 ], lambda: links.source_parts("source", "town:", "towns")["system"], lambda: links.source_parts("source", "town:", "towns")["region"])
+
+by_example("kept_statuses", "raw string, existing string", "status string, kept boolean", [
+    ("завершены", "active", "closed", False), ("?", "active", "active", True), ("?", "unknown", "unknown", False), (None, None, "unknown", False), ("", "", "unknown", False),
+], *[lambda f=f: f(classify.kept_status(classify.status_decision("raw", F.array().cast("array<string>")), "existing")) for f in (lambda s: s["final_status"], lambda s: F.endswith(s["trace_reason"], F.lit("preserved.")))])
+
+_FOUND = "<article>76:01:000001:{n}0 <a href='/lot/1'>x</a></article><article>№ 76:01:000001:{n} <a href='/news/5'>n</a><a href='/lot/{n}/#top'>x</a></article>"
+by_example("cross_site_lookup", "html string, number string", "url string", [
+    (_FOUND.format(n=7), "76:01:000001:7", "/lot/7/"), (_FOUND.format(n=8), " 76:01: 000001:8", "/lot/8/"), (_FOUND.format(n=7), "76:01:000001:9", None), ("<article>76:1:1:1</article>", "76:1:1:1", None), (None, "76:1:1:1", None), (_FOUND.format(n=7), None, None),
+], lambda: cards.found_by_number(c("html"), c("number")))
+
+by_example("lot_pages", "html string", "images string, links int, number string", [
+    ("""<div id="lot-gallery" data-gallery='[{"url":"/1.png"},{"src":"/2.png"},{"url":"/1.png"},3]'></div><a href="https://x/lots/lot/1">x</a> РАД: 22000012-2024-0001-3""", "/1.png|/2.png", 1, "22000012-2024-0001-3"),
+    ("<div id='lot-gallery' data-gallery='broken'></div>", "", 0, None), (None, "", 0, None),
+], lambda: _list(cards.lot_page_of("html")["images"]), lambda: F.size(cards.lot_page_of("html")["links"]), lambda: cards.lot_page_of("html")["procedure_number"])

@@ -115,3 +115,14 @@ def streaming_ingest(spark, d):
     run.awaitTermination()
     last = max((p["batchId"] for p in run.recentProgress if p["numInputRows"]), default=None)
     return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{home}/state/{last}")
+
+
+@query("scheduled_runs", """
+SELECT c_custkey, CASE WHEN o_orderstatus IN ('O', 'P') AND o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' - INTERVAL 30 MINUTES AND c_custkey % 5 <> 0 THEN 'skipped-already-running' ELSE 'queued' END AS action
+FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, arg_max(o_orderdate, o_orderkey) AS o_orderdate FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
+def scheduled_runs(spark, d):
+    last = history.latest(table(spark, d, "orders"), ["o_custkey"], F.col("o_orderkey"))
+    status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "queued").otherwise("done")
+    states = last.select(F.col("o_custkey").alias("c_custkey"), status.alias("status"), F.lit(None).cast("timestamp_ntz").alias("started"), F.col("o_orderdate").cast("timestamp_ntz").alias("requested"))
+    asked = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 5 == 0).alias("force"))
+    return links.scheduled(asked, states, "c_custkey", F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")).select("c_custkey", "action")

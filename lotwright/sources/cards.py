@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import extract as extraction
+
 #: Encodings that a saved page is tried in, in this order; the last replaces what it cannot read.
 ENCODINGS = ("utf-8", "cp1251", "latin-1")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -135,6 +138,30 @@ def page_numbers(page: str) -> list[int]:
     return sorted({int(m.group(1)) for m in found if m})
 
 
+def found_articles(page: str) -> list[dict]:
+    """Articles of a search page that link to a lot: the link without its fragment, and the article's text."""
+    out = []
+    for article in find(Tree(page).root, "article"):
+        links = [(a[1].get("href") or "").split("#")[0] for a in find(article, "a")]
+        lot = next((u for u in links if re.fullmatch(r"(?:https?://[^/]+)?/lot/\d+/?(?:\?.*)?", u)), None)
+        if lot:
+            out.append({"url": lot, "text": words(article)})
+    return out
+
+
+def lot_page(page: str) -> dict:
+    """A lot's page: the pictures of its gallery's JSON, each once, the addresses it links to, the procedure's number."""
+    root = Tree(page).root
+    box = next((n for n in walk(root) if n[1].get("id") == "lot-gallery" and "data-gallery" in n[1]), None)
+    try:
+        items = json.loads(box[1]["data-gallery"] or "[]") if box else []
+    except ValueError:
+        items = []
+    shown = [i.get("url") or i.get("src") for i in items if isinstance(i, dict)] if isinstance(items, list) else []
+    number = re.search(r"\b[A-Z0-9]{7,12}-\d{4}-\d{4}-\d\b", words(root))
+    return {"images": list(dict.fromkeys(str(u) for u in shown if u)), "links": [a[1]["href"] for a in find(root, "a") if a[1].get("href")], "procedure_number": number.group(0) if number else None}
+
+
 _TEXTS = lambda *names: [T.StructField(n, T.StringType()) for n in names]
 
 
@@ -148,6 +175,16 @@ def lot_links_of(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: lot_links(p or ""))
 
 
+@F.pandas_udf(T.ArrayType(T.StructType(_TEXTS("url", "text"))))
+def found_articles_of(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: found_articles(p or ""))
+
+
+@F.pandas_udf(T.StructType([*[T.StructField(n, T.ArrayType(T.StringType())) for n in ("images", "links")], *_TEXTS("procedure_number")]))
+def lot_page_of(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([lot_page(p or "") for p in pages], columns=["images", "links", "procedure_number"])
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def page_numbers_of(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: page_numbers(p or ""))
@@ -179,6 +216,13 @@ def summary_of(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "heading", "links"])
 
 
+def found_by_number(html: Column, number: Column) -> Column:
+    """The lot of the first article of a search page that names exactly this cadastral number, or null."""
+    numbers = lambda t: F.transform(extraction.cadastral_numbers(t), extraction.clean_cadastral)
+    hits = F.filter(found_articles_of(html), lambda a: F.array_contains(numbers(a["text"]), extraction.clean_cadastral(number)))
+    return F.get(hits, F.lit(0))["url"]
+
+
 def extract(pages: DataFrame, ident: str, html: str) -> DataFrame:
     """Title, first heading and number of links of each page."""
     return pages.select(ident, summary_of(F.col(html)).alias("s")).select(ident, "s.title", "s.heading", "s.links")

@@ -307,3 +307,33 @@ def listing_parameters(filters: dict[str, Any], codes: dict[str, str] | None = N
             changed = {"subject_rf": (codes or {}).get(said, said), "category_code": CATEGORY_GROUPS.get(said, said), "type_transaction": said.lower()}
             out[LISTING_PARAMETERS[name]] = changed.get(name, said)
     return out, left, warnings
+
+
+# Places that a source's text search does not find, so that their names are looked for in what it gave.
+LOCAL_PLACES = (
+    "москва", "санкт петербург", "санкт-петербург", "севастополь", "ярославль", "липецк", "омск", "тула", "краснодар", "ростов", "самара", "пермь", "киров", "псков", "екатеринбург",
+    "челябинск", "тюмень", "воронеж", "калуга", "владимир", "иваново", "кострома", "рязань", "тверь", "смоленск",
+)
+
+
+def filters_locally(term: str | None, parameters: dict[str, str]) -> bool:
+    """Whether a search text is to be applied to what was loaded: it was not sent, or names no more than a place."""
+    low = " ".join((term or "").lower().replace("ё", "е").split())
+    return bool(low) and (not parameters.get("text") or " ".join(re.findall("[0-9a-zа-я]+", low)) in LOCAL_PLACES)
+
+
+def run_specs(region_code: str | None = None, region_name: str | None = None) -> list[tuple[str, dict[str, Any], str | None]]:
+    """What a run asks of each source: (source, filters, the region that absences are counted in, or none).
+
+    Without a region it is a run over the whole country, which may archive anywhere; with one, over that region alone.
+    """
+    # The sources, their real estate and their pages.
+    specs = {
+        "listing": {"type_transaction": "SALE", "category_code": LISTING_DEFAULTS["catCode"], "lot_status": LISTING_DEFAULTS["lotStatus"], "page": 1, "page_size": 100},
+        "search": {"page": 1, "page_size": 100},
+        "catalogue": {"archive_mode": "false", "page": 1, "page_size": 96},
+    }
+    if region_code:
+        specs["listing"]["subject_rf"] = specs["search"]["region"] = region_code
+        specs["catalogue"]["region_feature"] = region_name
+    return [(source, filters, region_code) for source, filters in specs.items()]

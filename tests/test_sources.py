@@ -30,6 +30,13 @@ def test_listing_parameters():
     assert made["fias"].startswith("8c5f") and made["lotStatus"] == "PUBLISHED,APPLICATIONS_SUBMISSION" and made["page"] == "0" and not left and not warnings
 
 
+def test_runs():
+    assert records.filters_locally("Ярославль", {"text": "x"}) and records.filters_locally("склад", {}) and not records.filters_locally("склад", {"text": "склад"}) and not records.filters_locally(" ", {})
+    whole, one = records.run_specs(), records.run_specs("76", "Ярославская область")
+    assert [s for s, _, _ in whole] == ["listing", "search", "catalogue"] and all(r is None for *_, r in whole)
+    assert one[0][1]["subject_rf"] == "76" and one[2][1]["region_feature"] == "Ярославская область" and {r for *_, r in one} == {"76"}
+
+
 def test_json_pages(spark, tmp_path):
     lot = lambda i, **k: {"id": i, "lotName": "Земельный участок 55:36:000000:123", "categoryCode": "2", "priceMin": 1250000, "lotStatus": "APPLICATIONS_SUBMISSION", **k}
     (tmp_path / "0.json").write_text(json.dumps({"content": [lot("a"), lot("a"), lot(None)], "totalElements": 4}), encoding="utf-8")
