@@ -62,25 +62,37 @@ def _get(payload: Any, key: str) -> Any:
     return next((v for k, v in payload.items() if k.lower() == key.lower()), None) if isinstance(payload, dict) else None
 
 
-def deep_find(payload: Any, path: str) -> Any:
-    """A dotted path is followed from the top; a key is looked for in an object, then in each of its values, to the bottom."""
-    if "." in path:
-        for key in path.split("."):
-            payload = _get(payload, key)
-        return payload
+def first_values(payload: Any) -> dict[str, Any]:
+    """The first value that is not empty under each key in lower case: an object's own first, then those below, to the bottom."""
+    out: dict[str, Any] = {}
     stack = [payload]
     while stack:
         at = stack.pop()
-        if isinstance(at, dict) and _get(at, path) not in _EMPTY:
-            return _get(at, path)
+        if isinstance(at, dict):
+            own: set[str] = set()
+            for k, v in at.items():
+                low = k.lower()
+                if low not in own and low not in out and v not in _EMPTY:
+                    out[low] = v
+                own.add(low)
         stack.extend(reversed(list(at.values()) if isinstance(at, dict) else at if isinstance(at, list) else []))
-    return None
+    return out
+
+
+def deep_find(payload: Any, path: str, values: dict[str, Any] | None = None) -> Any:
+    """A dotted path is followed from the top; a key is looked for at any depth, in values where first_values is known."""
+    if "." in path:
+        for key in path.split("."):
+            payload = _get(payload, key)
+        return payload
+    return (first_values(payload) if values is None else values).get(path.lower())
 
 
-def pick(payload: Any, *keys: str) -> str | None:
+def pick(payload: Any, *keys: str, values: dict[str, Any] | None = None) -> str | None:
     """The first key's value as text: an object by what names it at any depth, or as JSON; a list by its parts."""
+    values = first_values(payload) if values is None else values
     for k in keys:
-        v = deep_find(payload, k)
+        v = deep_find(payload, k, values)
         if isinstance(v, dict):
             v = next((named for n in NAMING_KEYS if (named := pick(v, n)) is not None), v)
         if isinstance(v, list):

@@ -94,10 +94,11 @@ def _picked(payloads: pd.Series) -> pd.DataFrame:
     rows = []
     for raw in payloads:
         payload = jsonwalk._parse(raw)
-        found = {name: jsonwalk.pick(payload, *keys) for name, keys in LISTING_KEYS.items()}
+        values = jsonwalk.first_values(payload)
+        found = {name: jsonwalk.pick(payload, *keys, values=values) for name, keys in LISTING_KEYS.items()}
         found["digest"] = hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True).encode()).hexdigest()[:20]
-        amounts = [[_told(x) for k in keys for x in _scalars(jsonwalk.deep_find(payload, k))] for keys in (START_PRICE_KEYS, CURRENT_PRICE_KEYS)]
-        areas = [jsonwalk.deep_find(payload, k) for k in AREA_KEYS]
+        amounts = [[_told(x) for k in keys for x in _scalars(jsonwalk.deep_find(payload, k, values))] for keys in (START_PRICE_KEYS, CURRENT_PRICE_KEYS)]
+        areas = [jsonwalk.deep_find(payload, k, values) for k in AREA_KEYS]
         rows.append((found, *amounts, [_told(x if isinstance(x, (int, float, str)) else _told(x)) for x in areas if x not in (None, "")]))
     return pd.DataFrame(rows, columns=["text", "start", "current", "areas"])
 
