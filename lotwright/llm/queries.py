@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL."""
+"""The queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ _OPERATORS = [
     ("op8_toxicity", "toxicity"),
     ("op9_line_dedup", "lines"),
     ("op10_decontamination", "decontamination"),
+    ("op11_token_files", "tokenfiles"),
 ]
 
 
