@@ -20,6 +20,7 @@ _OPERATORS = [
     ("op9_line_dedup", "lines"),
     ("op10_decontamination", "decontamination"),
     ("op11_token_files", "tokenfiles"),
+    ("op12_cross_tokenizer_alignment", "align"),
 ]
 
 
