@@ -21,6 +21,7 @@ _OPERATORS = [
     ("op10_decontamination", "decontamination"),
     ("op11_token_files", "tokenfiles"),
     ("op12_cross_tokenizer_alignment", "align"),
+    ("op13_embedding_whitening", "whitening"),
 ]
 
 
