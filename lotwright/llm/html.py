@@ -67,11 +67,24 @@ _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|main|post|e
 #: name. Other words of such a name still count (side-nav), and comment-list or comment-body name comments.
 _WHOLE_NAME = re.compile(r"(?:^|(?<=\s))(?:tags?|side|legal)(?=[_-])|(?<=[_-])(?:tags?|side|legal)(?=$|[\s_-])|(?:^|(?<=\s))comment-(?:open|closed|status\S*)(?=$|\s)", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_NO_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ENDS_OR_QUOTES = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
 
 
+@dataclass(eq=False)
+class Mark:
+    """An element that is named as boilerplate, the next such element around it, and whether its name is beyond doubt."""
+
+    around: Mark | None
+    depth: int
+    sure: bool
+    held: int = 0  # code points of good text in it
+    wrong: bool = False  # it and all around it are not what they are called
+
+
 @dataclass
 class Block:
     """A run of text without a block boundary inside, and what holds it."""
@@ -79,7 +92,7 @@ class Block:
     text: str = ""
     linked: int = 0  # code points in links
     links: int = 0
-    marks: tuple[int, ...] = ()  # the open elements that are named as boilerplate; negative: beyond doubt
+    mark: Mark | None = None  # the innermost element named as boilerplate
     weak: bool = False
     main: bool = False
     heading: bool = False
@@ -87,6 +100,46 @@ class Block:
     group: int = 0  # the list or table that it is an item of
     label: str = field(default="", compare=False)
 
+    def kept(self) -> bool:
+        return self.mark is None or self.mark.wrong
+
+
+class _TagEnds:
+    """Where tags end. A tag runs to the first > outside quotes, or to the page's end; with an open quote it is none.
+
+    What follows a > or quote met outside quotes is the same for whichever tag meets it, so it is looked at once.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+        self.asked = self.met = -1  # from asked to met there is no > and no quote
+
+    def __call__(self, at: int) -> int:
+        """The place of the end of a tag whose name ends at this place; -1: none."""
+        if not self.asked <= at <= self.met:
+            self.asked, self.met = at, self._next(at)
+        at, passed = self.met, []
+        while at < len(self.page) and at not in self.known:
+            passed.append(at)
+            if self.page[at] == ">":
+                self.known[at] = at
+                break
+            close = self.page.find(self.page[at], at + 1)
+            if close < 0:
+                self.known[at] = -1
+                break
+            at = self._next(close + 1)
+        end = self.known.get(at, at)
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+    def _next(self, at: int) -> int:
+        found = _ENDS_OR_QUOTES.search(self.page, at)
+        return found.start() if found else len(self.page)
+
+
+_HEADINGS, _ITEMS = ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "td", "th", "dt", "dd")
+
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(raw)} if raw else {}
@@ -96,10 +149,12 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page with text in them, in page order; a damaged page is read as far as it goes."""
     out: list[Block] = []
     # Open elements: name, its mark if it is boilerplate by name, whether it is so weakly, whether main text begins here.
-    stack: list[tuple[str, int, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
+    where: dict[str, list[int]] = {}  # the places of the open elements of each name
     groups: list[int] = []  # for each open list or table its number
-    marks: list[int] = []
-    weak = main = links = seen = marked = 0
+    marks: list[Mark] = []
+    weak = main = links = seen = 0
+    tag_end, no_end = _TagEnds(page), set()
     parts: list[str] = []
     linked = met = 0
     at, size = 0, len(page)
@@ -109,22 +164,29 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                names = {n for n, *_ in stack}
-                out.append(
-                    Block(text, min(linked, len(text)), met, tuple(marks), bool(weak), bool(main), bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(names & {"li", "td", "th", "dt", "dd"}), groups[0] if groups else 0)
-                )
+                heading, item = (any(map(where.get, names)) for names in (_HEADINGS, _ITEMS))
+                out.append(Block(text, min(linked, len(text)), met, marks[-1] if marks else None, bool(weak), bool(main), heading, item, groups[0] if groups else 0))
             parts.clear()
         linked = met = 0
 
     def pop() -> None:
         nonlocal weak, main, links
         name, mark, w, m = stack.pop()
+        where[name].pop()
         if name in _LISTS:
             groups.pop()
         if mark:
             marks.pop()
         weak, main, links = weak - w, main - m, links - (name == "a")
 
+    def close_to(place: int) -> None:
+        while len(stack) > place:
+            pop()
+
+    def nearest(names: set[str]) -> int:
+        """The place of the innermost open element of these names; -1: none."""
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
     def add(text: str) -> None:
         nonlocal linked
         parts.append(text)
@@ -138,47 +200,42 @@ def blocks(page: str) -> list[Block]:
             break
         if lt > at:
             add(page[at:lt])
-        m = _TOKEN.match(page, lt)
-        if not m:
+        if m := _NO_TAG.match(page, lt):
+            at = m.end()
+            continue
+        m = _TAG.match(page, lt)
+        end = tag_end(m.end()) if m else -1
+        if end < 0:
             add("<")
             at = lt + 1
             continue
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
+        at, name, rest = min(end + 1, size), m[2].lower(), page[m.end() : end]
         if m[1]:
             if name in _BLOCK:
                 close_block()
-            if any(n == name for n, *_ in stack):
-                while stack[-1][0] != name:
-                    pop()
-                pop()
+            if where.get(name):
+                close_to(where[name][-1])
             continue
         if name in _RAW:
-            if not m[3].rstrip().endswith("/") or name in ("script", "style", "title"):
+            if not rest.rstrip().endswith("/") or name in ("script", "style", "title"):
                 if name == "head":
                     continue  # what it holds is met by itself
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else (size if name in ("script", "style") else at)
+                close = None if name in no_end else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                if close is None:
+                    no_end.add(name)
+                at = close.end() if close else (size if name in ("script", "style") else at)
             continue
         if name in _BLOCK:
             close_block()
-        if name in _ENDS_P and any(n == "p" for n, *_ in stack):
-            while stack[-1][0] != "p":
-                pop()
-            pop()
+        if name in _ENDS_P and where.get("p"):
+            close_to(where["p"][-1])
         if name in _SIBLING:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _SIBLING[name]:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in _KEEPS:
-                    break
-        if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
+            sibling, keeps = nearest(_SIBLING[name]), nearest(_KEEPS)
+            if sibling >= 0 and sibling >= keeps:
+                close_to(sibling)
+        if name in _VOID or rest.endswith("/") and name not in _BLOCK:
             continue
-        given = _attributes(m[3])
+        given = _attributes(rest)
         called = _LAYOUT_NAME.sub(" ", " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop")))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
         article = name in ("article", "main") or bool(called.strip() and _MAIN_NAME.search(called))
@@ -187,13 +244,13 @@ def blocks(page: str) -> list[Block]:
         if bad and main and not marks and (name == "header" or name not in _CHROME and not _STRONG_NAME.search(_HEADER_NAME.sub(" ", named))):
             bad = hidden  # an article's own headline
         w = bool(named and _WEAK_NAME.search(named))
-        marked += bad
-        stack.append((name, bad and marked, w, article and not bad))
+        where.setdefault(name, []).append(len(stack))
+        stack.append((name, bad, w, article and not bad))
         if name in _LISTS:
             seen += 1
             groups.append(seen)
         if bad:
-            marks.append(-marked if hidden or _COMMENT_NAME.search(named) else marked)
+            marks.append(Mark(marks[-1] if marks else None, len(marks), bool(hidden or _COMMENT_NAME.search(named))))
         weak, main, links, met = weak + w, main + (article and not bad), links + (name == "a"), met + (name == "a")
     close_block()
     return out
@@ -230,6 +287,17 @@ def _neighbours(page: list[Block], default: str) -> Iterator[tuple[Block, str, i
             label, far = decided, n
 
 
+def _marks(page: list[Block]) -> list[Mark]:
+    """All marked elements around blocks of a page, outer ones first; none holds anything yet."""
+    found: dict[Mark, None] = {}
+    for b in page:
+        m = b.mark
+        while m and m not in found:
+            found[m] = None
+            m.held, m = 0, m.around
+    return sorted(found, key=lambda m: m.depth)
+
+
 def classify(page: list[Block], language: str | None = None) -> list[Block]:
     """Label the blocks good or bad."""
     if language and language[:2].lower() in _STOPS:
@@ -240,23 +308,29 @@ def classify(page: list[Block], language: str | None = None) -> list[Block]:
     for b in page:
         b.label = density(b, stops)
     # How much good text each marked element, main elements and the page hold.
-    held, within, whole = Counter(), 0, 0
+    within = whole = 0
+    marks = _marks(page)
     for b in page:
         if b.label == "good":
-            held.update({k: len(b.text) for k in b.marks})
-            within += len(b.text) * (b.main and not b.marks)
+            if b.mark:
+                b.mark.held += len(b.text)
+            within += len(b.text) * (b.main and not b.mark)
             whole += len(b.text)
-    wrong = {k for k, n in held.items() if k > 0 and not within and 2 * n > whole}
-    inside = [b for b in page if b.main and wrong.issuperset(b.marks)]
-    has_main = bool(inside) and 2 * within >= sum(len(b.text) for b in page if b.label == "good" and wrong.issuperset(b.marks))
+    for m in reversed(marks):
+        if m.around:
+            m.around.held += m.held
+    for m in marks:
+        m.wrong = not m.sure and not within and 2 * m.held > whole and (m.around is None or m.around.wrong)
+    inside = [b for b in page if b.main and b.kept()]
+    has_main = bool(inside) and 2 * within >= sum(len(b.text) for b in page if b.label == "good" and b.kept())
     # A list or table is navigation if all of it is short links, two at least.
     items: dict[int, list[bool]] = {}
     for b in page:
-        if b.group and wrong.issuperset(b.marks):
+        if b.group and b.kept():
             items.setdefault(b.group, []).append(b.item and b.linked > 0.9 * len(b.text) and len(b.text.split()) < 8)
     navigation = {g for g, links in items.items() if len(links) > 1 and all(links)}
     for b in page:
-        if not wrong.issuperset(b.marks) or b.group in navigation:
+        if not b.kept() or b.group in navigation:
             b.label = "bad"
             continue
         if b.weak:
@@ -267,11 +341,11 @@ def classify(page: list[Block], language: str | None = None) -> list[Block]:
             b.label = _STEP_DOWN[b.label]
     # Second pass, by the labels of the first. Within main text what is open is bad only between bad ones.
     found = []
-    for b, left, _, right, _ in _neighbours([b for b in inside if b.label != "bad" or b.group not in navigation and wrong.issuperset(b.marks)], "good"):
+    for b, left, _, right, _ in _neighbours([b for b in inside if b.label != "bad" or b.group not in navigation and b.kept()], "good"):
         if b.label in ("near", "short"):
             found.append((b, "bad" if left == right == "bad" else "good"))
     for b, left, d, right, e in _neighbours(page, "bad"):
-        if b.main and wrong.issuperset(b.marks):
+        if b.main and b.kept():
             continue
         if b.label == "near":
             found.append((b, "good" if left == right == "good" or not has_main and "good" in (left, right) else "bad"))

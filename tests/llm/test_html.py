@@ -185,3 +185,27 @@ def test_rules_against_a_plain_version():
         assert got == plain_main_text(page), page
         kept += len(got)
     assert kept > 300 * 600
+
+
+def _damaged(n):
+    return {
+        "nested": "<div>the x " * n, "marked": "<nav>the x " * n, "open quote": "<a " * n + '"', "quotes": "<a " * n + '"x"' * n + "'", "stray ends": "<span>" * n + "</b>" * n,
+        "items": "<li><div>" + "<span>" * n + "<li></li>" * n, "never closed": "<svg>" * n, "paragraphs": "<span>" * n + "<div></div>" * n,
+    }
+
+
+@pytest.mark.parametrize("kind", sorted(_damaged(1)))
+def test_damaged_pages_take_time_in_proportion(kind):
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        html.main_text(_damaged(n)[kind])
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * max(took[0], 0.05)  # in the square it would be 64 times
+
+
+def test_tag_ends_at_the_first_sign_outside_quotes():
+    for page, text in (('<a title="x>y">z', "z"), ("<a title='x>y'>z", "z"), ('<a title="x>z', '<a title="x>z'), ("<a b", "")):
+        assert " ".join(b.text for b in html.blocks(page)) == text
