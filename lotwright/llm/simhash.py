@@ -213,6 +213,102 @@ def _jaccard_rows(words: int):
     return rows
 
 
+#: Bits of a set's parity map: eight for each shingle, in powers of two, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
+#: Members of a block of a crowded posting; a task meets two blocks at once.
+BLOCK = 512
+
+
+def parity_map(shingles: np.ndarray) -> bytes:
+    """A bit for each of a power of two of buckets: whether the set has an odd number of shingles there.
+
+    Maps of two sets differ in at most as many bits as there are shingles in one of them only. A map is folded to half
+    its size by xor of its halves.
+    """
+    size = min(max(LEAST_BITS, 1 << (8 * len(shingles) - 1).bit_length() if len(shingles) else 0), MOST_BITS)
+    odd = np.bincount((shingles >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _map_rows(words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, words):
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([parity_map(x) for x in sets], pa.binary())], ["c", "bits"])
+
+    return rows
+
+
+def _differing_bits(maps: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the maps of rows x and y differ, the larger folded to the size of the smaller."""
+    out, size = np.zeros(len(x), np.int64), np.array([len(m) for m in maps])
+    place = np.zeros(len(maps), np.int64)
+    tables = {}
+    for n in np.unique(size).tolist():
+        own = np.flatnonzero(size == n)
+        place[own] = np.arange(len(own))
+        tables[n, n] = np.frombuffer(b"".join([maps[i] for i in own.tolist()]), np.uint64).reshape(len(own), -1)
+
+    def folded(n: int, to: int) -> np.ndarray:
+        if (n, to) not in tables:
+            wide = folded(n, 2 * to)
+            half = wide.shape[1] // 2
+            tables[n, to] = wide[:, :half] ^ wide[:, half:]
+        return tables[n, to]
+
+    kinds = size[x] << 32 | size[y]
+    for kind in np.unique(kinds).tolist():
+        at, (n, m) = np.flatnonzero(kinds == kind), (kind >> 32, kind & 0xFFFFFFFF)
+        a, b = folded(n, min(n, m)), folded(m, min(n, m))
+        step = max(1, (1 << 21) // a.shape[1])
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step]
+            out[part] = np.bitwise_count(a[place[x[part]]] ^ b[place[y[part]]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _block_pairs(similarity: float):
+    """Rows (a, b), a < b, of members of a posting that may be similar by their places, sizes and parity maps.
+
+    Rows come sorted by (h, p, q), p and q being the blocks that meet; where they differ, only pairs across count.
+    """
+    share = similarity / (1 + similarity)
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, p, q, k, c, n, i, root = (t.column(name).to_numpy() for name in ("h", "p", "q", "k", "c", "n", "i", "root"))
+        maps = t.column("bits").to_pylist()
+        last = np.flatnonzero(np.append((h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), True)) + 1
+        end = last[np.searchsorted(last, np.arange(len(h)), side="right")]
+        partners = end - np.arange(len(h)) - 1
+        total, lo = np.cumsum(partners), 0
+        while lo < len(h):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 21), side="right")))
+            many = partners[lo:hi]
+            x = np.repeat(np.arange(lo, hi), many)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+            fits = (root[x] != root[y]) & (c[x] != c[y]) & ((p[x] == q[x]) | (k[x] != k[y])) & (np.minimum(n[x] - i[x], n[y] - i[y]) >= (n[x] + n[y]) * share - 1e-6)
+            x, y = x[fits], y[fits]
+            near = _differing_bits(maps, x, y) <= (n[x] + n[y]) * (1 - 2 * share) + 1e-6
+            found = np.unique(np.sort(np.stack([c[x[near]], c[y[near]]], axis=1), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            lo = hi
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            h, p, q = (t.column(name).to_numpy() for name in ("h", "p", "q"))
+            same = (h == h[-1]) & (p == p[-1]) & (q == q[-1]) if t.num_rows else np.zeros(0, bool)
+            cut = t.num_rows - int(same.sum())  # the last group may go on
+            if cut:
+                yield from pairs(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    return rows
+
+
 def _may_reach(similarity: float) -> Column:
     """Of members x and y of a posting: what they can share from their places on is enough. True at the first shingle
     that two similar sets share, so no such pair is lost."""
@@ -244,8 +340,8 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     similar, so an exact way finds the rest: each set is indexed under its rarest shingles, so many that a similar
     set must share one (prefix filtering); a pair that can still be similar by the places of a shared one is a candidate.
     All candidates are verified on the sets. In postings of more than MAX_POSTING members each is first held against two
-    of them; then all pairs that these links have not joined yet. So no similar pair stays apart, and nothing below
-    similarity is linked.
+    of them; then all that these links have not joined yet, by blocks, and what parity maps of the sets do not rule out
+    is verified. So no similar pair stays apart, and nothing below similarity is linked.
     root names the component; component_id is its least id. Nulls, empty texts, repeated rows and empty tables are as
     in near_duplicate_classes.
     """
@@ -269,10 +365,13 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     found = found.union(_pairs(crowded, heads, ["h"], similarity)).union(_pairs(crowded, near_heads, ["h", "salt"], similarity))
     found = found.union(_print_pairs(classes)).distinct()
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        asked = wanted.distinct().join(classes.select("c", "t"), "c")
+        return common.dealt_join(plain.select("id", "t", "text"), asked, "t", counted=prints, by=["id"]).groupBy("c").agg(F.min("text").alias("text"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = common.stage(pairs, "pairs")
-        asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "t"), "c")
-        texts = common.stage(common.dealt_join(plain.select("id", "t", "text"), asked, "t", counted=prints, by=["id"]).groupBy("c").agg(F.min("text").alias("text")), "texts")
+        texts = common.stage(texts_of(pairs.select(F.col("a").alias("c")).union(pairs.select("b"))), "texts")
         both = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
         alike = both.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard_rows(words), "a long, b long, similarity double")
         alike = common.stage(alike.where(F.col("similarity") >= similarity).select("a", "b"), "alike")
@@ -282,7 +381,15 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     alike = verified(found)
     roots = connected_components(alike)
     open_ = crowded.join(roots.withColumnRenamed("node", "c"), "c", "left").select("h", "c", "n", "i", F.coalesce("root", "c").alias("root"))
-    late = verified(_pairs(open_, open_, ["h"], similarity, (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root"))))
+    split = open_.groupBy("h").agg(F.count(F.lit(1)).alias("members"), (F.min("root") != F.max("root")).alias("apart")).where("apart").select("h", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    open_ = common.stage(open_.join(split, "h"), "open")
+    maps = common.stage(texts_of(open_.select("c")).select("c", "text").mapInArrow(_map_rows(words), "c long, bits binary"), "maps")
+    placed = open_.withColumn("k", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("p", F.least("k", "other")).withColumn("q", F.greatest("k", "other"))
+    blocks = placed.join(maps, "c").select("h", "p", "q", "k", "c", "n", "i", "root", "bits")
+    near = blocks.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(_block_pairs(similarity), "a long, b long")
+    late = verified(near.distinct())
+    common.drop(open_, maps)
     if late.take(1):
         roots = connected_components(alike.union(late))
     labelled = classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))

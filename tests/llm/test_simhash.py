@@ -174,3 +174,69 @@ def test_copies_with_repeated_lines_are_found(spark):
     want = [i - i % 4 for i in range(80)]
     assert similar(texts) == want
     assert found_of(spark, texts) == want
+
+
+def alike_below(n, seed=5):
+    """Texts that share some 0.65 to 0.78 of their shingles with each other."""
+    rnd, base, texts = random.Random(seed), [f"b{i}" for i in range(200)], []
+    for _ in range(n):
+        x = list(base)
+        for at in rnd.sample(range(200), 5):
+            x[at] = f"e{rnd.randrange(10**9)}"
+        texts.append(" ".join(x))
+    return texts
+
+
+def test_few_pairs_are_staged_in_a_large_group_below_the_threshold(spark, monkeypatch):
+    staged, stage = {}, simhash.common.stage
+
+    def counted(df, name, *a):
+        out = stage(df, name, *a)
+        staged.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash.common, "stage", counted)
+    rows = []
+    for n in (150, 600):
+        staged.clear()
+        texts = alike_below(n)
+        assert found_of(spark, texts) == similar(texts)
+        rows.append(staged["pairs"])
+    assert rows[1][0] < 12 * n  # with the heads of postings: in proportion
+    assert rows[1][1] < n  # the late step: what parity maps leave
+
+
+def test_parity_maps_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for n, m in ((0, 5), (40, 44), (130, 100), (700, 900), (20_000, 19_000), (1000, 9)):
+        shared = rng.integers(0, 2**63, min(n, m) // 2, np.int64).astype(np.uint64)
+        a = np.unique(np.concatenate([shared, rng.integers(0, 2**63, n - len(shared)).astype(np.uint64)]))
+        b = np.unique(np.concatenate([shared, rng.integers(0, 2**63, m - len(shared)).astype(np.uint64)]))
+        maps = [simhash.parity_map(a), simhash.parity_map(b), simhash.parity_map(a)]
+        got = simhash._differing_bits(maps, np.array([0, 0, 1]), np.array([1, 2, 0]))
+        differ = len(np.setxor1d(a, b))
+        assert got[1] == 0 and got[0] == got[2] <= differ and got[0] % 2 == differ % 2
+        assert got[0] > 0.6 * differ or max(n, m) > 5000 or min(n, m) < 10
+
+
+def test_blocks_meet_once_each():
+    import pyarrow as pa
+
+    words = 5
+    texts = alike_below(40) + ["w " * 3]
+    sets = [np.unique(np.array(simhash.shingle_hashes(t.encode(), words), np.uint64)) for t in texts]
+    rows = []
+    for c, x in enumerate(sets):
+        k = c % 3
+        for other in range(3):
+            rows.append((7, min(k, other), max(k, other), k, c, len(x), 0, c // 2, simhash.parity_map(x)))
+    rows.sort(key=lambda r: r[:3])
+    names = ["h", "p", "q", "k", "c", "n", "i", "root", "bits"]
+    for sizes in ((len(rows),), (1,) * len(rows), (50, len(rows) - 50)):
+        batches, at = [], 0
+        for n in sizes:
+            batches.append(pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[at : at + n], strict=True)], names))
+            at += n
+        got = [(r["a"], r["b"]) for b in simhash._block_pairs(0.6)(iter(batches)) for r in b.to_pylist()]
+        want = [(i, j) for i in range(41) for j in range(i + 1, 41) if i // 2 != j // 2 and len(sets[i]) and len(np.setxor1d(sets[i], sets[j])) <= (len(sets[i]) + len(sets[j])) / 4]
+        assert set(want) <= set(got) and len(got) == len(set(got)) and len(got) < 1.2 * len(want) + 5
