@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,8 +28,8 @@ from . import common
 
 #: Text aligned at once, and text of a segment.
 CHUNK_BYTES, SEGMENT_BYTES = 1 << 20, 1 << 24
-#: A longer text is tokenized in runs of at least this, cut where neither side's tokens can reach across.
-RUN_CHARS = 1 << 17
+#: Words whose ids a Python worker keeps; with more, those not used lately go. Longer words are not kept.
+KEPT_WORDS, KEPT_CHARS = 400_000, 48
 #: Links of a group that are laid out one by one; a larger group is laid out by its distinct ids.
 LAID_OUT = 4096
 #: An id pair is one number: A's id above these bits.
@@ -45,22 +47,17 @@ def _byte_table(vocabulary: dict[str, int]) -> list[bytes]:
     return out
 
 
-def _cuts(text: str) -> list[str]:
-    """A long text in runs, each but the first beginning with a space that stands alone between other characters."""
-    out, at = [], 0
-    while len(text) - at > 2 * RUN_CHARS:
-        cut = text.find(" ", at + RUN_CHARS)
-        while cut > 0 and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].isspace() or cut + 1 == len(text)):
-            cut = text.find(" ", cut + 1)
-        if cut < 0:
-            break
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
+#: A space that stands alone between other characters: no token of either side reaches across its left edge.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_REACHES = re.compile(r"\S ")
 
 
 class Tokenizers:
-    """Both tokenizers: ids of texts, bytes of ids, and how an id is written where it is not, or is, a side's last in a group."""
+    """Both tokenizers: ids of texts, bytes of ids, and how an id is written where it is not, or is, a side's last in a group.
+
+    Neither side's tokens reach across a space that stands alone, but for its right; texts are cut there, and each word's
+    ids are kept. Vocabularies for which that does not hold are refused.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -72,31 +69,46 @@ class Tokenizers:
         whole = {i for i in range(len(pieces)) if self.b.is_byte(i)}
         self.bytes_a = _byte_table(self.a.get_vocab())
         self.bytes_b = [bytes([int(p[3:5], 16)]) if i in whole else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        #: Whether no piece holds a space after another character, so that no token reaches across a cut.
-        self.may_cut = all(" " not in x.decode(errors="replace").lstrip(" ") for i, x in enumerate(self.bytes_b) if i not in whole)
+        if any(_REACHES.search(x.decode(errors="replace")) for t in (self.bytes_a, [x for i, x in enumerate(self.bytes_b) if i not in whole]) for x in t):
+            raise ValueError("a token that holds a space after another character")
+        self.young: dict[str, tuple[bytes, bytes] | None] = {}
+        self.old: dict[str, tuple[bytes, bytes] | None] = {}
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.written = [np.array([f"{i}{end}" for i in range(len(t))], object) for t, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for end in ends]
 
-    def _runs(self, texts: list[str]) -> tuple[list[str], list[int]]:
-        runs = [_cuts(x) if self.may_cut and len(x) > 2 * RUN_CHARS else [x] for x in texts]
-        return list(chain.from_iterable(runs)), [len(r) for r in runs]
-
-    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def _of_words(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides as 32-bit numbers; None where their bytes are not a space and the word."""
+        a_all = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        out = []
+        for word, a, b in zip(words, a_all, self.b.encode(words, num_threads=1), strict=True):
+            raw = b" " + word.encode()
+            fits = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+            out.append((struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)) if fits else None)
+        return out
+
+    def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides for each text; none where there is no text or the ids' bytes are not a space and the text."""
-        runs, counts = self._runs(texts)
-        first = np.zeros(len(runs), bool)
-        first[np.cumsum([0, *counts])[:-1][: len(counts)]] = True
-        a_runs = [e.ids for e in self.a.encode_batch_fast([" " + r if f else r for r, f in zip(runs, first, strict=True)], add_special_tokens=False)]
-        b_runs = self.b.encode([r if f else r[1:] for r, f in zip(runs, first, strict=True)], num_threads=1)
-        a_all, b_all, at = [], [], 0
-        for text, n in zip(texts, counts, strict=True):
-            a, b = (x[at] if n == 1 else list(chain.from_iterable(x[at : at + n])) for x in (a_runs, b_runs))
-            at += n
-            raw = b" " + text.encode()
-            fits = text and b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            a_all.append(a if fits else [])
-            b_all.append(b if fits else [])
-        return a_all, b_all
+        cut = [_CUT.split(x) if x else [] for x in texts]
+        found, missing = {}, []
+        for w in set(chain.from_iterable(cut)):
+            if w in self.young:
+                found[w] = self.young[w]
+            elif w in self.old:
+                found[w] = self.young[w] = self.old[w]
+            else:
+                missing.append(w)
+        for at in range(0, len(missing), 10_000):
+            part = missing[at : at + 10_000]
+            for w, ids in zip(part, self._of_words(part), strict=True):
+                found[w] = ids
+                if len(w) <= KEPT_CHARS:
+                    self.young[w] = ids
+        if 2 * len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
+        bad = {w for w, ids in found.items() if ids is None}
+        sides = [{w: ids[i] for w, ids in found.items() if ids} for i in (0, 1)]
+        cut = [[] if bad and not bad.isdisjoint(words) else words for words in cut]
+        return tuple([np.frombuffer(b"".join(map(side.__getitem__, words)), "<u4").astype(np.int64) for words in cut] for side in sides)
 
 
 def components(nodes: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -132,8 +144,8 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
 class Groups:
     """The groups of some documents, whose tokens stand one after another: ids, group of each token, document of each group."""
 
-    def __init__(self, tokenizers: Tokenizers, a_lists: list[list[int]], b_lists: list[list[int]]):
-        self.a, self.b = (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (a_lists, b_lists))
+    def __init__(self, tokenizers: Tokenizers, a_lists: list[np.ndarray], b_lists: list[np.ndarray]):
+        self.a, self.b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (a_lists, b_lists))
         self.n_a, self.n_b = (np.array([len(x) for x in lists], np.int64) for lists in (a_lists, b_lists))
         edges = overlaps(np.cumsum(tokenizers.length_a[self.a]), np.cumsum(tokenizers.length_b[self.b]))
         root = components(len(self.a) + len(self.b), edges[0], edges[1] + len(self.a))

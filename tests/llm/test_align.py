@@ -134,13 +134,13 @@ def test_large_groups_by_distinct_ids(monkeypatch):
     assert sum(plain[2]) == g.n_links.sum()
 
 
-def test_long_texts_are_cut_where_no_token_reaches(plain_sides, monkeypatch):
-    monkeypatch.setattr(align, "RUN_CHARS", 7)
+def test_words_by_themselves_give_the_texts_ids(plain_sides, monkeypatch):
+    monkeypatch.setattr(align, "KEPT_WORDS", 20)
     own, rnd = align.Tokenizers(*PATHS), random.Random(6)
-    assert own.may_cut
-    texts = ["".join(rnd.choice(["a", "bc", " ", " ", "  ", "\n", "1", ".", "é", "日", "'s", "<s>", " ", "word", "▁"]) for _ in range(120)) for _ in range(300)]
+    parts = ["a", "bc", " ", " ", " ", "  ", "\n", "1", ".", "é", "日", "'s", "<s>", "word", "▁", "\x1c", "\x85", "\u00a0", "\u3000", "!!", "The"]
+    texts = ["".join(rnd.choice(parts) for _ in range(120)) for _ in range(300)] + ["x" * 5000 + " y", " lead", "trail ", ""]
     for text, a, b in zip(texts, *own.ids(texts), strict=True):
-        assert (a, b) == tuple(plain_sides(text)[:2]), text
+        assert (a.tolist(), b.tolist()) == tuple(plain_sides(text)[:2]), text
 
 
 def test_group_rows_and_counts(spark):

@@ -201,11 +201,11 @@ def test_damaged_pages_take_time_in_proportion(kind):
     took = []
     for n in (5_000, 40_000):
         began = time.process_time()
-        html.main_text(_damaged(n)[kind])
+        ex.main_text(_damaged(n)[kind])
         took.append(time.process_time() - began)
     assert took[1] < 25 * max(took[0], 0.05)  # in the square it would be 64 times
 
 
 def test_tag_ends_at_the_first_sign_outside_quotes():
     for page, text in (('<a title="x>y">z', "z"), ("<a title='x>y'>z", "z"), ('<a title="x>z', '<a title="x>z'), ("<a b", "")):
-        assert " ".join(b.text for b in html.blocks(page)) == text
+        assert " ".join(b.text for b in ex.blocks(page)) == text
