@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import difflib
 import math
-import tempfile
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import money, text
+from .components import components, shared_dir, with_checkpoints  # noqa: F401  shared_dir is also used from here
 
 SIMILAR_TITLE, CONTAINED_ADDRESS, LEAST_TOKENS = 0.92, 0.72, 3
 
@@ -33,10 +34,12 @@ def _reaches(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([seen[p] for p in zip(a, b, strict=True)], dtype=bool)
 
 
-def similar_titles(a: Column, b: Column) -> Column:
-    """As similarity >= SIMILAR_TITLE, for lower-cased titles; lengths that rule it out cost no call."""
-    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    return F.when(2 * short >= SIMILAR_TITLE * (short + long), F.when(a == b, True).otherwise(_reaches(a, b))).otherwise(False)
+def banded(rows: DataFrame, value: str, near: bool = False, share: float = money.PRICE_TOLERANCE, absolute: float = 1.0) -> DataFrame:
+    """rows with _bucket, as wide as the tolerance there; with near five rows each, for those beside it too. Nulls go."""
+    turn = absolute / share  # below it the absolute tolerance is the wider
+    step, v = math.log1p(share) * 1.0000001, F.col(value)
+    bucket = F.when(v < turn, F.floor(v / absolute)).otherwise(F.lit(math.floor(turn / absolute)) + F.floor(F.log(v / turn) / step)).cast("long")
+    return rows.where(v.isNotNull()).withColumn("_bucket", F.explode(F.sequence(bucket - 2, bucket + 2)) if near else bucket)
 
 
 def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, share: float = money.PRICE_TOLERANCE, absolute: float = 1.0) -> DataFrame:
@@ -45,14 +48,7 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     Values fall into buckets as wide as the tolerance there; a value is looked for in its own bucket and both beside it,
     so every pair meets in one bucket. Non-positive values match by absolute only. Columns must differ in name.
     """
-    turn = absolute / share  # below it the absolute tolerance is the wider
-    step = math.log1p(share) * 1.0000001
-
-    def bucket(v):
-        return F.when(v < turn, F.floor(v / absolute)).otherwise(F.lit(math.floor(turn / absolute)) + F.floor(F.log(v / turn) / step)).cast("long")
-
-    near = F.explode(F.sequence(bucket(F.col(left_value)) - 2, bucket(F.col(left_value)) + 2))
-    l, r = left.where(F.col(left_value).isNotNull()).withColumn("_bucket", near), right.where(F.col(right_value).isNotNull()).withColumn("_bucket", bucket(F.col(right_value)))
+    l, r = banded(left, left_value, True, share, absolute), banded(right, right_value, False, share, absolute)
     return l.join(r, "_bucket").drop("_bucket").where(money.prices_match(left_value, right_value))
 
 
@@ -66,52 +62,165 @@ def either_band_join(left: DataFrame, right: DataFrame, left_value: str, right_v
     return band_join(left, right, left_value, first).unionByName(by_second)
 
 
+#: Words or letter pairs that more rows than this share of all hold are frequent; there can only be so many.
+FREQUENT = 1e-3
+
+
+def rare_first(rows: DataFrame, held: str) -> DataFrame:
+    """rows with the array held, of different strings, in one order for all rows: those that few rows hold come first.
+
+    Strings held by more than FREQUENT of the rows go last, by how many hold them; they are at most 1 / FREQUENT times
+    the strings of a row, in one map that is broadcast. The others are in the order of a hash.
+    """
+    kept, total = rows, rows.count()
+    counts = kept.select(F.explode(held).alias("_s")).groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(10, FREQUENT * total))
+    map_ = counts.agg(F.map_from_entries(F.collect_list(F.struct("_s", "_n"))).alias("_frequent"))
+    order = F.array_sort(F.transform(held, lambda s: F.struct(F.coalesce(F.try_element_at("_frequent", s), F.lit(0)).alias("n"), F.xxhash64(s).alias("h"), s.alias("s"))))
+    return kept.crossJoin(F.broadcast(map_)).withColumn(held, F.transform(order, lambda x: x["s"])).drop("_frequent")  # a single row
+
+
+def letter_pairs(title: Column | str) -> Column:
+    """The pairs of neighbouring letters of a title, the n-th time that one occurs being another."""
+    t = F.col(title) if isinstance(title, str) else title
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
+    numbered = F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda x: x == g)).cast("string")))
+    return F.when(F.length(t) > 1, numbered).otherwise(F.array().cast("array<string>"))
+
+
+def _title_prefix(held: str, title: str) -> Column:
+    """So many of a title's letter pairs, the rare ones first, that any title of SIMILAR_TITLE holds one of them.
+
+    Of titles of n and m letters, M are matched, at least SIMILAR_TITLE / 2 of n + m. They stand in one run more than
+    there are gaps, each of which costs an unmatched letter, of n + m - 2 M; and a run of r letters has r - 1 pairs. So
+    3 M - (n + m) - 1 pairs are shared, and m is at least n * SIMILAR_TITLE / (2 - SIMILAR_TITLE).
+    """
+    share = (1.5 * SIMILAR_TITLE - 1) * 2 / (2 - SIMILAR_TITLE)
+    shared = F.greatest(F.ceil(F.length(title) * share - 1 - 1e-9), F.lit(1)).cast("int")
+    return F.slice(held, F.lit(1), F.greatest(F.size(held) - shared + 1, F.lit(0)))
+
+
+def similar_title_pairs(left: DataFrame, right: DataFrame, keys: list[str], title: str) -> DataFrame:
+    """Rows (keys, l_title, r_title) of different titles of left and right that have equal keys and reach SIMILAR_TITLE.
+
+    left and right hold keys and title. Titles meet by a rare letter pair of both their prefixes; each two are compared
+    once, however many keys and rows have them.
+    """
+    every = rare_first(left.select(title).union(right.select(title)).where(F.length(title) > 1).distinct().withColumn("_held", letter_pairs(title)), "_held")
+    prefixes = every.select(title, F.explode(_title_prefix("_held", title)).alias("_pair"))
+    l = left.select(*keys, F.col(title).alias("l_title")).distinct().join(prefixes.withColumnRenamed(title, "l_title"), "l_title")
+    r = right.select(*keys, F.col(title).alias("r_title")).distinct().join(prefixes.withColumnRenamed(title, "r_title"), "r_title")
+    short, long = F.least(F.length("l_title"), F.length("r_title")), F.greatest(F.length("l_title"), F.length("r_title"))
+    met = l.join(r, [*keys, "_pair"]).where((F.col("l_title") != F.col("r_title")) & (2 * short >= SIMILAR_TITLE * (short + long))).select(*keys, "l_title", "r_title").distinct()
+    alike = met.select("l_title", "r_title").distinct().where(_reaches("l_title", "r_title"))
+    return met.join(alike, ["l_title", "r_title"]).select(*keys, "l_title", "r_title")
+
+
+def _containing(l: DataFrame, r: DataFrame) -> DataFrame:
+    """Pairs of one bucket of prices of which the smaller set of address words shares CONTAINED_ADDRESS of them.
+
+    So many words are shared that one is among the first of the smaller set, the rare ones; it is looked for among all
+    words of the other.
+    """
+    def least(at: str) -> Column:
+        return F.ceil(CONTAINED_ADDRESS * F.size(at) - 1e-9)
+
+    def words(side: DataFrame, at: str, few: bool) -> DataFrame:
+        held = F.slice(at, F.lit(1), (F.size(at) - least(at) + 1).cast("int")) if few else F.col(at)
+        return side.where(F.size(at) > 0).withColumn("_word", F.explode(held))
+
+    smaller = F.size("l_at") <= F.size("r_at")
+    met = words(l, "l_at", True).join(words(r, "r_at", False), ["_bucket", "_word"]).where(smaller)
+    met = met.unionByName(words(l, "l_at", False).join(words(r, "r_at", True), ["_bucket", "_word"]).where(~smaller))
+    held = F.size(F.array_intersect("l_at", "r_at")) >= CONTAINED_ADDRESS * F.least(F.size("l_at"), F.size("r_at"))
+    return met.where(held).drop("_word")
+
+
 def pairs(lots: DataFrame) -> DataFrame:
     """Pairs (left, right, left < right) of rows of different sources that are one asset.
 
     lots: id, source, identifiers array<string>, price, address, title, region. A shared identifier decides, unless
     prices are more than 5 % apart; else prices must match, and either the addresses hold one another or titles are alike
-    in one region. Candidates meet by identifier or by price band, so no two rows are compared without cause.
+    in one region. Candidates meet by identifier, or by price band and a rare word of the address or letter pair of the
+    title, so no two rows are compared for their price alone.
     """
     words = lots.select("id", "source", "identifiers", "price", "region", F.lower("title").alias("title"), text.tokens("address").alias("at"), (F.size(text.tokens("title")) >= LEAST_TOKENS).alias("long"))
+    words = rare_first(words.withColumn("at", F.coalesce("at", F.array().cast("array<string>"))), "at")
     l, r = (words.select(*[F.col(c).alias(f"{s}_{c}") for c in words.columns]) for s in "lr")
     apart = (F.col("l_id") < F.col("r_id")) & (F.lower("l_source") != F.lower("r_source"))
     keyed = [x.select(*[f"{s}_{c}" for c in ("id", "source", "price")], F.explode(f"{s}_identifiers").alias("_key")) for s, x in (("l", l), ("r", r))]
     by_identifier = keyed[0].join(keyed[1], "_key").where(apart & ~money.prices_diverge("l_price", "r_price")).select(F.col("l_id").alias("left"), F.col("r_id").alias("right"))
-    by_price = band_join(l, r, "l_price", "r_price").where(apart & ~F.coalesce(F.arrays_overlap("l_identifiers", "r_identifiers"), F.lit(False)))
-    held = F.size(F.array_intersect("l_at", "r_at")) >= CONTAINED_ADDRESS * F.least(F.size("l_at"), F.size("r_at"))
-    contained = (F.size("l_at") > 0) & (F.size("r_at") > 0) & held
-    enough = F.col("l_long") & F.col("r_long") & (F.col("l_region") == F.col("r_region")) & (F.col("l_region") != "")
-    tested = by_price.select("l_id", "r_id", "l_title", "r_title", F.coalesce(contained, F.lit(False)).alias("sure"), F.coalesce(enough, F.lit(False)).alias("may")).where("sure OR may")
-    rest = tested.where("NOT sure").where(similar_titles(F.col("l_title"), F.col("r_title")))
-    chosen = tested.where("sure").select("l_id", "r_id").union(rest.select("l_id", "r_id"))
-    return by_identifier.union(chosen).distinct()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only a local session may go without, and gets a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="lotwright-")
-
-
-def stars(found: DataFrame) -> DataFrame:
-    """Rows (id, primary): a scan by id that ties each row to its first primary partner, done in rounds.
-
-    In a round a row all of whose smaller partners are settled as secondary becomes a primary, and one with a smaller
-    primary becomes its secondary; the result is that of the scan, however the rows are spread. Each round settles the
-    least open row of every component at least, so they end; how many there are grows with the longest chain of partners.
-    Written through checkpoint() each round.
+    l, r = banded(l, "l_price", near=True), banded(r, "r_price")
+    by_price = apart & money.prices_match("l_price", "r_price") & ~F.coalesce(F.arrays_overlap("l_identifiers", "r_identifiers"), F.lit(False))
+    by_address = _containing(l, r).where(by_price).select("l_id", "r_id")
+    may = [x.where(F.col(f"{s}_long") & (F.col(f"{s}_region") != "")).withColumn("_region", F.col(f"{s}_region")) for s, x in (("l", l), ("r", r))]
+    titles = [x.select("_bucket", "_region", F.col(f"{s}_title").alias("title")) for s, x in zip("lr", may, strict=True)]
+    alike = similar_title_pairs(*titles, ["_bucket", "_region"], "title")
+    by_title = may[0].join(alike, ["_bucket", "_region", "l_title"]).join(may[1], ["_bucket", "_region", "r_title"]).where(by_price).select("l_id", "r_id")
+    equal = may[0].join(may[1].withColumnRenamed("r_title", "l_title"), ["_bucket", "_region", "l_title"]).where(by_price).select("l_id", "r_id")
+    return by_identifier.union(by_address).union(by_title).union(equal).distinct()
+
+
+#: Links of a component that one task scans; larger components settle in rounds.
+SCANNED = 200_000
+
+
+def stars(found: DataFrame, scanned: int = SCANNED) -> DataFrame:
+    """Rows (id, primary): a scan by id that ties each row to its first primary partner, for rows with partners.
+
+    What one row becomes depends on the rows of its component alone, so components are found first, in rounds that grow
+    with the logarithm of the rows; then each one of scanned links at most is scanned in one task, as a stream in order
+    of id. Larger components settle in rounds of the whole table (open_rounds).
     """
-    spark = found.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    edges = found.select(F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right")).distinct().checkpoint()
+    with_checkpoints(found.sparkSession)
+    edges = found.select(F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right")).distinct()
+    of = components(edges).withColumnRenamed("node", "left")
+    edges = edges.join(of, "left").checkpoint()
+    large = edges.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > scanned).select("component")
+    small = edges.join(large, "component", "left_anti").repartition("component").sortWithinPartitions("component", "right", "left")
+    done = small.mapInPandas(_scan, "id long, primary long")
+    return done.union(open_rounds(edges.join(large, "component", "left_semi").select("left", "right")))
+
+
+def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by component, right and left: all smaller partners of a row have been met when it is."""
+    component, primary_of, ids = None, {}, []
+    right = first = None
+
+    def settle() -> None:
+        if right is not None:
+            primary_of[right] = right if first is None else first
+
+    def told() -> pd.DataFrame:
+        settle()
+        return pd.DataFrame({"id": list(primary_of), "primary": list(primary_of.values())}, dtype="int64")
+
+    for frame in frames:
+        for c, l, r in zip(frame["component"].tolist(), frame["left"].tolist(), frame["right"].tolist(), strict=True):
+            if c != component:
+                if component is not None:
+                    ids.append(told())
+                component, primary_of, right = c, {}, None
+            if r != right:
+                settle()
+                right, first = r, None
+            if primary_of.setdefault(l, l) == l and first is None:  # a row without a smaller partner is a primary
+                first = l
+        if sum(map(len, ids)) > 10_000:
+            yield pd.concat(ids)
+            ids = []
+    if component is not None:
+        ids.append(told())
+    if ids:
+        yield pd.concat(ids)
+
+
+def open_rounds(edges: DataFrame) -> DataFrame:
+    """The same as a scan, without one: in a round a row all of whose smaller partners are settled as secondary becomes a
+    primary, and one with a smaller primary becomes its secondary. Each round settles the least open row of every
+    component at least; how many there are grows with the longest chain of partners. Written through checkpoint()."""
+    edges = edges.checkpoint()
     state = edges.select(F.col("left").alias("id")).union(edges.select("right")).distinct().select("id", F.lit(None).cast("long").alias("primary")).checkpoint()
-    while True:
+    while state.where("primary IS NULL").head(1):
         left = state.select(F.col("id").alias("left"), F.col("primary").alias("of_left"))
         seen = edges.join(left, "left").groupBy(F.col("right").alias("id")).agg(
             F.min(F.when(F.col("of_left") == F.col("left"), F.col("left"))).alias("_first"), F.min(F.when(F.col("of_left").isNull(), F.col("left"))).alias("_open")
@@ -119,8 +228,7 @@ def stars(found: DataFrame) -> DataFrame:
         # A smaller partner that is open could still become a primary before the first known one.
         settled = F.col("_open").isNull() | (F.col("_first") < F.col("_open"))
         state = state.join(seen, "id", "left").select("id", F.coalesce("primary", F.when(settled, F.coalesce("_first", "id"))).alias("primary")).checkpoint()
-        if not state.where("primary IS NULL").head(1):
-            return state
+    return state
 
 
 def survivors(lots: DataFrame, ties: DataFrame, fill: list[str]) -> DataFrame:

@@ -65,16 +65,45 @@ def asset_rows(spark, d):
     )
 
 
-@query("cross_source_pairs")
+# The parts' names have two words, so titles, which need three, decide nothing here; alike_titles is about these.
+_APART = "abs(a.price - b.price) / greatest(abs(a.price), abs(b.price), 1) > 0.05"
+_MATCH = "abs(a.price - b.price) <= greatest(1.0, least(abs(a.price), abs(b.price)) * 0.001)"
+PAIRS_SQL = f"""
+WITH RECURSIVE assets AS (SELECT p_partkey AS id, p_partkey % 4 AS source, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 50 END AS ident, p_retailprice AS price,
+  list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[0-9a-zа-яё]+'), lambda w: length(w) > 1)) AS words FROM part),
+found AS (SELECT a.id AS l, b.id AS r FROM assets a JOIN assets b ON a.id < b.id AND a.source <> b.source
+  WHERE CASE WHEN a.ident = b.ident THEN NOT {_APART} ELSE {_MATCH} AND len(list_intersect(a.words, b.words)) >= 0.72 * least(len(a.words), len(b.words)) END)"""
+TIES_SQL = f"""{PAIRS_SQL},
+nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS n, coalesce(smaller, []) AS smaller FROM (SELECT l AS id FROM found UNION SELECT r FROM found) LEFT JOIN (SELECT r AS id, list(l) AS smaller FROM found GROUP BY r) USING (id)),
+scan AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS known UNION ALL SELECT nodes.n, CASE WHEN list_has_any(smaller, known) THEN known ELSE list_append(known, id) END FROM scan JOIN nodes ON nodes.n = scan.n + 1),
+ties AS (SELECT id, coalesce(list_min(list_intersect(smaller, known)), id) AS "primary" FROM nodes, (SELECT known FROM scan ORDER BY n DESC LIMIT 1))"""
+
+
+@query("cross_source_pairs", f'{PAIRS_SQL} SELECT l AS "left", r AS "right" FROM found')
 def cross_source_pairs(spark, d):
     return resolve.pairs(asset_rows(spark, d))
 
 
-@query("reconciled_assets")
+@query("reconciled_assets", f'{TIES_SQL} SELECT id, "primary" FROM ties')
 def reconciled_assets(spark, d):
     return resolve.stars(resolve.pairs(asset_rows(spark, d)))
 
 
+@query("merged_assets", f"""{TIES_SQL},
+joined AS (SELECT coalesce(t."primary", p_partkey) AS id, p_partkey AS own, CASE WHEN p_partkey % 3 > 0 THEN p_brand || ' ' || p_name END AS address, p_size FROM part LEFT JOIN ties t ON t.id = p_partkey)
+SELECT id, arg_min(address, own) AS address, arg_min(p_size, own)::INTEGER AS p_size, count(*) AS n_sources FROM joined GROUP BY id""")
+def merged_assets(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 > 0, F.concat_ws(" ", "p_brand", "p_name")).otherwise(" ").alias("address"), "p_size")
+    return resolve.survivors(parts.withColumn("address", F.trim("address")), resolve.stars(resolve.pairs(asset_rows(spark, d))), ["address"])
+
+
+@query("alike_titles")
+def alike_titles(spark, d):
+    """Titles of parts of one brand that are alike; SQL has no such ratio, tests compare with all pairs."""
+    p = table(spark, d, "part").select("p_brand", F.lower(F.concat_ws(" ", "p_name", "p_type", F.lit("lot"), "p_size")).alias("title"))
+    return resolve.similar_title_pairs(p, p, ["p_brand"], "title").where("l_title < r_title")
+
+
 @query("sibling_sources", """
 SELECT a.doc_id, b.doc_id AS sibling FROM documents a JOIN documents b ON a.text = b.text AND a.source <> b.source AND a.doc_id < b.doc_id""")
 def sibling_sources(spark, d):
@@ -98,7 +127,9 @@ def title_similarity(spark, d):
     p = table(spark, d, "part")
     l, r = (p.select(F.col("p_partkey").alias(f"{s}_part"), F.col("p_name").alias(f"{s}_name"), "p_brand", "p_size", "p_type") for s in ("left", "right"))
     pairs = l.join(r, ["p_brand", "p_size", "p_type"]).where("left_part < right_part")
-    return pairs.select("left_part", "right_part", F.round(resolve.similarity("left_name", "right_name"), 6).alias("similarity"))
+    names = pairs.select("left_name", "right_name").distinct()  # each two are compared once
+    names = names.withColumn("similarity", F.round(resolve.similarity("left_name", "right_name"), 6))
+    return pairs.join(names, ["left_name", "right_name"]).select("left_part", "right_part", "similarity")
 
 
 @query("identifier_lookup", "SELECT o_orderkey, o_custkey IN (SELECT user_id FROM events WHERE event_type = 'purchase') AS known FROM orders")
