@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import history, links, listing, quality, resolve, upsert
-from ..streaming import ingest
+from ..streaming import ingest, state
 from .catalogue import query
 from .registry import table
 from .state import CUT, FAILURES_SQL, SNAPSHOTS_SQL, cut, failures, snapshots
@@ -113,8 +113,7 @@ def streaming_ingest(spark, d):
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     run = ingest.upsert_stream(stream, f"{home}/state", f"{home}/checkpoint", "user_id", "event_id", columns)
     run.awaitTermination()
-    last = max((p["batchId"] for p in run.recentProgress if p["numInputRows"]), default=None)
-    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{home}/state/{last}")
+    return state.BucketState(spark, f"{home}/state", schema, "user_id").read()
 
 
 @query("scheduled_runs", """

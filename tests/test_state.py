@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lotwright.operators import documents, history, resolve, upsert
-from lotwright.streaming import ingest
+from lotwright.streaming import ingest, state
 
 
 def test_same_page_twice_is_unchanged(spark):
@@ -92,7 +92,9 @@ def test_upsert_stream_equals_batch(spark, tmp_path):
     stream = ingest.read_files(spark, str(tmp_path / "in"), "k int, t int, s string")
     q = ingest.upsert_stream(stream, str(tmp_path / "state"), str(tmp_path / "cp"), "k", "t", ["t", "s"])
     q.awaitTermination(120)
-    got = {r.k: (r.t, r.s) for r in spark.read.parquet(str(tmp_path / "state" / "3")).collect()}
+    kept = state.BucketState(spark, str(tmp_path / "state"), stream.schema, "k")
+    assert kept.versions() == [0, 1, 2, 3]
+    got = {r.k: (r.t, r.s) for r in kept.read().collect()}
     assert got == {k: (t, s) for k, t, s in rows}
     counts = spark.read.parquet(str(tmp_path / "state-counts" / "0")).collect()
     assert [(r.change, r.n) for r in counts] == [("inserted", 7)]
