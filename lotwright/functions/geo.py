@@ -35,6 +35,20 @@ def ring_centre(ring: Column) -> Column:
     return F.when(F.size(ring) > 0, F.struct(mean(1).alias("lat"), mean(0).alias("lon")))
 
 
+_NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+
+
+def shape_centre(geometry: Column | str) -> Column:
+    """The mean of all points of a GeoJSON geometry, however deep its coordinates are nested, as a struct (lat, lon).
+
+    A point is an array that begins with two numbers; null if there is none. Rings' last points count as they stand.
+    """
+    held = F.get_json_object(F.col(geometry) if isinstance(geometry, str) else geometry, "$.coordinates")
+    points = F.regexp_extract_all(held, F.lit(rf"\[\s*{_NUMBER}\s*,\s*{_NUMBER}"), 0)
+    ring = F.transform(points, lambda p: F.transform(F.split(F.translate(p, "[ ", ""), ","), lambda n: n.cast("double")))
+    return ring_centre(ring)
+
+
 def padded_box(west: float, south: float, east: float, north: float, zoom: int = 0, share: float = 0.15, least: float = 0.02) -> tuple[float, float, float, float]:
     """A viewport widened on all sides and rounded by its zoom, so that small moves ask for the same box; never beyond the globe."""
     dx, dy = max((east - west) * share, least), max((north - south) * share, least)

@@ -143,3 +143,20 @@ def test_json(value):
     assert json.loads(value(jsonwalk.repaired_object("a"), "```json\n{a: 1, \"b\": [2,],}\n```")) == {"a": 1, "b": [2]}
     diff = value(jsonwalk.map_difference(F.create_map(F.lit("pages"), F.lit("1")), F.create_map(F.lit("pages"), F.lit("2"))))
     assert {k: tuple(v) for k, v in diff.items()} == {"pages": ("1", "2")}
+
+
+def test_an_amount_alone_is_read_whole(spark):
+    from lotwright.functions import extract
+
+    said = ["Продаётся за 40437.92 руб.", "за 1234567 руб", "за 12 345,60 ₽", "за 1.5 руб. и 77 кг"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    assert [r.v for r in df.select("i", extract.price("s")["value"].alias("v")).orderBy("i").collect()] == [40437.92, 1234567.0, 12345.6, 1.5]
+
+
+def test_centre_of_any_nesting(spark):
+    from lotwright.functions import geo
+
+    shapes = ['{"type":"Point","coordinates":[1.5,-2e0]}', '{"coordinates":[[0,0],[4,2]]}', '{"coordinates":[[[[0,0,9],[4, 0,9]]],[[[2,6,9]]]]}', '{"coordinates":[]}', "{}", "broken", None]
+    df = spark.createDataFrame(list(enumerate(shapes)), "i int, s string")
+    got = [r.p and tuple(r.p) for r in df.select("i", geo.shape_centre("s").alias("p")).orderBy("i").collect()]
+    assert got == [(-2.0, 1.5), (1.0, 2.0), (2.0, 2.0), None, None, None, None]
