@@ -108,3 +108,15 @@ def crawl_ends(spark, d):
         "*", F.when(source == "view", 2).when(source == "error", 99).alias("total_pages"), (page % 4 != 0).alias("has_more"), F.when((source == "error") & (page == 3), "timed out").alias("error")
     )
     return paging.crawl_ends(pages, rows, "source", "ident", 5000, 6, 140)
+
+
+@query("listing_deadlines", """
+SELECT 'reg:' || o_orderkey AS external_id, CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate + INTERVAL 30 DAYS END AS application_deadline, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate + INTERVAL 40 DAYS END AS auction_at,
+  'N-' || o_custkey AS notice_number, CASE WHEN o_orderkey % 4 > 0 THEN strftime(o_orderdate + INTERVAL 30 DAYS, '%d.%m.%Y %H:%M') ELSE '' END AS shown
+FROM orders""")
+def listing_deadlines(spark, d):
+    key, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    ends, starts = F.date_format(at + F.expr("INTERVAL 30 DAYS"), "dd.MM.yyyy HH:mm"), F.date_format(at + F.expr("INTERVAL 40 DAYS"), "yyyy-MM-dd'T'HH:mm:ss'+03:00'")
+    answer = F.struct(key.alias("id"), F.concat(F.lit("Лот "), key.cast("string")).alias("lotName"), F.concat(F.lit("N-"), F.col("o_custkey").cast("string")).alias("noticeNumber"), F.when(key % 4 > 0, ends).alias("biddEndTime"), F.when(key % 3 > 0, starts).alias("auctionStartDate"))
+    made = records.of_listings(table(spark, d, "orders").select(F.to_json(answer).alias("payload")), "payload", "reg", "lots.example", "https://lots.example")
+    return made.select("external_id", "application_deadline", "auction_at", "notice_number", F.get_json_object("raw_data", "$.dates[1].text").alias("shown"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, timeline
+from ..operators import components, quantiles, timeline
 from ..streaming import ingest, state
 from .catalogue import query
 from .registry import table
@@ -100,3 +100,17 @@ def limited_requests(spark, d):
     answers = ingest.limited(stream, "user_id", "event_id", "ts", LIMIT, SECONDS, late_seconds=86400, idle_seconds=86400)
     ingest.write_limited(answers, f"{home}/out", f"{home}/checkpoint")
     return spark.read.schema(answers.schema).parquet(f"{home}/out")
+
+
+@query("daily_latencies", """
+WITH r AS (SELECT ts::DATE AS day, value, row_number() OVER (PARTITION BY ts::DATE ORDER BY value) AS rn, count(*) OVER (PARTITION BY ts::DATE) AS n FROM events WHERE value IS NOT NULL),
+h AS (SELECT day, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS histogram FROM (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1)
+SELECT day, max(value) FILTER (rn = ceil(0.5 * n)) AS p50, max(value) FILTER (rn = ceil(0.95 * n)) AS p95, max(value) FILTER (rn = n) AS worst, histogram FROM r JOIN h USING (day) GROUP BY day, histogram""")
+def daily_latencies(spark, d):
+    """Nearest ranks of a day from the sketches of its hours, and how often each status came."""
+    e = table(spark, d, "events").select(F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "value", "event_type")
+    days = quantiles.merged(quantiles.sketches(e, ["day", "hour"], "value"), ["day"])
+    ranks = quantiles.nearest_ranks(e, ["day"], "value", [0.5, 0.95, 1.0], days)
+    wide = ranks.groupBy("day").agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in ((0.5, "p50"), (0.95, "p95"), (1.0, "worst"))])
+    said = F.array_join(F.transform(F.map_entries("histogram"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return wide.join(quantiles.histogram(e, ["day"], "event_type").select("day", said.alias("histogram")), "day")

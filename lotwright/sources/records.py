@@ -61,6 +61,8 @@ MESSAGE_KEYS = {
 }
 REGION_IN_TEXT = r"([А-ЯЁ][а-яё-]+(?:\s+[А-ЯЁа-яё-]+){0,2}\s+(?:область|край|республика|округ))"
 TITLE_LENGTH, DESCRIPTION_LENGTH = 500, 5000
+#: What a listing's dates are called.
+DATE_TITLES = {"published": "Дата публикации", "closes": "Окончание подачи заявок", "auction": "Дата проведения торгов"}
 
 
 def as_record(df: DataFrame, **fields: Column) -> DataFrame:
@@ -128,6 +130,7 @@ def of_listings(rows: DataFrame, payload: str, source: str, system: str, base: s
 
     The id is the source's own, else its notice and lot numbers, else a hash of the whole; a title that lacks is made from
     the description or the id, a description from the title. What is no JSON object gives a record without facts.
+    raw_data holds the answer (raw) and, read from it, status, numbers, the end of applications and the auction's start.
     """
     p = rows.select(F.col(payload).alias("_raw"), _picked(F.coalesce(F.col(payload), F.lit("null"))).alias("_p"))
     t = lambda name: F.nullif(text.clean(F.try_element_at(F.col("_p.text"), F.lit(name))), F.lit(""))
@@ -140,6 +143,8 @@ def of_listings(rows: DataFrame, payload: str, source: str, system: str, base: s
     start = _first_of(F.col("_p.start"), money.parse_money)
     own = F.concat(F.lit(f"{base}/new/public/lots/lot/"), F.col("_id"), F.lit("/(lotInfo:info)?fromRec=false"))
     url = F.coalesce(absolute(t("url"), base), own)
+    kept = {"source": F.lit(source), "status": t("status"), "notice_number": t("notice"), "lot_number": t("lot"), "category_code": t("category_code"), "bidd_end_time": t("closes"), "auction_start_date": t("auction")}
+    titled = F.array(*[F.struct(F.lit(title).alias("title"), F.coalesce(t(name), F.lit("")).alias("text")) for name, title in DATE_TITLES.items()])
     return as_record(
         p,
         external_id=F.concat(F.lit(source + ":"), "_id"),
@@ -159,8 +164,11 @@ def of_listings(rows: DataFrame, payload: str, source: str, system: str, base: s
         lot_url=url,
         source_url=url,
         detail_level=F.lit("search"),
-        raw_data=F.col("_raw"),
+        raw_data=F.to_json(F.struct(*[F.coalesce(v, F.lit("")).alias(n) for n, v in kept.items()], F.col("_numbers").alias("cadastral_numbers"), titled.alias("dates"), F.col("_raw").alias("raw"))),
         published_at=dates.parse(t("published"), keep_zone=False),
+        application_deadline=dates.parse(t("closes"), keep_zone=False),
+        auction_at=dates.parse(t("auction"), keep_zone=False),
+        notice_number=t("notice"),
         land_area=extract.land_area("_said"),
         total_area_gba=F.coalesce(extract.building_area("_said"), extract.room_area("_said")),
     )
