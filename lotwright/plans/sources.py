@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import export
-from ..sources import paging, records
+from ..operators import components, export
+from ..sources import connectors, paging, records
 from .catalogue import query
 from .registry import table
 
@@ -120,3 +122,36 @@ def listing_deadlines(spark, d):
     answer = F.struct(key.alias("id"), F.concat(F.lit("Лот "), key.cast("string")).alias("lotName"), F.concat(F.lit("N-"), F.col("o_custkey").cast("string")).alias("noticeNumber"), F.when(key % 4 > 0, ends).alias("biddEndTime"), F.when(key % 3 > 0, starts).alias("auctionStartDate"))
     made = records.of_listings(table(spark, d, "orders").select(F.to_json(answer).alias("payload")), "payload", "reg", "lots.example", "https://lots.example")
     return made.select("external_id", "application_deadline", "auction_at", "notice_number", F.get_json_object("raw_data", "$.dates[1].text").alias("shown"))
+
+
+PAGE = 50
+
+
+def _saved(parts):
+    """Answers of a source that holds the parts, a page of PAGE each, every seventh of which is cut off."""
+    item = F.struct(F.col("p_partkey").alias("id"), F.col("p_type").alias("lotStatus"), F.col("p_name").alias("name"))
+    pages = parts.groupBy(F.floor(F.col("p_partkey") / PAGE).cast("int").alias("number")).agg(F.array_sort(F.collect_list(item)).alias("lots"))
+    said = F.to_json(F.struct("number", F.lit(10_000_000).alias("totalElements"), F.struct("lots").alias("data")))
+    return pages.select("number", F.when(F.col("number") % 7 == 6, F.left(said, F.lit(40))).otherwise(said).alias("value"))
+
+
+@query("resumed_pages", f"""
+SELECT p_partkey::VARCHAR AS ident, (p_partkey // {PAGE})::INTEGER AS page, (p_partkey % {PAGE})::INTEGER AS position, p_type AS status, NULL::VARCHAR AS error FROM part WHERE p_partkey // {PAGE} % 7 <> 6
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'no JSON' FROM (SELECT DISTINCT p_partkey // {PAGE} AS n FROM part) WHERE n % 7 = 6""")
+def resumed_pages(spark, d):
+    """Pages read as a stream that ends, and goes on from its checkpoint after more pages have been saved."""
+    home = f"{components.shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    saved = _saved(table(spark, d, "part"))
+    for half in (0, 1):
+        saved.where(F.col("number") % 2 == half).select("value").write.mode("append").option("maxRecordsPerFile", 1).text(f"{home}/saved")
+        rows = connectors.page_items(connectors.saved_pages(spark, f"{home}/saved", stream=True)).select("ident", "page", "position", "status", "error")
+        rows.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{home}/out")
+
+
+@query("source_pages_health", f"""
+WITH p AS (SELECT *, p_partkey // {PAGE} AS n FROM part)
+SELECT count(DISTINCT n) AS pages, count(DISTINCT n) FILTER (n % 7 = 6) AS failed, 0::BIGINT AS empty, 10000000::BIGINT AS total, count(*) FILTER (n % 7 <> 6) AS items, count(*) FILTER (n % 7 <> 6) AS ids, 10000000 - count(*) FILTER (n % 7 <> 6) AS missing,
+  CASE WHEN count(*) FILTER (n % 7 = 6) > 0 THEN 'degraded' ELSE 'ok' END AS status FROM p""")
+def source_pages_health(spark, d):
+    return connectors.health(_saved(table(spark, d, "part")).select(F.col("value").alias("payload"), F.lit("x").alias("file")))

@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
 
 @dataclass
@@ -165,6 +166,86 @@ def has_more(payload: Any, page: int, size: int, count: int) -> bool:
     return page * size < total if total is not None else count >= size
 
 
+def numbered(name: str, fetch: Callable[[dict[str, Any], int], Any], filters: dict[str, str] | None = None, page_size: int = 20) -> Connector:
+    """A connector whose cursor is the page's number, over a source that answers (parameters, page from 1) with JSON."""
+
+    def page(parameters: dict[str, Any], cursor: str | None) -> Page:
+        number = int(cursor or 1)
+        answer = fetch(parameters, number)
+        rows = items_of(answer)
+        return Page(rows, str(number + 1) if rows and has_more(answer, number, page_size, len(rows)) else None, count_of(answer))
+
+    return Connector(name, page, filters or {}, page_size)
+
+
+def every_page(connector: Connector, filters: dict[str, Any], cursor: str | None = None) -> Iterator[tuple[str | None, Page]]:
+    """Pages with the cursors that gave them, from one on; what the source cannot filter by is left to the reader."""
+    parameters, _ = source_parameters(filters, connector.filters)
+    while True:
+        page = connector.fetch(parameters, cursor)
+        yield cursor, page
+        if page.cursor is None or page.cursor == cursor:
+            return
+        cursor = page.cursor
+
+
+def capabilities(spark: SparkSession, registry: Registry) -> DataFrame:
+    """A row for each source of the registry: its page size, what it filters by itself, and how these parameters are called."""
+    made = [registry.create(n) for n in registry.names()]
+    return spark.createDataFrame([(x.name, x.page_size, sorted(x.filters), x.filters) for x in made], "source string, page_size int, filters array<string>, parameters map<string,string>")
+
+
+def saved_pages(spark: SparkSession, path: str, stream: bool = False, per_trigger: int = 100) -> DataFrame:
+    """Saved answers below path, a file each, as rows (file, payload), read by Spark from whatever store the path names.
+
+    As a stream, the files that a checkpoint has seen are its cursor: one that is stopped and started again goes on with
+    the pages that it has not given yet, and with those saved meanwhile.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", per_trigger) if stream else spark.read
+    return reader.schema("value string").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
+
+
+def _listed(v: Column) -> Column:
+    """The list of items in an answer (a variant), at the top, under one of ITEM_KEYS, or under two."""
+    at = lambda path: F.try_variant_get(v, path, "array<variant>")
+    held = [at("$")]
+    for key in ITEM_KEYS:
+        inner = [at(f"$.{key}.{k}") for k in ITEM_KEYS]
+        held += [at(f"$.{key}"), F.coalesce(*[F.when(F.size(x) > 0, x) for x in inner])]
+    return F.filter(F.coalesce(*held), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+
+
+def _parsed(pages: DataFrame) -> DataFrame:
+    read = pages.withColumn("_v", F.try_parse_json("payload"))
+    number = F.coalesce(*[F.try_variant_get("_v", p, "int") for p in ("$.number", "$.page.number", "$.page", "$.pageNumber")])
+    total = F.coalesce(*[F.try_variant_get("_v", f"$.{p}{k}", "long") for p in ("", "page.") for k in TOTAL_KEYS])
+    return read.withColumn("page", number).withColumn("total", total).withColumn("_items", _listed(F.col("_v")))
+
+
+def page_items(pages: DataFrame, ident: str = "id", status: str = "lotStatus") -> DataFrame:
+    """Rows (file, page, position, ident, status, payload, error) of saved_pages: an item each, as json_pages gives them.
+
+    A page that is no JSON gives one row with its error, one without items none. All of it stays in the JVM.
+    """
+    read = _parsed(pages).withColumn("error", F.when(F.col("_v").isNull(), "no JSON"))
+    none = F.array(F.lit(None).cast("variant"))
+    rows = read.select("file", "page", "error", F.posexplode(F.when(F.col("error").isNotNull(), none).otherwise(F.col("_items"))).alias("position", "_item"))
+    text = lambda key: F.try_variant_get("_item", f"$.{key}", "string")
+    return rows.select("file", "page", F.when(F.col("error").isNull(), F.col("position")).alias("position"), F.nullif(text(ident), F.lit("")).alias("ident"), text(status).alias("status"), F.to_json("_item").alias("payload"), "error")
+
+
+def health(pages: DataFrame, ident: str = "id") -> DataFrame:
+    """One row about the pages of a source: how many there are, failed or were empty, the items and different ids they hold,
+    the total that the source gives, how many of it are missing, and ok, degraded or failed."""
+    read = _parsed(pages)
+    by_page = read.agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("_v").isNull()).alias("failed"), F.count_if(F.col("_v").isNotNull() & (F.coalesce(F.size("_items"), F.lit(0)) == 0)).alias("empty"), F.max("total").alias("total")
+    )
+    by_item = page_items(pages, ident).where("error IS NULL").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("ident").alias("ids"))
+    state = F.when(F.col("failed") == F.col("pages"), "failed").when(F.col("failed") > 0, "degraded").otherwise("ok")
+    return by_page.crossJoin(F.broadcast(by_item)).select("*", F.greatest(F.coalesce(F.col("total"), F.lit(0)) - F.col("ids"), F.lit(0)).alias("missing"), state.alias("status"))  # single rows
+
+
 def register(spark: SparkSession) -> None:
     """Make json_pages known to the session, and let Spark push filters to it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -78,3 +78,60 @@ def test_sheets(spark, tmp_path):
     assert sheets.sheet_rows((tmp_path / "a.xlsx").read_bytes())[0]["ИНН"] == "y"
     got = sheets.normalise(sheets.read(spark, str(tmp_path)), "reg").collect()
     assert len(got) == 1 and got[0].external_id == "reg:21000000000000000001_1" and got[0].start_price in (1250000.0, 1.0)
+
+
+def test_pages_by_number_go_on_from_a_cursor():
+    from lotwright.sources import connectors
+
+    answers = {1: {"content": [{"id": 1}, {"id": 2}], "totalElements": 5}, 2: {"content": [{"id": 3}, {"id": 4}], "totalElements": 5}, 3: {"content": [{"id": 5}], "totalElements": 5}}
+    asked = []
+
+    def fetch(parameters, page):
+        asked.append((parameters, page))
+        return answers.get(page, {"content": []})
+
+    source = connectors.numbered("x", fetch, {"region": "subj"}, 2)
+    got = list(connectors.every_page(source, {"region": "76", "odd": 1}))
+    assert [c for c, _ in got] == [None, "2", "3"] and [r["id"] for _, p in got for r in p.rows] == [1, 2, 3, 4, 5] and got[0][1].total == 5
+    assert asked[0] == ({"subj": "76"}, 1)
+    assert [r["id"] for _, p in connectors.every_page(source, {}, "3") for r in p.rows] == [5]
+
+
+def test_capabilities(spark):
+    from lotwright.sources import connectors
+
+    registry = connectors.Registry()
+    registry.register("b", lambda: connectors.numbered("b", lambda p, n: [], {"region": "subj"}, 50))
+    registry.register("a", lambda: connectors.numbered("a", lambda p, n: []))
+    rows = connectors.capabilities(spark, registry).collect()
+    assert [(r.source, r.page_size, r.filters, r.parameters) for r in rows] == [("a", 20, [], {}), ("b", 50, ["region"], {"region": "subj"})]
+
+
+def test_items_of_saved_pages(spark, tmp_path):
+    from lotwright.sources import connectors
+
+    said = ['{"number": 0, "content": [{"id": 1, "lotStatus": "A"}, 7, {"id": ""}], "total": 9}', '{"page": {"number": 1}, "data": {"items": [{"id": "x"}]}}', '[{"id": 5}]', "broken {", '{"number": 4, "content": []}', '{"content": [], "items": [{"id": 8}]}']
+    for n, text in enumerate(said):
+        (tmp_path / f"{n}.json").write_text(text)
+    pages = connectors.saved_pages(spark, str(tmp_path))
+    got = sorted(((r.file[-6], r.page, r.position, r.ident, r.status, r.error) for r in connectors.page_items(pages).collect()), key=str)
+    assert got == sorted([("0", 0, 0, "1", "A", None), ("0", 0, 1, None, None, None), ("1", 1, 0, "x", None, None), ("2", None, 0, "5", None, None), ("3", None, None, None, None, "no JSON")], key=str)
+    h = connectors.health(pages).first()
+    assert (h.pages, h.failed, h.empty, h["items"], h.ids, h.total, h.missing, h.status) == (6, 1, 2, 4, 3, 9, 6, "degraded")
+
+
+def test_a_resumed_stream_gives_each_page_once(spark, tmp_path):
+    from lotwright.sources import connectors
+
+    def run():
+        rows = connectors.page_items(connectors.saved_pages(spark, str(tmp_path / "in"), stream=True, per_trigger=2)).select("ident")
+        rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.ident for r in spark.read.schema("ident string").parquet(str(tmp_path / "out")).collect())
+
+    (tmp_path / "in").mkdir()
+    for n in range(5):
+        (tmp_path / "in" / f"{n}.json").write_text(f'[{{"id": {n}}}]')
+    assert run() == list("01234")
+    (tmp_path / "in" / "9.json").write_text('[{"id": 9}]')
+    assert run() == list("012349")
+    assert run() == list("012349")
