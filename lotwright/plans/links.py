@@ -58,9 +58,10 @@ def place_resolution(spark, d):
     return links.places(lots, numbers, addresses).select("c_custkey", "lat", "geo_method")
 
 
-@query("address_backfill", "SELECT p_partkey, CASE WHEN length(p_name) < 15 THEN p_type ELSE p_name END AS address FROM part")
+@query("address_backfill", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN length(p_name || ' ' || p_type) < 15 AND p_partkey % 5 > 0 THEN p_type ELSE p_name || ' ' || p_type END AS address FROM part")
 def address_backfill(spark, d):
-    return table(spark, d, "part").select("p_partkey", links.filled_address(F.col("p_name"), F.col("p_type")).alias("address"))
+    own, found = F.when(F.col("p_partkey") % 3 > 0, F.concat_ws(" ", "p_name", "p_type")), F.when((F.col("p_partkey") % 5 > 0) | (F.col("p_partkey") % 3 == 0), F.col("p_type")).otherwise("")
+    return table(spark, d, "part").select("p_partkey", links.filled_address(own, found).alias("address"))
 
 
 @query("cached_valuation", "SELECT c_custkey, (SELECT max_by(o_totalprice, (o_orderdate, o_totalprice)) FROM orders WHERE o_custkey = c_custkey)::DOUBLE AS value FROM customer")
@@ -140,10 +141,10 @@ def desktop_map_filter(spark, d):
     return p.where(money.within(F.coalesce(F.nullif("current", F.lit(0.0)), F.col("p_size") * 100), 950, 1500)).select("p_partkey")
 
 
-@query("desktop_registry", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%steel%' AND p_size IN (1, 2, 3, 4, 5, 6, 7) ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
+@query("desktop_registry", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%BOLT%' AND p_size IN (1, 2, 3, 4, 5, 6, 7) ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
 def desktop_registry(spark, d):
     groups = {"small": tuple(range(1, 8)), "large": tuple(range(8, 51))}
-    p = table(spark, d, "part").where(F.col("p_name").ilike("%steel%") & F.col("p_size").isin(*groups["small"]))
+    p = table(spark, d, "part").where(F.col("p_name").ilike("%BOLT%") & F.col("p_size").isin(*groups["small"]))
     return p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).select("p_partkey", "p_name")
 
 
@@ -153,10 +154,12 @@ def desktop_dashboard(spark, d):
     return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("lots"), F.count_if(F.col("o_orderstatus") == "O").alias("active"), F.count_distinct("o_custkey").alias("owners"), F.max("o_orderdate").alias("updated"), F.round(price, 2).alias("average"))
 
 
-@query("page_maximum", r"SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(html, 'href=\"/(\d+)', 1), lambda x: x::BIGINT)), 0) AS last_page FROM pages")
+@query("page_maximum", r"SELECT page_id, CASE WHEN page_id % 3 > 0 THEN greatest(page_id % 40, 2) ELSE coalesce(list_max(list_transform(regexp_extract_all(html, 'href=\"/(\d+)', 1), lambda x: x::BIGINT)), 0) END AS last_page FROM pages")
 def page_maximum(spark, d):
     numbers = F.transform(F.regexp_extract_all("html", F.lit(r'href="/(\d+)'), 1), lambda x: x.cast("long"))
-    return table(spark, d, "pages").select("page_id", F.coalesce(F.array_max(numbers), F.lit(0)).cast("long").alias("last_page"))
+    paginator = F.concat(F.lit('<a href="/2">2</a><a href="/'), (F.col("page_id") % 40).cast("string"), F.lit('/">last</a>'))  # the pages' own links have no numbers
+    shown = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 > 0, F.concat("html", paginator)).otherwise(F.col("html")).alias("html"))
+    return shown.select("page_id", F.coalesce(F.array_max(numbers), F.lit(0)).cast("long").alias("last_page"))
 
 
 @query("prompt_projection", """SELECT p_partkey, substr('{"brand":"' || p_brand || '","name":"' || p_name || '","size":' || p_size || '}', 1, 60) AS prompt FROM part""")
@@ -166,9 +169,9 @@ def prompt_projection(spark, d):
 
 
 @query("run_counters", """
-SELECT o_orderpriority AS source, count(*) AS seen, count(*) FILTER (o_orderstatus = 'F') AS failed, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'success' WHEN count(*) FILTER (o_orderstatus = 'F') = count(*) THEN 'failed' ELSE 'partial' END AS state FROM orders GROUP BY 1""")
+SELECT o_custkey AS source, count(*) AS seen, count(*) FILTER (o_orderstatus = 'F') AS failed, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'success' WHEN count(*) FILTER (o_orderstatus = 'F') = count(*) THEN 'failed' ELSE 'partial' END AS state FROM orders GROUP BY 1""")
 def run_counters(spark, d):
-    counted = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("source")).agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"))
+    counted = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"))
     return counted.withColumn("state", F.when(F.col("failed") == 0, "success").when(F.col("failed") == F.col("seen"), "failed").otherwise("partial"))
 
 

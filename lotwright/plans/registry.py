@@ -148,9 +148,9 @@ def mercator_convert(spark, d):
     return table(spark, d, "customer").where(k > 1).select("c_custkey", p.alias("p")).select("c_custkey", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 
 
-@query("same_point_groups", f"SELECT round(lat, 0) AS lat, round(lon, 0) AS lon, count(*) AS lots FROM {PLACES_SQL} GROUP BY 1, 2 HAVING count(*) > 1")
+@query("same_point_groups", f"SELECT round(lat, -1)::DOUBLE + 0.0 AS lat, round(lon, -1)::DOUBLE + 0.0 AS lon, count(*) AS lots FROM {PLACES_SQL} GROUP BY 1, 2 HAVING count(*) > 1")
 def same_point_groups(spark, d):
-    return places(spark, d).groupBy(F.round("lat", 0).alias("lat"), F.round("lon", 0).alias("lon")).agg(F.count(F.lit(1)).alias("lots")).where("lots > 1")
+    return places(spark, d).groupBy((F.round("lat", -1) + 0.0).alias("lat"), (F.round("lon", -1) + 0.0).alias("lon")).agg(F.count(F.lit(1)).alias("lots")).where("lots > 1")
 
 
 @query("percentile_latency", """
