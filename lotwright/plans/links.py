@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import extract, geo, money, regions
-from ..operators import links
+from ..operators import dossier, links
 from .catalogue import query
 from .registry import table
 
@@ -100,38 +100,53 @@ def response_etag(spark, d):
 
 @query("procedure_lookup", "SELECT s_suppkey, min(l_orderkey) AS first_order FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_linestatus ILIKE 'o' GROUP BY 1")
 def procedure_lookup(spark, d):
-    found = table(spark, d, "lineitem").where(F.col("l_linestatus").ilike("o")).groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.min("l_orderkey").alias("first_order"))
-    return table(spark, d, "supplier").select("s_suppkey").join(found, "s_suppkey", "left")
+    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("number"), F.lit("o").alias("source"))
+    cards = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("number"), F.col("l_linestatus").alias("source"), F.col("l_orderkey").alias("first_order"))
+    return dossier.first_by_procedure(asked, cards, "number", "source", "first_order").select(F.col("number").alias("s_suppkey"), "first_order")
 
 
 @query("lot_documents", """
 SELECT c_custkey, count(DISTINCT o_orderkey) AS cards, count(l_linenumber) AS documents, coalesce(sum(l_quantity), 0)::DOUBLE AS pages
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def lot_documents(spark, d):
-    per_card = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("documents"), F.sum("l_quantity").alias("pages"))
-    cards = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(per_card, "o_orderkey", "left")
-    per_lot = cards.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("cards"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("pages"), F.lit(0)).cast("double").alias("pages"))
-    return table(spark, d, "customer").select("c_custkey").join(per_lot, "c_custkey", "left").na.fill(0)
+    cards = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    documents = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    whole = dossier.dossiers(table(spark, d, "customer").select("c_custkey"), cards, documents, "c_custkey", "o_orderkey", ["l_linenumber"])
+    each = F.flatten(F.transform("cards", lambda x: x["documents"]))
+    pages = F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x["l_quantity"])
+    return whole.select("c_custkey", F.size("cards").cast("long").alias("cards"), F.size(each).cast("long").alias("documents"), pages.alias("pages"))
 
 
-@query("canonical_consistency", "SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey")
+@query("canonical_consistency", """
+SELECT l_orderkey, l_linenumber, l_partkey, reason FROM (SELECT *, CASE WHEN o_orderkey IS NULL OR l_orderkey % 17 = 0 THEN 'no lot' WHEN l_suppkey % 19 = 0 THEN 'no asset' WHEN o_custkey % 5 = 0 AND o_custkey % 100 <> l_suppkey THEN 'another asset' END AS reason
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey) WHERE reason IS NOT NULL""")
 def canonical_consistency(spark, d):
-    l, o, c, s = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    whole = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, l.l_suppkey == s.s_suppkey)
-    return whole.where("c_nationkey <> s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    links = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lots = table(spark, d, "orders").where("o_orderkey % 17 <> 0").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_custkey") % 5 == 0, F.col("o_custkey") % 100).alias("_asset"))
+    assets = table(spark, d, "supplier").where("s_suppkey % 19 <> 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return dossier.contradictions(links, lots, assets, "l_orderkey", "l_suppkey").select("l_orderkey", "l_linenumber", "l_partkey", "reason")
 
 
 @query("runs_with_sources", "SELECT o_orderkey, o_orderstatus, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS sources FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def runs_with_sources(spark, d):
-    parts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list("l_linenumber")), ",").alias("sources"))
-    return table(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(parts, "o_orderkey", "left")
+    parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    runs = dossier.with_sources(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), parts, "o_orderkey", "l_linenumber")
+    numbers = F.array_join(F.transform("parts", lambda x: x["l_linenumber"].cast("string")), ",")
+    return runs.select("o_orderkey", "o_orderstatus", F.nullif(numbers, F.lit("")).alias("sources"))
 
 
 @query("source_cache_filter", """
-SELECT event_id FROM events WHERE coalesce(nullif(event_type, 'view'), props->>'$.k') LIKE '%e%' AND coalesce(user_id, 0) BETWEEN 5 AND 80""")
+SELECT p_partkey FROM part WHERE p_partkey % 6 <> 0 AND contains(lower(CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END), '1') AND (contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring'))
+AND coalesce(CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END, p_retailprice + 50) BETWEEN 950 AND 1500
+UNION ALL SELECT p_partkey + 1000000 FROM part WHERE p_partkey % 6 <> 0 AND contains(lower(CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END), 'm')""")
 def source_cache_filter(spark, d):
-    name = F.coalesce(F.nullif("event_type", F.lit("view")), F.get_json_object("props", "$.k"))
-    return table(spark, d, "events").where(name.like("%e%") & F.coalesce("user_id", F.lit(0)).between(5, 80)).select("event_id")
+    key = F.col("p_partkey")
+    cards = table(spark, d, "part").select(
+        "p_partkey", (key % 6 == 0).alias("is_archived"), F.when(key % 2 == 0, F.col("p_brand")).alias("region_name"), F.to_json(F.struct(F.col("p_type").alias("region_name"))).alias("raw_data"), F.col("p_name").alias("title"),
+        F.when(key % 4 > 0, F.col("p_type")).alias("address"), F.when(key % 3 == 0, F.col("p_retailprice")).alias("current_price"), (F.col("p_retailprice") + 50).alias("start_price"),
+    )
+    found = dossier.cached(cards, "raw_data", "1", "RING", 950, 1500).select("p_partkey")
+    return found.union(dossier.cached(cards, "raw_data", "M").select(key + 1000000))
 
 
 @query("desktop_map_filter", """
@@ -148,10 +163,10 @@ def desktop_registry(spark, d):
     return p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).select("p_partkey", "p_name")
 
 
-@query("desktop_dashboard", "SELECT count(*) AS lots, count(*) FILTER (o_orderstatus = 'O') AS active, count(DISTINCT o_custkey) AS owners, max(o_orderdate) AS updated, round(avg(o_totalprice), 2)::DOUBLE AS average FROM orders")
+@query("desktop_dashboard", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS active, count(*) FILTER (o_orderkey % 4 <> 0) AS with_rating, (SELECT max(ts) FROM events WHERE event_type = 'purchase') AS last_sync FROM orders")
 def desktop_dashboard(spark, d):
-    price = F.avg(F.col("o_totalprice").cast("double"))
-    return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("lots"), F.count_if(F.col("o_orderstatus") == "O").alias("active"), F.count_distinct("o_custkey").alias("owners"), F.max("o_orderdate").alias("updated"), F.round(price, 2).alias("average"))
+    lots = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "O", "active").otherwise("closed").alias("auction_status"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("rating"))
+    return dossier.overview(lots, table(spark, d, "events").where("event_type = 'purchase'").select(F.col("ts").alias("last_success_at")))
 
 
 @query("page_maximum", r"SELECT page_id, CASE WHEN page_id % 3 > 0 THEN greatest(page_id % 40, 2) ELSE coalesce(list_max(list_transform(regexp_extract_all(html, 'href=\"/(\d+)', 1), lambda x: x::BIGINT)), 0) END AS last_page FROM pages")
@@ -171,8 +186,7 @@ def prompt_projection(spark, d):
 @query("run_counters", """
 SELECT o_custkey AS source, count(*) AS seen, count(*) FILTER (o_orderstatus = 'F') AS failed, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'success' WHEN count(*) FILTER (o_orderstatus = 'F') = count(*) THEN 'failed' ELSE 'partial' END AS state FROM orders GROUP BY 1""")
 def run_counters(spark, d):
-    counted = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"))
-    return counted.withColumn("state", F.when(F.col("failed") == 0, "success").when(F.col("failed") == F.col("seen"), "failed").otherwise("partial"))
+    return dossier.source_counters(table(spark, d, "orders").select(F.col("o_custkey").alias("source"), "o_orderstatus"), "source", F.col("o_orderstatus") == "F")
 
 
 _SAID = (("Респ Адыгея", "01"), ("КБР", "07"), ("  якутия", "14"), ("г. Москва", "77"), ("ЯРОСЛАВСКАЯ ОБЛАСТЬ", "76"), ("ХМАО", "86"), ("Атлантида", None), ("5", "05"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import components, export
-from ..sources import connectors, paging, records
+from ..sources import connectors, frontier, paging, records
 from .catalogue import query
 from .registry import table
 
@@ -155,3 +155,19 @@ SELECT count(DISTINCT n) AS pages, count(DISTINCT n) FILTER (n % 7 = 6) AS faile
   CASE WHEN count(*) FILTER (n % 7 = 6) > 0 THEN 'degraded' ELSE 'ok' END AS status FROM p""")
 def source_pages_health(spark, d):
     return connectors.health(_saved(table(spark, d, "part")).select(F.col("value").alias("payload"), F.lit("x").alias("file")))
+
+
+_LINKED = """links AS (SELECT page_id, regexp_extract_all(html, 'href="/([^"/?#]+)"', 1) AS l FROM pages), p AS (SELECT page_id, l[1] AS address, CASE WHEN page_id % 9 = 4 THEN 'timeout' END AS cause, l[2:] AS l FROM links WHERE len(l) > 0)"""
+
+
+@query("pages_reached", f"""
+WITH RECURSIVE {_LINKED}, edges AS (SELECT DISTINCT address, unnest(l) AS link FROM p WHERE cause IS NULL),
+r(address, depth) AS (SELECT address, 0 FROM p WHERE page_id % 25 = 0 UNION SELECT link, depth + 1 FROM r JOIN edges USING (address) WHERE depth < 25),
+s AS (SELECT address, bool_and(cause IS NOT NULL) AS failed FROM p GROUP BY 1)
+SELECT address, min(depth) AS depth, CASE WHEN failed IS NULL THEN 'unknown' WHEN failed THEN 'failed' ELSE 'read' END AS status, CASE WHEN failed THEN 'timeout' END AS cause FROM r LEFT JOIN s USING (address) GROUP BY address, failed""")
+def pages_reached(spark, d):
+    """A page's first link stands for its own address, the others lead on; every ninth page could not be read."""
+    links = F.regexp_extract_all("html", F.lit('href="/([^"/?#]+)"'), 1)
+    pages = table(spark, d, "pages").select("page_id", links.alias("l")).where(F.size("l") > 0)
+    pages = pages.select("page_id", F.element_at("l", 1).alias("address"), F.slice("l", F.lit(2), F.size("l")).alias("links"), F.when(F.col("page_id") % 9 == 4, "timeout").alias("cause"))
+    return frontier.reached(pages, pages.where("page_id % 25 = 0"))

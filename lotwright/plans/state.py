@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import documents, history, upsert
+from ..operators import documents, dossier, history, upsert
 from .catalogue import query
 from .registry import table
 
@@ -73,10 +73,13 @@ def status_ranges(spark, d):
     return history.valid_ranges(e, ["user_id"], "event_type", "ts", F.col("event_id")).select("user_id", "event_type", "valid_from", "valid_to")
 
 
-@query("archive_closed", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'closed' WHEN o_orderstatus = 'P' THEN 'scheduled' ELSE 'active' END AS status, o_orderstatus = 'F' AS archived FROM orders")
+@query("archive_closed", f"""
+SELECT o_orderkey, o_orderstatus = 'F' OR o_orderkey % 10 = 0 AS is_archived, CASE WHEN o_orderkey % 20 = 0 THEN o_orderdate WHEN o_orderstatus = 'F' AND o_orderkey % 10 <> 0 THEN TIMESTAMP '{CUT}' END AS archived_at,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate WHEN o_orderstatus = 'F' AND o_orderkey % 10 <> 0 THEN TIMESTAMP '{CUT}' END AS closed_at FROM orders""")
 def archive_closed(spark, d):
-    s = F.col("o_orderstatus")
-    return table(spark, d, "orders").select("o_orderkey", F.when(s == "F", "closed").when(s == "P", "scheduled").otherwise("active").alias("status"), (s == "F").alias("archived"))
+    key, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    lots = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "closed").otherwise("active").alias("auction_status"), F.when(key % 10 == 0, True).alias("is_archived"), F.when(key % 20 == 0, at).alias("archived_at"), F.when(key % 3 == 0, at).alias("closed_at"))
+    return dossier.archived(lots, cut()).drop("auction_status")
 
 
 @query("document_versions", "SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")

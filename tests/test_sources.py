@@ -135,3 +135,28 @@ def test_a_resumed_stream_gives_each_page_once(spark, tmp_path):
     (tmp_path / "in" / "9.json").write_text('[{"id": 9}]')
     assert run() == list("012349")
     assert run() == list("012349")
+
+
+def test_pages_found_on_pages(spark):
+    from lotwright.sources import frontier
+
+    rnd = __import__("random").Random(3)
+    names = [f"p{i}" for i in range(60)]
+    rows = [(rnd.choice(names[:45]), [rnd.choice(names) for _ in range(rnd.randint(0, 2))] + [None] * (i % 5 == 0), rnd.choice([None, None, None, "timeout", "404"])) for i in range(70)] + [(None, ["p1"], None)]
+    rows += [(f"c{i}", [f"c{i + 1}"], None) for i in range(15)] + [("p0", ["c0"], None)]
+    got = {r.address: (r.depth, r.status, r.cause) for r in frontier.reached(spark.createDataFrame(rows, "address string, links array<string>, cause string"), spark.createDataFrame([("p0",), ("p0",), (None,), ("nowhere",)], "address string")).collect()}
+    depth, open_ = {"p0": 0, "nowhere": 0}, ["p0", "nowhere"]
+    while open_:
+        a = open_.pop(0)
+        for address, links, cause in rows:
+            if address == a and cause is None:
+                for x in links:
+                    if x and x not in depth:
+                        depth[x] = depth[a] + 1
+                        open_.append(x)
+    want = {}
+    for a, n in depth.items():
+        causes = [c for b, _, c in rows if b == a]
+        failed = bool(causes) and all(causes)
+        want[a] = (n, "failed" if failed else "read" if causes else "unknown", min(causes) if failed else None)
+    assert got == want and max(depth.values()) >= 15 and {w[1] for w in want.values()} == {"failed", "read", "unknown"}
