@@ -30,6 +30,8 @@ from . import common
 CHUNK_BYTES, SEGMENT_BYTES = 1 << 20, 1 << 24
 #: Words whose ids a Python worker keeps; with more, those not used lately go. Longer words are not kept.
 KEPT_WORDS, KEPT_CHARS = 400_000, 48
+#: Characters of a run of a longer text, which is worked through run by run.
+RUN_CHARS = 1 << 20
 #: Links of a group that are laid out one by one; a larger group is laid out by its distinct ids.
 LAID_OUT = 4096
 #: An id pair is one number: A's id above these bits.
@@ -52,6 +54,15 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _REACHES = re.compile(r"\S ")
 
 
+def _runs(text: str) -> Iterator[str]:
+    """A text in runs of RUN_CHARS at least, cut at spaces that stand alone, which are left out. Groups end there too."""
+    at = 0
+    while cut := _CUT.search(text, at + RUN_CHARS):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:]
+
+
 class Tokenizers:
     """Both tokenizers: ids of texts, bytes of ids, and how an id is written where it is not, or is, a side's last in a group.
 
@@ -202,6 +213,22 @@ def _added_up(docs: np.ndarray, keys: np.ndarray, times: np.ndarray) -> tuple[np
     return docs[at], keys[at], np.add.reduceat(times[order], at) if len(at) else times[:0]
 
 
+def _long_document(own: Tokenizers, text: str) -> tuple[list[int], str, np.ndarray, np.ndarray]:
+    """The four counts, the groups' hash, the pairs and their links of one text, a run at a time."""
+    counts, said, keys, times = np.zeros(4, np.int64), hashlib.sha256(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for n, run in enumerate(_runs(text)):
+        a, b = own.ids([run])
+        if not len(a[0]):
+            return [0] * 4, "", keys[:0], times[:0]
+        g = Groups(own, a, b)
+        counts += [g.n_a[0], g.n_b[0], g.n_groups[0], g.n_links[0]]
+        said.update(((";" if n else "") + g.texts(own)[0]).encode())
+        _, more, again = g.pairs()
+        keys, times = np.concatenate([keys, more]), np.concatenate([times, again])
+        _, keys, times = _added_up(np.zeros(len(keys), np.int64), keys, times)
+    return counts.tolist(), said.hexdigest(), keys, times
+
+
 _loaded: dict = {}
 
 
@@ -225,6 +252,14 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizers((a_path, b_path))
         for batch in common.chunks(batches, "text", CHUNK_BYTES):
+            if batch.num_rows == 1 and len(text := batch.column("text")[0].as_py()) > 2 * RUN_CHARS:
+                if all(len(own.ids([run])[0][0]) for run in _runs(text)):  # one run that does not come back is enough for no groups
+                    before = 0
+                    for run in _runs(text):
+                        g = Groups(own, *own.ids([run]))
+                        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(g.doc)), pa.array(np.arange(before, before + g.size)), common.lists(g.a.astype(np.int32), g.in_a, pa.int32()), common.lists(g.b.astype(np.int32), g.in_b, pa.int32())], schema=schema)
+                        before += g.size
+                continue
             g = Groups(own, *own.ids(batch.column("text").to_pylist()))
             nth = np.arange(g.size) - np.repeat(np.cumsum(g.n_groups) - g.n_groups, g.n_groups)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(g.doc)), pa.array(nth), common.lists(g.a.astype(np.int32), g.in_a, pa.int32()), common.lists(g.b.astype(np.int32), g.in_b, pa.int32())], schema=schema)
@@ -275,10 +310,14 @@ def _segments(a_path: str, b_path: str, segment_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _SEGMENT.types, strict=True)], schema=_SEGMENT)
 
         for batch in common.chunks(batches, "text", CHUNK_BYTES):
-            g = Groups(own, *own.ids(batch.column("text").to_pylist()))
-            of, pairs, n = g.pairs()
-            sums = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in g.texts(own)]
-            columns = [batch.column("id"), g.n_a, g.n_b, g.n_groups, g.n_links, sums, np.bincount(of, minlength=batch.num_rows)]
+            if batch.num_rows == 1 and len(text := batch.column("text")[0].as_py()) > 2 * RUN_CHARS:
+                counts, said, pairs, n = _long_document(own, text)
+                columns = [batch.column("id"), *[[x] for x in counts], [said], [len(pairs)]]
+            else:
+                g = Groups(own, *own.ids(batch.column("text").to_pylist()))
+                of, pairs, n = g.pairs()
+                sums = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in g.texts(own)]
+                columns = [batch.column("id"), g.n_a, g.n_b, g.n_groups, g.n_links, sums, np.bincount(of, minlength=batch.num_rows)]
             docs.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _DOCS.types, strict=True)], schema=_DOCS))
             keys.append(pairs)
             times.append(n)

@@ -195,7 +195,7 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     """A range-coded block for each row of ids, all below vocabulary."""
     lanes, size = ids.shape
     ranks = np.ascontiguousarray(_ranks(ids).T)
-    ids = np.ascontiguousarray(ids.T)
+    ids = np.ascontiguousarray(ids.T, np.int64)
     m = _Blocks(lanes, size, vocabulary)
     out, ends = np.zeros((lanes, 4 * size + 8), np.uint16), np.zeros(lanes, np.int64)
     flat, row = out.reshape(-1), m.lane * (4 * size + 8)
@@ -296,13 +296,14 @@ def write_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, v
     """
     size = block_size(len(ids))
     lanes = -(-len(ids) // size)
-    full = np.empty(lanes * size, np.int64)
+    full = np.empty(lanes * size, "<u4")
     full[: len(ids)] = ids
     full[len(ids) :] = ids[-1] if len(ids) else 0
     full = full.reshape(lanes, size)
     if len(ids) and int(full.max()) >= vocabulary:
         raise ValueError("an id beyond the vocabulary")
-    blocks = encode_blocks(full, vocabulary)
+    step = max(1, SHARD_IDS // size)  # a document longer than a shard by parts
+    blocks = [b for lo in range(0, lanes, step) for b in encode_blocks(full[lo : lo + step], vocabulary)]
     directory = np.array([(len(b), zlib.crc32(x.astype("<u4").tobytes())) for b, x in zip(blocks, full, strict=True)], "<u4").reshape(-1, 2)
     docs = np.array([_NULL_DOC if d is None else d for d in doc_ids], "<i8").tobytes() + np.array(counts, "<u8").tobytes()
     return b"".join([_HEAD.pack(_MAGIC, _VERSION, size, vocabulary, len(doc_ids), len(ids), lanes), docs, directory.tobytes(), *blocks])
@@ -332,7 +333,9 @@ class ShardReader:
         return got
 
     def ids(self) -> np.ndarray:
-        return self.blocks(list(range(len(self.spans)))).reshape(-1)[: self.n_ids]
+        step = max(1, SHARD_IDS // self.size)
+        parts = [self.blocks(list(range(lo, min(lo + step, len(self.spans))))).astype("<u4").reshape(-1) for lo in range(0, len(self.spans), step)]
+        return np.concatenate([*parts, np.zeros(0, "<u4")])[: self.n_ids]
 
     def document(self, n: int) -> np.ndarray:
         """The ids of the n-th document; only the blocks that hold it are decoded."""
@@ -388,7 +391,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id
         end = np.array([end_id], "<u4")
 
         def shard() -> pa.RecordBatch:
-            data = write_shard(ids, counts, np.concatenate(texts).astype(np.int64), vocabulary)
+            data = write_shard(ids, counts, np.concatenate(texts), vocabulary)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, nth, before, held, data), _SHARD.types, strict=True)], schema=_SHARD)
 
         for batch in common.chunks(batches, "text"):

@@ -157,3 +157,28 @@ def test_group_rows_and_counts(spark):
         for a in g.a_ids:
             for b in g.b_ids:
                 assert next(r.docs for r in counts if (r.a, r.b) == (a, b)) == 2
+
+
+def test_long_texts_go_by_runs(monkeypatch):
+    rnd = random.Random(2)
+    own, words = align.Tokenizers(*PATHS), ["thonre", "Enti", "naïve", "日本", "  ", "\n", "ofti🙂", "x" * 40]
+    for bad in ("", " ▁ "):
+        text = " ".join(rnd.choice(words) for _ in range(300)) + bad + "the end"
+        g = align.Groups(own, *own.ids([text]))
+        _, pairs, times = g.pairs()
+        said = g.texts(own)[0]
+        monkeypatch.setattr(align, "RUN_CHARS", 50)
+        assert len(list(align._runs(text))) > 10 and " ".join(align._runs(text)) == text
+        counts, sha, keys, n = align._long_document(own, text)
+        assert counts == [int(x[0]) for x in (g.n_a, g.n_b, g.n_groups, g.n_links)] and (counts[0] == 0) == bool(bad)
+        assert sha == (hashlib.sha256(said.encode()).hexdigest() if said else "") and keys.tolist() == pairs.tolist() and n.tolist() == times.tolist()
+
+
+def test_a_text_of_several_runs(spark):
+    text = "thonre Enti naïve 日本 " * 200_000
+    short = text[: len("thonre Enti naïve 日本 ") * 3]
+    docs = spark.createDataFrame([(1, text), (2, short)], "doc_id long, text string")
+    got = {r.doc_id: r for r in align.alignment(docs, *PATHS).collect()}
+    a_each = (got[2].n_a - 1) / 3
+    assert abs(got[1].n_a - a_each * 200_000) <= 2 and got[1].n_links > 60_000 * got[2].n_links and got[1].groups_sha256
+    assert align.aligned_groups(docs, *PATHS).where("doc_id = 1").count() == got[1].n_groups

@@ -66,6 +66,15 @@ def test_shard_is_read_in_part_and_damage_is_seen():
         tokenfiles.write_shard([1], [1], np.array([500]), 500)
 
 
+def test_long_document_by_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 300, 5000)
+    whole = tokenfiles.write_shard([1], [5000], ids, 300)
+    monkeypatch.setattr(tokenfiles, "SHARD_IDS", 1200)
+    assert tokenfiles.write_shard([1], [5000], ids, 300) == whole
+    assert tokenfiles.ShardReader(whole).ids().tolist() == ids.tolist()
+
+
 def test_driver_table(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = tokenfiles.op11_token_files(spark, sf).collect()
