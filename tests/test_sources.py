@@ -143,7 +143,7 @@ def test_pages_found_on_pages(spark):
     rnd = __import__("random").Random(3)
     names = [f"p{i}" for i in range(60)]
     rows = [(rnd.choice(names[:45]), [rnd.choice(names) for _ in range(rnd.randint(0, 2))] + [None] * (i % 5 == 0), rnd.choice([None, None, None, "timeout", "404"])) for i in range(70)] + [(None, ["p1"], None)]
-    rows += [(f"c{i}", [f"c{i + 1}"], None) for i in range(15)] + [("p0", ["c0"], None)]
+    rows += [(f"c{i}", [f"c{i + 1}"], None) for i in range(15)] + [("p0", ["c0", "f1"], None), ("f1", ["p1"], "404"), ("f1", [], "timeout")]
     got = {r.address: (r.depth, r.status, r.cause) for r in frontier.reached(spark.createDataFrame(rows, "address string, links array<string>, cause string"), spark.createDataFrame([("p0",), ("p0",), (None,), ("nowhere",)], "address string")).collect()}
     depth, open_ = {"p0": 0, "nowhere": 0}, ["p0", "nowhere"]
     while open_:
