@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from . import assets, examples, facts, links, listings, quality, registry, sources, state, timelines  # noqa: E402, F401  they register their queries
+from . import assets, facts, links, listings, quality, registry, sources, state, timelines, wordings  # noqa: E402, F401  they register their queries

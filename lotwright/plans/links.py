@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import extract, geo, money, regions
+from ..functions import extract, geo, money
 from ..operators import dossier, links
 from .catalogue import query
 from .registry import table
@@ -189,15 +189,6 @@ def run_counters(spark, d):
     return dossier.source_counters(table(spark, d, "orders").select(F.col("o_custkey").alias("source"), "o_orderstatus"), "source", F.col("o_orderstatus") == "F")
 
 
-_SAID = (("Респ Адыгея", "01"), ("КБР", "07"), ("  якутия", "14"), ("г. Москва", "77"), ("ЯРОСЛАВСКАЯ ОБЛАСТЬ", "76"), ("ХМАО", "86"), ("Атлантида", None), ("5", "05"))
-
-
-@query("region_names", "SELECT p_partkey, code AS region_code FROM part JOIN (VALUES " + ", ".join(f"({n}, {f'{code!r}' if code else 'NULL'})" for n, (_, code) in enumerate(_SAID)) + f") v(i, code) ON p_partkey % {len(_SAID)} = i")
-def region_names(spark, d):
-    said = F.element_at(F.array(*[F.lit(x) for x, _ in _SAID]), (F.col("p_partkey") % len(_SAID) + 1).cast("int"))
-    return regions.with_region(table(spark, d, "part").select("p_partkey", said.alias("said")), "said").select("p_partkey", "region_code")
-
-
 @query("same_point_counts", """
 SELECT round(lat, 9)::DOUBLE AS lat, round(lon, 9)::DOUBLE AS lon, count(*) AS n FROM (SELECT p_size + (p_partkey % 3) * 1e-11 AS lat, p_size * 2 - (p_partkey % 2) * 1e-11 AS lon FROM part) GROUP BY 1, 2 HAVING count(*) > 1""")
 def same_point_counts(spark, d):

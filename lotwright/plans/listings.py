@@ -1,7 +1,7 @@
 """Listings' texts, dates, JSON and HTML made of the tables' columns, and what the operators read from them.
 
 Every row's text differs by its numbers, names and dates. The SQL works each result out from the same columns, not from
-the text, so it does not know the operators' rules. Odd texts stand in the tests and in plans/examples.
+the text, so it does not know the operators' rules. Odd texts stand in the tests.
 """
 
 from __future__ import annotations

@@ -1,45 +1,22 @@
-"""Operators on the listings' own language, which the driver's tables do not hold.
-
-Each query gives every part one of a few stated inputs, by its key, and applies the operator to all parts. The SQL states
-what each input must give, so it does not know the operator's rules.
-"""
-
-from __future__ import annotations
+"""Operators on the listings' own language over stated inputs and what each must give."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from ..functions import classify, dates, extract, geo, jsonwalk, money, places, text
-from ..operators import links, listing, review
-from ..sources import cards
-from .catalogue import query
-from .registry import table
-
-_SQL_TYPES = {"string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+from lotwright.functions import classify, dates, extract, geo, jsonwalk, money, places, text
+from lotwright.operators import links, listing, review
+from lotwright.sources import cards
 
+CASES = {}
 
-def _fields(ddl: str) -> list[list[str]]:
-    return [f.split() for f in ddl.split(", ")] if ddl else []
 
+def by_example(name, inputs, results, examples, *columns):
+    """inputs and results: columns with types; examples: rows of both; columns: the results' expressions."""
+    CASES[name] = inputs, results, examples, columns
 
-def _literal(value) -> str:
-    if value is None:
-        return "NULL"
-    return str(value) if isinstance(value, (bool, int, float)) else "'" + value.replace("'", "''") + "'"
 
-
-def by_example(name: str, inputs: str, results: str, examples: list[tuple], *columns) -> None:
-    """Register a query: inputs and results are columns with types, examples rows of both, columns the results' expressions."""
-    given, wanted = _fields(inputs), _fields(results)
-    rows = [[_literal(v) for v in e[len(given) :]] for e in examples]
-    values = ", ".join(f"({n}, {', '.join(r)})" for n, r in enumerate(rows))
-    sql = f"SELECT p_partkey, {', '.join(f'CAST({n} AS {_SQL_TYPES[t]}) AS {n}' for n, t in wanted)} FROM part JOIN (VALUES {values}) v(i, {', '.join(n for n, _ in wanted)}) ON p_partkey % {len(rows)} = i"
-
-    @query(name, sql)
-    def run(spark, d):
-        said = spark.createDataFrame([(n, *e[: len(given)]) for n, e in enumerate(examples)], f"_i int, {', '.join(f'{n} {t}' for n, t in given)}")
-        parts = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(examples)).cast("int").alias("_i"))
-        made = [c() if callable(c) else c for c in columns]
-        return parts.join(F.broadcast(said), "_i").select("p_partkey", *[c.cast(t).alias(n) for c, (n, t) in zip(made, wanted, strict=True)])
+def _fields(ddl):
+    return [f.split() for f in ddl.split(", ")]
 
 
 def _list(c):
@@ -259,3 +236,16 @@ by_example("lot_pages", "html string", "images string, links int, number string"
     ("""<div id="lot-gallery" data-gallery='[{"url":"/1.png"},{"src":"/2.png"},{"url":"/1.png"},3]'></div><a href="https://x/lots/lot/1">x</a> РАД: 22000012-2024-0001-3""", "/1.png|/2.png", 1, "22000012-2024-0001-3"),
     ("<div id='lot-gallery' data-gallery='broken'></div>", "", 0, None), (None, "", 0, None),
 ], lambda: _list(cards.lot_page_of("html")["images"]), lambda: F.size(cards.lot_page_of("html")["links"]), lambda: cards.lot_page_of("html")["procedure_number"])
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_example(spark, name):
+    inputs, results, examples, columns = CASES[name]
+    given, wanted = _fields(inputs), _fields(results)
+    said = ", ".join(f"{n} {t}" for n, t in given)
+    want = ", ".join(f"want_{n} {'string' if t == 'timestamp_ntz' else t}" for n, t in wanted)
+    rows = spark.createDataFrame(examples, f"{said}, {want}")
+    made = [c() if callable(c) else c for c in columns]
+    got = rows.select(*[m.cast(t).alias(n) for m, (n, t) in zip(made, wanted, strict=True)], *[F.col(f"want_{n}").cast(t).alias(f"want_{n}") for n, t in wanted]).collect()
+    assert [tuple(r[n] for n, _ in wanted) for r in got] == [tuple(r[f"want_{n}"] for n, _ in wanted) for r in got]
+    assert len(got) == len(examples)
