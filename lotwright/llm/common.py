@@ -162,6 +162,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bases(seed: int) -> list[int]:
+    """The two bases that a seed draws."""
+    return np.random.RandomState(seed).randint(1 << 20, _PRIME, 2).tolist()
+
+
 class Spans:
     """Hashes of any spans of a sequence of 64-bit values: two polynomials modulo a prime at drawn bases, by prefix sums.
 
@@ -170,9 +175,8 @@ class Spans:
     """
 
     def __init__(self, values: np.ndarray, seed: int = 1):
-        drawn = np.random.RandomState(seed).randint(1 << 20, _PRIME, 2)
         self.parts = []
-        for base, part in zip(drawn.tolist(), (values & _U(_PRIME), values >> _U(33)), strict=True):
+        for base, part in zip(bases(seed), (values & _U(_PRIME), values >> _U(33)), strict=True):
             up, down = powers(base, len(values) + 1)
             sums = np.zeros(len(values) + 1, _U)
             part *= up[: len(values)]

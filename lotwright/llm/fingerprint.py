@@ -31,6 +31,10 @@ STEP_BITS = 4
 RANK_BITS = 32 + STEP_BITS * (LEVELS - 1)
 #: Bytes of the input for each range that texts are dealt out by.
 RANGE_BYTES = 64 << 20
+#: Texts of more bytes are parsed by blocks of so many, so that memory does not grow with them.
+BLOCK_BYTES = 1 << 19
+#: Runs before a block that decide where phrases start in it: each of five tosses looks one run to the left, a maximum one more.
+CONTEXT = 8
 _U = np.uint64
 
 
@@ -128,9 +132,130 @@ def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
     return float(np.isin(union, both, assume_unique=True).sum()) / len(union)
 
 
+Blocks = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def _phrases(blocks: Blocks) -> Iterator[np.ndarray]:
+    """Where the phrases of one text start, of its symbols and their first bytes given block by block."""
+    held = before = None  # the run that may go on: symbol, first byte, length; decided runs and those after them
+    lo = 0  # the first run of before that is not decided
+
+    def decided(before, last: bool):
+        nonlocal lo
+        symbols, begins = before
+        hi = len(symbols) if last else len(symbols) - 1
+        if hi <= lo:
+            return before, begins[:0]
+        starts = phrase_starts(symbols, np.zeros(1, np.int64))
+        starts = begins[starts[(starts >= lo) & (starts < hi)]]
+        cut = max(0, hi - CONTEXT)
+        lo = hi - cut
+        return (symbols[cut:], begins[cut:]), starts
+
+    def joined(before, symbols, begins, times):
+        if symbols.dtype != np.uint8:
+            symbols = np.where(times > 1, mix(symbols + times.astype(_U)), symbols)
+        return (symbols, begins) if before is None else (np.concatenate([before[0], symbols]), np.concatenate([before[1], begins]))
+
+    for symbols, begins in blocks:
+        new = np.ones(len(symbols), bool)
+        new[1:] = symbols[1:] != symbols[:-1]
+        new[0] = held is None or symbols[0] != held[0][0]
+        at = np.flatnonzero(new)
+        if not len(at):
+            held = (*held[:2], held[2] + len(symbols))
+            continue
+        runs = symbols[at], begins[at], np.diff(np.append(at, len(symbols)))
+        if held is not None:
+            runs = tuple(np.concatenate([h, r]) for h, r in zip((*held[:2], held[2] + at[0]), runs, strict=True))
+        held = tuple(r[-1:] for r in runs)
+        if len(runs[0]) > 1:
+            before, starts = decided(joined(before, *[r[:-1] for r in runs]), False)
+            if len(starts):
+                yield starts
+    if held is not None:
+        _, starts = decided(joined(before, *held), True)
+        if len(starts):
+            yield starts
+
+
+def _spelt(data: np.ndarray, phrases: Iterator[np.ndarray]) -> Blocks:
+    """The names of one text's phrases, which are those of Spans over all of it, and where they begin."""
+    moduli = [(base, pow(base, -1, common._PRIME)) for base in common.bases(3)]
+    at, sums, known = 0, [0, 0], None  # summed up to here; known: first byte, sum and inverse power where the last phrase begins
+    times = lambda x, k: common._residue(common._fold(x * _U(k)))
+
+    def marks(bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both polynomials the sums before these bytes, which are at or after those of earlier calls, and inverse powers there."""
+        nonlocal at
+        out = [[], []]
+        done = 0
+        while done < len(bounds):
+            size = min(BLOCK_BYTES, len(data) - at)
+            end = at + size if bounds[-1] >= at + size else int(bounds[-1])
+            here = bounds[done : int(np.searchsorted(bounds, end, side="right"))]
+            done += len(here)
+            values = common.BYTE[data[at:end]]
+            for k, ((base, inverse), part) in enumerate(zip(moduli, (values & _U(common._PRIME), values >> _U(33)), strict=True)):
+                up, down = common.powers(base, BLOCK_BYTES + 1)
+                local = np.zeros(end - at + 1, _U)
+                np.cumsum(common._fold(part * up[: end - at]), out=local[1:])
+                whole = times(common._residue(local[np.append(here - at, end - at)]), pow(base, at, common._PRIME)) + _U(sums[k])
+                whole = common._residue(whole)
+                out[k].append((whole[:-1], times(down[here - at].copy(), pow(inverse, at, common._PRIME))))
+                sums[k] = int(whole[-1])
+            at = end
+        return [tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for parts in out]
+
+    def named(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal known
+        found = marks(bounds)
+        if known is not None:
+            bounds = np.concatenate([known[0], bounds])
+            found = [tuple(np.concatenate(x) for x in zip(*pair, strict=True)) for pair in zip(known[1], found, strict=True)]
+        known = bounds[-1:], [(s[-1:], d[-1:]) for s, d in found]
+        a, b = (common._residue(common._fold(common._residue(s[1:] + _U(common._PRIME) - s[:-1]) * d[:-1])) for s, d in found)
+        return mix((a << _U(31) | b) + np.diff(bounds).astype(_U) * _U(0x9E3779B97F4A7C15)), bounds[:-1]
+
+    for starts in phrases:
+        block = named(starts)
+        if len(block[0]):
+            yield block
+    if known is not None:
+        yield named(np.array([len(data)]))
+
+
+def long_sketch(data: np.ndarray, kept: int = KEPT) -> np.ndarray:
+    """The fingerprint of one text of any length, the same as that of sketches, in memory of some blocks."""
+    least = np.zeros(0, np.int64)
+
+    def ranked(level: int, blocks: Blocks) -> Blocks:
+        nonlocal least
+        for found, begins in blocks:
+            least = np.unique(np.concatenate([least, ranks(found, level)]))[:kept]
+            yield found, begins
+
+    blocks = ((data[i : i + BLOCK_BYTES], np.arange(i, min(i + BLOCK_BYTES, len(data)))) for i in range(0, len(data), BLOCK_BYTES))
+    for level in range(1, LEVELS + 1):
+        blocks = ranked(level, _spelt(data, _phrases(blocks)))
+    for _ in blocks:
+        pass
+    return least
+
+
 def fingerprint_texts(col: pa.Array) -> list[np.ndarray]:
     data, offs = common.text_bytes(col)
-    return sketches([(found, at) for found, _, at in names(data, offs)], len(col))
+    long = np.flatnonzero(np.diff(offs) > 2 * BLOCK_BYTES)
+    if not len(long):
+        return sketches([(found, at) for found, _, at in names(data, offs)], len(col))
+    out, lo = [], 0
+    for i in [*long.tolist(), len(col)]:  # the texts between long ones, then the long one
+        part = data[offs[lo] : offs[i]]
+        out += sketches([(found, at) for found, _, at in names(part, offs[lo : i + 1] - offs[lo])], i - lo)
+        if i < len(col):
+            out.append(long_sketch(data[offs[i] : offs[i + 1]]))
+        lo = i + 1
+    return out
 
 
 def as_text(sketch: np.ndarray) -> str:

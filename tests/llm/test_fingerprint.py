@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,32 @@ def test_batches_do_not_matter():
     assert [fp.as_text(x) for x in fp.fingerprint_texts(pa.array(texts, pa.string()))] == alone
 
 
+@pytest.mark.parametrize("block", [16, 300])
+def test_long_texts_by_blocks_are_parsed_alike(block, monkeypatch):
+    rnd = random.Random(block)
+    texts = [text(rnd, n, a) for a in ("ab", "abcdefghij ", "aaaaab", "äöü日本") for n in (1, 2, 3, 4, 17, 900, 5000)]
+    texts += ["a" * 4000, "ab" * 3000, text(rnd, 700) * 6, "x" + "a" * 900 + text(rnd, 50) + "abc" * 800, text(rnd, 2000) + "z" * 2500]
+    whole = [fp.as_text(x) for x in fp.fingerprint_texts(pa.array(texts))]
+    monkeypatch.setattr(fp, "BLOCK_BYTES", block)
+    assert [fp.as_text(fp.long_sketch(np.frombuffer(t.encode(), np.uint8))) for t in texts] == whole
+    mixed = [*texts[:9], "", None, *texts[9:]]
+    got = [fp.as_text(x) for x in fp.fingerprint_texts(pa.array(mixed, pa.string()))]
+    assert got == [*whole[:9], "", "", *whole[9:]]
+
+
+@pytest.mark.parametrize("unit", [None, "a", "abc"])
+def test_memory_does_not_grow_with_a_text(unit):
+    rnd = np.random.RandomState(3)
+    n = 12 << 20
+    data = rnd.choice(np.frombuffer(b"abcdefghij \n", np.uint8), n) if unit is None else np.frombuffer((unit * n)[:n].encode(), np.uint8)
+    fp.long_sketch(data[: fp.BLOCK_BYTES])  # tables of powers
+    tracemalloc.start()
+    fp.long_sketch(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 def coin(x, y):
     """y's label after x: the lowest place where they differ, and y's bit there."""
     k = ((x ^ y) & -(x ^ y)).bit_length() - 1
