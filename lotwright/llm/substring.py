@@ -25,6 +25,8 @@ from .common import Spans, mix
 
 WINDOW = 35
 ROUNDS = 3
+#: Texts of more bytes are worked through by slices of so many, so that memory grows little with them.
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -68,11 +70,35 @@ def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def _break(data: np.ndarray, at: int) -> int:
+    """The first white space at this byte or after it, else the end."""
+    for i in range(at, len(data), 1 << 16):
+        found = np.flatnonzero(common.is_space(data[i : i + (1 << 16)]))
+        if len(found):
+            return i + int(found[0])
+    return len(data)
+
+
+def _words_in(data: np.ndarray) -> int:
+    solid = ~common.is_space(data)
+    return int(solid[:1].sum()) + int((solid[1:] & ~solid[:-1]).sum())
+
+
+def slices(data: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """A text cut at white space into bytes [a, b) of some SLICE_BYTES, and the number of words there."""
+    a = 0
+    while a < len(data):
+        b = _break(data, a + SLICE_BYTES)
+        yield a, b, _words_in(data[a:b])
+        a = b
+
+
 class Parsed:
     """The words of a batch of texts, its windows and their anchors."""
 
-    def __init__(self, col: pa.Array, window: int = WINDOW):
-        self.data, offs = common.text_bytes(col)
+    def __init__(self, col: pa.Array | np.ndarray, window: int = WINDOW):
+        """col: texts, or the bytes of one."""
+        self.data, offs = (col, np.array([0, len(col)])) if isinstance(col, np.ndarray) else common.text_bytes(col)
         self.starts, self.ends, self.first = common.word_spans(self.data, offs)
         self.n_words = np.diff(self.first)
         self.window = window
@@ -133,9 +159,85 @@ class Parsed:
         return self.spans(self.begin[at], self.begin[at] + self.window), second(self.begin[at], self.begin[at] + self.window)
 
 
+def _sliced(data: np.ndarray, window: int) -> Iterator[tuple[Parsed, int, np.ndarray]]:
+    """A long text by slices, each with the window - 1 words after it: the words before it, and which windows begin in it.
+
+    An anchor depends on what its window holds only, so it is the same in a slice as in the whole text.
+    """
+    before = 0
+    for a, b, own in slices(data):
+        end, step = b, 32 * window
+        while end < len(data) and _words_in(data[b:end]) < window - 1:
+            end, step = _break(data, end + step), 2 * step
+        p = Parsed(data[a:end], window)
+        yield p, before, np.flatnonzero(p.begin < own)
+        before += own
+
+
+def _is_long(batch: pa.RecordBatch) -> bool:
+    """Whether a batch is one text that goes by slices; chunks() leaves long texts alone in theirs."""
+    return batch.num_rows == 1 and len(common.text_bytes(batch.column("text"))[0]) > 2 * SLICE_BYTES
+
+
+def _distinct(place: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, by place."""
+    order = np.lexsort((name, place))
+    place, name = place[order], name[order]
+    keep = np.ones(len(place), bool)
+    keep[1:] = (place[1:] != place[:-1]) | (name[1:] != name[:-1])
+    return place[keep], name[keep]
+
+
+def _long_anchors(data: np.ndarray, window: int) -> np.ndarray:
+    """The names of one text's anchors, once for each place."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, _U))]
+    for p, before, own in _sliced(data, window):
+        place, name = p.anchors()
+        found.append(_distinct(place[own] + before, name[own]))
+    return _distinct(*[np.concatenate(x) for x in zip(*found, strict=True)])[1]
+
+
+def _long_windows(data: np.ndarray, window: int, known: np.ndarray, whole: bool) -> list[np.ndarray]:
+    """First word and both hashes of one text's windows whose anchors are known, or of all."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U))]
+    for p, before, own in _sliced(data, window):
+        at = own if whole else own[np.isin(p.anchors()[1][own], known)]
+        if len(at):
+            found.append((p.begin[at] + before, *p.hashes(at)))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _long_cut(data: np.ndarray, window: int, begins: np.ndarray, copied: bool) -> tuple[int, int, bytes]:
+    """The number of one text's words, of those that go, and the others joined."""
+    cuts = list(slices(data))
+    n = sum(own for *_, own in cuts)
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, begins, 1)
+    np.add.at(change, begins + window, -1)
+    gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+    if copied and n >= window:
+        gone[:] = True
+    kept, before = [], 0
+    for a, b, own in cuts:
+        part = np.append(data[a:b], np.uint8(0x20))
+        starts, ends, _ = common.word_spans(part, np.array([0, len(part)]))
+        stay = ~gone[before : before + own]
+        inside = np.zeros(len(part) + 1, np.int8)
+        inside[starts[stay]] = 1
+        inside[ends[stay] + 1] -= 1  # a word and the blank after it; the next word may begin there
+        part[ends[stay]] = 0x20
+        kept.append(part[np.cumsum(inside[:-1], dtype=np.int8) > 0].tobytes())
+        before += own
+    return n, int(gone.sum()), b"".join(kept)[:-1]
+
+
 def _anchor_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches, "text", common.CHUNK_BYTES // 2):
+            if _is_long(batch):
+                names = _long_anchors(common.text_bytes(batch.column("text"))[0], window)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("t1", "t2", "id")), common.lists(names, np.array([len(names)]), pa.int64())], ["t1", "t2", "id", "anchors"])
+                continue
             p = Parsed(batch.column("text"), window)
             place, name = p.anchors()
             # One row of a list for each anchor's place; its name counts once for each place.
@@ -152,10 +254,15 @@ def _anchor_rows(window: int):
 def _window_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches, "text", common.CHUNK_BYTES // 2):
-            p = Parsed(batch.column("text"), window)
             keys = batch.column("anchors")
             known = np.unique(np.asarray(keys.flatten()).view(_U)) if len(keys.flatten()) else np.zeros(0, _U)
             whole = np.asarray(batch.column("whole").fill_null(False))
+            if _is_long(batch):
+                found = _long_windows(common.text_bytes(batch.column("text"))[0], window, known, bool(whole[0]))
+                listed = [common.lists(x, np.array([len(x)]), pa.int64()) for x in found]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("t1", "t2", "copies")), *listed], ["t1", "t2", "copies", "begin", "w1", "w2"])
+                continue
+            p = Parsed(batch.column("text"), window)
             wanted = whole | np.asarray(pc.greater(pc.fill_null(pc.list_value_length(keys), 0), 0))
             _, name = p.anchors()
             at = np.flatnonzero(wanted[p.row] & (whole[p.row] | np.isin(name, known)))
@@ -173,6 +280,12 @@ def _cut_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches, "text"):
             data, offs = common.text_bytes(batch.column("text"))
+            if _is_long(batch):
+                found = np.asarray(batch.column("begins").flatten()).astype(np.int64)
+                n, removed, kept = _long_cut(data, window, found, bool(batch.column("copied").fill_null(False)[0].as_py()))
+                columns = [pa.array([n], pa.int64()), pa.array([removed], pa.int64()), pa.array([kept], pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n_words", "n_removed", "kept"])
+                continue
             starts, ends, first = common.word_spans(data, offs)
             n_words = np.diff(first)
             gone = np.zeros(len(starts) + 1, np.int64)

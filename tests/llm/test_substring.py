@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -101,3 +102,41 @@ def test_hot_windows_are_dealt_to_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(substring.common, "HOT_SHARE", 1e-9)
     passage = " ".join(f"p{i}" for i in range(60))
     check(spark, [f"own{i} {passage} end{i}" for i in range(1500)], 35)
+
+
+@pytest.mark.parametrize("size", [64, 700])
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghij", [f"word{i}" for i in range(500)]])
+def test_long_texts_by_slices_are_judged_alike(size, alphabet, monkeypatch):
+    rnd = random.Random(size)
+    monkeypatch.setattr(substring, "SLICE_BYTES", size)
+    for n in (1, 34, 35, 36, 200, 1500):
+        text = rnd.choice(["", " ", "\n"]) + "".join(w + rnd.choice([" ", "  ", "\t"]) for w in rnd.choices(alphabet, k=n)) + rnd.choice(["", "y" * 300])
+        data = np.frombuffer(text.encode(), np.uint8)
+        p = substring.Parsed(pa.array([text]))
+        place, name = p.anchors()
+        assert sorted(substring._long_anchors(data, 35).tolist()) == sorted(m for _, m in set(zip(place.tolist(), name.tolist(), strict=True)))
+        known = np.unique(name[::3])
+        for whole in (False, True):
+            at = np.arange(len(name)) if whole else np.flatnonzero(np.isin(name, known))
+            for got, want in zip(substring._long_windows(data, 35, known, whole), (p.begin[at], *p.hashes(at)), strict=True):
+                assert got.tolist() == want.tolist()
+        words = text.split()
+        for begins, copied in ((np.zeros(0, np.int64), False), (np.arange(0, max(0, len(words) - 34), 50), False), (np.zeros(0, np.int64), True)):
+            gone = {b + k for b in begins.tolist() for k in range(35)} | set(range(len(words)) if copied and len(words) >= 35 else ())
+            stay = " ".join(w for i, w in enumerate(words) if i not in gone).encode()
+            assert substring._long_cut(data, 35, begins, copied) == (len(words), len(gone), stay)
+
+
+def test_memory_grows_little_with_a_text():
+    rnd = random.Random(5)
+    data = np.frombuffer(" ".join(f"w{rnd.randrange(10**6)}" for _ in range(2_000_000)).encode(), np.uint8)
+    peaks = []
+    for part in (data[: 2 << 20], data[: 4 << 20], data):  # the first run makes tables of powers
+        tracemalloc.start()
+        known = substring._long_anchors(part, 35)[:1000]
+        begin, *_ = substring._long_windows(part, 35, known, False)
+        substring._long_cut(part, 35, begin, False)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    # beside a slice's, some bytes for each byte of the text; 48 if all of it is parsed at once
+    assert peaks[2] - peaks[1] < 6 * (len(data) - (4 << 20))
