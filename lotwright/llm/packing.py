@@ -9,6 +9,7 @@ ranks go to which run of sequences; the pieces themselves never meet in one plac
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -92,60 +93,157 @@ def plan_packing(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> lis
     return rows
 
 
-#: Words, and parts of words, that a Python worker keeps the ids of; with more, those not used lately go.
-KEPT_WORDS, KEPT_PARTS = 300_000, 500_000
+#: Parts of words that a Python worker keeps the ids of; with more, those not used lately go.
+KEPT_PARTS = 500_000
+#: Bytes of text that are encoded at once; a longer text is cut at white space, which no token of the vocabulary spans.
+ENCODED_BYTES = 1 << 22
+#: What a byte belongs to: white space, a letter, the first byte of a digit, a sign, what only the tokenizer knows, the rest of a digit.
+_GAP, _LETTER, _DIGIT, _SIGN, _OTHER, _REST = range(6)
+
+
+def _kind(c: int) -> int:
+    """Of a code point: letters, digits and signs are U+0021 to U+024F whose lower case is in UTF-8 no longer."""
+    x = chr(c)
+    if c == 0x20 or 9 <= c <= 13:
+        return _GAP
+    if not 0x21 <= c < 0x250 or 0x7F <= c <= 0xA0 or c == 0x130 or len(x.lower().encode()) != len(x.encode()):
+        return _OTHER
+    return {"L": _LETTER, "N": _DIGIT}.get(unicodedata.category(x)[0], _SIGN)
+
+
+_KIND = np.array([_kind(c) for c in range(0x800)], np.int8)
+_LOWER = np.array([ord(chr(c).lower()) if _KIND[c] == _LETTER else c for c in range(0x800)])
+_BYTE_KIND = np.where(np.arange(256) < 0x80, _KIND[:256], _OTHER).astype(np.int8)
+_BYTE_LOWER = np.where(np.arange(256) < 0x80, _LOWER[:256], np.arange(256)).astype(np.uint8)
+_AFTER_APOSTROPHE = np.isin(np.arange(256), list(b"strvmld"))
 _encoders: dict = {}
 
 
-def _encoder(path: str):
-    """A function from UTF-8 text to ids, equal to the tokenizer's own encoding.
+class _Encoder:
+    """From texts to ids, equal to the tokenizer's own encoding.
 
-    The vocabulary's rules never look across white space, so words are encoded by themselves and kept. A word of Latin
-    letters, digits and ASCII signs is split as the file's own pre-tokenizer does; any other word goes to the tokenizer.
+    The vocabulary's rules never look across white space. A word of Latin letters, digits and ASCII signs falls, in lower
+    case, into runs of letters, single digits and runs of signs, as the file's own pre-tokenizer has it; a word with
+    other characters, a short form after an apostrophe or the beginning of a special token stays whole and goes to the
+    tokenizer. numpy finds these parts in a batch of texts, Arrow the different ones, whose ids are looked up and kept.
     """
-    if path in _encoders:
-        return _encoders[path]
-    import json
-
-    import regex
-    from tokenizers import Tokenizer
-
-    tok, words, parts = Tokenizer.from_file(path), [{}, {}], [{}, {}]
-    split = json.loads(tok.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-    find = regex.compile(split).findall
-    plain = regex.compile(r"[\x21-\x7E\u00A1-\u012F\u0131-\u024F]+").fullmatch
-    shown = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    table = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-    tokenize = tok.model.tokenize
-
-    def kept(store: list[dict], key, make, most: int):
-        """What the younger half lacks comes from the older half or is made; a full younger half becomes the older."""
-        if len(store[0]) >= most // 2:
-            store[:] = [{}, store[0]]
-        got = store[1].get(key)
-        if got is None:
-            got = make(key)
-        store[0][key] = got
-        return got
-
-    def pack_ids(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def part(x: str) -> bytes:
-        return pack_ids([t.id for t in tokenize(x.encode().decode("latin1").translate(table))])
-
-    def word(raw: bytes) -> bytes:
-        text = raw.decode()
-        if "<|" in text or not plain(text):
-            return pack_ids(tok.encode(text, add_special_tokens=False).ids)
-        return b"".join([parts[0].get(x) or kept(parts, x, part, KEPT_PARTS) for x in find(text.lower())])
-
-    def encode(raw: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join([words[0].get(w) or kept(words, w, word, KEPT_WORDS) for w in raw.split()]), "<u4")
-
-    _encoders[path] = encode
-    return encode
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.young, self.old = {}, {}
+        shown = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.table = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def _ids(self, parts: list[bytes], whole: np.ndarray) -> list[bytes]:
+        """Ids, four bytes each, of different parts. What the younger half lacks comes from the older half or is made; a full younger half becomes the older."""
+        young, old, tokenize = self.young.get, self.old.get, self.tok.model.tokenize
+        found = [young(x) or old(x) for x in parts]
+        for i in [i for i, x in enumerate(found) if x is None]:
+            x = parts[i]
+            if whole[i]:
+                ids = self.tok.encode(x.decode(), add_special_tokens=False).ids
+            else:
+                shown = x.decode("latin1")
+                ids = [t.id for t in tokenize(shown if x.isascii() else shown.translate(self.table))]
+            found[i] = struct.pack(f"<{len(ids)}I", *ids)
+        half = KEPT_PARTS // 2
+        for lo in range(0, len(parts), half):
+            if len(self.young) >= half:
+                self.young, self.old = {}, self.young
+            self.young.update(zip(parts[lo : lo + half], found[lo : lo + half], strict=True))
+        return found
+
+    def _batch(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts that are not all empty: their ids, one after another, and how many each has."""
+        kind, low = _BYTE_KIND[data], _BYTE_LOWER[data]
+        wide = np.flatnonzero((data & 0xE0) == 0xC0)  # first of two bytes
+        code = (data[wide].astype(np.int64) & 0x1F) << 6 | data[wide + 1] & 0x3F
+        kind[wide] = of = _KIND[code]
+        kind[wide + 1] = np.where(of == _DIGIT, _REST, of)
+        code = _LOWER[code]
+        low[wide], low[wide + 1] = 0xC0 | code >> 6, 0x80 | code & 0x3F
+
+        solid = kind != _GAP
+        start, first = kind == _DIGIT, solid.copy()  # of a part, of a word
+        start[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != _REST)
+        first[1:] &= ~solid[:-1]
+        heads = offs[:-1][offs[:-1] < offs[1:]]
+        first[heads] = solid[heads]
+        start |= first
+        start &= solid
+
+        # Words that stay whole.
+        sign, special = np.flatnonzero(data[:-1] == 0x27), np.flatnonzero(data[:-1] == 0x3C)
+        odd = np.concatenate([np.flatnonzero(kind == _OTHER), sign[_AFTER_APOSTROPHE[low[sign + 1]]], special[data[special + 1] == 0x7C]])
+        begins = np.zeros(0, np.int64)
+        if len(odd):
+            words, gaps = np.flatnonzero(first), np.append(np.flatnonzero(~solid), len(data))
+            nth = np.unique(np.searchsorted(words, odd, side="right") - 1)
+            begins = words[nth]
+            ends = np.minimum(np.append(words, len(data))[nth + 1], gaps[np.searchsorted(gaps, begins)])
+            change = np.zeros(len(data) + 1, np.int8)
+            np.add.at(change, begins, 1)
+            np.add.at(change, ends, -1)
+            inside = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+            start &= ~inside | first
+            low = np.where(inside, data, low)
+
+        starts = np.flatnonzero(start)
+        at = np.cumsum(solid, dtype=np.int32)
+        at = np.append(at[starts] - 1, at[-1:]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(low[solid])]).dictionary_encode()
+        codes, whole = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), bool)
+        whole[codes[np.searchsorted(starts, begins)]] = True
+        found = self._ids(coded.dictionary.to_pandas().tolist(), whole)
+
+        # The ids of the different parts, one after another, and from these the ids of all parts.
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        ids, places = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        place = np.repeat(places[codes] - (ends - counts), counts)
+        place += np.arange(len(place))
+        return ids[place], np.diff(np.append(0, ends)[np.searchsorted(starts, offs)])
+
+    def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has; null is empty."""
+        ids, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        data, offs = common.text_bytes(texts)
+        lo = 0
+        while lo < len(texts):
+            hi = max(int(np.searchsorted(offs, offs[lo] + ENCODED_BYTES, side="right")) - 1, lo + 1)
+            own = data[offs[lo] : offs[hi]]
+            if hi == lo + 1:
+                ids.append(self(own.tobytes()))
+                counts.append(np.array([len(ids[-1])]))
+            elif len(own):
+                got = self._batch(own, offs[lo : hi + 1] - offs[lo])
+                ids.append(got[0])
+                counts.append(got[1])
+            else:
+                counts.append(np.zeros(hi - lo, np.int64))
+            lo = hi
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def __call__(self, raw: bytes) -> np.ndarray:
+        """The ids of one text in UTF-8."""
+        out, at, data = [np.zeros(0, "<u4")], 0, np.frombuffer(raw, np.uint8)
+        while at < len(raw):
+            end = min(at + ENCODED_BYTES, len(raw))
+            while end < len(raw) and raw[end] not in b" \t\n\r\v\f":
+                end += 1
+            out.append(self._batch(data[at:end], np.array([0, end - at]))[0])
+            at = end
+        return np.concatenate(out)
+
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
@@ -153,10 +251,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
-        for batch in common.chunks(batches, "text"):
-            rows = []
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(encode((text or "").encode()), np.uint32(END_ID)).astype("<u4")
+        for batch in common.chunks(batches, "text", ENCODED_BYTES):
+            rows, at = [], 0
+            every, counts = encode.rows(batch.column("text"))
+            for key, n in zip(batch.column("id").to_pylist(), counts.tolist(), strict=True):
+                ids, at = np.append(every[at : at + n], np.uint32(END_ID)).astype("<u4"), at + n
                 for piece, start in enumerate(range(0, len(ids), max_tokens)):
                     part = ids[start : start + max_tokens]
                     rows.append((key, piece, start, len(part), zlib.crc32(part.tobytes()), part.tolist() if with_ids else None))

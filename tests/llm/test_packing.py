@@ -1,9 +1,11 @@
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -70,6 +72,37 @@ def test_ids_equal_the_tokenizers_own():
         assert encode(text.encode()).tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_batches_of_texts_equal_the_tokenizers_own(monkeypatch):
+    encode, tok = packing._encoder(PATH), Tokenizer.from_file(PATH)
+    rnd = random.Random(8)
+    signs = ["it's", "D'un", "L'Été", "x''s", "--'ll", "'", "<", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "12²3½", "\u00a0", "a\x00b", "ȺȾ", "ab\u0301", "日本語", "ΣΑΣ", " ", "\t\n", "A1b2", "word.", "Ünï-cÖde"]
+    texts = ["".join(rnd.choice(signs) + rnd.choice(["", " "]) for _ in range(rnd.randrange(30))) for _ in range(300)]
+    texts += [f"a{chr(c)}B {chr(c)}{chr(c)}1 '{chr(c)}" for c in range(0x400)] + ["", None, "'", "<", "é", "²"]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1 << 22, 50, 1):
+        monkeypatch.setattr(packing, "ENCODED_BYTES", size)
+        ids, counts = encode.rows(pa.array(texts))
+        assert counts.tolist() == [len(x) for x in want]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert encode.rows(pa.array(["a", "b c", "d"]).slice(1, 1))[1].tolist() == [2]
+    assert [len(x) for x in encode.rows(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_new_words_of_known_parts_cost_little():
+    """Words that differ in case and signs alone are no work for Python one by one."""
+    encode, rnd = packing._encoder(PATH), random.Random(4)
+    stems = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    words = [f"{rnd.choice(stems).title()}{a}{b},{rnd.choice(stems)}" for a in range(100) for b in range(1000)]
+    text = " ".join(words).encode()
+    encode(" ".join(stems).encode())
+    began = time.process_time()
+    ids = encode(text)
+    took, began = time.process_time() - began, time.process_time()
+    slowest = {w: w.lower().title() for w in text.decode().split()}
+    assert len(ids) > 3 * len(slowest) == 300_000
+    assert took < 5 * (time.process_time() - began)
+
+
 def test_driver_table(spark, sf):
     tok = Tokenizer.from_file(PATH)
     docs = {r.doc_id: tok.encode(r.text, add_special_tokens=False).ids + [1] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
