@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .packing import _encoder
+from .packing import ENCODED_BYTES, _encoder
 
 END_ID = 2
 #: Ids of a shard, after which it is closed at the end of a document.
 SHARD_IDS = 1 << 22
 #: Blocks that a shard aims at, and the bounds of a block's ids.
-LANES, LEAST_BLOCK, MOST_BLOCK = 1024, 512, 1 << 14
-_MAGIC, _VERSION = b"IDBLOCKS", 1
+LANES, LEAST_BLOCK, MOST_BLOCK = 2048, 512, 1 << 14
+_MAGIC, _VERSION = b"IDBLOCKS", 2
 _HEAD = struct.Struct("<8sIIQQQI")  # magic, version, ids of a block, ids of the vocabulary, documents, ids, blocks
 _NULL_DOC = -(1 << 63)
 
@@ -40,7 +40,7 @@ _SETTLED, _FLOOR = _U(1 << 48), _U(1 << 40)
 _ANY = 3
 _WEIGHT_BITS, _LEARN = 16, 5
 #: Slots of the foreseen ids, for each block.
-_SLOTS_1, _SLOTS_2 = 1 << 10, 1 << 11
+_SLOTS_1, _SLOTS_2 = 1 << 9, 1 << 10
 
 
 def _first_weights() -> np.ndarray:
@@ -76,10 +76,10 @@ class _Blocks:
         self.weights = np.tile(first.T, (1, lanes)).reshape(-1)  # all of a source, then of the next
         self.source_row = np.arange(4)[:, None] * (lanes * len(first))
         self.context_row = self.lane * len(first)
-        self.slots = np.zeros(lanes * (_SLOTS_1 + _SLOTS_2), np.int64)  # (rank + 1) * 4 + confidence; 0: nothing foreseen
+        self.slots = np.zeros(lanes * (_SLOTS_1 + _SLOTS_2), np.int32)  # (rank + 1) * 4 + confidence; 0: nothing foreseen
         self.base = np.stack([self.lane * _SLOTS_2, lanes * _SLOTS_2 + self.lane * _SLOTS_1])
         self.seen = np.zeros(lanes, np.int64)
-        self.counts = np.zeros((lanes, size), np.int32)
+        self.counts = np.zeros((lanes, size), np.int16 if size < 1 << 15 else np.int32)
         self.flat_counts, self.row = self.counts.reshape(-1), self.lane * size
         self.prev1 = self.prev2 = np.zeros(lanes, np.int64)  # rank + 1
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
@@ -90,12 +90,13 @@ class _Blocks:
         """Sums of the counts of all ids seen so far. Until it is done again, later ids count once each."""
         width = int(self.seen.max()) if self.n else 0
         self.known = self.seen.copy()
-        sums = np.zeros((self.n, width + 2), np.int64)
-        np.cumsum(self.counts[:, :width], axis=1, out=sums[:, 1:-1])
-        self.total = sums[:, -2].copy()
-        sums[:, -1] = self.total
+        self.total = self.counts[:, :width].sum(axis=1, dtype=np.int64)
         self.step = 1 << int(self.total.max(initial=0) + 1).bit_length()
-        sums += (self.lane * self.step)[:, None]
+        kind = np.int32 if self.n * self.step < 1 << 31 else np.int64
+        sums = np.zeros((self.n, width + 2), kind)
+        np.cumsum(self.counts[:, :width], axis=1, dtype=kind, out=sums[:, 1:-1])
+        sums[:, -1] = self.total
+        sums += (self.lane * self.step).astype(kind)[:, None]
         self.sums, self.sums_row, self.sums_base = sums.reshape(-1), self.lane * (width + 2), self.lane * self.step
         self.next_sums = max(self.at + 16, self.at * 5 // 4)
 
@@ -261,7 +262,7 @@ def decode_blocks(blocks: list[bytes], size: int, vocabulary: int) -> np.ndarray
             unit = m.range[who] // all_of.view(_U)
             value = np.minimum(((code[who] - m.low[who]) // unit).view(np.int64), all_of - 1)
             old = value < total
-            place = np.searchsorted(m.sums, m.sums_base[who] + np.where(old, value, 0), side="right") - 1
+            place = np.searchsorted(m.sums, (m.sums_base[who] + np.where(old, value, 0)).astype(m.sums.dtype), side="right") - 1
             begin, end = m.sums.take(place) - m.sums_base[who], m.sums.take(place + 1, mode="clip") - m.sums_base[who]
             rank[who] = np.where(old, place - m.sums_row[who], value - total + known)
             m.narrow(who, unit, np.where(old, begin, value), np.where(old, end - begin, 1))
@@ -347,23 +348,6 @@ class ShardReader:
         return self.blocks(list(range(first, last + 1))).reshape(-1)[start - first * self.size : end - first * self.size]
 
 
-#: Bytes of text that are tokenized at once; a longer text is cut at white space, which no token of the vocabulary spans.
-_RUN = 1 << 20
-
-
-def _text_ids(encode, raw: bytes) -> np.ndarray:
-    if len(raw) <= _RUN:
-        return encode(raw)
-    out, at = [], 0
-    while at < len(raw):
-        end = at + _RUN
-        while end < len(raw) and raw[end] not in b" \t\n\r\v\f":
-            end += 1
-        out.append(encode(raw[at:end]))
-        at = end
-    return np.concatenate(out)
-
-
 _SHARD = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
 
@@ -394,11 +378,9 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id
             data = write_shard(ids, counts, np.concatenate(texts), vocabulary)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, nth, before, held, data), _SHARD.types, strict=True)], schema=_SHARD)
 
-        for batch in common.chunks(batches, "text"):
-            raw, offs = common.text_bytes(batch.column("text"))
-            raw = raw.tobytes()
-            for key, a, b in zip(batch.column("id").to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                own = _text_ids(encode, raw[a:b])
+        for batch in common.chunks(batches, "text", ENCODED_BYTES):
+            every, sizes = encode.rows(batch.column("text"))
+            for key, own in zip(batch.column("id").to_pylist(), np.split(every, np.cumsum(sizes)[:-1]), strict=True):
                 if held and held + len(own) >= shard_ids:
                     yield shard()
                     nth, before, held = nth + 1, before + held, 0

@@ -40,6 +40,15 @@ def test_blocks_come_back(lanes, size, vocabulary, kind):
     assert tokenfiles.encode_blocks(ids[-1:], vocabulary) == blocks[-1:]
 
 
+def test_tables_of_a_block_are_small():
+    """The coder's time goes by what its tables take of the cache; they must hold the counts of long blocks too."""
+    m = tokenfiles._Blocks(64, 2048, 49408)
+    assert sum(x.nbytes for x in (m.slots, m.counts, m.weights)) < 64 * 12_000
+    ids = np.full((1, 33_000), 7)
+    ids[0, 32_900:] = np.arange(100)
+    assert (tokenfiles.decode_blocks(tokenfiles.encode_blocks(ids, 100), 33_000, 100) == ids).all()
+
+
 def test_repeats_cost_less():
     rng = np.random.default_rng(5)
     drawn = rng.integers(0, 5000, 64)
