@@ -6,6 +6,7 @@ job can read them; nothing is kept in an executor's own folder.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,8 +57,16 @@ def drop(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give back what Arrow's pool and malloc hold unused: Spark keeps Python workers, and their memory counts beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose text column holds about limit bytes; a longer text stands alone."""
+    """The same rows in batches whose text column holds about limit bytes; a longer text stands alone. After the last the worker's unused memory goes back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -68,6 +77,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             hi = min(max(hi, lo + 1), batch.num_rows)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    release()
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

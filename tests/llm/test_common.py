@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +36,31 @@ def test_dealt_join_of_empty_tables(spark):
     left, right = spark.createDataFrame([], "id long, k int"), spark.createDataFrame([], "k int, v string")
     assert common.dealt_join(left, right, "k").collect() == []
     assert common.dealt_join(spark.createDataFrame([(1, 2)], left.schema), right, "k", "left").collect() == [(2, 1, None)]
+
+
+_WORKER = """
+import random, re
+from pathlib import Path
+import public_tokenizers, pyarrow as pa
+from lotwright.llm import common, packing
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+
+encode = packing._encoder(public_tokenizers.path("word_bpe_49k.json"))
+rnd, words = random.Random(1), [f"w{i}x" for i in range(20_000)]
+batch = pa.RecordBatch.from_arrays([pa.array([" ".join(rnd.choices(words, k=20_000)) for _ in range(64)])], ["text"])
+before = held()
+for part in common.chunks(iter([batch]), "text", packing.ENCODED_BYTES):
+    encode.rows(part.column("text"))
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="needs Linux")
+def test_worker_gives_unused_memory_back():
+    """Idle workers of one stage of the pipeline stand beside the next stage's executor."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}", "OMP_NUM_THREADS": "1"}
+    done = subprocess.run([sys.executable, "-c", _WORKER], env=env, capture_output=True, text=True, check=True, timeout=120)
+    assert int(done.stdout) < 30, "MB"
