@@ -60,7 +60,7 @@ def _first_weights() -> np.ndarray:
 #: A source that explains an id draws its weight towards all but this, which the others share.
 _KEPT_BACK = 48
 #: The confidence that follows 0 to 3 after a wrong and a right foresight.
-_NEXT = np.array([1, 1, 1, 2, 1, 3, 1, 3])
+_NEXT = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int32)
 
 
 class _Blocks:
@@ -73,9 +73,9 @@ class _Blocks:
         self.n, self.vocabulary = lanes, vocabulary
         self.lane = np.arange(lanes)
         first = _first_weights()
-        self.weights = np.tile(first.T, (1, lanes)).reshape(-1)  # all of a source, then of the next
-        self.source_row = np.arange(4)[:, None] * (lanes * len(first))
-        self.context_row = self.lane * len(first)
+        self.weights = np.tile(first.astype(np.int32), (lanes, 1))  # the four of a confidence side by side
+        self.rows = self.weights.view(np.complex128).reshape(-1)  # the same memory, four weights as one value to move
+        self.context_row, self.four = self.lane * len(first), self.lane * 4
         self.slots = np.zeros(lanes * (_SLOTS_1 + _SLOTS_2), np.int32)  # (rank + 1) * 4 + confidence; 0: nothing foreseen
         self.base = np.stack([self.lane * _SLOTS_2, lanes * _SLOTS_2 + self.lane * _SLOTS_1])
         self.seen = np.zeros(lanes, np.int64)
@@ -116,22 +116,22 @@ class _Blocks:
         context = self.context_row + (self.sure[0] << 3)
         context += self.sure[1] << 1
         context += self.foreseen[0] == self.foreseen[1]
-        self.weight_at = self.source_row + context
-        self.weight = w = self.weights.take(self.weight_at)
-        self.upper = np.empty_like(w)
-        self.upper[0] = w[0]
-        for i in range(3):
-            np.add(self.upper[i], w[i + 1], out=self.upper[i + 1])
+        self.weight_at = context
+        self.weight = w = self.rows.take(context).view(np.int32).reshape(-1, 4)
+        self.upper = np.empty((4, self.n), np.int32)
+        self.upper[0] = w[:, 0]
+        for i in range(2):
+            np.add(self.upper[i], w[:, i + 1], out=self.upper[i + 1])
+        self.upper[3] = 1 << _WEIGHT_BITS
         self.unit = self.range >> _U(_WEIGHT_BITS)
 
     def choose(self, source: np.ndarray) -> None:
         """The range shrinks to the weight of the source of each block."""
-        at = self.lane + source * np.int64(self.n)
-        self.chosen = at
-        share = self.weight.reshape(-1).take(at)
-        begin = self.upper.reshape(-1).take(at) - share
-        self.low += begin.view(_U) * self.unit
-        self.range = share.view(_U) * self.unit
+        self.chosen = self.four + source
+        share = self.weight.reshape(-1).take(self.chosen)
+        begin = self.upper.reshape(-1).take(self.lane + source * np.int64(self.n)) - share
+        self.low += begin.astype(_U) * self.unit
+        self.range = share.astype(_U) * self.unit
 
     def narrow(self, who: np.ndarray, unit: np.ndarray, begin: np.ndarray, share: np.ndarray | None = None) -> None:
         """The ranges of some blocks shrink to share units, one if not said, from begin on."""
@@ -142,12 +142,13 @@ class _Blocks:
         # Weights: towards the source that explained the id; they still add up to 2**16, none falls below 1.
         w = self.weight
         w -= (w - _KEPT_BACK // 4) >> _LEARN
-        w.reshape(-1)[self.chosen] += (1 << _WEIGHT_BITS) - w[0] - w[1] - w[2] - w[3]
-        self.weights[self.weight_at] = w
+        w.reshape(-1)[self.chosen] += (1 << _WEIGHT_BITS) - w[:, 0] - w[:, 1] - w[:, 2] - w[:, 3]
+        self.rows[self.weight_at] = w.view(np.complex128).reshape(-1)
         # Foreseen ids: confidence up or halved; a doubted one is replaced.
-        right = self.foreseen == rank
+        seen = rank.astype(np.int32)  # the type of the slots: a scatter that casts is slow
+        right = self.foreseen == seen
         doubted = (self.sure < 2) & ~right
-        held = np.where(doubted, rank, self.foreseen)
+        held = np.where(doubted, seen, self.foreseen)
         held += 1
         held <<= 2
         held += _NEXT.take((self.sure << 1) + right)
@@ -177,17 +178,20 @@ class _Blocks:
 def _ranks(ids: np.ndarray) -> np.ndarray:
     """For each row its ids by order of their first places in it."""
     lanes, size = ids.shape
-    keys = (np.arange(lanes, dtype=np.int64)[:, None] << 32 | ids).reshape(-1)
-    order = np.argsort(keys, kind="stable")
-    held = keys[order]
+    keys = ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids  # 16 bits are sorted by radix
+    order = np.argsort(keys, axis=1, kind="stable")
+    order += np.arange(lanes)[:, None] * size
+    order = order.reshape(-1)
+    held = keys.reshape(-1)[order]
     head = np.ones(len(held), bool)
     head[1:] = held[1:] != held[:-1]
+    head[::size] = True
     first = order[np.flatnonzero(head)]  # the first place of each id of each row
     group = np.cumsum(head) - 1
-    is_first = np.zeros(len(keys), np.int64)
+    is_first = np.zeros(len(held), np.int64)
     is_first[first] = 1
     nth = is_first.reshape(lanes, size).cumsum(axis=1).reshape(-1) - 1
-    out = np.empty(len(keys), np.int64)
+    out = np.empty(len(held), np.int64)
     out[order] = nth[first][group]
     return out.reshape(lanes, size)
 

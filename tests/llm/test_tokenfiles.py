@@ -49,6 +49,16 @@ def test_tables_of_a_block_are_small():
     assert (tokenfiles.decode_blocks(tokenfiles.encode_blocks(ids, 100), 33_000, 100) == ids).all()
 
 
+def test_coder_moves_weights_as_small_rows_and_keeps_its_format():
+    """A confidence's four weights are one row of 16 bytes; the blocks are those of version 2, byte by byte."""
+    m = tokenfiles._Blocks(8, 512, 49408)
+    assert m.weights.nbytes == 8 * 32 * 16
+    ids = np.random.default_rng(11).zipf(1.3, (16, 700)) % 49408
+    ids[:, 300:400] = ids[:, :100]
+    assert zlib.crc32(b"".join(tokenfiles.encode_blocks(ids, 49408))) == 1390029279
+    assert zlib.crc32(b"".join(tokenfiles.encode_blocks(ids + 70_000, 1 << 17))) == 2093023424
+
+
 def test_repeats_cost_less():
     rng = np.random.default_rng(5)
     drawn = rng.integers(0, 5000, 64)
