@@ -139,10 +139,14 @@ class _Encoder:
 
     def _ids(self, parts: list[bytes], whole: np.ndarray) -> list[bytes]:
         """Ids, four bytes each, of different parts. What the younger half lacks comes from the older half or is made; a full younger half becomes the older."""
-        young, old, tokenize = self.young.get, self.old.get, self.tok.model.tokenize
-        found = [young(x) or old(x) for x in parts]
-        for i in [i for i, x in enumerate(found) if x is None]:
+        old, tokenize = self.old.get, self.tok.model.tokenize
+        found = list(map(self.young.get, parts))
+        late = [i for i, x in enumerate(found) if x is None]
+        for i in late:
             x = parts[i]
+            if (kept := old(x)) is not None:
+                found[i] = kept
+                continue
             if whole[i]:
                 ids = self.tok.encode(x.decode(), add_special_tokens=False).ids
             else:
@@ -150,10 +154,10 @@ class _Encoder:
                 ids = [t.id for t in tokenize(shown if x.isascii() else shown.translate(self.table))]
             found[i] = struct.pack(f"<{len(ids)}I", *ids)
         half = KEPT_PARTS // 2
-        for lo in range(0, len(parts), half):
+        for lo in range(0, len(late), half):
             if len(self.young) >= half:
                 self.young, self.old = {}, self.young
-            self.young.update(zip(parts[lo : lo + half], found[lo : lo + half], strict=True))
+            self.young.update((parts[i], found[i]) for i in late[lo : lo + half])
         return found
 
     def _batch(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ while the block is coded, and the arithmetic coder narrows its range by the weig
 integer arithmetic, so encoder and decoder agree on any machine.
 
 Blocks know nothing of each other, so a shard's blocks are coded in step: each step handles one id of every block with
-numpy, and Python's cost is shared by some hundred blocks.
+numpy, and Python's cost is shared by some thousand blocks.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ from .packing import ENCODED_BYTES, _encoder
 
 END_ID = 2
 #: Ids of a shard, after which it is closed at the end of a document.
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 23
 #: Blocks that a shard aims at, and the bounds of a block's ids.
-LANES, LEAST_BLOCK, MOST_BLOCK = 2048, 512, 1 << 14
+LANES, LEAST_BLOCK, MOST_BLOCK = 4096, 512, 1 << 14
+#: Blocks, or steps of all blocks, that are set in order at once.
+_AT_ONCE = 256
 _MAGIC, _VERSION = b"IDBLOCKS", 2
 _HEAD = struct.Struct("<8sIIQQQI")  # magic, version, ids of a block, ids of the vocabulary, documents, ids, blocks
 _NULL_DOC = -(1 << 63)
@@ -59,122 +61,177 @@ def _first_weights() -> np.ndarray:
 
 #: A source that explains an id draws its weight towards all but this, which the others share.
 _KEPT_BACK = 48
-#: The confidence that follows 0 to 3 after a wrong and a right foresight.
-_NEXT = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int32)
 
 
 class _Blocks:
     """What has been seen in each of some blocks that are coded in step, and the ends of their ranges.
 
-    Ids are known by rank: the order of their first places in the block.
+    Ids are known by rank: the order of their first places in the block. A rank's name is one more; 0 names none.
+    Ranks and names are of the type of the slots, which is as small as the blocks' size allows.
     """
 
-    def __init__(self, lanes: int, size: int, vocabulary: int):
+    def __init__(self, lanes: int, size: int, vocabulary: int, names: np.ndarray | None = None):
         self.n, self.vocabulary = lanes, vocabulary
+        self.kind = np.uint16 if 4 * size + 3 < 1 << 16 else np.int32
         self.lane = np.arange(lanes)
         first = _first_weights()
         self.weights = np.tile(first.astype(np.int32), (lanes, 1))  # the four of a confidence side by side
         self.rows = self.weights.view(np.complex128).reshape(-1)  # the same memory, four weights as one value to move
         self.context_row, self.four = self.lane * len(first), self.lane * 4
-        self.slots = np.zeros(lanes * (_SLOTS_1 + _SLOTS_2), np.int32)  # (rank + 1) * 4 + confidence; 0: nothing foreseen
+        self.slots = np.zeros(lanes * (_SLOTS_1 + _SLOTS_2), self.kind)  # name * 4 + confidence; 0: nothing foreseen
         self.base = np.stack([self.lane * _SLOTS_2, lanes * _SLOTS_2 + self.lane * _SLOTS_1])
-        self.seen = np.zeros(lanes, np.int64)
+        self.slot_at, self.upper = np.empty((2, lanes), np.int64), np.empty((lanes, 4), np.int32)
+        self.upper[:, _ANY] = 1 << _WEIGHT_BITS
+        self.by_value = names is None
+        self.names = np.zeros((size, lanes), self.kind) if names is None else names.astype(self.kind, copy=False)  # of the ids so far at least
+        self.seen = np.zeros(lanes, self.kind)
         self.counts = np.zeros((lanes, size), np.int16 if size < 1 << 15 else np.int32)
-        self.flat_counts, self.row = self.counts.reshape(-1), self.lane * size
-        self.prev1 = self.prev2 = np.zeros(lanes, np.int64)  # rank + 1
+        self.begin_bits, self.packed = (16, np.uint32) if size < 1 << 16 else (32, _U)
+        self.prev1 = self.prev2 = np.zeros(lanes, np.uint32)
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-        self.at, self.next_sums = 0, 0
+        self.at, self.total, self.next_sums = 0, 0, 0
         self._sum_up()
 
     def _sum_up(self) -> None:
-        """Sums of the counts of all ids seen so far. Until it is done again, later ids count once each."""
+        """Counts of all ids seen so far and their sums. Until it is done again, later ids count once each."""
         width = int(self.seen.max()) if self.n else 0
-        self.known = self.seen.copy()
-        self.total = self.counts[:, :width].sum(axis=1, dtype=np.int64)
-        self.step = 1 << int(self.total.max(initial=0) + 1).bit_length()
-        kind = np.int32 if self.n * self.step < 1 << 31 else np.int64
-        sums = np.zeros((self.n, width + 2), kind)
-        np.cumsum(self.counts[:, :width], axis=1, dtype=kind, out=sums[:, 1:-1])
-        sums[:, -1] = self.total
-        sums += (self.lane * self.step).astype(kind)[:, None]
-        self.sums, self.sums_row, self.sums_base = sums.reshape(-1), self.lane * (width + 2), self.lane * self.step
+        if width:
+            own = self.names[self.total : self.at].T.astype(np.int64, order="C")  # block by block, so that a block's counts stay at hand
+            own += (self.lane * width - 1)[:, None]
+            self.counts[:, :width] += np.bincount(own.reshape(-1), minlength=self.n * width).reshape(self.n, width)
+        self.known, self.total = self.seen.copy(), self.at  # each id counts, so all blocks have the same total
+        counts = self.counts[:, :width]
+        sums = np.empty((self.n, width + 1), self.packed)  # a rank's begin and count in one value
+        sums[:, width] = self.total
+        np.cumsum(counts, axis=1, dtype=self.packed, out=sums[:, :width])
+        sums[:, :width] -= counts.astype(self.packed)
+        sums <<= self.packed(self.begin_bits)
+        sums[:, :width] |= counts.astype(self.packed)
+        self.sums, self.sums_row = sums.reshape(-1), self.lane * (width + 1)
+        if self.by_value:  # the rank at each place of the counts laid out one after another
+            self.of_value = np.repeat(np.tile(np.arange(width, dtype=self.kind), self.n), counts.reshape(-1)) if width else np.zeros(1, self.kind)
+            self.value_row = self.lane * self.total
         self.next_sums = max(self.at + 16, self.at * 5 // 4)
 
     def foresee(self) -> None:
-        """The slots, the two foreseen ranks, their confidence and the weights of the sources."""
+        """The slots, the two foreseen names, their confidence and the weights of the sources."""
         if self.at >= self.next_sums:
             self._sum_up()
-        at = np.empty((2, self.n), np.int64)
-        at[0] = (self.prev2 * 40503 + self.prev1) * 2654435761 >> 15
-        at[0] &= _SLOTS_2 - 1
-        at[1] = self.prev1 & (_SLOTS_1 - 1)
+        hashed = self.prev2 * np.uint32(40503)
+        hashed += self.prev1
+        hashed *= np.uint32(2654435761)
+        hashed >>= np.uint32(15)
+        hashed &= np.uint32(_SLOTS_2 - 1)
+        at = self.slot_at
+        at[0] = hashed
+        at[1] = self.prev1 & np.uint32(_SLOTS_1 - 1)
         at += self.base
-        self.slot_at, found = at, self.slots.take(at)
-        self.sure = found & 3
-        self.foreseen = found >> 2
-        self.foreseen -= 1
-        context = self.context_row + (self.sure[0] << 3)
-        context += self.sure[1] << 1
-        context += self.foreseen[0] == self.foreseen[1]
-        self.weight_at = context
-        self.weight = w = self.rows.take(context).view(np.int32).reshape(-1, 4)
-        self.upper = np.empty((4, self.n), np.int32)
-        self.upper[0] = w[:, 0]
-        for i in range(2):
-            np.add(self.upper[i], w[:, i + 1], out=self.upper[i + 1])
-        self.upper[3] = 1 << _WEIGHT_BITS
+        found = self.slots.take(at)
+        self.sure = found & self.kind(3)
+        found >>= self.kind(2)
+        self.foreseen = found
+        context = self.sure[0] << self.kind(2)
+        context |= self.sure[1]
+        context <<= self.kind(1)
+        context |= found[0] == found[1]
+        self.weight_at = self.context_row + context
+        self.weight = w = self.rows.take(self.weight_at).view(np.int32).reshape(-1, 4)
+        upper = self.upper
+        upper[:, 0] = w[:, 0]
+        np.add(w[:, 0], w[:, 1], out=upper[:, 1])
+        np.add(upper[:, 1], w[:, 2], out=upper[:, 2])
         self.unit = self.range >> _U(_WEIGHT_BITS)
 
     def choose(self, source: np.ndarray) -> None:
         """The range shrinks to the weight of the source of each block."""
         self.chosen = self.four + source
         share = self.weight.reshape(-1).take(self.chosen)
-        begin = self.upper.reshape(-1).take(self.lane + source * np.int64(self.n)) - share
+        begin = self.upper.reshape(-1).take(self.chosen)
+        begin -= share
         self.low += begin.astype(_U) * self.unit
-        self.range = share.astype(_U) * self.unit
-
-    def narrow(self, who: np.ndarray, unit: np.ndarray, begin: np.ndarray, share: np.ndarray | None = None) -> None:
-        """The ranges of some blocks shrink to share units, one if not said, from begin on."""
-        self.low[who] += begin.view(_U) * unit
-        self.range[who] = unit if share is None else share.view(_U) * unit
-
-    def learn(self, rank: np.ndarray) -> None:
+        self.range = self.unit
+        self.range *= share.astype(_U)
+
+    def all_of(self, who: np.ndarray) -> np.ndarray:
+        """By how many the range of order 0 is divided in some blocks."""
+        out = self.seen.take(who)
+        out -= self.known.take(who)
+        return out.astype(_U) + _U(self.total)
+
+    def by_frequency(self, who: np.ndarray, rank: np.ndarray, unit: np.ndarray) -> None:
+        """The ranges of some blocks shrink to an id's share by its frequency."""
+        counted = np.minimum(rank, self.known.take(who))  # an id not counted yet lies behind all that are
+        found = self.sums.take(self.sums_row.take(who) + counted)
+        share = found & self.packed((1 << self.begin_bits) - 1)
+        found >>= self.packed(self.begin_bits)
+        found += (rank - counted).astype(self.packed)
+        self.low[who] += found * unit
+        self.range[who] = np.maximum(share, self.packed(1)) * unit
+
+    def evenly(self, who: np.ndarray, ids: np.ndarray, unit: np.ndarray) -> None:
+        """The ranges of some blocks shrink to an equal share of the vocabulary."""
+        self.low[who] += ids * unit
+        self.range[who] = unit
+
+    def learn(self, name: np.ndarray) -> None:
         # Weights: towards the source that explained the id; they still add up to 2**16, none falls below 1.
         w = self.weight
-        w -= (w - _KEPT_BACK // 4) >> _LEARN
-        w.reshape(-1)[self.chosen] += (1 << _WEIGHT_BITS) - w[:, 0] - w[:, 1] - w[:, 2] - w[:, 3]
+        part = w - _KEPT_BACK // 4
+        part >>= _LEARN
+        w -= part
+        left = (1 << _WEIGHT_BITS) - w[:, 0]
+        for i in (1, 2, 3):
+            left -= w[:, i]
+        w.reshape(-1)[self.chosen] += left
         self.rows[self.weight_at] = w.view(np.complex128).reshape(-1)
-        # Foreseen ids: confidence up or halved; a doubted one is replaced.
-        seen = rank.astype(np.int32)  # the type of the slots: a scatter that casts is slow
-        right = self.foreseen == seen
-        doubted = (self.sure < 2) & ~right
-        held = np.where(doubted, seen, self.foreseen)
-        held += 1
-        held <<= 2
-        held += _NEXT.take((self.sure << 1) + right)
+        # Foreseen ids: a doubted one is replaced, a wrong one's confidence falls to 1, a right one's rises, to 3 at most.
+        sure, one = self.sure, self.kind(1)
+        held = np.where(sure <= one, name, self.foreseen)
+        held <<= self.kind(2)
+        np.minimum(sure, self.kind(2), out=sure)
+        sure *= self.foreseen == name
+        sure += one
+        held |= sure
         self.slots[self.slot_at] = held
-        self.flat_counts[self.row + rank] += 1
-        self.prev2, self.prev1 = self.prev1, rank + 1
+        self.prev2, self.prev1 = self.prev1, name.astype(np.uint32)
         self.at += 1
 
     def settled(self, who: np.ndarray | None = None) -> np.ndarray:
-        """Which blocks have to let 16 bits go; their ranges, if too small, are cut to end where the next part begins."""
-        low, reach = (self.low, self.range) if who is None else (self.low[who], self.range[who])
-        same = (low ^ (low + reach)) < _SETTLED
-        small = reach < _FLOOR
-        small |= same
-        go = np.flatnonzero(small)
-        if len(go):
-            cut = go[~same[go]]
-            if len(cut):
-                self.range[cut if who is None else who[cut]] = (~low[cut] + _U(1)) & (_FLOOR - _U(1))
-        return go if who is None else who[go]
-
-    def shift(self, who: np.ndarray) -> None:
+        """Whether blocks have to let 16 bits go; their ranges, if too small, are cut to end where the next part begins."""
+        low, reach = (self.low, self.range) if who is None else (self.low.take(who), self.range.take(who))
+        end = low + reach
+        end ^= low
+        go, small = end < _SETTLED, reach < _FLOOR
+        cut = np.flatnonzero(small > go)
+        if len(cut):
+            self.range[cut if who is None else who[cut]] = (~low[cut] + _U(1)) & (_FLOOR - _U(1))
+        go |= small
+        return go
+
+    def shift(self, go: np.ndarray) -> np.ndarray:
+        """All blocks of which go holds let 16 bits go; by how many each has moved."""
+        by = go.astype(_U)
+        by <<= _U(4)
+        self.low <<= by
+        self.range <<= by
+        return by
+
+    def shift_few(self, who: np.ndarray) -> None:
         self.low[who] <<= _U(16)
         self.range[who] <<= _U(16)
 
 
+def _names(ids: np.ndarray) -> np.ndarray:
+    """The ranks' names step by step."""
+    lanes, size = ids.shape
+    out = np.empty((size, lanes), np.uint16 if size < 1 << 16 else np.int32)
+    for lo in range(0, lanes, _AT_ONCE):
+        part = _ranks(ids[lo : lo + _AT_ONCE])
+        part += 1
+        out[:, lo : lo + _AT_ONCE] = part.T
+    return out
+
+
 def _ranks(ids: np.ndarray) -> np.ndarray:
     """For each row its ids by order of their first places in it."""
     lanes, size = ids.shape
@@ -199,41 +256,53 @@ def _ranks(ids: np.ndarray) -> np.ndarray:
 def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     """A range-coded block for each row of ids, all below vocabulary."""
     lanes, size = ids.shape
-    ranks = np.ascontiguousarray(_ranks(ids).T)
-    ids = np.ascontiguousarray(ids.T, np.int64)
-    m = _Blocks(lanes, size, vocabulary)
-    out, ends = np.zeros((lanes, 4 * size + 8), np.uint16), np.zeros(lanes, np.int64)
-    flat, row = out.reshape(-1), m.lane * (4 * size + 8)
+    m = _Blocks(lanes, size, vocabulary, _names(ids))
+    ids = np.ascontiguousarray(ids.T, np.uint32)
+    words, gone = [], []  # what blocks let go, pass by pass, and which blocks do
+    out = []  # these by blocks, some steps at a time
+
+    def by_blocks() -> None:
+        which = np.ascontiguousarray(np.array(gone).T)
+        data = np.ascontiguousarray(np.array(words).T)[which].astype("<u2").tobytes()
+        ends = np.cumsum(2 * np.count_nonzero(which, axis=1)).tolist()
+        out.append([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        words.clear()
+        gone.clear()
 
     for t in range(size):
-        rank = ranks[t]
+        name = m.names[t]
         m.foresee()
-        new = rank == m.seen
-        source = np.where(m.foreseen[0] == rank, 0, np.where(m.foreseen[1] == rank, 1, new + 2))
+        right, new = m.foreseen == name, name > m.seen
+        source = np.where(right[0], 0, np.where(right[1], 1, new + 2))
         m.choose(source)
         who = np.flatnonzero(source == 2)
         if len(who):
-            r, known, total = rank[who], m.known[who], m.total[who]
-            unit = m.range[who] // (total + m.seen[who] - known).view(_U)
-            old = r < known
-            place = m.sums_row[who] + np.minimum(r, known)
-            begin, end = m.sums.take(place) - m.sums_base[who], m.sums.take(place + 1, mode="clip") - m.sums_base[who]
-            m.narrow(who, unit, np.where(old, begin, total + r - known), np.where(old, end - begin, 1))
-        who = np.flatnonzero(source == _ANY)
+            m.by_frequency(who, name.take(who) - m.kind(1), m.range.take(who) // m.all_of(who))
+        who = np.flatnonzero(new)
         if len(who):
-            m.narrow(who, m.range[who] // _U(vocabulary), ids[t, who])
+            m.evenly(who, ids[t].take(who).astype(_U), m.range.take(who) // _U(vocabulary))
         m.seen += new
-        m.learn(rank)
+        m.learn(name)
         go = m.settled()
-        while len(go):
-            flat[row[go] + ends[go]] = (m.low[go] >> _U(48)).astype(np.uint16)
-            ends[go] += 1
-            m.shift(go)
-            go = m.settled(go)
+        words.append((m.low >> _U(48)).astype(np.uint16))
+        gone.append(go)
+        m.shift(go)
+        who = np.flatnonzero(m.settled())
+        while len(who):
+            word, few = np.zeros(lanes, np.uint16), np.zeros(lanes, bool)
+            word[who], few[who] = m.low.take(who) >> _U(48), True
+            words.append(word)
+            gone.append(few)
+            m.shift_few(who)
+            who = who[m.settled(who)]
+        if len(words) >= _AT_ONCE:
+            by_blocks()
     # The range holds 2**40 values at least, so one whose lower half is zero.
     last = (m.low >> _U(32)) + _U(1)
-    flat[row + ends], flat[row + ends + 1] = (last >> _U(16)).astype(np.uint16), (last & _U(0xFFFF)).astype(np.uint16)
-    return [out[i, : ends[i] + 2].astype("<u2").tobytes() for i in range(lanes)]
+    words += [(last >> _U(16)).astype(np.uint16), (last & _U(0xFFFF)).astype(np.uint16)]
+    gone += [np.ones(lanes, bool)] * 2
+    by_blocks()
+    return [b"".join(parts) for parts in zip(*out, strict=True)]
 
 
 def decode_blocks(blocks: list[bytes], size: int, vocabulary: int) -> np.ndarray:
@@ -242,7 +311,7 @@ def decode_blocks(blocks: list[bytes], size: int, vocabulary: int) -> np.ndarray
     m = _Blocks(lanes, size, vocabulary)
     lengths = np.array([len(b) // 2 for b in blocks], np.int64)
     starts = np.cumsum(lengths + 8) - (lengths + 8)
-    words = np.zeros(int((lengths + 8).sum()) + 8, _U)
+    words = np.zeros(int((lengths + 8).sum()) + 8, np.uint16)
     for b, s in zip(blocks, starts.tolist(), strict=True):
         words[s : s + len(b) // 2] = np.frombuffer(b, "<u2")
     at, most = starts.copy(), starts + lengths + 4
@@ -250,44 +319,53 @@ def decode_blocks(blocks: list[bytes], size: int, vocabulary: int) -> np.ndarray
     for _ in range(4):
         code = code << _U(16) | words[at]
         at += 1
-    ids_of = np.zeros((lanes, size), np.int64)  # by rank
-    ranks = np.zeros((size, lanes), np.int64)
+    ids_of = np.zeros((lanes, size), np.uint32)  # by rank
 
     for t in range(size):
         m.foresee()
-        value = ((code - m.low) // m.unit).view(np.int64)
-        source = (value >= m.upper[0]).view(np.int8) + (value >= m.upper[1]) + (value >= m.upper[2])
+        value = ((code - m.low) // m.unit).astype(np.int32)
+        source = (value >= m.upper[:, 0]).view(np.int8) + (value >= m.upper[:, 1])
+        source += value >= m.upper[:, 2]
         m.choose(source)
-        rank = np.where(source == 0, m.foreseen[0], np.where(source == 1, m.foreseen[1], m.seen))
+        name = np.where(source == 0, m.foreseen[0], np.where(source == 1, m.foreseen[1], m.seen))
         who = np.flatnonzero(source == 2)
         if len(who):
-            known, total = m.known[who], m.total[who]
-            all_of = total + m.seen[who] - known
-            unit = m.range[who] // all_of.view(_U)
-            value = np.minimum(((code[who] - m.low[who]) // unit).view(np.int64), all_of - 1)
-            old = value < total
-            place = np.searchsorted(m.sums, (m.sums_base[who] + np.where(old, value, 0)).astype(m.sums.dtype), side="right") - 1
-            begin, end = m.sums.take(place) - m.sums_base[who], m.sums.take(place + 1, mode="clip") - m.sums_base[who]
-            rank[who] = np.where(old, place - m.sums_row[who], value - total + known)
-            m.narrow(who, unit, np.where(old, begin, value), np.where(old, end - begin, 1))
-        who = np.flatnonzero(source == _ANY)
+            all_of = m.all_of(who)
+            unit = m.range.take(who) // all_of
+            value = np.minimum((code.take(who) - m.low.take(who)) // unit, all_of - _U(1)).view(np.int64)
+            later = value - m.total
+            rank = np.where(later < 0, m.of_value.take(m.value_row.take(who) + value, mode="clip"), later + m.known.take(who)).astype(m.kind)
+            m.by_frequency(who, rank, unit)
+            name[who] = rank + m.kind(1)
+        new = source == _ANY
+        who = np.flatnonzero(new)
         if len(who):
-            unit = m.range[who] // _U(vocabulary)
-            value = np.minimum(((code[who] - m.low[who]) // unit).view(np.int64), vocabulary - 1)
-            m.narrow(who, unit, value)
-            ids_of[who, m.seen[who]] = value
-            m.seen[who] += 1
-        if rank.min() < 0 or (rank >= m.seen).any():
+            unit = m.range.take(who) // _U(vocabulary)
+            value = np.minimum(((code.take(who) - m.low.take(who)) // unit).view(np.int64), vocabulary - 1)
+            m.evenly(who, value.view(_U), unit)
+            ids_of[who, m.seen.take(who)] = value
+            m.seen += new
+            name += new
+        if name.min() < 1 or (name > m.seen).any():
             raise ValueError("a damaged block")
-        m.learn(rank)
-        ranks[t] = rank
-        go = m.settled()
-        while len(go):
-            code[go] = code[go] << _U(16) | words[np.minimum(at[go], most[go])]
-            at[go] += 1
-            m.shift(go)
-            go = m.settled(go)
-    return np.take_along_axis(ids_of, ranks.T, axis=1)
+        m.names[t] = name
+        m.learn(name)
+        by = m.shift(go := m.settled())
+        code <<= by
+        code |= words.take(at) * go
+        at += go
+        who = np.flatnonzero(m.settled())
+        while len(who):
+            code[who] = code.take(who) << _U(16) | words.take(np.minimum(at.take(who), most.take(who)))
+            at[who] += 1
+            m.shift_few(who)
+            who = who[m.settled(who)]
+        np.minimum(at, most, out=at)
+    for lo in range(0, lanes, _AT_ONCE):
+        part = m.names[:, lo : lo + _AT_ONCE].T.astype(np.int64)
+        part -= 1
+        ids_of[lo : lo + _AT_ONCE] = np.take_along_axis(ids_of[lo : lo + _AT_ONCE], part, axis=1)
+    return ids_of
 
 
 def block_size(ids: int) -> int:

@@ -59,6 +59,33 @@ def test_coder_moves_weights_as_small_rows_and_keeps_its_format():
     assert zlib.crc32(b"".join(tokenfiles.encode_blocks(ids + 70_000, 1 << 17))) == 2093023424
 
 
+def test_thousands_of_blocks_in_step_with_small_tables():
+    """Python's cost of a step is shared by all blocks of a shard, so these are thousands, and each takes under 8,000 bytes."""
+    size = tokenfiles.block_size(tokenfiles.SHARD_IDS)
+    assert size == 2048 and tokenfiles.SHARD_IDS // size >= 4096
+    m = tokenfiles._Blocks(64, size, 49408)
+    assert sum(x.nbytes for x in (m.slots, m.counts, m.weights)) < 64 * 8_000
+
+
+@pytest.mark.parametrize("size", [16_383, 16_384])
+def test_blocks_at_the_bounds_of_the_tables_types(size):
+    ids = np.arange(size)[None, :].repeat(2, axis=0)
+    ids[0, 9000:] = ids[0, : size - 9000]
+    assert (tokenfiles.decode_blocks(tokenfiles.encode_blocks(ids, 20_000), size, 20_000) == ids).all()
+
+
+def test_places_by_frequency_are_found_without_search():
+    """The decoder looks the rank at a place of the counts up in a table of all places."""
+    ids = np.random.default_rng(2).zipf(1.5, (3, 100)) % 50
+    m = tokenfiles._Blocks(3, 100, 50)
+    m.names[:] = tokenfiles._names(ids)
+    m.seen[:], m.at = m.names.max(axis=0), 100
+    m._sum_up()
+    assert m.total == 100
+    for i in range(3):
+        assert m.of_value[100 * i : 100 * (i + 1)].tolist() == sorted(m.names[:, i] - 1)
+
+
 def test_repeats_cost_less():
     rng = np.random.default_rng(5)
     drawn = rng.integers(0, 5000, 64)
