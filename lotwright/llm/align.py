@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import io
 import re
-import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -52,6 +51,10 @@ def _byte_table(vocabulary: dict[str, int]) -> list[bytes]:
 #: A space that stands alone between other characters: no token of either side reaches across its left edge.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _REACHES = re.compile(r"\S ")
+#: Bytes that are white space by themselves, and what two- and three-byte white space begins and goes on with, with some other characters.
+_BLANK, _TWO, _THREE, _THIRD = (np.isin(np.arange(256), x) for x in ([*range(9, 14), *range(28, 33)], [0x85, 0xA0], [0xE1, 0xE2, 0xE3], [0x80, 0x81, 0x9A]))
+#: Words that are encoded as one text.
+_TOGETHER = 64
 
 
 def _runs(text: str) -> Iterator[str]:
@@ -63,6 +66,19 @@ def _runs(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def _cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Places of spaces that stand alone inside texts in UTF-8; some beside characters of three bytes are left out."""
+    space = data == 0x20
+    space[offs[:-1][offs[:-1] < offs[1:]]] = space[offs[1:][offs[:-1] < offs[1:]] - 1] = False
+    at = np.flatnonzero(space)
+    last, after = data[at - 1], data[at + 1]
+    far = data[np.minimum(at + 2, len(data) - 1)]
+    blank = _BLANK[last] | _BLANK[after] | (after == 0xC2) & _TWO[far] | _THREE[after] & _THIRD[far]
+    near = data[np.maximum(at - 2, 0)]
+    blank |= (near == 0xC2) & _TWO[last] | _THREE[data[np.maximum(at - 3, 0)]] & _THIRD[near]
+    return at[~blank]
+
+
 class Tokenizers:
     """Both tokenizers: ids of texts, bytes of ids, and how an id is written where it is not, or is, a side's last in a group.
 
@@ -82,44 +98,87 @@ class Tokenizers:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if i in whole else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any(_REACHES.search(x.decode(errors="replace")) for t in (self.bytes_a, [x for i, x in enumerate(self.bytes_b) if i not in whole]) for x in t):
             raise ValueError("a token that holds a space after another character")
-        self.young: dict[str, tuple[bytes, bytes] | None] = {}
-        self.old: dict[str, tuple[bytes, bytes] | None] = {}
+        self.young: dict[str, tuple[bytes, bytes] | bool] = {}
+        self.old: dict[str, tuple[bytes, bytes] | bool] = {}
+        self.begins_a, self.begins_b = (np.array([x[:1] == b" " for x in t]) for t in (self.bytes_a, self.bytes_b))
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.written = [np.array([f"{i}{end}" for i in range(len(t))], object) for t, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for end in ends]
 
-    def _of_words(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of both sides as 32-bit numbers; None where their bytes are not a space and the word."""
-        a_all = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        out = []
-        for word, a, b in zip(words, a_all, self.b.encode(words, num_threads=1), strict=True):
-            raw = b" " + word.encode()
-            fits = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            out.append((struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)) if fits else None)
-        return out
+    def _side(self, words: list[str], begins: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after another, and how many each has. Words are encoded together where only they begin with a space."""
+        if all(w and " " not in w and "▁" not in w and not w[0].isspace() and not w[-1].isspace() for w in words):
+            every = np.fromiter(chain.from_iterable(encode([" ".join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)])), "<u4")
+            first = np.flatnonzero(begins[every])
+            if len(first) == len(words) and first[:1] == [0]:
+                return every, np.diff(np.append(first, len(every)))
+        lists = encode(words)
+        return np.fromiter(chain.from_iterable(lists), "<u4"), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def _of_words(self, words: list[str]) -> list[tuple[bytes, bytes] | bool]:
+        """Ids of both sides as 32-bit numbers; False where their bytes are not a space and the word. All words are compared at once."""
+        odd = [i for i, w in enumerate(words) if not w or " " in w or "▁" in w or w[0].isspace() or w[-1].isspace()]
+        if odd and len(odd) < len(words):
+            out, rest = [False] * len(words), sorted(set(range(len(words))).difference(odd))
+            for part in (odd, rest):
+                for i, ids in zip(part, self._of_words([words[i] for i in part]), strict=True):
+                    out[i] = ids
+            return out
+        raw = [b" " + w.encode() for w in words]
+        whole, sizes = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        fits, sides = np.ones(len(words), bool), []
+        for begins, pieces, length, encode in (
+            (self.begins_a, self.bytes_a, self.length_a, lambda texts: [e.ids for e in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]),
+            (self.begins_b, self.bytes_b, self.length_b, lambda texts: self.b.encode(texts, num_threads=1)),
+        ):
+            every, counts = self._side(words, begins, encode)
+            ends = np.cumsum(counts)
+            sums = np.append(0, np.cumsum(length[every]))
+            fits &= sums[ends] - sums[ends - counts] == sizes
+            said = list(map(pieces.__getitem__, every.tolist()))
+            if b"".join(said) != whole:
+                fits &= np.fromiter((b"".join(said[e - n : e]) == x for e, n, x in zip(ends.tolist(), counts.tolist(), raw, strict=True)), bool, len(raw))
+            data, ends = every.tobytes(), (4 * ends).tolist()
+            sides.append([data[x:y] for x, y in zip([0, *ends], ends, strict=False)])
+        return [(a, b) if fit else False for a, b, fit in zip(*sides, fits.tolist(), strict=True)]
 
     def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides for each text; none where there is no text or the ids' bytes are not a space and the text."""
-        cut = [_CUT.split(x) if x else [] for x in texts]
-        found, missing = {}, []
-        for w in set(chain.from_iterable(cut)):
-            if w in self.young:
-                found[w] = self.young[w]
-            elif w in self.old:
-                found[w] = self.young[w] = self.old[w]
-            else:
-                missing.append(w)
+        data, offs = common.text_bytes(pa.array([x or "" for x in texts], pa.large_string()))
+        if not len(data):
+            return tuple([np.zeros(0, np.int64)] * len(texts) for _ in range(2))
+        gaps, some = _cuts(data, offs), offs[:-1] < offs[1:]
+        starts, ends = (np.sort(np.concatenate(x)) for x in ((offs[:-1][some], gaps + 1), (offs[1:][some], gaps)))
+        solid = np.ones(len(data), bool)
+        solid[gaps] = False
+        at = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[solid])]).dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+        found = list(map(self.young.get, distinct))
+        late = [i for i, x in enumerate(found) if x is None]
+        for i in late:
+            found[i] = self.old.get(distinct[i])
+        missing = [i for i in late if found[i] is None]
         for at in range(0, len(missing), 10_000):
             part = missing[at : at + 10_000]
-            for w, ids in zip(part, self._of_words(part), strict=True):
-                found[w] = ids
-                if len(w) <= KEPT_CHARS:
-                    self.young[w] = ids
+            for i, ids in zip(part, self._of_words([distinct[i] for i in part]), strict=True):
+                found[i] = ids
+        self.young.update((distinct[i], found[i]) for i in late if len(distinct[i]) <= KEPT_CHARS)
         if 2 * len(self.young) > KEPT_WORDS:
             self.young, self.old = {}, self.young
-        bad = {w for w, ids in found.items() if ids is None}
-        sides = [{w: ids[i] for w, ids in found.items() if ids} for i in (0, 1)]
-        cut = [[] if bad and not bad.isdisjoint(words) else words for words in cut]
-        return tuple([np.frombuffer(b"".join(map(side.__getitem__, words)), "<u4").astype(np.int64) for words in cut] for side in sides)
+        first = np.searchsorted(starts, offs)  # each text's first word
+        unfit = np.append(0, np.cumsum(np.fromiter((not x for x in found), bool, len(found))[codes]))[first]
+        bad, out = np.repeat(unfit[1:] > unfit[:-1], np.diff(first)), []
+        for side in (0, 1):
+            own = [x[side] if x else b"" for x in found]
+            sizes = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+            counts = np.where(bad, 0, sizes[codes])
+            ends = np.cumsum(counts)
+            place = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - counts), counts)
+            place += np.arange(len(place))
+            every = np.frombuffer(b"".join(own), "<u4")[place].astype(np.int64)
+            out.append(np.split(every, np.append(0, ends)[first[1:-1]]))
+        return tuple(out)
 
 
 def components(nodes: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -194,8 +253,8 @@ class Groups:
         n = links[few]
         owner = np.repeat(few, n)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        keys = self.a[start_a[owner] + nth // self.in_b[owner]] << _SHIFT | self.b[start_b[owner] + nth % self.in_b[owner]]
-        found = [_added_up(self.doc[owner], keys, np.ones(len(keys), np.int64))]
+        in_a, in_b = np.divmod(nth, self.in_b[owner])
+        found = [_counted(self.doc[owner], self.a[start_a[owner] + in_a], self.b[start_b[owner] + in_b])]
         for g in np.flatnonzero(links > LAID_OUT).tolist():
             a, times_a = np.unique(self.a[start_a[g] : start_a[g] + self.in_a[g]], return_counts=True)
             b, times_b = np.unique(self.b[start_b[g] : start_b[g] + self.in_b[g]], return_counts=True)
@@ -204,6 +263,21 @@ class Groups:
         return found[0] if len(found) == 1 else _added_up(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
+def _counted(docs: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, id pairs and how often each is there, by document and pair: sorted as one number each."""
+    if not len(docs):
+        return docs, a, docs
+    all_a, all_b = int(a.max()) + 1, int(b.max()) + 1
+    if (int(docs.max()) + 1) * all_a * all_b >= 1 << 63:
+        return _added_up(docs, a << _SHIFT | b, np.ones(len(a), np.int64))
+    every = (docs * all_a + a) * all_b + b
+    every.sort()
+    at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    rest, b = np.divmod(every[at], all_b)
+    docs, a = np.divmod(rest, all_a)
+    return docs, a << _SHIFT | b, np.diff(np.append(at, len(every)))
+
+
 def _added_up(docs: np.ndarray, keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((keys, docs))
     docs, keys = docs[order], keys[order]

@@ -143,6 +143,50 @@ def test_words_by_themselves_give_the_texts_ids(plain_sides, monkeypatch):
         assert (a.tolist(), b.tolist()) == tuple(plain_sides(text)[:2]), text
 
 
+def test_pairs_are_counted_by_one_sort():
+    rng = np.random.default_rng(7)
+    docs, a, b = np.sort(rng.integers(0, 40, 5000)), rng.integers(0, 9, 5000), rng.integers(0, 7, 5000)
+    plain = [x.tolist() for x in align._added_up(docs, a << 32 | b, np.ones(5000, np.int64))]
+    assert [x.tolist() for x in align._counted(docs, a, b)] == plain
+    huge = [x.tolist() for x in align._counted(docs, a << 27, b << 28)]  # more than one number holds
+    assert huge[0] == plain[0] and huge[2] == plain[2]
+    assert [len(x) for x in align._counted(docs[:0], a[:0], b[:0])] == [0, 0, 0]
+
+
+def test_words_are_compared_at_once():
+    """Unfit words among others are told from them, also where the sizes agree; the words' ids are those of each by itself."""
+    own = align.Tokenizers(*PATHS)
+    words = ["thonre", "▁", "Enti", "naïve▁", "x\x00y", "日本語🙂", "́́", "a\n\nb", "it's"]
+    at_once, alone = own._of_words(words), [own._of_words([w])[0] for w in words]
+    assert at_once == alone and alone[1] is False and alone[3] is False
+    for w, ids in zip(words, at_once, strict=True):
+        raw = b" " + w.encode()
+        if ids:
+            assert all(b"".join(table[i] for i in np.frombuffer(x, "<u4")) == raw for x, table in zip(ids, (own.bytes_a, own.bytes_b), strict=True))
+    own.bytes_b = [x[::-1] for x in own.bytes_b]  # sizes agree, bytes do not
+    assert own._of_words(["thonre", "Enti"]) == [False, False]
+
+
+def test_cuts_are_lone_spaces():
+    rnd = random.Random(5)
+    parts = ["a", " ", " ", "\n", "é", "日", "あ", "\x1c", "\x85", "\u00a0", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000", "…"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.append(0, np.cumsum([len(x.encode()) for x in texts]))
+    at = set(align._cuts(data, offs).tolist())
+    lone = {o + len(x[: m.start()].encode()) for o, x in zip(offs.tolist(), texts, strict=False) for m in align._CUT.finditer(x)}
+    plain = {o + len(x[: m.start()].encode()) for o, x in zip(offs.tolist(), texts, strict=False) for m in align._CUT.finditer(x) if x[m.start() - 1] in "aé日" and x[m.end()] in "aé日"}
+    assert plain and plain <= at <= lone
+
+
+def test_words_are_encoded_together():
+    own, calls = align.Tokenizers(*PATHS), []
+    plain = own.b.encode
+    own.b = type("B", (), {"encode": lambda self, texts, **k: calls.append(len(texts)) or plain(texts, **k)})()
+    words = [f"word{i}" for i in range(500)]
+    assert own._of_words(words) == align.Tokenizers(*PATHS)._of_words(words) and sum(calls) < 20
+
+
 def test_group_rows_and_counts(spark):
     docs = spark.createDataFrame([(1, "thonre Enti"), (2, "Enti"), (3, None)], "doc_id long, text string")
     groups = align.aligned_groups(docs, *PATHS).orderBy("doc_id", "nth").collect()
