@@ -8,11 +8,11 @@ ranks go to which run of sequences; the pieces themselves never meet in one plac
 
 from __future__ import annotations
 
-import struct
 import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -93,8 +93,8 @@ def plan_packing(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> lis
     return rows
 
 
-#: Parts of words that a Python worker keeps the ids of; with more, those not used lately go.
-KEPT_PARTS = 500_000
+#: Parts of words that a Python worker keeps the ids of; with more, all go and those of the next batch are kept.
+KEPT_PARTS = 1_000_000
 #: Bytes of text that are encoded at once; a longer text is cut at white space, which no token of the vocabulary spans.
 ENCODED_BYTES = 1 << 22
 #: What a byte belongs to: white space, a letter, the first byte of a digit, a sign, what only the tokenizer knows, the rest of a digit.
@@ -115,6 +115,9 @@ _KIND = np.array([_kind(c) for c in range(0x800)], np.int8)
 _LOWER = np.array([ord(chr(c).lower()) if _KIND[c] == _LETTER else c for c in range(0x800)])
 _BYTE_KIND = np.where(np.arange(256) < 0x80, _KIND[:256], _OTHER).astype(np.int8)
 _BYTE_LOWER = np.where(np.arange(256) < 0x80, _LOWER[:256], np.arange(256)).astype(np.uint8)
+#: The same for bytes.translate, which is faster than numpy's look-up.
+_KIND_TABLE, _LOWER_TABLE = _BYTE_KIND.tobytes(), _BYTE_LOWER.tobytes()
+_GAPS = bytes(np.flatnonzero(_BYTE_KIND == _GAP).tolist())
 _AFTER_APOSTROPHE = np.isin(np.arange(256), list(b"strvmld"))
 _encoders: dict = {}
 
@@ -132,37 +135,45 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.young, self.old = {}, {}
+        self._forget()
         shown = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.table = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def _ids(self, parts: list[bytes], whole: np.ndarray) -> list[bytes]:
-        """Ids, four bytes each, of different parts. What the younger half lacks comes from the older half or is made; a full younger half becomes the older."""
-        old, tokenize = self.old.get, self.tok.model.tokenize
-        found = list(map(self.young.get, parts))
-        late = [i for i, x in enumerate(found) if x is None]
-        for i in late:
-            x = parts[i]
-            if (kept := old(x)) is not None:
-                found[i] = kept
-                continue
-            if whole[i]:
-                ids = self.tok.encode(x.decode(), add_special_tokens=False).ids
+    def _numbers(self, parts: list[bytes], whole: np.ndarray) -> np.ndarray:
+        """Where the ids of different parts are kept: part n has sizes[n] of them from places[n] on. New parts are tokenized."""
+        found = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        late = np.flatnonzero(found < 0)
+        if not len(late):
+            return found
+        if self.known and len(self.known) + len(late) > KEPT_PARTS:
+            self._forget()
+            found[:], late = -1, np.arange(len(parts))
+        new, ids, sizes, tokenize = list(map(parts.__getitem__, late.tolist())), [], [], self.tok.model.tokenize
+        for x, is_whole in zip(new, whole[late].tolist(), strict=True):
+            if is_whole:
+                own = self.tok.encode(x.decode(), add_special_tokens=False).ids
             else:
                 shown = x.decode("latin1")
-                ids = [t.id for t in tokenize(shown if x.isascii() else shown.translate(self.table))]
-            found[i] = struct.pack(f"<{len(ids)}I", *ids)
-        half = KEPT_PARTS // 2
-        for lo in range(0, len(late), half):
-            if len(self.young) >= half:
-                self.young, self.old = {}, self.young
-            self.young.update((parts[i], found[i]) for i in late[lo : lo + half])
+                own = [t.id for t in tokenize(shown if x.isascii() else shown.translate(self.table))]
+            ids += own
+            sizes.append(len(own))
+        found[late] = numbers = np.arange(len(self.known), len(self.known) + len(new))
+        self.known.update(zip(new, numbers.tolist(), strict=True))
+        ends = np.cumsum(np.array(sizes, np.int64))
+        self.places = np.append(self.places, len(self.ids) + ends - sizes)
+        self.sizes = np.append(self.sizes, np.array(sizes, np.int64))
+        self.ids = np.append(self.ids, np.array(ids, "<u4"))
         return found
 
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.places, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def _batch(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of texts that are not all empty: their ids, one after another, and how many each has."""
-        kind, low = _BYTE_KIND[data], _BYTE_LOWER[data]
+        raw = data.tobytes()
+        kind, low = np.frombuffer(bytearray(raw.translate(_KIND_TABLE)), np.int8), np.frombuffer(bytearray(raw.translate(_LOWER_TABLE)), np.uint8)
         wide = np.flatnonzero((data & 0xE0) == 0xC0)  # first of two bytes
         code = (data[wide].astype(np.int64) & 0x1F) << 6 | data[wide + 1] & 0x3F
         kind[wide] = of = _KIND[code]
@@ -196,21 +207,20 @@ class _Encoder:
             low = np.where(inside, data, low)
 
         starts = np.flatnonzero(start)
-        at = np.cumsum(solid, dtype=np.int32)
-        at = np.append(at[starts] - 1, at[-1:]).astype(np.int32)
-        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(low[solid])]).dictionary_encode()
+        packed = low.tobytes().translate(None, _GAPS)  # all but white space, and where parts start in it
+        at = np.flatnonzero(np.frombuffer((start.view(np.uint8) + 2 * (~solid).view(np.uint8)).tobytes().translate(None, b"\x02"), bool))
+        at = np.append(at, len(packed)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(packed)]).dictionary_encode()
         codes, whole = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), bool)
         whole[codes[np.searchsorted(starts, begins)]] = True
-        found = self._ids(coded.dictionary.to_pandas().tolist(), whole)
+        numbers = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), whole)
 
-        # The ids of the different parts, one after another, and from these the ids of all parts.
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        ids, places = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
-        counts = sizes[codes]
+        # From the ids of the different parts those of all parts.
+        places, counts = self.places[numbers], self.sizes[numbers][codes]
         ends = np.cumsum(counts)
         place = np.repeat(places[codes] - (ends - counts), counts)
         place += np.arange(len(place))
-        return ids[place], np.diff(np.append(0, ends)[np.searchsorted(starts, offs)])
+        return self.ids[place], np.diff(np.append(0, ends)[np.searchsorted(starts, offs)])
 
     def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has; null is empty."""

@@ -29,9 +29,13 @@ END_ID = 2
 SHARD_IDS = 1 << 23
 #: Blocks that a shard aims at, and the bounds of a block's ids.
 LANES, LEAST_BLOCK, MOST_BLOCK = 4096, 512, 1 << 14
-#: Blocks, or steps of all blocks, that are set in order at once.
+#: Blocks that are set in order at once.
 _AT_ONCE = 256
-_MAGIC, _VERSION = b"IDBLOCKS", 2
+#: Steps after which what blocks let go is taken up.
+_STEPS = 64
+#: Blocks whose ids are ranked by one table.
+_LOOKED_UP = 8
+_MAGIC, _VERSION = b"IDBLOCKS", 3
 _HEAD = struct.Struct("<8sIIQQQI")  # magic, version, ids of a block, ids of the vocabulary, documents, ids, blocks
 _NULL_DOC = -(1 << 63)
 
@@ -41,8 +45,9 @@ _SETTLED, _FLOOR = _U(1 << 48), _U(1 << 40)
 #: Weights of the sources add up to 2**16: order 2, order 1, order 0, any id.
 _ANY = 3
 _WEIGHT_BITS, _LEARN = 16, 5
-#: Slots of the foreseen ids, for each block.
-_SLOTS_1, _SLOTS_2 = 1 << 9, 1 << 10
+#: By the version of the format, of which files are written in the last and read in any: slots of the foreseen ids of order 1
+#: and 2 of each block, after what growth of the ids seen their frequencies are summed up, every how many ids weights are learnt.
+_MODELS = {2: (1 << 9, 1 << 10, (5, 4), 1), 3: (1 << 8, 1 << 9, (2, 1), 4)}
 
 
 def _first_weights() -> np.ndarray:
@@ -70,16 +75,18 @@ class _Blocks:
     Ranks and names are of the type of the slots, which is as small as the blocks' size allows.
     """
 
-    def __init__(self, lanes: int, size: int, vocabulary: int, names: np.ndarray | None = None):
+    def __init__(self, lanes: int, size: int, vocabulary: int, names: np.ndarray | None = None, version: int = 2):
         self.n, self.vocabulary = lanes, vocabulary
         self.kind = np.uint16 if 4 * size + 3 < 1 << 16 else np.int32
         self.lane = np.arange(lanes)
+        slots_1, slots_2, self.growth, self.learn_every = _MODELS[version]
+        self.mask_1, self.mask_2 = np.uint32(slots_1 - 1), np.uint32(slots_2 - 1)
         first = _first_weights()
         self.weights = np.tile(first.astype(np.int32), (lanes, 1))  # the four of a confidence side by side
         self.rows = self.weights.view(np.complex128).reshape(-1)  # the same memory, four weights as one value to move
         self.context_row, self.four = self.lane * len(first), self.lane * 4
-        self.slots = np.zeros(lanes * (_SLOTS_1 + _SLOTS_2), self.kind)  # name * 4 + confidence; 0: nothing foreseen
-        self.base = np.stack([self.lane * _SLOTS_2, lanes * _SLOTS_2 + self.lane * _SLOTS_1])
+        self.slots = np.zeros(lanes * (slots_1 + slots_2), self.kind)  # name * 4 + confidence; 0: nothing foreseen
+        self.base = np.stack([self.lane * slots_2, lanes * slots_2 + self.lane * slots_1])
         self.slot_at, self.upper = np.empty((2, lanes), np.int64), np.empty((lanes, 4), np.int32)
         self.upper[:, _ANY] = 1 << _WEIGHT_BITS
         self.by_value = names is None
@@ -104,14 +111,13 @@ class _Blocks:
         sums = np.empty((self.n, width + 1), self.packed)  # a rank's begin and count in one value
         sums[:, width] = self.total
         np.cumsum(counts, axis=1, dtype=self.packed, out=sums[:, :width])
-        sums[:, :width] -= counts.astype(self.packed)
         sums <<= self.packed(self.begin_bits)
-        sums[:, :width] |= counts.astype(self.packed)
+        sums[:, :width] -= counts.astype(self.packed) * self.packed((1 << self.begin_bits) - 1)  # the end becomes the begin, with the count
         self.sums, self.sums_row = sums.reshape(-1), self.lane * (width + 1)
         if self.by_value:  # the rank at each place of the counts laid out one after another
             self.of_value = np.repeat(np.tile(np.arange(width, dtype=self.kind), self.n), counts.reshape(-1)) if width else np.zeros(1, self.kind)
             self.value_row = self.lane * self.total
-        self.next_sums = max(self.at + 16, self.at * 5 // 4)
+        self.next_sums = max(self.at + 16, self.at * self.growth[0] // self.growth[1])
 
     def foresee(self) -> None:
         """The slots, the two foreseen names, their confidence and the weights of the sources."""
@@ -121,10 +127,10 @@ class _Blocks:
         hashed += self.prev1
         hashed *= np.uint32(2654435761)
         hashed >>= np.uint32(15)
-        hashed &= np.uint32(_SLOTS_2 - 1)
+        hashed &= self.mask_2
         at = self.slot_at
         at[0] = hashed
-        at[1] = self.prev1 & np.uint32(_SLOTS_1 - 1)
+        at[1] = self.prev1 & self.mask_1
         at += self.base
         found = self.slots.take(at)
         self.sure = found & self.kind(3)
@@ -152,41 +158,40 @@ class _Blocks:
         self.range = self.unit
         self.range *= share.astype(_U)
 
-    def all_of(self, who: np.ndarray) -> np.ndarray:
-        """By how many the range of order 0 is divided in some blocks."""
-        out = self.seen.take(who)
-        out -= self.known.take(who)
-        return out.astype(_U) + _U(self.total)
-
-    def by_frequency(self, who: np.ndarray, rank: np.ndarray, unit: np.ndarray) -> None:
-        """The ranges of some blocks shrink to an id's share by its frequency."""
-        counted = np.minimum(rank, self.known.take(who))  # an id not counted yet lies behind all that are
-        found = self.sums.take(self.sums_row.take(who) + counted)
+    def parts(self, counted: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Into how many parts each block's range is divided: all counts for order 0 (counted), the vocabulary for a new id, else one."""
+        out = (self.seen - self.known).astype(_U)
+        out += _U(self.total)
+        out -= _U(1)
+        out *= counted
+        out += _U(1)
+        out += new * _U(self.vocabulary - 1)
+        return out
+
+    def narrow(self, counted: np.ndarray, rank: np.ndarray, begin: np.ndarray, unit: np.ndarray) -> None:
+        """Ranges shrink to some of their parts, each of one unit: for order 0 (counted) those of a rank, else one from begin on."""
+        known = np.minimum(rank, self.known)  # an id not counted yet lies behind all that are
+        rank = rank - known
+        known *= counted
+        found = self.sums.take(self.sums_row + known)
         share = found & self.packed((1 << self.begin_bits) - 1)
         found >>= self.packed(self.begin_bits)
-        found += (rank - counted).astype(self.packed)
-        self.low[who] += found * unit
-        self.range[who] = np.maximum(share, self.packed(1)) * unit
-
-    def evenly(self, who: np.ndarray, ids: np.ndarray, unit: np.ndarray) -> None:
-        """The ranges of some blocks shrink to an equal share of the vocabulary."""
-        self.low[who] += ids * unit
-        self.range[who] = unit
+        found += rank.astype(self.packed)
+        found *= counted
+        share *= counted
+        begin += found
+        begin *= unit
+        self.low += begin
+        self.range = np.maximum(share, self.packed(1)) * unit
 
     def learn(self, name: np.ndarray) -> None:
-        # Weights: towards the source that explained the id; they still add up to 2**16, none falls below 1.
-        w = self.weight
-        part = w - _KEPT_BACK // 4
-        part >>= _LEARN
-        w -= part
-        left = (1 << _WEIGHT_BITS) - w[:, 0]
-        for i in (1, 2, 3):
-            left -= w[:, i]
-        w.reshape(-1)[self.chosen] += left
-        self.rows[self.weight_at] = w.view(np.complex128).reshape(-1)
+        if self.at % self.learn_every == 0:
+            self._weigh()
         # Foreseen ids: a doubted one is replaced, a wrong one's confidence falls to 1, a right one's rises, to 3 at most.
         sure, one = self.sure, self.kind(1)
-        held = np.where(sure <= one, name, self.foreseen)
+        held = name - self.foreseen  # these types wrap round
+        held *= sure <= one
+        held += self.foreseen
         held <<= self.kind(2)
         np.minimum(sure, self.kind(2), out=sure)
         sure *= self.foreseen == name
@@ -196,14 +201,27 @@ class _Blocks:
         self.prev2, self.prev1 = self.prev1, name.astype(np.uint32)
         self.at += 1
 
+    def _weigh(self) -> None:
+        """Weights: towards the source that explained the id; they still add up to 2**16, none falls below 1."""
+        w = self.weight
+        part = w - _KEPT_BACK // 4
+        part >>= _LEARN
+        w -= part
+        left = (1 << _WEIGHT_BITS) - w[:, 0]
+        for i in (1, 2, 3):
+            left -= w[:, i]
+        w.reshape(-1)[self.chosen] += left
+        self.rows[self.weight_at] = w.view(np.complex128).reshape(-1)
+
     def settled(self, who: np.ndarray | None = None) -> np.ndarray:
         """Whether blocks have to let 16 bits go; their ranges, if too small, are cut to end where the next part begins."""
         low, reach = (self.low, self.range) if who is None else (self.low.take(who), self.range.take(who))
         end = low + reach
         end ^= low
         go, small = end < _SETTLED, reach < _FLOOR
-        cut = np.flatnonzero(small > go)
-        if len(cut):
+        late = small > go
+        if late.any():
+            cut = np.flatnonzero(late)
             self.range[cut if who is None else who[cut]] = (~low[cut] + _U(1)) & (_FLOOR - _U(1))
         go |= small
         return go
@@ -216,6 +234,11 @@ class _Blocks:
         self.range <<= by
         return by
 
+    def again(self, go: np.ndarray) -> np.ndarray:
+        """Of the blocks that have let 16 bits go: which have to once more. With a range of 2**48 the first 16 bits are open."""
+        who = np.flatnonzero(go & (self.range < _SETTLED))
+        return who[self.settled(who)]
+
     def shift_few(self, who: np.ndarray) -> None:
         self.low[who] <<= _U(16)
         self.range[who] <<= _U(16)
@@ -225,21 +248,38 @@ def _names(ids: np.ndarray) -> np.ndarray:
     """The ranks' names step by step."""
     lanes, size = ids.shape
     out = np.empty((size, lanes), np.uint16 if size < 1 << 16 else np.int32)
+    small = ids.max(initial=0) < 1 << 16
     for lo in range(0, lanes, _AT_ONCE):
-        part = _ranks(ids[lo : lo + _AT_ONCE])
+        rows = ids[lo : lo + _AT_ONCE]
+        parts = [_looked_up_ranks(rows[i : i + _LOOKED_UP]) for i in range(0, len(rows), _LOOKED_UP)] if small else [_ranks(rows)]
+        part = np.concatenate(parts).astype(out.dtype)
         part += 1
-        out[:, lo : lo + _AT_ONCE] = part.T
+        out[:, lo : lo + _AT_ONCE] = np.ascontiguousarray(part.T)  # rows far apart would push each other out of the cache
     return out
 
 
+def _looked_up_ranks(ids: np.ndarray) -> np.ndarray:
+    """As _ranks, of ids below 2**16: a table of all ids for each row tells the first place, and by it the rank."""
+    lanes, size = ids.shape
+    keys = (ids + (np.arange(lanes) << 16)[:, None]).reshape(-1)
+    places = np.arange(lanes * size, dtype=np.int32)
+    table = np.empty(lanes << 16, np.int32)  # only what is written is read
+    table[keys[::-1].copy()] = places[::-1].copy()  # of equal ids the last written is the first of the row
+    first = table.take(keys)
+    if (first > places).any():  # numpy does not promise the order of writing
+        return _ranks(ids)
+    nth = np.cumsum((first == places).reshape(lanes, size), axis=1, dtype=np.int32)
+    nth -= 1
+    return nth.reshape(-1).take(first).reshape(lanes, size)
+
+
 def _ranks(ids: np.ndarray) -> np.ndarray:
     """For each row its ids by order of their first places in it."""
     lanes, size = ids.shape
-    keys = ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids  # 16 bits are sorted by radix
-    order = np.argsort(keys, axis=1, kind="stable")
+    order = np.argsort(ids, axis=1, kind="stable")
     order += np.arange(lanes)[:, None] * size
     order = order.reshape(-1)
-    held = keys.reshape(-1)[order]
+    held = ids.reshape(-1)[order]
     head = np.ones(len(held), bool)
     head[1:] = held[1:] != held[:-1]
     head[::size] = True
@@ -253,62 +293,60 @@ def _ranks(ids: np.ndarray) -> np.ndarray:
     return out.reshape(lanes, size)
 
 
-def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, vocabulary: int, version: int = 2) -> list[bytes]:
     """A range-coded block for each row of ids, all below vocabulary."""
     lanes, size = ids.shape
-    m = _Blocks(lanes, size, vocabulary, _names(ids))
-    ids = np.ascontiguousarray(ids.T, np.uint32)
-    words, gone = [], []  # what blocks let go, pass by pass, and which blocks do
-    out = []  # these by blocks, some steps at a time
-
-    def by_blocks() -> None:
-        which = np.ascontiguousarray(np.array(gone).T)
-        data = np.ascontiguousarray(np.array(words).T)[which].astype("<u2").tobytes()
-        ends = np.cumsum(2 * np.count_nonzero(which, axis=1)).tolist()
-        out.append([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        words.clear()
-        gone.clear()
+    m = _Blocks(lanes, size, vocabulary, _names(ids), version)
+    flat, row = np.ascontiguousarray(ids, np.uint32).reshape(-1), m.lane * size
+    room = 4 * _STEPS + 8  # 16-bit parts that a block may let go in some steps
+    held = np.empty(lanes * room, np.uint16)
+    begins, out = m.lane * room, []
+    at = begins.copy()
+
+    def let_go() -> None:
+        data = held.astype("<u2", copy=False).tobytes()
+        out.append([data[a:b] for a, b in zip((2 * begins).tolist(), (2 * at).tolist(), strict=True)])
+        at[:] = begins
 
     for t in range(size):
         name = m.names[t]
         m.foresee()
         right, new = m.foreseen == name, name > m.seen
-        source = np.where(right[0], 0, np.where(right[1], 1, new + 2))
+        source = new.view(np.int8) + np.int8(1)  # 0 where order 2 is right, 1 where only order 1 is, 3 for a new id, else 2
+        source *= ~right[1]
+        source += np.int8(1)
+        source *= ~right[0]
         m.choose(source)
-        who = np.flatnonzero(source == 2)
-        if len(who):
-            m.by_frequency(who, name.take(who) - m.kind(1), m.range.take(who) // m.all_of(who))
+        counted, begin = source == 2, np.zeros(lanes, _U)
         who = np.flatnonzero(new)
-        if len(who):
-            m.evenly(who, ids[t].take(who).astype(_U), m.range.take(who) // _U(vocabulary))
+        begin[who] = flat.take(row.take(who) + t)
+        m.narrow(counted, name - m.kind(1), begin, m.range // m.parts(counted, new))
         m.seen += new
         m.learn(name)
         go = m.settled()
-        words.append((m.low >> _U(48)).astype(np.uint16))
-        gone.append(go)
+        held[at] = m.low >> _U(48)  # where it stays, the next is written over it
+        at += go
         m.shift(go)
-        who = np.flatnonzero(m.settled())
+        who = m.again(go)
         while len(who):
-            word, few = np.zeros(lanes, np.uint16), np.zeros(lanes, bool)
-            word[who], few[who] = m.low.take(who) >> _U(48), True
-            words.append(word)
-            gone.append(few)
+            held[at.take(who)] = m.low.take(who) >> _U(48)
+            at[who] += 1
             m.shift_few(who)
             who = who[m.settled(who)]
-        if len(words) >= _AT_ONCE:
-            by_blocks()
+        if t % _STEPS == _STEPS - 1:
+            let_go()
     # The range holds 2**40 values at least, so one whose lower half is zero.
     last = (m.low >> _U(32)) + _U(1)
-    words += [(last >> _U(16)).astype(np.uint16), (last & _U(0xFFFF)).astype(np.uint16)]
-    gone += [np.ones(lanes, bool)] * 2
-    by_blocks()
+    held[at], held[at + 1] = last >> _U(16), last & _U(0xFFFF)
+    at += 2
+    let_go()
     return [b"".join(parts) for parts in zip(*out, strict=True)]
 
 
-def decode_blocks(blocks: list[bytes], size: int, vocabulary: int) -> np.ndarray:
+def decode_blocks(blocks: list[bytes], size: int, vocabulary: int, version: int = 2) -> np.ndarray:
     """The ids of blocks that encode_blocks has made, a row for each."""
     lanes = len(blocks)
-    m = _Blocks(lanes, size, vocabulary)
+    m = _Blocks(lanes, size, vocabulary, version=version)
     lengths = np.array([len(b) // 2 for b in blocks], np.int64)
     starts = np.cumsum(lengths + 8) - (lengths + 8)
     words = np.zeros(int((lengths + 8).sum()) + 8, np.uint16)
@@ -327,25 +365,27 @@ def decode_blocks(blocks: list[bytes], size: int, vocabulary: int) -> np.ndarray
         source = (value >= m.upper[:, 0]).view(np.int8) + (value >= m.upper[:, 1])
         source += value >= m.upper[:, 2]
         m.choose(source)
-        name = np.where(source == 0, m.foreseen[0], np.where(source == 1, m.foreseen[1], m.seen))
-        who = np.flatnonzero(source == 2)
-        if len(who):
-            all_of = m.all_of(who)
-            unit = m.range.take(who) // all_of
-            value = np.minimum((code.take(who) - m.low.take(who)) // unit, all_of - _U(1)).view(np.int64)
-            later = value - m.total
-            rank = np.where(later < 0, m.of_value.take(m.value_row.take(who) + value, mode="clip"), later + m.known.take(who)).astype(m.kind)
-            m.by_frequency(who, rank, unit)
-            name[who] = rank + m.kind(1)
-        new = source == _ANY
+        name = m.foreseen - m.seen  # these types wrap round
+        name[0] *= source == 0
+        name[1] *= source == 1
+        name = name[0] + name[1]
+        name += m.seen
+        counted, new = source == 2, source == _ANY
+        parts = m.parts(counted, new)
+        unit = m.range // parts
+        parts -= _U(1)
+        value = code - m.low
+        value //= unit
+        np.minimum(value, parts, out=value)
+        place = value.view(np.int64)
+        later = place - m.total
+        rank = np.where(later < 0, m.of_value.take(m.value_row + place, mode="clip"), later + m.known).astype(m.kind)
+        name += (rank + m.kind(1) - name) * counted
         who = np.flatnonzero(new)
-        if len(who):
-            unit = m.range.take(who) // _U(vocabulary)
-            value = np.minimum(((code.take(who) - m.low.take(who)) // unit).view(np.int64), vocabulary - 1)
-            m.evenly(who, value.view(_U), unit)
-            ids_of[who, m.seen.take(who)] = value
-            m.seen += new
-            name += new
+        ids_of[who, m.seen.take(who)] = value.take(who)
+        m.narrow(counted, rank, value * new, unit)
+        m.seen += new
+        name += new
         if name.min() < 1 or (name > m.seen).any():
             raise ValueError("a damaged block")
         m.names[t] = name
@@ -354,7 +394,7 @@ def decode_blocks(blocks: list[bytes], size: int, vocabulary: int) -> np.ndarray
         code <<= by
         code |= words.take(at) * go
         at += go
-        who = np.flatnonzero(m.settled())
+        who = m.again(go)
         while len(who):
             code[who] = code.take(who) << _U(16) | words.take(np.minimum(at.take(who), most.take(who)))
             at[who] += 1
@@ -362,9 +402,9 @@ def decode_blocks(blocks: list[bytes], size: int, vocabulary: int) -> np.ndarray
             who = who[m.settled(who)]
         np.minimum(at, most, out=at)
     for lo in range(0, lanes, _AT_ONCE):
-        part = m.names[:, lo : lo + _AT_ONCE].T.astype(np.int64)
-        part -= 1
-        ids_of[lo : lo + _AT_ONCE] = np.take_along_axis(ids_of[lo : lo + _AT_ONCE], part, axis=1)
+        part = np.ascontiguousarray(m.names[:, lo : lo + _AT_ONCE]).T.astype(np.int64, order="C")
+        part += (m.lane[lo : lo + _AT_ONCE] * size - 1)[:, None]
+        ids_of[lo : lo + _AT_ONCE] = ids_of.reshape(-1).take(part)
     return ids_of
 
 
@@ -386,8 +426,8 @@ def write_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, v
     if len(ids) and int(full.max()) >= vocabulary:
         raise ValueError("an id beyond the vocabulary")
     step = max(1, SHARD_IDS // size)  # a document longer than a shard by parts
-    blocks = [b for lo in range(0, lanes, step) for b in encode_blocks(full[lo : lo + step], vocabulary)]
-    directory = np.array([(len(b), zlib.crc32(x.astype("<u4").tobytes())) for b, x in zip(blocks, full, strict=True)], "<u4").reshape(-1, 2)
+    blocks = [b for lo in range(0, lanes, step) for b in encode_blocks(full[lo : lo + step], vocabulary, _VERSION)]
+    directory = np.array([(len(b), zlib.crc32(x)) for b, x in zip(blocks, full, strict=True)], "<u4").reshape(-1, 2)
     docs = np.array([_NULL_DOC if d is None else d for d in doc_ids], "<i8").tobytes() + np.array(counts, "<u8").tobytes()
     return b"".join([_HEAD.pack(_MAGIC, _VERSION, size, vocabulary, len(doc_ids), len(ids), lanes), docs, directory.tobytes(), *blocks])
 
@@ -396,8 +436,8 @@ class ShardReader:
     """Reads a shard by its directory; any blocks can be decoded without the others. Damage raises ValueError."""
 
     def __init__(self, data: bytes):
-        magic, version, self.size, self.vocabulary, docs, self.n_ids, lanes = _HEAD.unpack_from(data)
-        if (magic, version) != (_MAGIC, _VERSION):
+        magic, self.version, self.size, self.vocabulary, docs, self.n_ids, lanes = _HEAD.unpack_from(data)
+        if magic != _MAGIC or self.version not in _MODELS:
             raise ValueError("not a shard of ids")
         at = _HEAD.size
         doc_ids = np.frombuffer(data, "<i8", docs, at).tolist()
@@ -409,7 +449,7 @@ class ShardReader:
 
     def blocks(self, which: list[int]) -> np.ndarray:
         """The ids of some blocks, a row for each, checked against their sums."""
-        got = decode_blocks([self.data[a:b] for a, b in (self.spans[i] for i in which)], self.size, self.vocabulary)
+        got = decode_blocks([self.data[a:b] for a, b in (self.spans[i] for i in which)], self.size, self.vocabulary, self.version)
         for i, row in zip(which, got, strict=True):
             if zlib.crc32(row.astype("<u4").tobytes()) != self.sums[i]:
                 raise ValueError(f"block {i} does not match its sum")
@@ -457,7 +497,10 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id
         end = np.array([end_id], "<u4")
 
         def shard() -> pa.RecordBatch:
-            data = write_shard(ids, counts, np.concatenate(texts), vocabulary)
+            whole = np.concatenate(texts)
+            texts.clear()
+            common.release()  # what tokenizing took, before the coder takes its own
+            data = write_shard(ids, counts, whole, vocabulary)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, nth, before, held, data), _SHARD.types, strict=True)], schema=_SHARD)
 
         for batch in common.chunks(batches, "text", ENCODED_BYTES):
@@ -492,11 +535,12 @@ def read_token_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                 reader = ShardReader(data.as_py())
                 ids, ends = reader.ids().astype("<u4"), np.cumsum(reader.counts)
                 starts = ends - reader.counts
-                sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 out = [pa.array([part] * len(sums), pa.int32()), pa.array(before + starts), pa.array(reader.doc_ids, pa.int64()), pa.array(reader.counts), pa.array(sums, pa.int64())]
                 if with_ids:
                     out.append(common.lists(ids.astype(np.int32), reader.counts, pa.int32()))
                 yield pa.RecordBatch.from_arrays(out, schema=schema)
+        common.release()
 
     plain = shards.select("part", "before", "data").mapInArrow(rows, "part int, at long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))

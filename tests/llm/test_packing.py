@@ -122,3 +122,20 @@ def test_odd_rows(spark, rows):
     assert sum(r.length for r in got) == (30_001 + 1 + 1 + 1 + 3 if rows else 0)
     assert all(len(r.ids) == r.length for r in got)
     filled(got, 4096)
+
+
+def test_kept_parts_are_tokenized_once_and_stay_few(monkeypatch):
+    """Parts' ids are kept by number over many batches; a full table begins anew, and the ids stay those of the tokenizer."""
+    encode, tok = packing._Encoder(PATH), Tokenizer.from_file(PATH)
+    monkeypatch.setattr(packing, "KEPT_PARTS", 60)
+    rnd = random.Random(7)
+    for n in range(12):
+        texts = [" ".join(rnd.choice(["aa", "Bé", "it's", "x1"]) + str(rnd.choice(["", "lon", "ti", n]) * rnd.randint(1, 6)) for _ in range(20)) for _ in range(4)] + ["", " \t\n"]
+        ids, counts = encode.rows(pa.array(texts))
+        want = [tok.encode(x, add_special_tokens=False).ids for x in texts]
+        assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == list(map(len, want))
+        assert len(encode.known) == len(encode.places) == len(encode.sizes) <= 120 and encode.sizes.sum() == len(encode.ids)
+        known = dict(encode.known)
+        encode.rows(pa.array(texts))
+        assert encode.known == known
+    encode.rows(pa.array([" \n "]))

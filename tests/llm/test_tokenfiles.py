@@ -156,3 +156,40 @@ def test_files(spark, tmp_path):
     tokenfiles.write_files(shards, str(tmp_path / "ids"))
     found = [d for f in sorted((tmp_path / "ids").iterdir()) for d in tokenfiles.ShardReader(f.read_bytes()).doc_ids]
     assert found == list(range(50))
+
+
+def test_files_of_both_versions_are_read(monkeypatch):
+    """Files are written in version 3, which sums frequencies up when the ids seen have doubled and learns weights at every fourth; those of version 2 are read as before."""
+    ids = np.random.default_rng(8).zipf(1.3, 5000) % 900
+    new = tokenfiles.write_shard([1], [5000], ids, 900)
+    monkeypatch.setattr(tokenfiles, "_VERSION", 2)
+    old = tokenfiles.write_shard([1], [5000], ids, 900)
+    assert (new[8], old[8]) == (3, 2) and len(new) < 1.1 * len(old)
+    assert tokenfiles.ShardReader(new).ids().tolist() == tokenfiles.ShardReader(old).ids().tolist() == ids.tolist()
+    with pytest.raises(ValueError):
+        tokenfiles.ShardReader(new[:8] + b"\4" + new[9:])
+
+
+@pytest.mark.parametrize(("lanes", "size", "vocabulary", "kind"), [(3, 40, 10, "any"), (5, 700, 49408, "any"), (1, 1, 5, "any"), (2, 2000, 70000, "one"), (4, 900, 1 << 20, "new"), (2, 17_000, 60_000, "new")])
+def test_blocks_of_version_3_come_back(lanes, size, vocabulary, kind):
+    ids = np.random.default_rng(6).integers(0, vocabulary, (lanes, size))
+    if kind == "one":
+        ids[:] = vocabulary - 1
+    elif kind == "new":
+        ids[:] = np.arange(size) * 3 + 1
+    blocks = tokenfiles.encode_blocks(ids, vocabulary, 3)
+    assert (tokenfiles.decode_blocks(blocks, size, vocabulary, 3) == ids).all()
+    assert tokenfiles.encode_blocks(ids[-1:], vocabulary, 3) == blocks[-1:]
+
+
+def test_version_3_sums_up_seldom(monkeypatch):
+    calls, weighed, sum_up, weigh = [], [], tokenfiles._Blocks._sum_up, tokenfiles._Blocks._weigh
+    monkeypatch.setattr(tokenfiles._Blocks, "_sum_up", lambda m: (calls.append(m.at), sum_up(m)))
+    monkeypatch.setattr(tokenfiles._Blocks, "_weigh", lambda m: (weighed.append(m.at), weigh(m)))
+    tokenfiles.write_shard([1], [512], np.arange(512) % 40, 50)
+    assert calls == [0, 16, 32, 64, 128, 256] and weighed == list(range(0, 512, 4))
+
+
+def test_ranks_by_a_table_are_those_by_sorting():
+    ids = np.random.default_rng(12).zipf(1.2, (tokenfiles._LOOKED_UP, 500)) % (1 << 16)
+    assert (tokenfiles._looked_up_ranks(ids.astype(np.uint32)) == tokenfiles._ranks(ids)).all()
