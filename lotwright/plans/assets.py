@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import resolve
+from ..operators import classes, resolve
 from .catalogue import query
 from .registry import table
 
@@ -117,9 +117,15 @@ WITH t AS (SELECT p_partkey, p_brand, p_size, list_distinct(list_filter(regexp_e
 SELECT a.p_partkey AS left_part, b.p_partkey AS right_part, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 4)::DOUBLE AS containment
 FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE len(a.w) > 0 AND len(b.w) > 0""")
 def token_containment(spark, d):
-    p = table(spark, d, "part").where(F.size(text.tokens("p_name")) > 0)
-    l, r = (p.select(F.col("p_partkey").alias(f"{s}_part"), F.col("p_name").alias(f"{s}_name"), "p_brand", "p_size") for s in ("left", "right"))
-    return l.join(r, ["p_brand", "p_size"]).where("left_part < right_part").select("left_part", "right_part", F.round(text.containment("left_name", "right_name"), 4).alias("containment"))
+    """Names of the same words are one class of a brand and size: each two classes are compared once."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.array_sort(text.tokens("p_name")).alias("words"))
+    p = p.dropna(subset=["p_brand", "p_size"]).where(F.size("words") > 0)
+    of = F.struct("p_brand", "p_size", "words")
+    named = p.select("p_brand", "p_size", "words").distinct()
+    l, r = (named.select("p_brand", "p_size", of.alias(s)) for s in "lr")
+    found = l.join(r, ["p_brand", "p_size"]).where(F.col("l") <= F.col("r")).select("l", "r", F.round(text.shared_share("l.words", "r.words"), 4).alias("containment"))
+    told = classes.told(found, classes.members(p, of, "p_partkey"), "containment")
+    return told.select(F.col("left").alias("left_part"), F.col("right").alias("right_part"), "containment")
 
 
 @query("title_similarity")
