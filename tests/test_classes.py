@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lotwright.operators import classes
+from lotwright.operators import classes, links
 from lotwright.plans import assets
 
 
@@ -46,3 +46,16 @@ def test_token_containment_compares_equal_names_once(spark, tmp_path):
     }
     assert len(got) == len(want) > 10_000 and {(r.left_part, r.right_part): r.containment for r in got} == want
     assert most < 2_000
+
+
+def test_first_match_asks_once_for_equal_rows(spark):
+    rows = [(i, [None, "s", "t", "u"][i % 17 % 4], [None, "x", "y"][i % 3], [100.0, 100.9, 102.0, None, 5000.0][i % 11 % 5]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, source string, identifier string, price double")
+    got, most = joined_rows(links.first_match(df.where("id % 2 = 0"), df.where("id % 2 = 1")))
+    want = {}
+    for f in rows[::2]:
+        met = [(0, k[0]) for k in rows[1::2] if None not in (f[1], k[1], f[2]) and f[1] != k[1] and f[2] == k[2] and (None in (f[3], k[3]) or abs(f[3] - k[3]) / max(f[3], k[3], 1) <= 0.05)]
+        met += [(1, k[0]) for k in rows[1::2] if None not in (f[1], k[1], f[3], k[3]) and f[1] != k[1] and abs(f[3] - k[3]) <= max(1, 0.001 * min(f[3], k[3]))]
+        want[f[0]] = min(met)[1] if met else None
+    assert {r.id: r.match for r in got} == want and len(got) == 600 and len(set(want.values())) > 3
+    assert most <= 1200
