@@ -119,12 +119,10 @@ FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partk
 def token_containment(spark, d):
     """Names of the same words are one class of a brand and size: each two classes are compared once."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.array_sort(text.tokens("p_name")).alias("words"))
-    p = p.dropna(subset=["p_brand", "p_size"]).where(F.size("words") > 0)
-    of = F.struct("p_brand", "p_size", "words")
-    named = p.select("p_brand", "p_size", "words").distinct()
-    l, r = (named.select("p_brand", "p_size", of.alias(s)) for s in "lr")
-    found = l.join(r, ["p_brand", "p_size"]).where(F.col("l") <= F.col("r")).select("l", "r", F.round(text.shared_share("l.words", "r.words"), 4).alias("containment"))
-    told = classes.told(found, classes.members(p, of, "p_partkey"), "containment")
+    named, held = classes.classed(p.dropna(subset=["p_brand", "p_size"]).where(F.size("words") > 0), ["p_brand", "p_size", "words"], "p_partkey")
+    l, r = (named.select("p_brand", "p_size", F.col("class").alias(s), F.col("words").alias(f"{s}_words")) for s in "lr")
+    found = l.join(r, ["p_brand", "p_size"]).where(F.col("l") <= F.col("r")).select("l", "r", F.round(text.shared_share("l_words", "r_words"), 4).alias("containment"))
+    told = classes.told(found, held, "containment")
     return told.select(F.col("left").alias("left_part"), F.col("right").alias("right_part"), "containment")
 
 

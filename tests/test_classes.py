@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lotwright.operators import classes, links
+from lotwright.operators import classes, links, resolve
 from lotwright.plans import assets
 
 
@@ -28,8 +28,10 @@ def parts(spark, tmp_path, rows):
 def test_pairs_of_classes_are_those_of_rows(spark):
     rows = [(i, "abc"[i % 3]) for i in range(700)] + [(None, "a"), (5000, "d"), (5000, "e")]
     df = spark.createDataFrame(rows, "id long, of string")
-    found = spark.createDataFrame([("a", "a", 1), ("a", "b", 2), ("d", "e", 3), ("d", "d", 4)], "l string, r string, n int")
-    got = sorted(tuple(r) for r in classes.told(found, classes.members(df, F.col("of")), "n").collect())
+    table, held = classes.classed(df, ["of"])
+    found = spark.createDataFrame([("a", "a", 1), ("a", "b", 2), ("d", "e", 3), ("d", "d", 4)], "l_of string, r_of string, n int")
+    named = found.join(table.select(F.col("of").alias("l_of"), F.col("class").alias("l")), "l_of").join(table.select(F.col("of").alias("r_of"), F.col("class").alias("r")), "r_of")
+    got = sorted(tuple(r) for r in classes.told(named, held, "n").collect())
     a, b = ([i for i, of in rows if of == x and i is not None] for x in "ab")
     assert got == sorted([(i, j, 1) for i in a for j in a if i < j] + [(min(i, j), max(i, j), 2) for i in a for j in b])
 
@@ -59,3 +61,25 @@ def test_first_match_asks_once_for_equal_rows(spark):
         want[f[0]] = min(met)[1] if met else None
     assert {r.id: r.match for r in got} == want and len(got) == 600 and len(set(want.values())) > 3
     assert most <= 1200
+
+
+def lots(spark, rows):
+    return spark.createDataFrame(rows, "id long, source string, identifiers array<string>, price double, address string, title string, region string")
+
+
+def alike_lots(n):
+    titles = ["Красный дом у реки", "красный дом у реки.", "дом", None, ""]
+    return [(i, "aAbc"[i % 4] if i % 97 else None, [["x"], ["x", "y"], None, [], [None]][i % 7 % 5], [100.0, 100.5, 2000.0, None][i // 8 % 4], ["old red ring", "Ring, old", None][i % 8 % 3], titles[i % 50 if i % 50 < 5 else 2], "r" if i % 3 else "") for i in range(n)]
+
+
+def links_of(rows):
+    from tests.test_resolve import expected_pairs
+
+    return expected_pairs([(i, source, [x for x in given or [] if x], *more) for i, source, given, *more in rows if source])
+
+
+def test_pairs_of_equal_rows_are_told_not_compared(spark):
+    rows = alike_lots(400)
+    got, most = joined_rows(resolve.pairs(lots(spark, rows)))
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == links_of(rows) and len(got) > 10_000
+    assert most < 4_000
