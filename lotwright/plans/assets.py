@@ -86,7 +86,7 @@ def cross_source_pairs(spark, d):
 
 @query("reconciled_assets", f'{TIES_SQL} SELECT id, "primary" FROM ties')
 def reconciled_assets(spark, d):
-    return resolve.stars(resolve.pairs(asset_rows(spark, d)))
+    return resolve.reconciled(asset_rows(spark, d))
 
 
 @query("merged_assets", f"""{TIES_SQL},

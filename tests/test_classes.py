@@ -83,3 +83,30 @@ def test_pairs_of_equal_rows_are_told_not_compared(spark):
     got, most = joined_rows(resolve.pairs(lots(spark, rows)))
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == links_of(rows) and len(got) > 10_000
     assert most < 4_000
+
+
+def test_reconciled_by_classes_is_the_scan_of_rows(spark, monkeypatch):
+    from tests.test_resolve import scanned
+
+    rows, given, plain = alike_lots(300), [], resolve.stars
+    monkeypatch.setattr(resolve, "stars", lambda found, **more: given.append(found.count()) or plain(found, **more))
+    got = resolve.reconciled(lots(spark, rows)).collect()
+    assert len(got) == len({r.id for r in got}) and {r.id: r.primary for r in got} == scanned(links_of(rows))
+    assert given[0] < 4_000
+
+
+def test_reconciled_assets_sees_few_links(spark, tmp_path, monkeypatch):
+    given, plain = [], resolve.stars
+    monkeypatch.setattr(resolve, "stars", lambda found, **more: given.append(found.count()) or plain(found, **more))
+    d = parts(spark, tmp_path, [(i, "red ring", "b", "T", 1, 900.0 + i % 5) for i in range(400)])
+    assert {r.id: r.primary for r in assets.reconciled_assets(spark, d).collect()}[6] == 0
+    assert max(given) < 1_000
+
+
+def test_dense_links_settle_without_components(spark, monkeypatch):
+    from tests.test_resolve import scanned
+
+    monkeypatch.setattr(resolve, "components", None)
+    edges = {(min(a, b), max(a, b)) for k in range(3) for a in range(k, 300, 6) for b in range(k + 3, 300, 6)} | {(300, 301), (301, 302)}
+    got = resolve.stars(spark.createDataFrame(sorted(edges), "left long, right long"), scanned=100).collect()
+    assert {r.id: r.primary for r in got} == scanned(edges)
