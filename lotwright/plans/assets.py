@@ -94,7 +94,7 @@ joined AS (SELECT coalesce(t."primary", p_partkey) AS id, p_partkey AS own, CASE
 SELECT id, arg_min(address, own) AS address, arg_min(p_size, own)::INTEGER AS p_size, count(*) AS n_sources FROM joined GROUP BY id""")
 def merged_assets(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 > 0, F.concat_ws(" ", "p_brand", "p_name")).otherwise(" ").alias("address"), "p_size")
-    return resolve.survivors(parts.withColumn("address", F.trim("address")), resolve.stars(resolve.pairs(asset_rows(spark, d))), ["address"])
+    return resolve.survivors(parts.withColumn("address", F.trim("address")), resolve.reconciled(asset_rows(spark, d)), ["address"])
 
 
 @query("alike_titles")

@@ -103,6 +103,14 @@ def test_reconciled_assets_sees_few_links(spark, tmp_path, monkeypatch):
     assert max(given) < 1_000
 
 
+def test_merged_assets_sees_few_links(spark, tmp_path, monkeypatch):
+    given, plain = [], resolve.stars
+    monkeypatch.setattr(resolve, "stars", lambda found, **more: given.append(found.count()) or plain(found, **more))
+    d = parts(spark, tmp_path, [(i, "red ring", "b", "T", 1, 900.0 + i % 5) for i in range(400)])
+    merged = assets.merged_assets(spark, d).collect()
+    assert sum(r.n_sources for r in merged) == 400 and 1 < len(merged) < 400 and given[0] < 1_000
+
+
 def test_dense_links_settle_without_components(spark, monkeypatch):
     from tests.test_resolve import scanned
 
