@@ -101,7 +101,7 @@ def merged_assets(spark, d):
 def alike_titles(spark, d):
     """Titles of parts of one brand that are alike; SQL has no such ratio, tests compare with all pairs."""
     p = table(spark, d, "part").select("p_brand", F.lower(F.concat_ws(" ", "p_name", "p_type", F.lit("lot"), "p_size")).alias("title"))
-    return resolve.similar_title_pairs(p, p, ["p_brand"], "title").where("l_title < r_title")
+    return resolve.similar_title_pairs(p, p, ["p_brand"], "title", ordered=True)
 
 
 @query("sibling_sources", """

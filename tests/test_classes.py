@@ -1,7 +1,10 @@
 """Queries on pairs judge classes of equal rows: results against all pairs, and how many rows their joins make on the way."""
 
+import difflib
+import random
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lotwright.operators import classes, links, resolve
@@ -118,3 +121,30 @@ def test_dense_links_settle_without_components(spark, monkeypatch):
     edges = {(min(a, b), max(a, b)) for k in range(3) for a in range(k, 300, 6) for b in range(k + 3, 300, 6)} | {(300, 301), (301, 302)}
     got = resolve.stars(spark.createDataFrame(sorted(edges), "left long, right long"), scanned=100).collect()
     assert {r.id: r.primary for r in got} == scanned(edges)
+
+
+def test_titles_of_few_words_are_told_apart_before_the_ratio(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = ["large hot blue old cold small", "ring bolt plate gear rod widget", "economy medium promo standard"]
+    titles = sorted({" ".join(rnd.choice(w.split()) for w in words) + f" lot {rnd.randrange(50)}" for _ in range(400)})
+    df = spark.createDataFrame([(k, t) for k in range(3) for t in titles], "k int, title string")
+    near = {(a, b) for a in titles for b in titles if a < b and difflib.SequenceMatcher(None, a, b).ratio() >= 0.92}
+    got = resolve.similar_title_pairs(df, df, ["k"], "title", ordered=True).collect()
+    assert len(got) == 3 * len(near) > 300 and {(r.l_title, r.r_title) for r in got} == near
+    monkeypatch.setattr(resolve, "_reaches", lambda a, b: F.lit(True))
+    reached = resolve.similar_title_pairs(df, df, ["k"], "title").where("l_title < r_title").count() / 3
+    assert reached < 0.05 * len(titles) ** 2 / 2
+
+
+def test_no_title_that_reaches_the_ratio_is_ruled_out():
+    rnd, a, b = random.Random(6), [], []
+    for _ in range(2000):
+        said = "".join(rnd.choice("abcdeя \0"[: rnd.choice([3, 7, 8])]) for _ in range(rnd.choice([1, 2, 20, 40, 63, 64, 65, 70])))
+        other = list(said)
+        for _ in range(rnd.randrange(7)):
+            at = rnd.randrange(len(other) + 1)
+            other[at : at + rnd.randrange(2)] = rnd.choice(["", "x", "a"])
+        a, b = [*a, said], [*b, "".join(other)]
+    may = resolve._may_reach(pd.Series(a), pd.Series(b))
+    reach = [difflib.SequenceMatcher(None, x, y).ratio() >= 0.92 for x, y in zip(a, b, strict=True)]
+    assert all(m or not r for m, r in zip(may, reach, strict=True)) and 0 < sum(~may) and sum(may) < sum(reach) + 400
